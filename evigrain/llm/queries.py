@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from evigrain.llm import quality_rules
+from evigrain.llm import hilbert_shards, quality_rules, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_hilbert_sharding": hilbert_shards.op10_hilbert_sharding,
 }
 ORACLE_SQL = {
     "op8_quality_rules": quality_rules.ORACLE,
