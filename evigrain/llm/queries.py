@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evigrain.llm import hilbert_shards, quality_rules, url_filter
+from evigrain.llm import chat_format, hilbert_shards, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_hilbert_sharding": hilbert_shards.op10_hilbert_sharding,
 }
