@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evigrain.llm import chat_format, hilbert_shards, quality_rules, url_filter
+from evigrain.llm import chat_format, grid_join, hilbert_shards, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_chat_format": chat_format.op4_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_grid_order_join": grid_join.op9_grid_order_join,
     "op10_hilbert_sharding": hilbert_shards.op10_hilbert_sharding,
 }
 ORACLE_SQL = {
