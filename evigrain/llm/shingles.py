@@ -46,12 +46,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """Hashes of the byte spans [starts, ends) of data; fold: A-Z count as a-z."""
-    up, down = powers(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _EXACT)[data] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def prefix_sums(data: np.ndarray, fold: bool) -> np.ndarray:
+    """Running sums of the bytes' values times powers of the base; fold: A-Z count as a-z."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _EXACT)[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the byte spans [starts, ends) of data."""
+    sums = prefix_sums(data, fold) if sums is None else sums
+    return mix((sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
