@@ -33,7 +33,9 @@ from evigrain.llm.shingles import chunks, prefix_sums, span_hashes, text_bytes
 
 MAX_FILE = 32 << 20
 #: Distinct words whose tokens a task remembers; beyond it, it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
+#: Bytes of text that are encoded at once.
+PORTION = 1 << 19
 #: Longer words (in bytes) are merged with the heap straight away: there, speculation gains nothing.
 LONG = 48
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -362,41 +364,57 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _encode(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, size=PORTION):
+        ids, bounds = v.encoded(b["text"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(bounds.astype(np.int32), ids.astype(np.int32))], ["doc_id", "ids"])
+
+
+def _digest(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the ids and of what they decode to."""
+    for b in batches:
+        at = b["ids"].offsets.to_numpy()
+        ids = b["ids"].values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype("<u4")
+        at = at - at[0]
+        text = v.decoded(ids).tobytes()
+        ends = np.concatenate([[0], np.cumsum(v.lengths[ids])])[at].tolist()
+        raw = ids.tobytes()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        told = [sha(text[i:j].decode(errors="replace").encode()) for i, j in zip(ends[:-1], ends[1:])]
+        at = at.tolist()
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([j - i for i, j in zip(at[:-1], at[1:])], pa.int64()), pa.array([sha(raw[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:])]), pa.array(told)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encoded(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     """doc_id and the ids of the column's texts."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_file(path))
+    rows = df.select("doc_id", F.coalesce(column, F.lit("")).alias("text"))
+    return rows.mapInArrow(lambda batches: _encode(loaded(shared.value), batches), "doc_id long, ids array<int>")
+
+
+def decoded(df: DataFrame, path: str) -> DataFrame:
+    """doc_id and the text of column ids."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = loaded(shared.value)
-        for b in chunks(batches):
-            ids, bounds = v.encoded(b["text"])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(bounds.astype(np.int32), ids.astype(np.int32))], ["doc_id", "ids"])
+        for b in batches:
+            texts = [v.decoded(np.asarray(ids or [], np.int64)).tobytes().decode(errors="replace") for ids in b["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return df.select("doc_id", F.coalesce(column, F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digested(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them, in one pass."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_file(path))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = loaded(shared.value)
-        for b in batches:
-            at = b["ids"].offsets.to_numpy()
-            ids = b["ids"].values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype("<u4")
-            at = at - at[0]
-            text = v.decoded(ids).tobytes()
-            ends = np.concatenate([[0], np.cumsum(v.lengths[ids])])[at].tolist()
-            raw = ids.tobytes()
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            told = [sha(text[i:j].decode(errors="replace").encode()) for i, j in zip(ends[:-1], ends[1:])]
-            at = at.tolist()
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([j - i for i, j in zip(at[:-1], at[1:])], pa.int64()), pa.array([sha(raw[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:])]), pa.array(told)], names)
+        return _digest(v, _encode(v, batches))
 
-    return df.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_path()
-    return digested(encoded(table(spark, sf_dir, "documents"), path), path)
+    return digested(table(spark, sf_dir, "documents"), public_path())

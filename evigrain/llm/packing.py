@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm.bpe import Vocabulary, loaded, public_path, tokenizer_file
+from evigrain.llm.bpe import PORTION, Vocabulary, loaded, public_path, tokenizer_file
 from evigrain.llm.shared import table
 from evigrain.llm.shingles import chunks
 
@@ -140,7 +140,7 @@ def packed(docs: DataFrame, path: str, with_ids: bool = False, length: int = LEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(loaded(shared.value), TaskContext.get().partitionId() << 40, with_ids, length)
-        for b in chunks(batches):
+        for b in chunks(batches, size=PORTION):
             packer.add(b)
             if len(packer.ids) >= RUN:
                 yield from packer.pieces(False)

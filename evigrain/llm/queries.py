@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evigrain.llm import bpe, chat_format, grid_join, hilbert_shards, minhash_dedup, quality_rules, url_filter
+from evigrain.llm import bpe, chat_format, grid_join, hilbert_shards, minhash_dedup, packing, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op6_packing": packing.op6_packing,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_grid_order_join": grid_join.op9_grid_order_join,
