@@ -6,12 +6,12 @@
    bin fills. Few rounds suffice for a large set, and equal coordinates estimate the Jaccard similarity.
 2. Texts with equal sets form a class. Classes meet in buckets: bands of ROWS coordinates. At similarity 0.8 a
    pair misses all bands with a chance of 3e-6.
-3. Each class is compared with its bucket's centre (the least id there), on full sets. That takes a number of
-   pairs in proportion to the classes, whatever the group sizes, and joins a group of near copies.
-4. Buckets that still hold several components are worked off pair by pair across components. In a bucket
-   with more than MANY components, only pairs that share one of their rarest shingles are compared: of two
-   sets that are similar enough, the n - ceil(need) + 1 rarest shingles of each (in one fixed order) must
-   meet, so this exact prefix filter loses nothing, and texts that only share a common passage don't meet.
+3. Each class is compared with its bucket's centre, on full sets: a number of pairs in proportion to the
+   classes, whatever the group sizes, which joins most of a group of near copies.
+4. Only buckets with a class that isn't similar to the centre go on. Classes too few of whose shingles occur in
+   any other class there are alone for certain. The others try a second centre, the one that shares most with
+   its group. What is outside its component then meets only classes that share one of its rarest shingles
+   outside that centre (see _missing). These bounds are exact: no link between bucket mates is lost.
 5. Components of all confirmed links give the groups.
 
 Sets are recomputed from the text for the classes that have a candidate; they are never stored for all
@@ -40,7 +40,6 @@ COORDINATES = 256
 ROWS = 6
 BANDS = COORDINATES // ROWS
 SIMILAR = 80
-MANY = 32
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,39 +116,84 @@ def _fits(similar: int):
     return (100 * F.col("na") >= similar * F.col("nb")) & (100 * F.col("nb") >= similar * F.col("na"))
 
 
-def _rare_pairs(members: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """Pairs across components within a bucket that share a shingle of both prefixes."""
-    sets = full_sets(docs, members.select("id"), k)
-    item = members.join(sets, "id").select("key", "id", "comp", "n", F.explode("items").alias("item"))
-    often = item.groupBy("key", "item").agg(F.count("*").alias("often"))
-    shared = item.join(often.filter("often > 1"), ["key", "item"])
-    ranked = shared.withColumn("from_end", F.row_number().over(W.partitionBy("key", "id").orderBy(F.desc("often"), F.desc("item"))))
-    # Shingles of one text only are the rarest; the rest, counted from the most frequent, lies in the prefix once ceil(need) - 1 are left out.
-    prefix = ranked.filter(F.col("from_end") >= F.ceil(F.col("n") * similar / 100)).select("key", "id", "comp", "n", "item")
-    a = prefix.select("key", "item", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = prefix.select("key", "item", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    return a.join(b, ["key", "item"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(similar)).select("a", "b").distinct()
+def _shared(members: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """id, item, often, from_end, need: the members' shingles that occur in another member, the most frequent first.
+
+    Similar sets x and y share at least need = s / (1 + s) * (|x| + |y|) shingles, and |y| is at least the least
+    size in x's buckets and s * |x|. So the |x| - ceil(need) + 1 rarest shingles of x (from_end >= need) meet those
+    of y, and a set of which fewer than `need` shingles occur in any other member is alone for certain."""
+    ids = members.groupBy("id").agg(F.any_value("n").alias("n"), F.min("least").alias("least"))
+    need = F.ceil(F.expr(f"{similar} * (n + greatest(least, ceil({similar} * n / 100))) / {100 + similar}"))
+    item = full_sets(docs, ids, k).select("id", F.explode("items").alias("item"))
+    often = item.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("often"), F.desc("item")))
+    return item.join(often, "item").withColumn("from_end", place).join(ids.select("id", need.alias("need")), "id")
+
+
+def _missing(outside: DataFrame, members: DataFrame, shared: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """All pairs (a, b) across components that may be similar, of an x of `outside` and a member y of its buckets.
+
+    For any set h, similar x and y share at least need - |x & h| shingles of x - h. With h the hub that is nearest
+    to x, those are few and rare: x only meets members with one of its rarest ones, as many as the bound says (one
+    at least). Where the bound is 0 or less, y is small, |y| <= |x & h| (1 + s) / s - |x|: x meets all of its
+    buckets' members of such a size too."""
+    pairs = outside.select(F.col("id").alias("x"), "hub").distinct()
+    sets = written(full_sets(docs, pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))), k), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("own")), "x").join(sets.select(F.col("id").alias("hub"), F.col("items").alias("theirs")), "hub")
+    nearest = both.select("x", F.array_except("own", "theirs").alias("out"), F.size("own").alias("n")).groupBy("x").agg(F.min_by(F.struct("out", "n"), F.size("out")).alias("c")).select("x", "c.*")
+    about = outside.groupBy(F.col("id").alias("x")).agg(F.min("least").alias("least"), F.any_value("comp").alias("cx"))
+    need = F.ceil(F.expr(f"{similar} * (n + greatest(least, ceil({similar} * n / 100))) / {100 + similar}"))
+    x = written(nearest.join(about, "x").withColumn("inter", F.col("n") - F.size("out")).withColumn("beyond", F.greatest(need - F.col("inter"), F.lit(1))), "outside")
+
+    often = shared.groupBy("item").agg(F.any_value("often").alias("often"))
+    item = x.select("x", "n", "cx", "beyond", F.explode("out").alias("item")).join(often, "item")
+    place = F.row_number().over(W.partitionBy("x").orderBy(F.desc("often"), F.desc("item")))
+    rare = item.withColumn("place", place).filter("place >= beyond").select("x", "cx", F.col("n").alias("na"), "item")
+    y = members.groupBy("id").agg(F.any_value("n").alias("nb"), F.any_value("comp").alias("cy"))
+    met = rare.join(shared.select("id", "item").join(y, "id"), "item")
+    small = x.select("x", "cx", F.col("n").alias("na"), F.floor(F.expr(f"inter * {100 + similar} / {similar} - n")).alias("most"))
+    near = small.join(outside.select(F.col("id").alias("x"), "key").distinct(), "x").join(members.select("key", "id", F.col("n").alias("nb"), F.col("comp").alias("cy")), "key").filter("nb <= most")
+    all_ = met.select("x", "id", "cx", "cy", "na", "nb").unionByName(near.select("x", "id", "cx", "cy", "na", "nb"))
+    return all_.filter((F.col("cx") != F.col("cy")) & _fits(similar)).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
+def _star(entries: DataFrame, centres: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the given centres and members of their buckets."""
+    pairs = entries.select("key", "id", F.col("n").alias("nb")).join(centres.select("key", "centre", F.col("n").alias("na")), "key")
+    return pairs.filter((F.col("id") != F.col("centre")) & _fits(similar)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
 def groups(classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
     """node, component for the classes (id, n, bands) that link with another."""
     entries = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("centre"), F.min_by("n", "id").alias("nc"), F.count("*").alias("m")).filter("m > 1")
+    shared = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1")
     entries = written(entries.join(shared, "key"), "entries")
-    star = written(entries.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")).filter(_fits(similar)).select("a", "b").distinct(), "pairs")
+    # Members of many large buckets differ little from the rest of their group: good first centres.
+    score = entries.groupBy("id").agg(F.sum("m").alias("score"))
+    centres = entries.join(score, "id").groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("centre"), "n"), F.struct("score", "id")).alias("c")).select("key", "c.*")
+    star = written(_star(entries, centres, similar), "pairs")
     links = written(confirmed(star, docs, k, similar), "confirmed")
+
+    # Buckets with a member that isn't similar to the first centre: the rest of the work is theirs.
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = entries.filter("m > 2").join(centres.select("key", "centre"), "key").filter("id <> centre")
+    left = written(others.join(ends, (F.col("id") == F.col("a")) & (F.col("centre") == F.col("b")), "left_anti").select("key", "id", "n"), "left")
+    members = entries.join(left.select("key").distinct(), "key", "left_semi").select("key", "id", "n", "least")
+    shared = written(_shared(members, docs, k, similar), "shared")
+    close = shared.groupBy("id").agg(F.sum(F.log("often")).alias("close"), F.max(F.col("from_end") >= F.col("need")).alias("some")).filter("some")
+    members = written(members.join(close, "id"), "members")
+    # Second centres share the most with their group.
+    hubs = members.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("centre"), "n"), F.struct("close", "id")).alias("c")).select("key", "c.*")
+    second = written(_star(left.join(close, "id", "left_semi"), hubs, similar).join(star, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(confirmed(second, docs, k, similar), "confirmed"))
     comp = written(components(links), "components")
 
-    members = entries.select("key", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    per = members.groupBy("key").agg(F.countDistinct("comp").alias("comps")).filter("comps > 1")
-    members = written(members.join(per, "key"), "members")
-    few = members.filter(F.col("comps") <= MANY)
-    side = lambda x: few.select("key", F.col("id").alias(x), F.col("comp").alias("c" + x), F.col("n").alias("n" + x))
-    crossed = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(similar)).select("a", "b").distinct()
-    many = members.filter(F.col("comps") > MANY)
-    if not many.isEmpty():
-        crossed = crossed.unionByName(_rare_pairs(many, docs, k, similar)).distinct()
-    rest = written(crossed.join(star, ["a", "b"], "left_anti"), "pairs")
+    # A link that is still missing has an end x outside its bucket's hub's component.
+    of = comp.withColumnRenamed("node", "id")
+    members = written(members.join(of, "id", "left").select("key", "id", "n", "least", F.coalesce("component", "id").alias("comp")), "members")
+    at = members.join(hubs.select("key", F.col("centre").alias("hub")), "key").join(of.select(F.col("id").alias("hub"), F.col("component").alias("hub_comp")), "hub", "left")
+    outside = at.filter(F.col("comp") != F.coalesce("hub_comp", "hub"))
+    rest = written(_missing(outside, members, shared, docs, k, similar).join(star.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     more = written(confirmed(rest, docs, k, similar), "confirmed")
     for t in (entries, members):
         forget(t)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evigrain.llm import bpe, chat_format, grid_join, hilbert_shards, minhash_dedup, packing, quality_rules, url_filter
+from evigrain.llm import bpe, chat_format, grid_join, hilbert_shards, line_templates, minhash_dedup, packing, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_line_templates": line_templates.op5_line_templates,
     "op6_packing": packing.op6_packing,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_hilbert_sharding": hilbert_shards.op10_hilbert_sharding,
 }
 ORACLE_SQL = {
+    "op5_line_templates": line_templates.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }

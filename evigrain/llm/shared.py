@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's executors, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_evigrain_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="evigrain-code-")) / "evigrain.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted((root / "evigrain").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._evigrain_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
