@@ -33,7 +33,7 @@ from evigrain.llm.shingles import chunks, prefix_sums, span_hashes, text_bytes
 
 MAX_FILE = 32 << 20
 #: Distinct words whose tokens a task remembers; beyond it, it starts anew.
-MEMORY = 200_000
+MEMORY = 800_000
 #: Bytes of text that are encoded at once.
 PORTION = 1 << 19
 #: Longer words (in bytes) are merged with the heap straight away: there, speculation gains nothing.
@@ -64,7 +64,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    def __init__(self, source: str):
+    def __init__(self, source: str, speculate: bool = True):
+        self.speculate = speculate
         spec = json.loads(source)
         letters = byte_alphabet()
         raw = lambda s: bytes(letters[c] for c in s)
@@ -221,7 +222,7 @@ class Vocabulary:
         size = ends - starts
         gather = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         small, to = data[gather], np.cumsum(size)
-        good = size <= LONG
+        good = (size <= LONG) & self.speculate
         short = np.flatnonzero(good)
         token, word, step = self._greedy(small, (to - size)[short], to[short])
         word = short[word]
@@ -338,15 +339,15 @@ def words(data: np.ndarray, bounds: np.ndarray, specials: dict[bytes, int]) -> t
     return starts, special, np.searchsorted(starts, bounds)
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[tuple, Vocabulary] = {}
 
 
-def loaded(source: str) -> Vocabulary:
-    """A task's vocabulary; the worker keeps it for its next tasks."""
-    key = hash(source)
+def loaded(source: str, speculate: bool = True) -> Vocabulary:
+    """A task's vocabulary; the worker keeps it for its next tasks. Without speculation all new words are merged exactly."""
+    key = (hash(source), speculate)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Vocabulary(source)
+        _loaded[key] = Vocabulary(source, speculate)
     return _loaded[key]
 
 

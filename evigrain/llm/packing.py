@@ -37,7 +37,7 @@ LENGTH = 2048
 END = 1
 SENTENCE, HARD = 4, 64
 #: Sentence ends are candidates once in so many ids; hard cuts lie so far apart.
-THIN, LATTICE = 8, 128
+THIN, LATTICE = 16, 128
 RUN = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -139,7 +139,7 @@ def packed(docs: DataFrame, path: str, with_ids: bool = False, length: int = LEN
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(loaded(shared.value), TaskContext.get().partitionId() << 40, with_ids, length)
+        packer = Packer(loaded(shared.value, False), TaskContext.get().partitionId() << 40, with_ids, length)
         for b in chunks(batches, size=PORTION):
             packer.add(b)
             if len(packer.ids) >= RUN:
