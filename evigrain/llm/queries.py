@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evigrain.llm import bpe, chat_format, grid_join, hilbert_shards, line_templates, minhash_dedup, packing, quality_rules, url_filter
+from evigrain.llm import backoff_lm, bpe, chat_format, grid_join, hilbert_shards, line_templates, minhash_dedup, packing, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_backoff_lm": backoff_lm.op2_backoff_lm,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_line_templates": line_templates.op5_line_templates,
