@@ -11,6 +11,7 @@ tests hold the stages against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evigrain.llm import line_templates, minhash_dedup, packing, quality_rules
 from evigrain.llm.bpe import public_path
@@ -27,9 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, and documents of which nothing is left."""
+    """Lines of recurring templates go, and documents of which nothing is left; n_chars follows the text."""
     ship(spark)
-    return line_templates.deduplicated(docs)
+    out = line_templates.deduplicated(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
