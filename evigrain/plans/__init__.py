@@ -1,4 +1,6 @@
 """Every query by name, with its equivalent in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evigrain.plans import analytics, graph, retrieval, text  # noqa: F401
+from evigrain.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
