@@ -1 +1,167 @@
-"""Queries."""
+"""Queries over ranking, keyword scoring and fusion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from evigrain.functions import text as T
+from evigrain.operators import fusion, keywords, ranking
+from evigrain.plans.registry import query, table
+from evigrain.plans.text import KEPT_SQL
+
+WORDS = "the licensed under free the"
+TOP = 20
+
+TF = f"tf AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM ({KEPT_SQL})) GROUP BY ALL), dl AS (SELECT doc_id, len(w)::BIGINT AS dl FROM ({KEPT_SQL}))"
+IDF = TF + ", raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM dl) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"
+BM25 = IDF + """, q AS (SELECT unnest(['the', 'licensed', 'under', 'free', 'the']) AS term), qt AS (SELECT term, count(*) AS qtf FROM q GROUP BY term),
+s AS (SELECT doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl))) * qtf) AS weighted, sum(tf)::DOUBLE AS plain FROM tf JOIN qt USING (term) JOIN idf USING (term) JOIN dl USING (doc_id) GROUP BY doc_id),
+bm AS (SELECT doc_id, CASE WHEN (SELECT max(weighted) > 0 FROM s) THEN weighted ELSE plain END AS score FROM s)"""
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+COS = f"cos AS (SELECT e.vec_id, e.label, {_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')})) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
+
+
+def _vector(spark, d) -> list[float]:
+    """The query vector: that of vec_id 0."""
+    return [float(x) for x in table(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"]]
+
+
+@query("a01_term_counts", f"WITH {TF} SELECT doc_id, term, tf::BIGINT AS tf FROM tf")
+def term_counts(spark, d):
+    return ranking.term_counts(table(spark, d, "documents"))
+
+
+@query("a02_lengths", f"WITH {TF} SELECT count(*)::BIGINT AS n, round(avg(dl), 6) AS avgdl FROM dl")
+def lengths(spark, d):
+    return ranking.doc_lengths(table(spark, d, "documents")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+
+
+@query("a03_idf", f"WITH {IDF} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
+def idf(spark, d):
+    docs = table(spark, d, "documents")
+    out = ranking.inverse_frequencies(ranking.term_counts(docs), docs.count())
+    return out.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("a04_bm25", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25(spark, d):
+    return ranking.bm25(table(spark, d, "documents"), WORDS).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("a05_bm25_fallback", f"WITH {TF} SELECT doc_id, sum(tf)::DOUBLE AS score FROM tf WHERE term = 'one-of-a-kind' GROUP BY doc_id")
+def bm25_fallback(spark, d):
+    """A term that no document holds: no row, as there is nothing to count."""
+    return ranking.bm25(table(spark, d, "documents"), "one-of-a-kind")
+
+
+@query("v02_bm25_top", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT {TOP}) WHERE score > 0")
+def bm25_top(spark, d):
+    return ranking.top(ranking.bm25(table(spark, d, "documents"), WORDS), TOP, F.desc("score"), F.desc("doc_id"), positive=True).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("n01_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def norms(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(ranking.norm("embedding"), 6).alias("norm"))
+
+
+@query("n02_cosine", f"WITH {COS} SELECT vec_id, round(score, 6) AS score FROM cos")
+def cosine(spark, d):
+    return ranking.dense(table(spark, d, "embeddings"), _vector(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("v01_dense_top", f"WITH {COS} SELECT vec_id, round(score, 6) AS score FROM cos ORDER BY cos.score DESC, vec_id DESC LIMIT {TOP}")
+def dense_top(spark, d):
+    return ranking.top(ranking.dense(table(spark, d, "embeddings"), _vector(spark, d)), TOP, F.desc("score"), F.desc("vec_id")).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("p21_dense_filtered", f"WITH {COS} SELECT vec_id, label, round(score, 6) AS score FROM cos WHERE label IN (1, 3) ORDER BY cos.score DESC, vec_id DESC LIMIT {TOP}")
+def dense_filtered(spark, d):
+    """The filter comes before the cut and reaches the scan."""
+    v = table(spark, d, "embeddings").filter(F.col("label").isin(1, 3))
+    return ranking.top(ranking.dense(v, _vector(spark, d)), TOP, F.desc("score"), F.desc("vec_id")).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+LISTS = f"""WITH {BM25}, {COS},
+b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT 50) WHERE score > 0),
+v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id DESC) AS rank FROM (SELECT * FROM cos ORDER BY score DESC, vec_id DESC LIMIT 50)),
+l AS (SELECT id, rank, 0 AS list, 1.0::DOUBLE / (60 + rank) AS part FROM v UNION ALL SELECT id, rank, 1, 1.0::DOUBLE / (60 + rank) FROM b),
+f AS (SELECT id, sum(part) AS score, min({{'l': list, 'r': rank}}) AS first FROM l GROUP BY id)"""
+
+
+def _fused(spark, d):
+    docs = ranking.top(ranking.bm25(table(spark, d, "documents"), WORDS), 50, F.desc("score"), F.desc("doc_id"), positive=True).withColumnRenamed("doc_id", "id")
+    vectors = ranking.top(ranking.dense(table(spark, d, "embeddings"), _vector(spark, d)), 50, F.desc("score"), F.desc("vec_id")).withColumnRenamed("vec_id", "id")
+    order = (F.desc("score"), F.desc("id"))
+    return ranking.rrf([(ranking.ranked(vectors, *order), 1.0), (ranking.ranked(docs, *order), 1.0)])
+
+
+@query("a06_rrf", LISTS + " SELECT id, round(score, 8) AS score FROM f")
+def rrf(spark, d):
+    return _fused(spark, d).select("id", F.round("score", 8).alias("score"))
+
+
+@query("v04_hybrid", LISTS + f" SELECT id, round(score, 8) AS score FROM f ORDER BY f.score DESC, first LIMIT {TOP}")
+def hybrid(spark, d):
+    """Sparse and dense rankings, fused; ties go to the first list, then to the rank in it."""
+    return _fused(spark, d).orderBy(F.desc("score"), "first").limit(TOP).select("id", F.round("score", 8).alias("score"))
+
+
+SPEC = [keywords.Concept("licence", (keywords.Form("licensed under", 1.0), keywords.Form("license", 0.5, "token")), {"text": 1.0, "source": 0.5}), keywords.Concept("source", (keywords.Form("src1", 2.0, "phrase", ("the", "und")),), {"source": 1.5}, 0.8, 1.5)]
+_N = r"lower(trim(regexp_replace(translate({x}, '‐‑‒–—−', '------'), '\s+', ' ', 'g')))"
+_D = "(CASE WHEN {n} <= 0 THEN 0.0 ELSE (1 - pow(0.5, least({n}, 8))) / 0.5 END)"
+_PH = "((length({t}) - length(replace({t}, '{w}', ''))) // {k})"
+_TK = r"len(regexp_extract_all(regexp_replace(' ' || {t} || ' ', '([^\p{{L}}\p{{Nd}}_.-])', '\1\1', 'g'), '[^\p{{L}}\p{{Nd}}_.-]{w}[^\p{{L}}\p{{Nd}}_.-]'))"
+_PARTS = " + ".join(f"{w} * {_D.format(n=n)}" for w, n in ((1.0, _PH.format(t="t", w="licensed under", k=14)), (0.5, _PH.format(t="s", w="licensed under", k=14)), (0.5, _TK.format(t="t", w="license")), (0.25, _TK.format(t="s", w="license"))))
+KEYWORD_SQL = f"""WITH r AS (SELECT doc_id AS id, {_N.format(x='text')} AS t, {_N.format(x='source')} AS s FROM documents),
+k AS (SELECT id, least({_PARTS}, 2.0) + least(CASE WHEN contains(t || ' ' || s, 'the') OR contains(t || ' ' || s, 'und') THEN 2.4 * {_D.format(n=_PH.format(t='s', w='src1', k=4))} ELSE 0.0 END, 3.6) AS score FROM r)"""
+
+
+def _keyword(spark, d):
+    return keywords.scored(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), SPEC)
+
+
+@query("a07_keyword_scores", KEYWORD_SQL + " SELECT id, round(score, 6) AS score FROM k WHERE score > 0")
+def keyword_scores(spark, d):
+    return _keyword(spark, d).select("id", F.round("score", 6).alias("score"))
+
+
+@query("v03_keyword_top", KEYWORD_SQL + f" SELECT id, round(score, 6) AS score FROM k WHERE score > 0 ORDER BY k.score DESC, id LIMIT {TOP}")
+def keyword_top(spark, d):
+    return ranking.top(_keyword(spark, d), TOP, F.desc("score"), F.asc("id")).select("id", F.round("score", 6).alias("score"))
+
+
+@query("f05_phrase_count", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::INT AS n FROM documents")
+def phrase_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.phrase_count(F.col("text"), "the").alias("n"))
+
+
+ROWS = r"rows_ AS (SELECT lang AS source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS pos, lower(source) AS key, n_chars::DOUBLE AS score, doc_id FROM documents)"
+
+
+def _rows(spark, d):
+    """Documents as results of four sources, their languages; identity is the document's source."""
+    pos = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
+    return table(spark, d, "documents").select(F.col("lang").alias("source"), pos.alias("pos"), F.lower("source").alias("key"), F.col("n_chars").cast("double").alias("score"), "doc_id")
+
+
+@query("w02_best_of_source", f"WITH {ROWS} SELECT source, doc_id, score FROM rows_ WHERE pos = 1")
+def best_of_source(spark, d):
+    return _rows(spark, d).filter("pos = 1").select("source", "doc_id", "score")
+
+
+@query("v08_fusion", f"WITH {ROWS}, o AS (SELECT *, CASE WHEN pos = 1 THEN 0 ELSE 1 END AS a, CASE WHEN pos = 1 THEN 0.0 ELSE -score END AS s FROM rows_), c AS (SELECT * FROM o ORDER BY a, s, source, pos LIMIT {TOP}), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY a, s, source, pos) AS again FROM c WHERE key <> '') SELECT row_number() OVER (ORDER BY a, s, source, pos)::INT AS place, doc_id, key FROM k WHERE again = 1")
+def fusion_(spark, d):
+    return fusion.fused(_rows(spark, d), TOP).select("place", "doc_id", "key")
+
+
+@query("w03_dedupe", f"WITH {ROWS} SELECT key, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id) AS n FROM rows_) WHERE n = 1")
+def dedupe(spark, d):
+    return fusion.deduplicated(_rows(spark, d), F.desc("score"), F.asc("doc_id")).select("key", "doc_id")
+
+
+@query("w05_numbering", "SELECT doc_id, dense_rank() OVER (ORDER BY first)::BIGINT AS number FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(split_part(text, chr(10), 1))) AS first FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '')")
+def numbering(spark, d):
+    """Documents are packets of one row; identity is the first line."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("packet"), F.lit(0).alias("pos"), F.lower(F.split("text", "\n")[0]).alias("key")).filter("trim(key) <> ''")
+    return fusion.numbered(rows).select("doc_id", "number")
