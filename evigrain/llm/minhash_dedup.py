@@ -40,6 +40,8 @@ COORDINATES = 256
 ROWS = 6
 BANDS = COORDINATES // ROWS
 SIMILAR = 80
+#: Ids that may be broadcast: 8 bytes each.
+FEW = 250_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,14 +93,17 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and its full shingle set, for the given ids."""
+    """id and its full shingle set, for the given ids. Up to FEW ids are broadcast, so that no text is shuffled;
+    more are joined by a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             items, bounds = shingle_sets(b["text"], k)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(bounds.astype(np.int32), items.view(np.int64))], ["id", "items"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = written(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    few = wanted.count() <= FEW
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     return texts.mapInArrow(run, "id long, items array<long>")
 
 
