@@ -15,6 +15,12 @@ a side: leaves, lines and templates all grow with the documents, so the plan is
 Defined results: a null text has no lines and stays null; a document whose lines all go keeps an empty text
 (`deduplicated` drops it); equal texts have equal results whatever their ids; null ids come before others; rows
 are never merged; an empty table gives no rows. `cleaned` keeps all columns of its input.
+
+Passages inside lines, or over several: `unrepeated` cuts a text after words whose hash falls in a residue class,
+so that cuts move with the words around them. A segment runs from each cut to the first cut LONG words on; one that
+stands in LONG_TEXTS different texts goes from all of them but the text of the least doc_id that holds it and texts
+equal to that. A dropped word takes the blanks before it along; where a gap began a line, the next word does. What
+stays of a repeated passage are its words before its first cut and after its last, about CUT at each end.
 """
 
 from __future__ import annotations
@@ -28,6 +34,9 @@ DEPTH = 3
 SIMILAR = 80
 SHORT, SHORT_TEXTS = 3, 20
 LONG, LONG_TEXTS = 12, 2
+#: One word in so many is followed by a cut.
+CUT = 8
+BLANKS = " \t\n\x0b\x0c\r"
 #: A token with a digit, and the blank or line start before it.
 VARIABLE = r"(^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 GAPS = r"[\x20\x09\x0B-\x0D]+"
@@ -99,15 +108,60 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def _segments(docs: DataFrame) -> DataFrame:
+    """t1, t2, doc_id, a, b, u1 and u2 of each segment: the words from a to before b, and 96 bits that stand for them."""
+    plain = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", VARIABLE, "$1<*>")).otherwise(F.col("text"))
+    words = docs.filter("text IS NOT NULL").select("doc_id", *_key(F.col("text")), F.split(F.trim(plain, F.lit(BLANKS)), r"[\x20\x09-\x0D]+").alias("w"))
+    after = F.array_compact(F.transform("w", lambda x, i: F.when(F.pmod(F.hash(x), F.lit(CUT)) == 0, i + 1)))
+    # The ends of the text are cuts, too.
+    cuts = words.select("*", F.array_union(F.concat(F.array(F.lit(0)), after), F.array(F.size("w"))).alias("c"))
+    # Cuts are a word apart at least, so the first one that is LONG words on is among the next LONG.
+    end = lambda x, j: F.coalesce(*[F.when(F.get("c", j + k) - x >= LONG, F.get("c", j + k)) for k in range(1, LONG + 1)])
+    spans = F.filter(F.transform("c", lambda x, j: F.struct(x.alias("a"), end(x, j).alias("b"))), lambda x: x["b"].isNotNull())
+    of = lambda x: F.slice("w", x["a"] + 1, x["b"] - x["a"])
+    hashed = F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.xxhash64(of(x)).alias("u1"), F.hash(of(x)).alias("u2")))
+    return cuts.select("doc_id", "t1", "t2", F.explode(hashed).alias("x")).select("doc_id", "t1", "t2", "x.*")
+
+
+def unrepeated(docs: DataFrame) -> DataFrame:
+    """docs without the segments that recur in other texts, and n_words_dropped."""
+    each = written(_segments(docs), "segments")
+    # Two numbers a segment, so that most of this is aggregated in place; owners are looked for among what recurs only.
+    live = each.groupBy("u1", "u2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo <> hi").select("u1", "u2")
+    hits = written(each.join(_grows(live), ["u1", "u2"], "left_semi"), "recurring")
+    owner = hits.groupBy("u1", "u2").agg(F.min(F.struct("doc_id", F.col("t1").alias("k1"), F.col("t2").alias("k2"))).alias("k")).select("u1", "u2", "k.k1", "k.k2")
+    lost = hits.join(_grows(owner), ["u1", "u2"]).filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2")))
+    spans = lost.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("s"))
+    gone = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["a"], x["b"] - 1)))).alias("_out"))
+    own = [c for c in docs.columns if c != "n_words_dropped"]
+    texts = docs.select(*own, *[c.alias(f"_{n}") for c, n in zip(_key(F.col("text")), ("t1", "t2"))])
+    both = texts.join(_grows(gone), ["_t1", "_t2"], "left")
+    # Words with the blanks before them; the blanks after the last one are added at the end.
+    pieces = F.when(F.col("_out").isNotNull(), F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)))
+    both = both.select("*", pieces.alias("_p")).select("*", F.array_except(F.sequence(F.lit(0), F.size("_p") - 1), "_out").alias("_in"))
+    before = lambda k: F.when(k == 0, -1).otherwise(F.get("_in", k - 1))
+    line = lambda i, k: (before(k) + 1 < i) & F.get("_p", before(k) + 1).contains("\n") & ~F.get("_p", i).contains("\n")
+    left = F.array_join(F.transform("_in", lambda i, k: F.when(line(i, k), F.concat(F.lit("\n"), F.ltrim(F.get("_p", i), F.lit(BLANKS)))).otherwise(F.get("_p", i))), "")
+    tail = F.substring(F.col("text"), F.length(F.rtrim("text", F.lit(BLANKS))) + 1, F.length("text"))
+    text = F.when(F.col("_out").isNull(), F.col("text")).when(F.size("_in") == 0, "").otherwise(F.concat(left, tail))
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("n_words_dropped"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents without their recurring lines; one whose every line went goes too. Columns stay as they are."""
-    return cleaned(docs).filter("NOT (n_dropped > 0 AND text = '')").select(*docs.columns)
+    """The documents without their recurring lines and segments; one of which nothing is left goes too. Columns stay as they are."""
+    lines = written(cleaned(docs).filter("NOT (n_dropped > 0 AND text = '')").select(*docs.columns), "lines_out")
+    return unrepeated(lines).filter("NOT (n_words_dropped > 0 AND text = '')").select(*docs.columns)
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines, as its SQL states them; op5_passages goes on with what recurs inside and across lines."""
     return cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unrepeated(written(cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")), "lines_out"))
+
+
 _W = r"[^\x20\x09-\x0D]"
 ORACLE = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),

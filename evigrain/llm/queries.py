@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_line_templates": line_templates.op5_line_templates,
+    "op5_passages": line_templates.op5_passages,
     "op6_packing": packing.op6_packing,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
