@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -22,10 +23,17 @@ NOT_GENES = ("SpCas9", "SaCas9", "FnCas12a", "LbCpf1", "AsCpf1", "CasRx", "dCas9
 VAGUE = ("之类", "等", "类似")
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition, which Spark lacks. ASCII and already composed text passes through unchanged."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc():
+    # Nested, so that it is sent by value and executors don't need this package.
+    @F.pandas_udf(StringType())
+    def nfkc(text: pd.Series) -> pd.Series:
+        """Compatibility composition, which Spark lacks. ASCII and already composed text passes through unchanged."""
+        return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return nfkc
+
+
+nfkc = _nfkc()
 
 
 def text_of(c) -> Column:
@@ -79,7 +87,7 @@ def drop_adjacent(a: Column) -> Column:
     return F.transform(F.array(a), lambda x: F.filter(x, lambda t, i: (i == 0) | (t != F.get(x, i - 1))))[0]
 
 
-def tokens(c, normalise: bool = False) -> Column:
+def tokens(c, normalise: bool = True) -> Column:
     """Tokens of mixed text, family by family: ASCII words, Greek compounds, pairs of CJK characters; lower case,
     without repeats side by side. normalise: apply NFKC first (a pandas function)."""
     t = nfkc(text_of(c)) if normalise else text_of(c)
@@ -88,12 +96,17 @@ def tokens(c, normalise: bool = False) -> Column:
     return drop_adjacent(F.transform(F.concat(*families), F.lower))
 
 
-def normal_text(c, normalise: bool = False) -> Column:
-    """Six kinds of dash become a hyphen, blanks single, lower case."""
+def normal_text(c, normalise: bool = True) -> Column:
+    """NFKC unless left out, six kinds of dash become a hyphen, blanks single, lower case."""
     t = nfkc(text_of(c)) if normalise else text_of(c)
     return F.lower(F.trim(F.regexp_replace(F.translate(t, "‐‑‒–—−", "------"), r"\s+", " ")))
 
 
+def normal_form(text: str) -> str:
+    """normal_text of a plain string."""
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", unicodedata.normalize("NFKC", text).translate(str.maketrans("‐‑‒–—−", "------"))).strip(" ").lower()
+
+
 def phrase_count(text: Column, needle: str) -> Column:
     return F.when(F.lit(needle) == "", 0).otherwise(((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / max(1, len(needle))).cast("int"))
 

@@ -57,10 +57,10 @@ def scored(records: DataFrame, concepts: list[Concept], decay: float = 0.5, most
     for c in concepts:
         own = F.lit(0.0)
         for f in c.forms:
-            needle = f.text.lower()
+            needle = T.normal_form(f.text)
             allowed = F.lit(True) if not f.cohit else F.lit(False)
             for word in f.cohit:
-                allowed = allowed | everything.contains(word.lower())
+                allowed = allowed | everything.contains(T.normal_form(word))
             for name, weight in c.fields.items():
                 count = (T.token_count if f.match == "token" else T.phrase_count)(F.col(name), needle)
                 part = c.weight * max(0.0, f.weight) * max(0.0, weight)
