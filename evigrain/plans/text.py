@@ -67,9 +67,16 @@ _ITEMS = "list_filter(list_transform(string_split_regex(split_part(text, chr(10)
 
 @query("f21_items", f"SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(regexp_replace(y, '\\s+', ' ', 'g'))), lower(regexp_replace(x, '\\s+', ' ', 'g'))) = i), '|') AS items FROM (SELECT doc_id, {_ITEMS} AS a FROM documents)")
 def items(spark, d):
+    """Of the first lines only, as its SQL says; f21_items_whole reads the whole texts."""
     return table(spark, d, "documents").select("doc_id", F.array_join(T.items(F.split("text", "\n")[0]), "|").alias("items"))
 
 
+@query("f21_items_whole")
+def items_whole(spark, d):
+    lists = T.item_lists(table(spark, d, "documents"), "doc_id", "text")
+    return lists.select("doc_id", F.array_join("items", "|").alias("items"))
+
+
 @query("f23_node_id", "SELECT n_nationkey, sha1('Gene|' || lower(trim(n_name)) || '|' || lower(trim(r_name))) AS id FROM nation JOIN region ON n_regionkey = r_regionkey")
 def node_id(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -106,10 +113,16 @@ def gene_names(spark, d):
 
 @query("n06_reverse_complement", "SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS complement FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def reverse_complement(spark, d):
-    """Only ASCII texts: elsewhere a reversed text is not well defined (combining marks)."""
+    """Only ASCII texts, as its SQL says: DuckDB reverses by grapheme. n06_reverse_complement_all takes all texts."""
     return table(spark, d, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", T.reverse_complement("text").alias("complement"))
 
 
+@query("n06_reverse_complement_all")
+def reverse_complement_all(spark, d):
+    """Texts are reversed by code points; a null text counts as empty."""
+    return table(spark, d, "documents").select("doc_id", T.reverse_complement("text").alias("complement"))
+
+
 @query("n09_flanks", "SELECT l_orderkey, l_linenumber, greatest(1, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey + 1 - 2000 ELSE l_partkey + l_suppkey + 2 END) AS up_from, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey ELSE l_partkey + l_suppkey + 1 + 2000 END AS up_to FROM lineitem")
 def flanks(spark, d):
     """The upstream region of 1-based genes [partkey + 1, partkey + suppkey + 1]; odd lines lie on the plus strand."""
