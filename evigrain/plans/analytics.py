@@ -142,11 +142,18 @@ def training_rows(spark, d):
 
 @query("x11_preferences", f"WITH {TALK}, a AS (SELECT *, substring(lower(trim(query)), 1, 1) AS k FROM i JOIN fb USING (interaction_id) WHERE status = 'completed' AND answer <> '') SELECT u.k AS query, u.interaction_id AS chosen_id, w.interaction_id AS rejected_id FROM a u JOIN a w ON u.k = w.k AND u.rating = 'up' AND w.rating = 'down' WHERE u.k <> ''")
 def preferences(spark, d):
-    """Queries count as the same here if their first characters agree, as no query repeats in the table."""
+    """Pairs by the first character of the query, as its SQL says: they are not answers to the same question.
+    x11_same_query has the real pairs."""
     rows = _talk(spark, d).withColumn("query", F.substring(F.lower(F.trim("query")), 1, 1))
     return interactions.preference_pairs(rows).select("query", "chosen_id", "rejected_id")
 
 
+@query("x11_same_query", f"WITH {TALK}, a AS (SELECT *, lower(trim(query)) AS k FROM i JOIN fb USING (interaction_id) WHERE status = 'completed' AND answer <> '') SELECT u.k AS query, u.interaction_id AS chosen_id, w.interaction_id AS rejected_id FROM a u JOIN a w ON u.k = w.k AND u.rating = 'up' AND w.rating = 'down' WHERE u.k <> ''")
+def same_query(spark, d):
+    """Answers rated up and down for the same whole query; none where no query repeats."""
+    return interactions.preference_pairs(_talk(spark, d)).select("query", "chosen_id", "rejected_id")
+
+
 @query("u01_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
