@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrain.llm.shared import table
-from evigrain.llm.shingles import chunks, prefix_sums, span_hashes, text_bytes
+from evigrain.llm.shingles import byte_column, chunks, prefix_sums, span_hashes, text_bytes
 
 MAX_FILE = 32 << 20
-#: Distinct words whose tokens a task remembers; beyond it, it starts anew.
-MEMORY = 800_000
+#: Bytes of the distinct words whose tokens a task remembers; beyond it, it starts anew.
+MEMORY = 8 << 20
 #: Bytes of text that are encoded at once.
 PORTION = 1 << 19
 #: Longer words (in bytes) are merged with the heap straight away: there, speculation gains nothing.
@@ -89,7 +89,7 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         plain = np.array(sorted(vocab.values()))
-        hashes = span_hashes(self.bytes, self.starts[plain], self.starts[plain] + self.lengths[plain], False)
+        hashes = span_hashes(self.bytes, self.starts[plain], self.starts[plain] + self.lengths[plain])
         self.by_length = {}
         for n in sorted({*self.lengths[plain].tolist()}, reverse=True):
             own = np.flatnonzero(self.lengths[plain] == n)
@@ -99,7 +99,9 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Words as bytes, and their places below.
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.word_at, self.word_n, self.word_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def merged(self, word: bytes) -> list[int]:
@@ -194,7 +196,7 @@ class Vocabulary:
     def _greedy(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Longest matches from the left for all words: token, word and step, by word and step. Each byte is a token, so there always is one."""
         at, word, out = starts.copy(), np.arange(len(starts)), []
-        sums, step = prefix_sums(data, False), 0
+        sums, step = prefix_sums(data), 0
         while len(word):
             token = np.full(len(word), -1)
             left = ends[word] - at
@@ -205,7 +207,7 @@ class Vocabulary:
                 own = np.flatnonzero((token < 0) & (left >= n))
                 if not len(own):
                     continue
-                h = span_hashes(data, at[own], at[own] + n, False, sums)
+                h = span_hashes(data, at[own], at[own] + n, sums)
                 k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 hit = hashes[k] == h
                 token[own[hit]] = ids[k[hit]]
@@ -217,14 +219,25 @@ class Vocabulary:
         order = np.lexsort((step_, word))
         return token[order], word[order], step_[order]
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         """Encode words that are not known yet."""
-        size = ends - starts
-        gather = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        small, to = data[gather], np.cumsum(size)
+        size = np.array([len(w) for w in new], np.int64)
+        raw, to = b"".join(new), np.cumsum(size)
+        small = np.frombuffer(raw, np.uint8)
         good = (size <= LONG) & self.speculate
         short = np.flatnonzero(good)
         token, word, step = self._greedy(small, (to - size)[short], to[short])
+        # A look-up goes by hash: what it proposed must be the word, byte by byte.
+        if len(token):
+            told = self.decoded(token)
+            own = np.concatenate([[0], np.cumsum(size[short])])
+            want = small[np.repeat((to - size)[short] - own[:-1], size[short]) + np.arange(int(own[-1]))]
+            reach = np.bincount(word, self.lengths[token], len(short)).astype(np.int64)
+            if len(told) == len(want) and np.array_equal(reach, size[short]):
+                false = np.searchsorted(own, np.flatnonzero(told != want), "right") - 1
+            else:
+                false = np.arange(len(short))
+            good[short[false]] = False
         word = short[word]
         fine = self._compatible(token, np.full(len(token), -1))
         pair = np.flatnonzero(word[1:] == word[:-1])
@@ -236,13 +249,13 @@ class Vocabulary:
         short = np.flatnonzero(~good & (size <= LONG))
         token, word, step = self.merged_all(small, (to - size)[short], size[short])
         parts.append((token, short[word], step))
-        raw = small.tobytes()
         for i in np.flatnonzero(size > LONG).tolist():
             ids = self.merged(raw[to[i] - size[i] : to[i]])
             parts.append((np.array(ids), np.full(len(ids), i), np.arange(len(ids))))
         token, word, step = (np.concatenate(x) for x in zip(*parts))
-        n = np.bincount(word, minlength=len(starts))
-        self.known.update(zip(hashes.tolist(), range(len(self.word_n), len(self.word_n) + len(starts))))
+        n = np.bincount(word, minlength=len(new))
+        self.known.update(zip(new, range(len(self.word_n), len(self.word_n) + len(new))))
+        self.held += len(raw)
         self.word_at = np.concatenate([self.word_at, len(self.word_ids) + np.cumsum(n) - n])
         self.word_n = np.concatenate([self.word_n, n])
         self.word_ids = np.concatenate([self.word_ids, token[np.lexsort((step, word))].astype(np.uint32)])
@@ -251,16 +264,14 @@ class Vocabulary:
         """The ids of all texts in one array, and its n + 1 bounds."""
         data, bounds = text_bytes(column)
         starts, special, first = words(data, bounds, self.specials)
-        ends = np.append(starts[1:], len(data))
-        h = span_hashes(data, starts, ends, False)
-        _, at, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = h[at].tolist()
-        if len(self.known) > MEMORY:
+        coded = byte_column(data, np.append(starts, len(data))).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if self.held > MEMORY:
             self.forget()
-        new = np.array([i for i, k in enumerate(keys) if k not in self.known], int)
-        if len(new):
-            self._learn(data, starts[at[new]], ends[at[new]], h[at[new]])
-        index = np.array([self.known[k] for k in keys], int)[back] if len(keys) else np.zeros(0, int)
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            self._learn(new)
+        index = np.array([self.known[w] for w in distinct], np.int64)[coded.indices.to_numpy()] if distinct else np.zeros(0, int)
         n = np.where(special >= 0, 1, self.word_n[index])
         to = np.cumsum(n)
         ids = self.word_ids[np.repeat(self.word_at[index] - (to - n), n) + np.arange(int(n.sum()))]

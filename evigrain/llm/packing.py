@@ -1,8 +1,9 @@
 """Operator 6, packing by order-preserving dynamic programming.
 
 The ids of a partition's documents, in their order, are one stream. Windows of at most LENGTH ids are cut out of
-it, one after another; a cut may lie behind a document (free), behind a sentence (SENTENCE) or, where sentences
-are too far apart, anywhere on a coarse lattice (HARD). With x the place of a candidate and f the least cost
+it, one after another; a cut may lie behind a document (free) or behind any sentence (SENTENCE). Only where two
+such places lie more than a window apart, so that no window could reach from one to the other, every LATTICE-th
+id between them is a place for a cut, too (HARD). With x the place of a candidate and f the least cost
 up to it,
 
     f[j] = penalty[j] + min over i with x[j] - x[i] <= LENGTH of f[i] + LENGTH - (x[j] - x[i]),
@@ -10,7 +11,8 @@ up to it,
 so the minimum of f[i] + x[i] over a sliding range, which a monotone queue gives in constant time for each
 candidate. A partition is worked off in runs of a bounded number of ids: all windows of a run but the last
 are final, and its ids open the next run. So a task holds a run and one document, padding is lost once a
-partition, and no shuffle is needed: partitions are those of the input.
+partition, and no shuffle is needed: partitions are those of the input (an input of many tiny partitions pads the
+last window of each; coalesce it first).
 
 Defined results: null and empty texts are the end id alone; documents of any length are cut over as many windows
 as they need; null or repeated ids are carried along row by row; an empty table gives no rows; other columns
@@ -36,8 +38,8 @@ from evigrain.llm.shingles import chunks
 LENGTH = 2048
 END = 1
 SENTENCE, HARD = 4, 64
-#: Sentence ends are candidates once in so many ids; hard cuts lie so far apart.
-THIN, LATTICE = 16, 128
+#: Hard cuts lie so many ids apart.
+LATTICE = 64
 RUN = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -50,12 +52,11 @@ def sentence_ends(v: Vocabulary) -> np.ndarray:
 def candidates(ids: np.ndarray, bounds: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, ascending from 0, and their penalties. bounds: where documents end."""
     inner = np.flatnonzero(ends[ids]) + 1
-    inner = inner[np.concatenate([[True], inner[1:] // THIN != inner[:-1] // THIN])] if len(inner) else inner
     x = np.union1d(np.union1d(inner, bounds), [0])
     penalty = np.where(np.isin(x, bounds), 0, SENTENCE)
-    wide = np.flatnonzero(np.diff(x) > length // 2)
+    wide = np.flatnonzero(np.diff(x) > length)
     if len(wide):
-        more = np.concatenate([np.arange(x[i] + LATTICE, x[i + 1], LATTICE) for i in wide.tolist()])
+        more = np.concatenate([np.arange(x[i] + min(LATTICE, length), x[i + 1], min(LATTICE, length)) for i in wide.tolist()])
         order = np.argsort(np.concatenate([x, more]), kind="stable")
         x, penalty = np.concatenate([x, more])[order], np.concatenate([penalty, np.full(len(more), HARD)])[order]
     return x, penalty

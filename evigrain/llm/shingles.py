@@ -1,14 +1,20 @@
-"""Words and word shingles of many texts at once, as 64-bit hashes in numpy.
+"""Words and word shingles of many texts at once, in numpy and Arrow.
 
-All texts of a batch lie in one byte buffer. A word's hash is a polynomial over its bytes, read off a running
-sum; a shingle's hash mixes those of its words. Hashes depend on nothing but the words, so they agree between
-tasks and runs. Two different shingles of a pair of texts share a hash with a chance below 1e-9 for texts of
-a hundred thousand words.
+All texts of a batch lie in one byte buffer; Arrow's dictionary encoding, which compares bytes, gives every word a
+code, so within a batch equal codes are equal words. Between tasks a word is known by a 128-bit cryptographic
+digest (BLAKE2b) in two lanes of 64 bits. A shingle's hash mixes one lane of its words' digests; whether two
+shingles of one text are equal, and which shingles two texts share (`similarity`), is decided on codes, never on
+hashes.
+
+`span_hashes` hashes byte spans of any place and length quickly (a polynomial modulo 2**64). Long spans of a
+certain structure clash under any such polynomial, so it only ever proposes; whoever uses it compares bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +23,8 @@ import pyarrow as pa
 CHUNK = 1 << 21
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -28,14 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    at = np.arange(256, dtype=np.uint64)
-    if fold:
-        at[65:91] += np.uint64(32)
-    return mix((at + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-
-
-_FOLDED, _EXACT = _byte_values(True), _byte_values(False)
+_VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +47,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def prefix_sums(data: np.ndarray, fold: bool) -> np.ndarray:
-    """Running sums of the bytes' values times powers of the base; fold: A-Z count as a-z."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values times powers of the base."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _EXACT)[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(_VALUES[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, sums: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the byte spans [starts, ends) of data."""
-    sums = prefix_sums(data, fold) if sums is None else sums
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the byte spans [starts, ends) of data. Equal hashes only propose equal bytes."""
+    sums = prefix_sums(data) if sums is None else sums
     return mix((sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts] + (ends - starts).astype(np.uint64))
 
 
@@ -68,6 +69,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def byte_column(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values that bounds cut out of data, as an Arrow column over these very buffers."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has `size` bytes of text at most, or one row."""
     for batch in batches:
@@ -94,29 +100,104 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of k words of every text, sorted, in one array with n + 1 bounds. A text of fewer
-    words has its whole sequence as one shingle; a text without words has none. A-Z count as a-z."""
+def coded_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of all texts (A-Z as a-z) as codes, the word of each code, and the n + 1 bounds of each text's words."""
     data, bounds = text_bytes(column)
     starts, ends, words = word_spans(data, bounds)
-    h = span_hashes(data, starts, ends, True)
-    n = len(bounds) - 1
-    odd = [np.uint64(int(mix(np.array([i + 1], np.uint64))[0]) | 1) for i in range(k)]
-    size = max(0, len(h) - k + 1)
-    s = np.zeros(size, np.uint64)
-    for i in range(k):
-        s += h[i : i + size] * odd[i]
-    s = mix(s)
-    out, counts = [], np.zeros(n + 1, np.int64)
+    coded = byte_column(_LOWER[data[~BLANKS[data]]], np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, words
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    """128 bits for each word, in two lanes."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words), np.uint64).reshape(-1, 2)
+
+
+class Shingles(NamedTuple):
+    """The distinct shingles of each text as sorted hashes, where each text's start, how many each text has, and a
+    128-bit digest of each text's set."""
+
+    items: np.ndarray
+    bounds: np.ndarray
+    counts: np.ndarray
+    digest: np.ndarray
+
+
+def _odd(k: int) -> list[np.uint64]:
+    return [np.uint64(int(mix(np.array([i + 1], np.uint64))[0]) | 1) for i in range(k)]
+
+
+def shingle_sets(column: pa.Array, k: int) -> Shingles:
+    """The distinct shingles of k words of every text. A text of fewer words has its whole sequence as one shingle;
+    a text without words has none. A-Z count as a-z. Counts are exact: neighbours with one hash are compared word by word."""
+    codes, dictionary, words = coded_words(column)
+    lanes = digests(dictionary.to_pylist())
+    n, odd = len(words) - 1, _odd(k)
+    size = max(0, len(codes) - k + 1)
+    hashes = []
+    for lane in (0, 1):
+        h = lanes[codes, lane] if len(codes) else np.zeros(0, np.uint64)
+        s = np.zeros(size, np.uint64)
+        for i in range(k):
+            s += h[i : i + size] * odd[i]
+        hashes.append((h, mix(s)))
+    first, second = hashes[0][1], hashes[1][1]
+    places, counts, few = [], np.zeros(n, np.int64), []
     for d in range(n):
         a, b = int(words[d]), int(words[d + 1])
         if b - a >= k:
-            u = np.sort(s[a : b - k + 1])
-            u = u[np.concatenate([[True], u[1:] != u[:-1]])]
+            places.append(a + np.argsort(first[a : b - k + 1]))
+            counts[d] = b - k + 1 - a
         elif b > a:
-            u = mix((h[a:b] * np.array(odd[: b - a], np.uint64)).sum(keepdims=True) + np.uint64(b - a))
-        else:
-            continue
-        out.append(u)
-        counts[d + 1] = len(u)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(counts)
+            few.append(d)
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), counts)
+    fresh = np.ones(len(at), bool)
+    if len(at):
+        twin = np.flatnonzero((first[at[1:]] == first[at[:-1]]) & (owner[1:] == owner[:-1])) + 1
+        same = np.ones(len(twin), bool)
+        for i in range(k):
+            same &= codes[at[twin] + i] == codes[at[twin - 1] + i]
+        fresh[twin[same]] = False
+    at, owner = at[fresh], owner[fresh]
+    one, two = first[at], second[at]
+    if few:
+        short = [[np.uint64(0)], [np.uint64(0)]]
+        for lane in (0, 1):
+            h = hashes[lane][0]
+            short[lane] = [mix((h[words[d] : words[d + 1]] * np.array(odd[: words[d + 1] - words[d]], np.uint64)).sum(keepdims=True) + np.uint64(words[d + 1] - words[d]))[0] for d in few]
+        owner = np.concatenate([owner, few])
+        order = np.argsort(owner, kind="stable")
+        owner, one, two = owner[order], np.concatenate([one, np.array(short[0], np.uint64)])[order], np.concatenate([two, np.array(short[1], np.uint64)])[order]
+    counts = np.bincount(owner, minlength=n).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    sums = np.zeros((2, len(one) + 1), np.uint64)
+    np.cumsum(mix(one ^ np.uint64(_BASE)), out=sums[0, 1:])
+    np.cumsum(mix(two + np.uint64(_BASE)), out=sums[1, 1:])
+    return Shingles(one, bounds, counts, sums[:, bounds[1:]] - sums[:, bounds[:-1]])
+
+
+def similarity(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of texts (row i of a, row i of b) the sizes of intersection and union of their shingle sets,
+    exactly: words are compared as bytes, and a shingle is numbered by its words' numbers, one word after another."""
+    n = len(a)
+    column = pa.concat_arrays([a, b])
+    codes, _, words = coded_words(column)
+    lengths = np.diff(words)
+    full = lengths >= k
+    size = np.where(full, lengths - k + 1, (lengths > 0).astype(np.int64))
+    owner = np.repeat(np.arange(2 * n), size)
+    at = np.repeat(words[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    number = np.repeat(np.where(full, k, lengths), size)
+    base, taken = number.copy(), number
+    for i in range(k):
+        # Shorter sequences have their length as their first part, and -1 for the words that they lack.
+        word = np.where(i < taken, codes[np.minimum(at + i, len(codes) - 1)] if len(codes) else 0, -1) + 1
+        base = np.unique(base * (len(codes) + 2) + word, return_inverse=True)[1]
+    if not len(base):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    many = int(base.max()) + 1
+    keys = np.unique(((owner % n) * many + base) * 2 + owner // n) >> 1
+    sizes = np.bincount(keys // many, minlength=n)
+    meet = np.bincount(keys[1:][keys[1:] == keys[:-1]] // many, minlength=n)
+    return meet, sizes - meet

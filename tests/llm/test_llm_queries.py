@@ -52,21 +52,69 @@ def test_url_verdicts_of_unseen_names(spark):
     assert got["gardening.example.org"] == got["weather.example.org"] == "allow"
 
 
+def lm_brute(texts: dict, order: int, mu: float) -> dict:
+    """held_out, n_tokens, n_known, train_tokens, base_score and score by the definition, with dictionaries."""
+    words = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
+    out = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i in words}
+    seen, left = Counter(), Counter()
+    for i, t in words.items():
+        if not out[i]:
+            for at in range(len(t)):
+                for n in range(order):
+                    if n <= at + 1:
+                        h = tuple((["start"] + t)[at + 1 - n : at + 1])
+                        seen[h, t[at]] += 1
+                        left[h] += 1
+    total, v = left[()], sum(h == () for h, _ in seen)
+
+    def prob(h, w):
+        if h == ():
+            return (seen[(), w] + 1) / (total + v + 1)
+        return (seen[h, w] + mu * prob(h[1:], w)) / (left[h] + mu)
+
+    rows = {}
+    for i, t in words.items():
+        full = ["start"] + t
+        score = sum(math.log10(prob(tuple(full[max(0, at + 2 - order) : at + 1]), w)) for at, w in enumerate(t))
+        rows[i] = (out[i], len(t), sum(seen[(), w] > 0 for w in t), total, sum(math.log10(prob((), w)) for w in t), score)
+    return rows
+
+
+def lm_rows(df) -> dict:
+    return {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in df.collect()}
+
+
+def lm_equal(got: dict, want: dict) -> bool:
+    return got.keys() == want.keys() and all(got[i][:4] == want[i][:4] and np.allclose(got[i][4:], want[i][4:], rtol=1e-9, atol=1e-9) for i in want)
+
+
 def test_lm_against_counts(spark, small, docs):
-    got = {r.doc_id: r for r in queries.QUERIES["op2_backoff_lm"](spark, small).collect()}
-    texts = {i: (t or "").encode().lower().split() + [None] for i, t in docs.items()}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    train = [t for i, t in texts.items() if not out[i]]
-    c, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["start", *t], t))
-    n, v = sum(c.values()), len(c)
-    for i, t in texts.items():
-        low = [(c[w] + 1) / (n + v + 1) for w in t]
-        score = sum(math.log10((two[h, w] + backoff_lm.MU * p) / ((len(train) if h == "start" else c[h]) + backoff_lm.MU)) for h, w, p in zip(["start", *t], t, low))
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(map(math.log10, low)), rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    got = lm_rows(queries.QUERIES["op2_backoff_lm"](spark, small))
+    assert lm_equal(got, lm_brute(docs, backoff_lm.ORDER, backoff_lm.MU))
+    held = [r for r in got.values() if r[0]]
+    assert sum(r[5] for r in held) > sum(r[4] for r in held)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_lm_orders_and_strides(spark, order, monkeypatch):
+    rng = np.random.default_rng(order)
+    texts = {i: " ".join(rng.choice(list("abcdefg"), rng.integers(0, 40))) for i in range(60)} | {60: None, 61: "", 62: "zz zz"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert lm_equal(lm_rows(backoff_lm.scored(df, 2.0, order)), lm_brute(texts, order, 2.0))
+
+
+def test_lm_walk_in_strides():
+    rng = np.random.default_rng(0)
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch({"doc_id": pa.array(range(5)), "text": [" ".join(rng.choice(list("abc"), n)) for n in (0, 1, 50, 2, 33)]})
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    t = backoff_lm.Tokens(sink.getvalue())
+    words = np.bincount(t.code, minlength=len(t.words))
+    grams = [(p, np.bincount(p[p >= 0], minlength=len(k))) for k, p in t.grams(3)]
+    machine = backoff_lm.Automaton(t, words, grams, 5, len(t.code), len(t.words), 3.0)
+    for stride in (4, 7, 100):
+        assert np.allclose(machine.walk(stride), machine.walk(10**6))
 
 
 def brute_groups(texts: dict, k: int, similar: int = 80) -> dict:
