@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,13 +134,25 @@ def _gram_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Ascending keys as differences, byte planes apart, which compress well."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(_opened(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(_opened(data), np.int64)
 
 
 def _word_order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +175,10 @@ def asked(parts: DataFrame, buckets: int, order: int) -> DataFrame:
                 t = Tokens(data.as_buffer())
                 to, bucket = _word_order(t.words, buckets)
                 n = np.bincount(t.code, t.learn, len(t.words)).astype(np.int64)[to]
-                rows = [(1, i, number, b"\n".join(t.words[k] for k in to[a:b].tolist()), n[a:b].tobytes()) for i, a, b in _runs(bucket)]
+                rows = [(1, i, number, _squeezed(b"\n".join(t.words[k] for k in to[a:b].tolist())), _squeezed(n[a:b].tobytes())) for i, a, b in _runs(bucket)]
                 for kind, (keys, place) in enumerate(t.grams(order), 2):
                     n = np.bincount(place[place >= 0], t.learn[place >= 0], len(keys)).astype(np.int64)
-                    rows += [(kind, i, number, _packed(keys[a:b]), n[a:b].tobytes()) for i, a, b in _runs(_gram_buckets(keys, buckets))]
+                    rows += [(kind, i, number, _packed(keys[a:b]), _squeezed(n[a:b].tobytes())) for i, a, b in _runs(_gram_buckets(keys, buckets))]
                 for i in range(0, len(rows), 64):
                     columns = zip(*rows[i : i + 64])
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], [c.split()[0] for c in ASKED.split(", ")])
@@ -178,9 +191,9 @@ def answers(asks: DataFrame) -> DataFrame:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("portion")
-        kind, counts = int(pdf["kind"].iloc[0]), [np.frombuffer(c, np.int64) for c in pdf["counts"]]
+        kind, counts = int(pdf["kind"].iloc[0]), [_counts(c) for c in pdf["counts"]]
         if kind == 1:
-            column = pa.array([w for k in pdf["keys"] for w in k.split(b"\n")], pa.large_binary()).dictionary_encode()
+            column = pa.array([w for k in pdf["keys"] for w in _opened(k).split(b"\n")], pa.large_binary()).dictionary_encode()
             back, size = column.indices.to_numpy(), len(column.dictionary)
         else:
             u, back = np.unique(np.concatenate([_unpacked(k) for k in pdf["keys"]]), return_inverse=True)
@@ -190,7 +203,7 @@ def answers(asks: DataFrame) -> DataFrame:
         once = np.zeros((2, len(pdf)), np.int64)
         if kind == 1:
             once[:, 0] = n.sum(), (n > 0).sum()
-        told = [x.tobytes() for x in np.split(n[back], np.cumsum([len(c) for c in counts])[:-1])]
+        told = [_squeezed(x.tobytes()) for x in np.split(n[back], np.cumsum([len(c) for c in counts])[:-1])]
         return pd.DataFrame({"portion": pdf["portion"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": told, "tokens": once[0], "types": once[1]})
 
     return asks.groupBy("kind", "bucket").applyInPandas(add, ANSWERS)
@@ -286,7 +299,7 @@ def scored(docs: DataFrame, mu: float = MU, order: int = ORDER) -> DataFrame:
     def run(texts: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
         t = Tokens(texts["data"].iloc[0])
         arcs = arcs.sort_values(["kind", "bucket"])
-        totals = [np.frombuffer(b"".join(arcs["counts"][arcs["kind"] == k]), np.int64) for k in range(1, order + 1)]
+        totals = [np.concatenate([np.zeros(0, np.int64), *map(_counts, arcs["counts"][arcs["kind"] == k])]) for k in range(1, order + 1)]
         words = np.empty(len(t.words), np.int64)
         words[_word_order(t.words, buckets)[0]] = totals[0]
         grams = [(place, total) for (_, place), total in zip(t.grams(order), totals[1:])]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -39,17 +40,101 @@ def test_url_rules_and_words(spark, small):
         fit = next((x for x in order if (r.host == x[0] or r.host.endswith("." + x[0])) and r.path.startswith(x[1])), None)
         assert r.rule == (fit[0] + fit[1] if fit else None)
         assert r.verdict == fit[2] if fit else r.verdict in ("allow", "block")
-    counts = {"cheap": 10.0, "pills": 5.0, "a": 3.0}
-    assert url_filter.best_split("cheappills", counts, 1000.0) == ["cheap", "pills"]
-    assert url_filter.best_split("", counts, 1000.0) == []
 
 
-def test_url_verdicts_of_unseen_names(spark):
-    pages = spark.createDataFrame([(i, f"http://{h}.example.org/en/{i}") for i, h in enumerate(["cheappills", "casinowin", "gardening", "cooking", "weather"] * 4)], "page_id long, url string")
-    docs = spark.createDataFrame([("the garden weather cooking gardening",)], "text string").selectExpr("1L AS doc_id", "text")
-    got = {r.host: r.verdict for r in url_filter.judged(pages, docs).collect()}
-    assert got["cheappills.example.org"] == got["casinowin.example.org"] == "block"
-    assert got["gardening.example.org"] == got["weather.example.org"] == "allow"
+def url_brute(pages: list, texts: list) -> dict:
+    """host, path, rule, verdict and host_words of each page id, in plain Python."""
+    rules, web = url_filter.RULES, url_filter.WEB_WORDS
+    counts = Counter(w for t in texts for w in re.findall("[a-z]+", (t or "").lower()))
+    total = sum(counts.values())
+    once = (1 - url_filter.WEB_SHARE) / max(total, 1)
+    share = {w: n * once for w, n in counts.items()}
+    for w in web:
+        share[w] = share.get(w, 0) + url_filter.WEB_SHARE / len(web)
+    longest = max(map(len, share))
+
+    def split(run):
+        best = [(0.0, [])]
+        for end in range(1, len(run) + 1):
+            options = []
+            for start in range(end):
+                w = run[start:end]
+                known = len(w) <= longest and w in share
+                options.append((best[start][0] + (math.log(share[w]) if known else math.log(once) - len(w) * math.log(10)), best[start][1] + [w]))
+            best.append(max(options, key=lambda o: o[0]))
+        return best[-1][1]
+
+    given = {w for h, p, _ in rules for w in re.findall("[a-z]+", h + " " + p)}
+    seen, rows, memo = [Counter(), Counter()], {}, {}
+    order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    for i, url in pages:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host):])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        words = [w for run in re.findall("[a-z]+", host) for w in memo.setdefault(run, split(run) if run not in memo else memo[run])]
+        fit = next((r for r in order if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])), None)
+        tokens = [w for w in words + re.findall("[a-z]+", path.lower()) if w not in given]
+        if fit:
+            k = fit[2] == "block"
+            seen[k].update(tokens)
+        rows[i] = (host, path, fit, words, tokens)
+    v = len(set(seen[0]) | set(seen[1]))
+    ng, nb = (sum(c.values()) for c in seen)
+    out = {}
+    for i, (host, path, fit, words, tokens) in rows.items():
+        odds = sum(math.log((seen[1][t] + 1) / (nb + v + 1)) - math.log((seen[0][t] + 1) / (ng + v + 1)) for t in tokens)
+        out[i] = (host, path, fit[0] + fit[1] if fit else None, fit[2] if fit else None, words, odds)
+    return out
+
+
+def test_url_verdicts_against_plain_python(spark, small, docs):
+    pages = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()]
+    got = {r.page_id: r for r in queries.QUERIES["op1_url_filter"](spark, small).collect()}
+    want = url_brute(pages, docs.values())
+    assert got.keys() == want.keys()
+    for i, (host, path, rule, verdict, words, odds) in want.items():
+        r = got[i]
+        assert (r.host, r.path, r.rule, r.host_words) == (host, path, rule, words) and math.isclose(r.odds, odds, abs_tol=1e-9)
+        assert r.verdict == (verdict or ("block" if odds > 0 else "allow"))
+    assert all("net" in r.host_words for r in got.values() if r.host.endswith(".net"))
+
+
+def test_url_splits_any_length(spark):
+    counts = {"cheap": 0.1, "pills": 0.05, "a": 0.03}
+    assert url_filter.best_split("cheappills", counts, 1e-4) == ["cheap", "pills"]
+    assert url_filter.best_split("", counts, 1e-4) == [] and url_filter.best_split("qq", counts, 1e-4) == ["qq"]
+    long = "longword" * 9
+    docs = spark.createDataFrame([(f"{long} garden tree garden tree",)], "text string")
+    runs = spark.createDataFrame([(long + "garden" * 40 + "tree",), ("gardentree",)], "run string")
+    got = {r.run: r.words for r in url_filter.segmented(runs, url_filter.word_counts(docs)).collect()}
+    assert got["gardentree"] == ["garden", "tree"] and got[long + "garden" * 40 + "tree"] == [long, *["garden"] * 40, "tree"]
+
+
+def test_url_splits_of_joined_words(spark, small, docs):
+    """Pairs of the corpus' words of four letters and more come apart again."""
+    counts = Counter(w for t in docs.values() for w in re.findall("[a-z]+", (t or "").lower()) if len(w) > 3)
+    words = [w for w, _ in counts.most_common(200)]
+    pairs = {a + b: [a, b] for a, b in zip(words, words[1:] + words[:1])}
+    runs = spark.createDataFrame([(r,) for r in pairs], "run string")
+    got = {r.run: r.words for r in url_filter.segmented(runs, url_filter.word_counts(spark.read.parquet(f"{small}/documents.parquet"))).collect()}
+    assert sum(got[r] == w for r, w in pairs.items()) >= 0.9 * len(pairs)
+
+
+def test_url_accuracy_on_hosts_not_trained_on(spark):
+    rules = (("bad.org", "/", "block"), ("good.org", "/", "allow"))
+    names = {"block": ["cheap", "pills", "casino", "poker"], "allow": ["garden", "tree", "flower", "weather"]}
+    urls = []
+    for verdict, words in names.items():
+        for i, (a, b) in enumerate([(a, b) for a in words for b in words]):
+            urls += [(len(urls), f"http://{a}{b}{'xyzw'[i % 4]}.{'bad' if verdict == 'block' else 'good'}.org/p"), (len(urls) + 1, f"http://{a}{b}.net/p")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    docs = spark.createDataFrame([(" ".join(names["block"] + names["allow"]),)], "text string")
+    folds = url_filter.accuracy(pages, docs, rules).collect()
+    assert sum(r.n for r in folds) == 32 and sum(r.right for r in folds) >= 31 and sum(r.majority for r in folds) < 28
+    # Unseen .net hosts made of the same words follow the rules' verdicts.
+    got = {r.host: r.verdict for r in url_filter.judged(pages, docs, rules).collect()}
+    assert got["casinopoker.net"] == "block" and got["flowertree.net"] == "allow"
 
 
 def lm_brute(texts: dict, order: int, mu: float) -> dict:
