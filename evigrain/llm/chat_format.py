@@ -2,15 +2,18 @@
 
 A turn is written as `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`; a conversation is its turns in order. Inside roles and
 texts each `<`, `\\`* and `|` gets one more backslash, so the template's marks never occur there and taking one
-backslash away restores the text. Rows are dealt out by conversation and sorted by turn; each task then
+backslash away restores the text; in roles, backslashes and line feeds are written as `\\\\` and `\\n` before that,
+as a line feed ends the role. Rows are dealt out by conversation and sorted by turn; each task then
 assembles its Arrow batches column by column: escaped lengths, cumulative offsets and scatter indices in
-numpy, and one preallocated buffer into which headers, texts and ends are copied. The loss mask is a list of
-byte ranges of the buffer: the texts of assistant turns. A conversation that spans batches is handed on as
-its open parts, so a task holds one batch and one conversation.
+numpy, and one preallocated buffer into which headers, texts and ends are copied; the column of formatted
+conversations is that buffer and offsets into it. The loss mask is a list of byte ranges of a conversation: the
+texts of assistant turns. The last conversation of a batch waits, as its rows, for what the next batch adds to
+it, so a task holds one batch and one conversation. As a value of a row, a conversation has 2 GB at most.
 
 Defined results: null text and null role count as empty; turns order by turn (null first), then role, then
 text, so repeated rows and ties have one result; rows with a null conv_id form one conversation; role names
-match exactly; an empty table gives no rows; other columns are not read.
+match exactly, and roles with line feeds read back as they were; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +42,14 @@ def unescaped(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+def escaped_role(column: pa.Array) -> pa.Array:
+    return escaped(pc.replace_substring(pc.replace_substring(column, "\\", "\\\\"), "\n", "\\n"))
+
+
+def unescaped_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
+
+
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The data buffer of a string column, and where each value starts and how long it is."""
     column = column.cast(pa.large_binary())
@@ -54,7 +65,7 @@ def assembled(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     its running sum says where each segment goes, and every source is scattered there at once."""
     n = len(role)
     marks = np.frombuffer(START + b"\n" + END, np.uint8)
-    (roles, role_at, role_n), (texts, text_at, text_n) = _bytes(escaped(role)), _bytes(escaped(text))
+    (roles, role_at, role_n), (texts, text_at, text_n) = _bytes(escaped_role(role)), _bytes(escaped(text))
     lengths = np.empty((n, 5), np.int64)
     lengths[:, 0], lengths[:, 1], lengths[:, 2], lengths[:, 3], lengths[:, 4] = len(START), role_n, 1, text_n, len(END)
     ends = np.cumsum(lengths.ravel())
@@ -69,42 +80,60 @@ def assembled(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return out, np.append(starts[:, 0], total), starts[:, 3], starts[:, 4]
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turns, sorted, to conversations. The last conversation of a batch stays open until another one starts."""
-    fields = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.binary()), ("loss_from", pa.list_(pa.int64())), ("loss_to", pa.list_(pa.int64()))])
-    open_: dict | None = None
+#: Bytes of role and text that are assembled at once, whole conversations at least.
+PORTION = 64 << 20
+_FIELDS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.binary()), ("loss_from", pa.list_(pa.int64())), ("loss_to", pa.list_(pa.int64()))])
 
-    def closed(done: list[dict]) -> Iterator[pa.RecordBatch]:
-        if done:
-            yield pa.RecordBatch.from_pylist([{**d, "formatted": b"".join(d["formatted"])} for d in done], fields)
 
+def _starts(conv: pa.Array) -> np.ndarray:
+    """The rows at which a conversation starts. Null ids are one conversation."""
+    value, null = conv.fill_null(0).to_numpy(), np.asarray(conv.is_null())
+    return np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (null[1:] != null[:-1])]))
+
+
+def _assembled(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whole conversations, formatted."""
+    first = _starts(rows["conv_id"])
+    weight = np.concatenate([[0], np.cumsum(_bytes(rows["role"])[2] + _bytes(rows["text"])[2])])
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(weight[first], weight[first[at]] + PORTION, "right")) - 1)
+        stop = int(first[to]) if to < len(first) else rows.num_rows
+        to = to if to < len(first) else len(first)
+        part = rows.slice(int(first[at]), stop - int(first[at]))
+        cuts = np.append(first[at:to], stop) - first[at]
+        out, turn_at, text_from, text_to = assembled(part["role"], part["text"])
+        base = turn_at[cuts]
+        told = np.asarray(pc.equal(part["role"], "assistant"))
+        lists = np.concatenate([[0], np.cumsum(told)])[cuts].astype(np.int32)
+        shift = np.repeat(base[:-1], np.diff(cuts))[told]
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(out)])
+        ranges = [pa.ListArray.from_arrays(lists, x[told] - shift) for x in (text_from, text_to)]
+        yield pa.RecordBatch.from_arrays([part["conv_id"].take(cuts[:-1]), pa.array(np.diff(cuts)), whole, *ranges], schema=_FIELDS)
+        at = to
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns, sorted, to conversations."""
+    waiting: list[pa.RecordBatch] = []
+    join = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
     for batch in batches:
         if not batch.num_rows:
             continue
-        conv, role, text = batch["conv_id"], batch["role"], batch["text"]
-        out, turn_at, text_from, text_to = assembled(role, text)
-        same = np.asarray(pc.fill_null(pc.equal(conv[1:], conv[:-1]), False)) | (np.asarray(pc.is_null(conv[1:])) & np.asarray(pc.is_null(conv[:-1])))
-        cuts = np.concatenate([[0], np.flatnonzero(~same) + 1, [batch.num_rows]])
-        told = np.asarray(pc.equal(role, "assistant"))
-        done = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            key, base, own = conv[a].as_py(), int(turn_at[a]), told[a:b]
-            if open_ is None or open_["conv_id"] != key:
-                if open_ is not None:
-                    done.append(open_)
-                open_ = {"conv_id": key, "n_turns": 0, "formatted": [], "loss_from": [], "loss_to": []}
-            moved = sum(map(len, open_["formatted"])) - base
-            open_["formatted"].append(out[base : int(turn_at[b])].tobytes())
-            open_["n_turns"] += b - a
-            open_["loss_from"] += (text_from[a:b][own] + moved).tolist()
-            open_["loss_to"] += (text_to[a:b][own] + moved).tolist()
-        yield from closed(done)
-    yield from closed([open_] if open_ is not None else [])
+        last = int(_starts(batch["conv_id"])[-1])
+        if waiting and (last > 0 or waiting[-1]["conv_id"][-1] != batch["conv_id"][0]):
+            yield from _assembled(join([*waiting, batch.slice(0, last)]))
+            waiting = []
+        elif last > 0:
+            yield from _assembled(batch.slice(0, last))
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield from _assembled(join(waiting))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, the formatted bytes, and the byte ranges under the loss mask."""
-    rows = turns.select("conv_id", "turn", F.translate(F.coalesce("role", F.lit("")), "\n", " ").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
 
@@ -114,7 +143,7 @@ def parsed(text: str) -> list[tuple[str, str]]:
     out = []
     for part in text.split(END.decode())[:-1]:
         role, _, body = part[len(START) :].partition("\n")
-        out.append((unescaped(role), unescaped(body)))
+        out.append((unescaped_role(role), unescaped(body)))
     return out
 
 

@@ -260,6 +260,7 @@ def test_chat_reads_back(spark, small):
     for c, t in talk.items():
         loss = "".join(x for r, x in t if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(t), sha("".join(f"{r}\n{x}\n" for r, x in t)), len(loss), sha(loss))
+        assert got[c].formatted_chars == len(chat_plain(t))
 
 
 def test_chat_escape_is_reversible():
@@ -268,6 +269,31 @@ def test_chat_escape_is_reversible():
         assert "<|" not in out and chat_format.unescaped(out) == text
 
 
+def test_chat_batches_and_roles():
+    rng = np.random.default_rng(4)
+    roles, texts = ["user", "assistant", "a\nb", "\\n", "<|\n", "<\\\\|", ""], ["", "x<|y", "<\\|\n", "é" * 50, "<|im_end|>\n<|im_start|>assistant\nno"]
+    rows = [(None if c == 0 else c, str(rng.choice(roles)), str(rng.choice(texts))) for c in range(12) for _ in range(int(rng.integers(1, 9)))]
+    schema = pa.schema([("conv_id", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    want = defaultdict(list)
+    for c, role, text in rows:
+        want[c].append((role, text))
+    for size in (1, 2, 3, 7, 1000):
+        got = [r for b in chat_format._format(whole.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert [r["conv_id"] for r in got] == list(want)
+        for r in got:
+            data, turns = r["formatted"], want[r["conv_id"]]
+            assert chat_format.parsed(data.decode()) == turns and r["n_turns"] == len(turns)
+            told = [chat_format.unescaped(data[a:b].decode()) for a, b in zip(r["loss_from"], r["loss_to"])]
+            assert told == [t for role, t in turns if role == "assistant"]
+
+
+def chat_plain(turns: list) -> str:
+    """The template, written out."""
+    mark = lambda s: re.sub(r"<(\\*)\|", r"<\\\1|", s)
+    return "".join(f"<|im_start|>{mark(r.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n'))}\n{mark(t)}<|im_end|>\n" for r, t in turns)
+
+
 def test_packing(spark, small, docs):
     library = Tokenizer.from_file(PATH)
     ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in docs.items()}
