@@ -1,20 +1,23 @@
 """Operator 5, line dedup by a log-template tree.
 
 Lines are parsed down a tree of fixed depth: number of tokens, then the first DEPTH tokens, where a token with a
-digit is the variable `<*>`. In a leaf, lines (with variables masked) that agree with the leaf's most frequent
-line in SIMILAR of their positions share its template; any other line is a template of its own. A template
-recurs if it is found in enough different texts: LONG_TEXTS for lines of LONG tokens or more, SHORT_TEXTS for
-lines of SHORT tokens or more; shorter lines never count. The text of the least doc_id that holds a recurring
-template keeps its line, as do texts equal to it; all other texts lose theirs.
+digit is the variable `<*>`. In a leaf a line's leads are found by parts: a line of n tokens that agrees with
+another in `similar` of its positions shares one of floor(n * (1 - similar)) + 1 equal parts with it. In each part
+the most frequent line is the lead; a line joins the most frequent of its leads that it agrees with. So a leaf
+may hold any number of templates: each is a lead with the lines that joined it and those that joined these. A
+template recurs if it is found in enough different texts: long_texts for lines of long_tokens tokens or more,
+short_texts for lines of short_tokens or more; shorter lines never count (see Rule, a parameter). The text of the
+least doc_id that holds a recurring template keeps its line, as do texts equal to it; all other texts lose theirs.
 
 All of it is DataFrame functions. Leaves found in one text only are left out before any line's text is
 shuffled; leaf and line keys are hashes that are partially aggregated, so a line that a third of all documents
-hold is one row a task. Texts meet the places of their dropped lines in one join by text hash. No join broadcasts
-a side: leaves, lines and templates all grow with the documents, so the plan is the same at every size.
+hold is one row a task. A join of all lines or texts with a table of keys broadcasts the keys if they are few,
+which is counted, and else deals hot keys over parts. Texts meet the places of their dropped lines in one join by
+text hash.
 
 Defined results: a null text has no lines and stays null; a document whose lines all go keeps an empty text
-(`deduplicated` drops it); equal texts have equal results whatever their ids; null ids come before others; rows
-are never merged; an empty table gives no rows. `cleaned` keeps all columns of its input.
+(`deduplicated` drops it); equal texts have equal results whatever their ids; null ids come after others; rows
+are never merged; an empty table gives no rows. `cleaned` keeps all columns of its input, whatever their names.
 
 Passages inside lines, or over several: `unrepeated` cuts a text after words whose hash falls in a residue class,
 so that cuts move with the words around them. A segment runs from each cut to the first cut LONG words on; one that
@@ -25,15 +28,30 @@ stays of a repeated passage are its words before its first cut and after its las
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm.shared import table, written
+from evigrain.llm.components import components
+from evigrain.llm.shared import dealt_join, near_join, private, table, written
 
 DEPTH = 3
-SIMILAR = 80
-SHORT, SHORT_TEXTS = 3, 20
-LONG, LONG_TEXTS = 12, 2
+
+
+class Rule(NamedTuple):
+    """Which templates recur. Long lines say enough to be one passage in two texts already; short ones (names, dates,
+    headings) only if many texts have them; lines below short_tokens never say enough. similar is in hundredths."""
+
+    short_tokens: int = 3
+    short_texts: int = 20
+    long_tokens: int = 12
+    long_texts: int = 2
+    similar: int = 80
+
+
+RULE = Rule()
+LONG, LONG_TEXTS = RULE.long_tokens, RULE.long_texts
 #: One word in so many is followed by a cut.
 CUT = 8
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,12 +65,7 @@ def _key(column: Column) -> list[Column]:
     return [F.xxhash64(column).alias("t1"), F.hash(column).alias("t2")]
 
 
-def _grows(side: DataFrame) -> DataFrame:
-    """A side of a join that has no size bound: it is shuffled, never broadcast."""
-    return side.hint("merge")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, rule: Rule) -> DataFrame:
     """t1, t2, doc_id, at, leaf, line, n and the masked line of each line that counts."""
     # The costly replacements run on lines that need them only, and before the generator, so that no later filter repeats them.
     odd = lambda x: x.rlike(r"[0-9\x09\x0B-\x0D]") | x.contains("  ")
@@ -61,7 +74,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     masked = F.transform(F.split("text", "\n"), plain)
     counted = F.transform(masked, lambda x: F.struct(x.alias("masked"), (gaps(x) + 1).alias("n")))
     rows = docs.filter("text IS NOT NULL").select("doc_id", *_key(F.col("text")), F.posexplode(counted).alias("at", "x"))
-    rows = rows.filter(F.col("x.n") >= SHORT).select("doc_id", "t1", "t2", "at", "x.n", "x.masked")
+    rows = rows.filter(F.col("x.n") >= rule.short_tokens).select("doc_id", "t1", "t2", "at", "x.n", "x.masked")
     return rows.select("*", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("line"))
 
 
@@ -70,42 +83,73 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), lambda x: x["a"] == x["b"]))
 
 
-def recurring(keys: DataFrame) -> DataFrame:
+def _first() -> Column:
+    """The text of the least id; null ids come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("t1").alias("k1"), F.col("t2").alias("k2")))
+
+
+def templates(named: DataFrame, similar: int) -> DataFrame:
+    """leaf, line, template: of the lines (leaf, line, n, texts, masked) that share a template with another. The
+    template is one of its lines, as a struct."""
+    words = F.split("masked", " ")
+    many = F.floor(F.col("n") * (100 - similar) / 100) + 1
+    cut = lambda i: F.floor(i * F.col("n") / F.col("many")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), (F.col("many") - 1).cast("int")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(F.col("w"), cut(i) + 1, cut(i + 1) - cut(i))).alias("part")))
+    rows = named.select("leaf", "line", "n", "texts", "masked", words.alias("w"), many.alias("many"))
+    part = written(rows.select("leaf", "line", "n", "texts", "masked", F.explode(parts).alias("p")).select("leaf", "line", "n", "texts", "masked", "p.*"), "parts")
+    keys = ["leaf", "n", "i", "part"]
+    lead = part.groupBy(*keys).agg(F.count("*").alias("lines"), F.max_by(F.struct(F.col("line").alias("lead"), F.col("masked").alias("lead_masked"), F.col("texts").alias("lead_texts")), F.struct("texts", "masked")).alias("m"))
+    met = dealt_join(part, lead.filter("lines > 1").select(*keys, "m.*"), keys).filter("line <> lead")
+    alike = met.filter(100 * _agree(F.col("masked"), F.col("lead_masked")) >= similar * F.col("n"))
+    joins = alike.groupBy("leaf", "line").agg(F.max_by("lead", F.struct("lead_texts", "lead_masked")).alias("lead"), F.max(F.struct("lead_texts", "lead_masked")).alias("best"), F.any_value(F.struct("texts", "masked")).alias("own"))
+    # A line leads others of its parts, but joins only what is more frequent than itself.
+    links = joins.filter((F.col("best.lead_texts") > F.col("own.texts")) | ((F.col("best.lead_texts") == F.col("own.texts")) & (F.col("best.lead_masked") > F.col("own.masked"))))
+    comp = components(links.select(F.struct("leaf", "line").alias("a"), F.struct("leaf", F.col("lead").alias("line")).alias("b")))
+    return comp.select("node.leaf", "node.line", F.col("component").alias("template"))
+
+
+def recurring(keys: DataFrame, rule: Rule = RULE) -> DataFrame:
     """leaf, line, k1 and k2: the lines of recurring templates, and the text that keeps the template. keys: the
     lines' keys and masked text."""
-    live = keys.groupBy("leaf").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), (F.min("line") < F.max("line")).alias("several")).filter("lo <> hi").select("leaf", "several")
-    live = written(live, "leaves")
-    each = keys.join(_grows(live.select("leaf")), "leaf", "left_semi").groupBy("leaf", "line", "t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    live = keys.groupBy("leaf").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), (F.min("line") < F.max("line")).alias("several")).filter("lo <> hi")
+    live = written(live.select("leaf", "several"), "leaves")
+    short = keys.select("leaf", "line", "t1", "t2", "doc_id", "n")
+    each = near_join(short, live.select("leaf"), ["leaf"], "left_semi").groupBy("leaf", "line", "t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     each = written(each, "lines")
-    per = each.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
-    # Only leaves with different lines need their text: there, lines are compared with the most frequent one.
-    masked = keys.select("leaf", "line", "masked").join(_grows(live.filter("several").select("leaf")), "leaf", "left_semi").groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"))
-    named = written(_grows(per).join(masked, ["leaf", "line"]), "named")
-    lead = named.groupBy("leaf").agg(F.max_by(F.struct(F.col("line").alias("lead"), F.col("masked").alias("lead_masked")), F.struct("texts", "masked")).alias("m")).select("leaf", "m.*")
-    alike = named.join(_grows(lead), "leaf").filter(100 * _agree(F.col("masked"), F.col("lead_masked")) >= SIMILAR * F.col("n")).select("leaf", "line", "lead")
-    of = written(per.join(_grows(alike), ["leaf", "line"], "left").select("leaf", "line", "n", F.coalesce("lead", "line").alias("template")), "templates")
-    member = each.select("leaf", "line", "t1", "t2", "doc_id").join(_grows(of), ["leaf", "line"])
-    first = F.min(F.struct("doc_id", F.col("t1").alias("k1"), F.col("t2").alias("k2")))
+    per = written(each.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.max("n").alias("n")), "per")
+    # Only leaves with different lines need their text: there, lines are compared with their leads.
+    several = written(live.filter("several").select("leaf"), "several")
+    masked = near_join(keys.select("leaf", "line", "masked"), several, ["leaf"], "left_semi").groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"))
+    named = written(masked.join(per.hint("merge"), ["leaf", "line"]), "named")
+    of = per.join(templates(named, rule.similar).hint("merge"), ["leaf", "line"], "left")
+    of = written(of.select("leaf", "line", "n", F.coalesce("template", F.struct("leaf", "line")).alias("template")), "templates")
     # A text counts once for a template, however many of its lines have it.
-    texts = member.groupBy("leaf", "template", "t1", "t2").agg(F.any_value("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    owner = texts.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.any_value("n").alias("n"), first.alias("k"))
-    again = owner.filter(((F.col("n") >= LONG) & (F.col("texts") >= LONG_TEXTS)) | (F.col("texts") >= SHORT_TEXTS)).select("leaf", "template", "k.k1", "k.k2")
-    return of.join(_grows(again), ["leaf", "template"]).select("leaf", "line", "k1", "k2")
+    member = dealt_join(each.select("leaf", "line", "t1", "t2", "doc_id"), of, ["leaf", "line"])
+    texts = member.groupBy("template", "t1", "t2").agg(F.any_value("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    owner = texts.groupBy("template").agg(F.count("*").alias("texts"), F.any_value("n").alias("n"), _first().alias("k"))
+    again = owner.filter(((F.col("n") >= rule.long_tokens) & (F.col("texts") >= rule.long_texts)) | (F.col("texts") >= rule.short_texts)).select("template", "k.k1", "k.k2")
+    return of.join(again.hint("merge"), ["template"]).select("leaf", "line", "k1", "k2")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines and n_dropped."""
-    keys = written(_lines(docs), "keys")
-    drop = keys.select("t1", "t2", "at", "leaf", "line").join(_grows(written(recurring(keys), "recurring")), ["leaf", "line"])
-    drop = drop.filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2"))).groupBy("t1", "t2").agg(F.collect_set("at").alias("_gone"))
+    keys = written(_lines(docs, rule), "keys")
+    drop = near_join(keys.select("t1", "t2", "at", "leaf", "line"), written(recurring(keys, rule), "recurring"), ["leaf", "line"])
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    texts = docs.select(*own, *[c.alias(f"_{n}") for c, n in zip(_key(F.col("text")), ("t1", "t2"))])
-    both = texts.join(_grows(drop.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_gone")), ["_t1", "_t2"], "left")
+    t1, t2, gone = private(["_t1", "_t2", "_gone"], docs.columns)
+    drop = drop.filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2"))).groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set("at").alias(gone))
+    both = _met(docs.select(*own), drop, t1, t2)
     lines = F.split("text", "\n")
-    left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone"), lambda i: F.get(x, i)), "\n"))[0]
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
+    left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n"))[0]
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def _met(docs: DataFrame, places: DataFrame, t1: str, t2: str) -> DataFrame:
+    """docs with what places hold for their texts; a text that very many rows have is a hot key."""
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(_key(F.col("text")), (t1, t2))])
+    return dealt_join(keyed, places, [t1, t2], "left", F.monotonically_increasing_id())
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -128,29 +172,34 @@ def unrepeated(docs: DataFrame) -> DataFrame:
     each = written(_segments(docs), "segments")
     # Two numbers a segment, so that most of this is aggregated in place; owners are looked for among what recurs only.
     live = each.groupBy("u1", "u2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo <> hi").select("u1", "u2")
-    hits = written(each.join(_grows(live), ["u1", "u2"], "left_semi"), "recurring")
-    owner = hits.groupBy("u1", "u2").agg(F.min(F.struct("doc_id", F.col("t1").alias("k1"), F.col("t2").alias("k2"))).alias("k")).select("u1", "u2", "k.k1", "k.k2")
-    lost = hits.join(_grows(owner), ["u1", "u2"]).filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2")))
-    spans = lost.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    gone = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["a"], x["b"] - 1)))).alias("_out"))
+    hits = written(near_join(each, written(live, "live"), ["u1", "u2"], "left_semi"), "recurring")
+    owner = hits.groupBy("u1", "u2").agg(_first().alias("k")).select("u1", "u2", "k.k1", "k.k2")
+    lost = near_join(hits, written(owner, "owners"), ["u1", "u2"]).filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2")))
     own = [c for c in docs.columns if c != "n_words_dropped"]
-    texts = docs.select(*own, *[c.alias(f"_{n}") for c, n in zip(_key(F.col("text")), ("t1", "t2"))])
-    both = texts.join(_grows(gone), ["_t1", "_t2"], "left")
+    t1, t2, out, pieces, inside = private(["_t1", "_t2", "_out", "_pieces", "_inside"], docs.columns)
+    spans = lost.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("s"))
+    gone = spans.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["a"], x["b"] - 1)))).alias(out))
+    both = _met(docs.select(*own), gone, t1, t2)
     # Words with the blanks before them; the blanks after the last one are added at the end.
-    pieces = F.when(F.col("_out").isNotNull(), F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)))
-    both = both.select("*", pieces.alias("_p")).select("*", F.array_except(F.sequence(F.lit(0), F.size("_p") - 1), "_out").alias("_in"))
-    before = lambda k: F.when(k == 0, -1).otherwise(F.get("_in", k - 1))
-    line = lambda i, k: (before(k) + 1 < i) & F.get("_p", before(k) + 1).contains("\n") & ~F.get("_p", i).contains("\n")
-    left = F.array_join(F.transform("_in", lambda i, k: F.when(line(i, k), F.concat(F.lit("\n"), F.ltrim(F.get("_p", i), F.lit(BLANKS)))).otherwise(F.get("_p", i))), "")
+    cut = F.when(F.col(out).isNotNull(), F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)))
+    both = both.select("*", cut.alias(pieces)).select("*", F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), out).alias(inside))
+    before = lambda k: F.when(k == 0, -1).otherwise(F.get(inside, k - 1))
+    line = lambda i, k: (before(k) + 1 < i) & F.get(pieces, before(k) + 1).contains("\n") & ~F.get(pieces, i).contains("\n")
+    word = lambda i, k: F.when(line(i, k), F.concat(F.lit("\n"), F.ltrim(F.get(pieces, i), F.lit(BLANKS)))).otherwise(F.get(pieces, i))
+    left = F.array_join(F.transform(inside, word), "")
     tail = F.substring(F.col("text"), F.length(F.rtrim("text", F.lit(BLANKS))) + 1, F.length("text"))
-    text = F.when(F.col("_out").isNull(), F.col("text")).when(F.size("_in") == 0, "").otherwise(F.concat(left, tail))
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("n_words_dropped"))
+    text = F.when(F.col(out).isNull(), F.col("text")).when(F.size(inside) == 0, "").otherwise(F.concat(left, tail))
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_words_dropped"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The documents without their recurring lines and segments; one of which nothing is left goes too. Columns stay as they are."""
-    lines = written(cleaned(docs).filter("NOT (n_dropped > 0 AND text = '')").select(*docs.columns), "lines_out")
-    return unrepeated(lines).filter("NOT (n_words_dropped > 0 AND text = '')").select(*docs.columns)
+    # Columns of the same names as the counts are set aside under others.
+    aside = dict(zip(("n_lines", "n_dropped", "n_words_dropped"), private(["_n_lines", "_n_dropped", "_n_words_dropped"], docs.columns)))
+    plain = docs.select(*[F.col(c).alias(aside.get(c, c)) for c in docs.columns])
+    lines = written(cleaned(plain, rule).filter("NOT (n_dropped > 0 AND text = '')").select(*plain.columns), "lines_out")
+    out = unrepeated(lines).filter("NOT (n_words_dropped > 0 AND text = '')")
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,16 +213,20 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _W = r"[^\x20\x09-\x0D]"
 ORACLE = rf"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 raw AS (SELECT r, doc_id, text, i - 1 AS pos, l[i] AS raw FROM (SELECT *, string_split(text, chr(10)) AS l FROM docs WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i)),
 toks AS (SELECT r, doc_id, text, pos, list_transform(regexp_extract_all(raw, '{_W}+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
-lines AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS masked, array_to_string(w[1:{DEPTH}], ' ') AS lead FROM toks WHERE len(w) >= {SHORT}),
+lines AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS masked, array_to_string(w[1:{DEPTH}], ' ') AS lead FROM toks WHERE len(w) >= {RULE.short_tokens}),
 texts AS (SELECT n, lead, masked, text, min(doc_id) AS doc_id FROM lines GROUP BY ALL),
-per AS (SELECT n, lead, masked, count(*) AS c FROM texts GROUP BY ALL),
-top AS (SELECT n, lead, arg_max(masked, {{'c': c, 'm': masked}}) AS top FROM per GROUP BY ALL),
-tem AS (SELECT n, lead, masked, CASE WHEN 100 * len(list_filter(list_zip(string_split(masked, ' '), string_split(top, ' ')), lambda x: x[1] = x[2])) >= {SIMILAR} * n THEN top ELSE masked END AS template FROM per JOIN top USING (n, lead)),
+per AS (SELECT n, lead, masked, count(*) AS c, n * (100 - {RULE.similar}) // 100 + 1 AS many FROM texts GROUP BY ALL),
+part AS (SELECT n, lead, masked, c, i, string_split(masked, ' ')[i * n // many + 1 : (i + 1) * n // many] AS part FROM per, unnest(range(many)) AS u(i)),
+top AS (SELECT n, lead, i, part, max({{'c': c, 'm': masked}}) AS top FROM part GROUP BY ALL),
+best AS (SELECT n, lead, masked, max(top) AS best FROM part JOIN top USING (n, lead, i, part)
+  WHERE {{'c': c, 'm': masked}} < top AND 100 * len(list_filter(list_zip(string_split(masked, ' '), string_split(top.m, ' ')), lambda x: x[1] = x[2])) >= {RULE.similar} * n GROUP BY ALL),
+walk AS (SELECT n, lead, masked, masked AS spot, 0 AS steps FROM per UNION ALL SELECT w.n, w.lead, w.masked, b.best.m, steps + 1 FROM walk w JOIN best b ON w.n = b.n AND w.lead = b.lead AND w.spot = b.masked),
+tem AS (SELECT n, lead, masked, arg_max(spot, steps) AS template FROM walk GROUP BY ALL),
 memb AS (SELECT n, lead, template, text, min(doc_id) AS doc_id FROM texts JOIN tem USING (n, lead, masked) GROUP BY ALL),
-own AS (SELECT n, lead, template, arg_min(text, doc_id) AS keeper FROM memb GROUP BY ALL HAVING (n >= {LONG} AND count(*) >= {LONG_TEXTS}) OR count(*) >= {SHORT_TEXTS}),
+own AS (SELECT n, lead, template, arg_min(text, {{'none': doc_id IS NULL, 'id': coalesce(doc_id, 0)}}) AS keeper FROM memb GROUP BY ALL HAVING (n >= {RULE.long_tokens} AND count(*) >= {RULE.long_texts}) OR count(*) >= {RULE.short_texts}),
 gone AS (SELECT l.r, list(l.pos) AS gone FROM lines l JOIN tem USING (n, lead, masked) JOIN own USING (n, lead, template) WHERE l.text <> keeper GROUP BY l.r)
 SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(gone, i)], chr(10)) END AS text,
   coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped

@@ -104,6 +104,18 @@ def dealt_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inne
     return left.join(right.hint("merge"), [*on, part], how).drop(part)
 
 
+#: Rows of a written table that may be broadcast: numbers only, 64 bytes each at most.
+FEW = 250_000
+
+
+def near_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with side, a written table of a few numbers a row: broadcast if its rows, which are counted, are
+    at most FEW, so that no row is shuffled; else dealt_join."""
+    if side.count() <= FEW:
+        return rows.join(F.broadcast(side), on, how)
+    return dealt_join(rows, side, on, how)
+
+
 def private(names: list[str], taken: list[str]) -> list[str]:
     """Column names like the given ones that none of the taken ones equals, letter case aside."""
     low, out = {t.lower() for t in taken}, []

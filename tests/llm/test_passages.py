@@ -53,3 +53,26 @@ def test_line_breaks_and_blanks(spark):
     assert got[1] == f"first one {same} end\n"
     assert got[2].startswith("kept line\n") and got[2].endswith("\nlast  line \n") and len(got[2].split()) < 40
     assert (got[3], got[4], got[5]) == (None, "", " \n ")
+
+
+def test_two_families_in_one_leaf(spark):
+    """Lines of one leaf that vary in a word without digits: each family has its own template."""
+    one = "this page was {} by the copying machine of the northern office late at night"
+    two = "this page was {} under the old stone bridge while rain fell on every roof"
+    names = ["printed", "copied", "stamped", "folded", "signed"]
+    rows = [(i, f"{''.join(chr(97 + (i * 7 + k) % 26) for k in range(9))} own words\n{(one if i % 2 else two).format(names[i // 2])}") for i in range(10)]
+    rows.append((10, "quite other words\nthis page was zzz one line that nobody else has in any text of this test"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.cleaned(df).collect()}
+    assert got[0] == (rows[0][1], 0) and got[1] == (rows[1][1], 0) and got[10] == (rows[10][1], 0)
+    assert all(got[i] == (rows[i][1].split("\n")[0], 1) for i in range(2, 10))
+
+
+def test_rules_null_ids_and_column_names(spark):
+    line = "a line of more than twelve words that several texts of this small table hold today"
+    df = spark.createDataFrame([(None, f"x\n{line}", 1, 2, 3, 4, 5), (7, f"y\n{line}", 1, 2, 3, 4, 5), (9, f"z\n{line}", 1, 2, 3, 4, 5)], "doc_id long, text string, _gone int, _t1 int, _part int, n_dropped int, _N_LINES int")
+    got = {r.doc_id: r.text for r in line_templates.cleaned(df).collect()}
+    assert got == {None: "x", 7: f"y\n{line}", 9: "z"}
+    assert line_templates.deduplicated(df).columns == df.columns and line_templates.deduplicated(df).count() == 3
+    strict = line_templates.Rule(long_texts=4)
+    assert all(r.n_dropped == 0 for r in line_templates.cleaned(df, strict).collect())
