@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and an equi-join, so a node with very many links is one key whose links are
-pre-aggregated, and a row never carries a group. Every step is written to the shared folder; a lost executor
+Each step is a grouped minimum and an equi-join that deals the links of a node with very many of them over parts;
+a row never carries a group. Every step is written to the shared folder; a lost executor
 costs the running step only. Links stay distributed; the driver sees two numbers a round.
 """
 
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrain.llm.shared import forget, written
+from evigrain.llm.shared import forget, near_join, written
 
 
 def _pull(pairs: DataFrame) -> DataFrame:
     """Point each pair (u, v) of node and neighbour at the least of u and all its neighbours."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return near_join(pairs, written(least, "least"), ["u"])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 Cosine t on unit vectors is Euclidean distance eps = sqrt(2 - 2t), and an orthonormal projection never
 lengthens a distance. So vectors of a label are sorted by their grid cells (width eps) on the leading
-principal axes; the sequence is cut into blocks with bounding boxes; blocks are paired only if they share or
-neighbour a cell of the first axis and their boxes are within eps. A pair of blocks is joined by halving both
-intervals again and again, skipping halves whose boxes are farther apart than eps, down to intervals whose
+principal axes; the sequence is cut into blocks with bounding boxes. Linked vectors lie in equal or adjacent cells
+of every axis, so blocks are paired by an equi-join on the cells of GRID axes that their vectors occupy, and stay
+paired if their boxes on all axes are within eps. A pair of blocks is joined by halving both intervals of the
+sequence again and again, skipping halves whose boxes are farther apart than eps, down to intervals whose
 cosines are computed in double precision.
 
 Equal vectors of a label are one class with a count before anything is joined. A pair of blocks gives at most
 one row per class: how many vectors it links to, and the smallest class it is connected with inside the pair;
 pairs of vectors are never written out. Components are then found over those.
 
-The axes are fitted on a sample of at most SAMPLE classes; they decide the speed and never the result.
+The axes are fitted on a sample of at most SAMPLE classes; they decide the speed and never the result. Cells with
+very many blocks, and vectors that very many rows have, are hot keys, which `dealt_join` deals over parts.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, rows with a null label,
 and rows with a null vec_id link with nothing and are their own component; vectors of different widths never
@@ -21,6 +23,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.llm.components import components
-from evigrain.llm.shared import table, written
+from evigrain.llm.shared import dealt_join, near_join, table, written
 
 COSINE = 0.93
 SAMPLE = 4096
 AXES = 8
+#: Axes of the cells that blocks are paired by.
+GRID = 3
 BLOCK = 512
 LEAF = 128
 PARTNERS = 16
@@ -65,6 +70,20 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _packed_cells(cells: np.ndarray) -> np.ndarray:
+    """Cells of up to GRID axes as one number each, 21 bits an axis."""
+    return ((cells.astype(np.int64) + (1 << 20)) << (21 * np.arange(cells.shape[1])[::-1])).sum(axis=1)
+
+
+#: One cell and half of its neighbours, so that of two adjacent cells one is among these steps of the other.
+_STEPS = np.array([s for s in itertools.product((-1, 0, 1), repeat=GRID) if s >= (0,) * GRID])
+
+
+def width_of(eps: float) -> float:
+    """The cells' width: eps, or wider where so many cells would not fit into 20 bits an axis."""
+    return max(eps, 4e-6)
+
+
 def placed(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
     """classes with the cells of the leading axes, first axis first."""
 
@@ -82,7 +101,7 @@ def placed(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
     return classes.mapInArrow(cells, "cid long, label string, width int, embedding array<double>, rep long, n long, cells array<int>")
 
 
-BLOCKS = "block long, label string, width int, first int, last int, lo array<double>, hi array<double>, cids array<long>, reps array<long>, ns array<long>, data binary"
+BLOCKS = "block long, label string, width int, cells array<long>, near array<long>, lo array<double>, hi array<double>, cids array<long>, reps array<long>, ns array<long>, data binary"
 
 
 def blocks(sorted_classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
@@ -97,19 +116,21 @@ def blocks(sorted_classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -
                     x = _unit(h["embedding"].tolist())
                     p = _projected(x, axes)
                     lo, hi = p.min(axis=0), p.max(axis=0)
-                    out.append((int(h["cid"].iloc[0]), label, width, math.floor(lo[0] / eps), math.floor(hi[0] / eps), lo, hi, h["cid"].to_numpy(), h["rep"].to_numpy(), h["n"].to_numpy(), x.tobytes()))
+                    own = np.unique(np.floor(p[:, :GRID] / eps).astype(np.int64), axis=0)
+                    near = np.unique(_packed_cells((own[:, None, :] + _STEPS[None]).reshape(-1, GRID)))
+                    out.append((int(h["cid"].iloc[0]), label, width, _packed_cells(own), near, lo, hi, h["cid"].to_numpy(), h["rep"].to_numpy(), h["n"].to_numpy(), x.tobytes()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
     return sorted_classes.mapInPandas(cut, BLOCKS)
 
 
 def block_pairs(b: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b) with a <= b of blocks that may hold linked vectors: an equi-join on the first axis' cell, then the boxes' distance."""
-    meta = b.select("block", "label", "width", "first", "last", "lo", "hi")
-    left = meta.select(F.col("block").alias("a"), "label", "width", F.explode(F.sequence("first", "last")).alias("cell"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    right = meta.select("block", "label", "width", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"), "lo", "hi")
-    gap = F.expr("aggregate(zip_with(zip_with(lo, ahi, (x, y) -> x - y), zip_with(alo, hi, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)")
-    return left.join(right, ["label", "width", "cell"]).filter((F.col("a") <= F.col("block")) & (gap <= eps * eps + 1e-9)).select("a", F.col("block").alias("b")).distinct()
+    """Pairs (a, b) with a <= b of blocks that may hold linked vectors: an equi-join on occupied cells, then the boxes' distance."""
+    own = written(b.select("label", "width", F.explode("cells").alias("cell"), F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")), "cells")
+    near = b.select("label", "width", F.explode("near").alias("cell"), F.col("block").alias("y"), "lo", "hi")
+    gap = F.expr("aggregate(zip_with(zip_with(lo, xhi, (x, y) -> x - y), zip_with(xlo, hi, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)")
+    met = dealt_join(own, near, ["label", "width", "cell"]).filter(gap <= eps * eps + 1e-9)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _join(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, i: slice, j: slice, t: float, eps2: float, found: list) -> None:
@@ -193,22 +214,38 @@ def joined(pairs: DataFrame, b: DataFrame, axes: dict[int, np.ndarray], t: float
 def deduplicated(vectors: DataFrame, t: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
     eps = math.sqrt(2 - 2 * t)
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    # Adding 0 makes one zero of two.
+    v = vectors.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"), F.col("label").cast("string").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    v = v.withColumn("fine", fine)
-    grouped = v.filter("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("cid"), "label", F.size("embedding").alias("width"), "embedding", "rep", "n"), "classes")
+    good = v.filter(fine).withColumn("h", F.xxhash64("embedding"))
+    grouped = good.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("cid"), "label", F.size("embedding").alias("width"), "embedding", "rep", "n", "h"), "classes")
     axes = _axes([r[0] for r in classes.select("embedding").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()])
     keys = ["label", "width", "cells", "cid"]
     parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = written(blocks(placed(classes, axes, eps).repartitionByRange(parts, *keys).sortWithinPartitions(*keys), axes, eps), "blocks")
-    found = written(joined(block_pairs(b, eps), b, axes, t), "joined")
-    comps = components(found.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    order = placed(classes.drop("h"), axes, width_of(eps)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    b = written(blocks(order, axes, width_of(eps)), "blocks")
+    found = written(joined(written(block_pairs(b, eps), "block_pairs"), b, axes, t), "joined")
+    # A vec_id is one node, whatever its rows hold.
+    comps = components(found.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).unionByName(_ties(good, classes)))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    of = classes.join(links, "cid", "left").join(comps, F.col("rep") == F.col("node"), "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    same = v.join(of.withColumn("fine", F.lit(True)), ["label", "embedding", "fine"], "left")
-    return same.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    of = classes.join(links, "cid", "left").join(comps, F.col("rep") == F.col("node"), "left")
+    of = of.select("label", "h", F.col("embedding").alias("own"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # Two vectors of one hash are told apart by their components.
+    same = dealt_join(good, of, ["label", "h"], by=F.monotonically_increasing_id()).filter("embedding = own").select("vec_id", "n_links", "component_id")
+    alone = v.filter(~fine).select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = same.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _ties(good: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the reps of classes whose rows share a vec_id."""
+    again = written(good.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "again")
+    rows = near_join(good, again, ["vec_id"], "left_semi")
+    rows = dealt_join(rows, classes.select("label", "h", F.col("embedding").alias("own"), "rep"), ["label", "h"]).filter("embedding = own").select("vec_id", "rep").distinct()
+    least = rows.groupBy("vec_id").agg(F.min("rep").alias("b"))
+    return rows.select("vec_id", F.col("rep").alias("a")).join(least, "vec_id").filter("a > b").select("a", "b")
 
 
 def op9_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:

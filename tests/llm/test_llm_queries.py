@@ -358,6 +358,48 @@ def test_grid_join_against_all_pairs(spark):
     assert got == {i: (int(near[i].sum()), int(comp[i])) for i in range(300)}
 
 
+def test_grid_query_on_planted_pairs(spark, tmp_path, small):
+    """The query over a table with planted near copies, a third of them around one centre, against all pairs: recall and precision are 1."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 64))
+    x[300:600] = x[0] + 0.02 * np.abs(x[0]).mean() * rng.normal(size=(300, 64)) * rng.integers(1, 40, (300, 1))
+    x[600:700] = x[1:101] + 0.3 * rng.normal(size=(100, 64))
+    x[700:720] = x[700]
+    label = [None if i % 97 == 5 else int(i % 3) for i in range(900)]
+    vectors = [[float(v) for v in row] for row in x.astype(np.float32)]
+    spark.createDataFrame(list(zip(range(900), vectors, label)), "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.QUERIES["op9_grid_order_join"](spark, str(tmp_path)).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    lab = np.array([-1 if v is None else v for v in label])
+    near = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :]) & (lab[:, None] >= 0)
+    np.fill_diagonal(near, False)
+    assert near.sum() > 2000
+    comp = np.arange(900)
+    for _ in range(900):
+        comp = np.minimum(comp, np.where(near, comp[None, :], 900).min(axis=1))
+    assert got == {i: (int(near[i].sum()), int(comp[i]), comp[i] == i) for i in range(900)}
+
+
+def test_grid_blocks_of_near_cells_meet(spark, monkeypatch):
+    """With small blocks, cells on three axes find every linked pair of blocks, and fewer pairs than there are."""
+    monkeypatch.setattr(grid_join, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    eps = math.sqrt(2 - 2 * 0.93)
+    classes = df.selectExpr("vec_id AS cid", "CAST(label AS string) AS label", "size(embedding) AS width", "embedding", "vec_id AS rep", "1L AS n")
+    axes = grid_join._axes(x.tolist())
+    keys = ["label", "width", "cells", "cid"]
+    b = grid_join.blocks(grid_join.placed(classes, axes, eps).coalesce(1).sortWithinPartitions(*keys), axes, eps).persist()
+    block = {c: r.block for r in b.collect() for c in r.cids}
+    pairs = {(r.a, r.b) for r in grid_join.block_pairs(b, eps).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {tuple(sorted((block[i], block[j]))) for i, j in np.argwhere(u @ u.T >= 0.93).tolist()}
+    n = len(set(block.values()))
+    assert want <= pairs and len(pairs) < n * (n + 1) / 2
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
