@@ -3,14 +3,20 @@
 Every row gets a point: a bucket of its source, a bucket of its language and its size on a log scale, with
 BITS bits each. Rows are sorted by the point's index on the Hilbert curve and the sequence is cut into runs
 of equal counts, so that a shard covers a compact part of all dimensions at once and a reader that filters
-on any of them can skip shards. All steps are DataFrame functions.
+on any of them can skip shards: `manifest` holds for each shard which buckets of each dimension it has, as bits,
+and `shards_with` names the shards that a value may be in. All steps are DataFrame functions.
 
 The sort is Spark's range sort; a row's global place is its place within its partition plus the rows of the
 partitions before it. Only the row count of each partition reaches the driver.
 
+What holds: equal texts of one source and language lie side by side (ties on the curve go by size and text_crc32),
+so they share a shard or two neighbouring ones; equal texts of different sources lie where their sources do. A
+category's bucket is a hash: values that share one are read together, and neighbouring buckets have nothing in
+common, unlike neighbouring sizes.
+
 Defined results: a null text counts as empty (size 1); null source, language or id are values like any
 other and sort first; equal rows are told apart by their place only; an empty table gives no rows; other
-columns are carried along by `sharded` and win no name that it adds.
+columns are carried along by `sharded`, whatever their names, but for `shard` and `slot`, which it replaces.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm.shared import table, written
+from evigrain.llm.shared import private, table, written
 
 DIMS = 3
 BITS = 5
@@ -76,27 +82,45 @@ def sharded(df: DataFrame, order: list[Column], n_shards: int = N_SHARDS) -> Dat
     """df with shard and slot: rows in the given order, cut into n_shards runs whose counts differ by one at most."""
     spark = df.sparkSession
     own = [c for c in df.columns if c not in ("shard", "slot")]
+    key, part, at, before, rank, to = private(["_order", "_part", "_at", "_before", "_rank", "_shard"], df.columns)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select(*own, F.struct(*order).alias("_order"))
-    placed = keyed.repartitionByRange(parts, "_order").sortWithinPartitions("_order").select(*own, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    placed = written(placed, "sharded")
-    counts = sorted((r[0], r[1]) for r in placed.groupBy("_part").count().collect())
-    total, before = 0, []
-    for part, n in counts:
-        before.append((part, total))
+    placed = df.select(*own, F.struct(*order).alias(key)).repartitionByRange(parts, key).sortWithinPartitions(key)
+    placed = written(placed.select(*own, F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(at)), "sharded")
+    total, offsets = 0, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):
+        offsets.append((p, total))
         total += n
-    offsets = spark.createDataFrame(before, "_part int, _before long")
-    rank = F.col("_at") % F.lit(1 << 33) + F.col("_before")
-    shard = F.expr(f"_rank * {n_shards} div {max(total, 1)}")
-    first = F.expr(f"(_shard * {total} + {n_shards - 1}) div {n_shards}")
-    return placed.join(F.broadcast(offsets), "_part").withColumn("_rank", rank).withColumn("_shard", shard.cast("long")).select(*own, F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
+    first = spark.createDataFrame(offsets, f"`{part}` int, `{before}` long")
+    place = F.col(at) % F.lit(1 << 33) + F.col(before)
+    ranked = placed.join(F.broadcast(first), part).withColumn(rank, place)
+    ranked = ranked.withColumn(to, F.expr(f"`{rank}` * {n_shards} div {max(total, 1)}").cast("long"))
+    opens = F.expr(f"(`{to}` * {total} + {n_shards - 1}) div {n_shards}")
+    return ranked.select(*own, F.col(to).cast("int").alias("shard"), (F.col(rank) - opens).cast("long").alias("slot"))
 
 
-def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under the law `rows`; equal texts lie side by side on the curve."""
+def points(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, the point (x, y, z) of source, language and size, and its curve_index."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), bucket("source").alias("x"), bucket("lang").alias("y"))
-    docs = docs.withColumn("z", log_scale(F.col("size")))
-    h = hilbert_index(F.col("x"), F.col("y"), F.col("z"))
-    out = sharded(docs.withColumn("h", h), [F.col(c) for c in ("h", "size", "text_crc32", "doc_id")])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("curve_index"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), bucket("source").alias("x"), bucket("lang").alias("y"))
+    return rows.withColumn("z", log_scale(F.col("size"))).withColumn("curve_index", hilbert_index(F.col("x"), F.col("y"), F.col("z")))
+
+
+def sharded_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    return sharded(points(docs), [F.col(c) for c in ("curve_index", "size", "text_crc32", "doc_id")], n_shards)
+
+
+def manifest(shards: DataFrame) -> DataFrame:
+    """shard, rows, bytes and, as bits, the buckets of each dimension that its rows have."""
+    bits = [F.bit_or(F.expr(f"shiftleft(1L, {c})")).alias(c) for c in ("x", "y", "z")]
+    return shards.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *bits)
+
+
+def shards_with(told: DataFrame, dimension: str, at: Column) -> DataFrame:
+    """The shards that may hold rows whose bucket of a dimension is `at`."""
+    return told.filter(F.col(dimension).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at)) != 0).select("shard")
+
+
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the law `rows`, along the curve."""
+    out = sharded_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")

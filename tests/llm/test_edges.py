@@ -55,9 +55,19 @@ def test_minhash(docs, none):
     assert got[None, 2] == (None, True)
     assert [v for (i, _), v in got.items() if i == 6] == [(5, False)]
     assert minhash_dedup.deduplicated(docs).columns == docs.columns
+    # Of the two equal rows of document 4 one stays; rows without words or id all stay.
+    assert sorted(str(r.doc_id) for r in minhash_dedup.deduplicated(docs).collect()) == ["1", "2", "3", "4", "5", "None"]
     assert minhash_dedup.grouped(none).count() == 0
 
 
+def test_minhash_of_repeated_ids(spark):
+    df = spark.createDataFrame([(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "t u v w x y z"), (6, "t u v w x y z"), (8, "t u v w x y z"), (9, "k l m n o")], "doc_id long, text string").selectExpr("*", "1 AS _state")
+    assert {(r.doc_id, r.component_id) for r in minhash_dedup.grouped(df).collect()} == {(3, 3), (5, 3), (6, 3), (8, 3), (9, 9)}
+    assert sorted((r.doc_id, r.text) for r in minhash_dedup.deduplicated(df).collect()) == [(3, "a b c d e f g"), (9, "k l m n o")]
+    alone = df.filter("doc_id = 5")
+    assert [(r.doc_id, r.text) for r in minhash_dedup.deduplicated(alone).collect()] == [(5, "a b c d e f g")]
+
+
 def test_lm(docs, none):
     got = backoff_lm.scored(docs).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
@@ -80,6 +90,9 @@ def test_shards(spark, docs, none):
     got = hilbert_shards.sharded(docs, order, 3).collect()
     assert sorted(r.slot for r in got if r.shard == 0) == [0, 1, 2] and len(got) == len(ROWS)
     assert hilbert_shards.sharded(none, [none.doc_id], 3).count() == 0
+    clash = docs.selectExpr("doc_id", "1 AS _part", "2 AS _order", "3 AS _Before", "4 AS _rank", "5 AS _at", "6 AS slot")
+    out = hilbert_shards.sharded(clash, [clash.doc_id], 3)
+    assert out.columns == ["doc_id", "_part", "_order", "_Before", "_rank", "_at", "shard", "slot"] and {r._part for r in out.collect()} == {1}
 
 
 def test_chat(spark):

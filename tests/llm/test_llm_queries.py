@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evigrain.llm import backoff_lm, bpe, chat_format, components, grid_join, hilbert_shards, minhash_dedup, packing, queries, url_filter
@@ -418,16 +419,44 @@ def test_shards(spark, small, docs):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
-def test_curve_visits_neighbours():
+def curve_index(p, bits: int) -> int:
     ranks, nexts = hilbert_shards.curve_tables(3)
+    state = h = 0
+    for bit in reversed(range(bits)):
+        octant = sum((v >> bit & 1) << i for i, v in enumerate(p))
+        h, state = h * 8 + ranks[state * 8 + octant], nexts[state * 8 + octant]
+    return h
+
+
+def test_shards_follow_the_curve(spark, small):
+    got = queries.QUERIES["op10_hilbert_sharding"](spark, small).orderBy("shard", "slot").collect()
+    along = [r.curve_index for r in got]
+    assert along == sorted(along)
+    keys = [(r.curve_index, r.size, r.text_crc32, r.doc_id) for r in got]
+    assert keys == sorted(keys)
+    points = hilbert_shards.points(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    assert all(r.curve_index == curve_index((r.x, r.y, r.z), hilbert_shards.BITS) for r in points)
+
+
+def test_shards_are_skipped(spark, small, tmp_path):
+    """Shard files: a reader that asks the manifest finds all rows of a source, a language or a size, and skips files."""
+    out = hilbert_shards.sharded_documents(spark.read.parquet(f"{small}/documents.parquet"))
+    out.write.partitionBy("shard").parquet(f"{tmp_path}/shards")
+    files = spark.read.parquet(f"{tmp_path}/shards")
+    told = hilbert_shards.manifest(files).persist()
+    assert told.agg({"rows": "sum"}).first()[0] == files.count()
+    read, asked = 0, 0
+    for dim in ("x", "y", "z"):
+        for (v,) in files.select(dim).distinct().collect():
+            shards = [r.shard for r in hilbert_shards.shards_with(told, dim, F.lit(v)).collect()]
+            part = files.filter(files.shard.isin(shards) & (files[dim] == v))
+            assert part.count() == files.filter(files[dim] == v).count()
+            read, asked = read + len(shards), asked + 8
+    assert read < 0.6 * asked
 
-    def index(p):
-        state = h = 0
-        for bit in (2, 1, 0):
-            octant = sum((v >> bit & 1) << i for i, v in enumerate(p))
-            h, state = h * 8 + ranks[state * 8 + octant], nexts[state * 8 + octant]
-        return h
 
+def test_curve_visits_neighbours():
+    index = lambda p: curve_index(p, 3)
     cells = sorted((index((x, y, z)), x, y, z) for x in range(8) for y in range(8) for z in range(8))
     assert [c[0] for c in cells] == list(range(512))
     assert all(sum(abs(a - b) for a, b in zip(p[1:], q[1:])) == 1 for p, q in zip(cells, cells[1:]))
