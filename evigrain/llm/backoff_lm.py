@@ -103,7 +103,7 @@ class Tokens:
             self.ids += b["doc_id"].to_pylist()
         self.words = list(known)
         self.code, self.bounds = np.concatenate(codes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        self.learn = np.repeat(~held_out(self.ids), np.diff(self.bounds)).astype(float)
+        self.learn = np.repeat(~held_out(self.ids), np.diff(self.bounds))
 
     def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For 2 to `order`: the distinct n-grams, as ascending hashes, and of each token the place of the n-gram that
@@ -142,17 +142,22 @@ def _opened(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte planes apart, which compress well."""
-    return _squeezed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, byte planes apart: those of small numbers are zero and compress to nothing."""
+    return _squeezed(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(_opened(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def _numbers(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_opened(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(_opened(data), np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
 
 
 def _word_order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,22 +171,26 @@ ASKED = "kind int, bucket int, portion long, keys binary, counts binary"
 ANSWERS = "portion long, kind int, bucket int, counts binary, tokens long, types long"
 
 
+def _asks(t: Tokens, number: int, buckets: int, order: int) -> Iterator[list[tuple]]:
+    """The rows of one portion, a kind after another."""
+    to, bucket = _word_order(t.words, buckets)
+    n = np.bincount(t.code[t.learn], minlength=len(t.words))[to]
+    yield [(1, i, number, _squeezed(b"\n".join(t.words[k] for k in to[a:b].tolist())), _planes(n[a:b])) for i, a, b in _runs(bucket)]
+    for kind, (keys, place) in enumerate(t.grams(order), 2):
+        n = np.bincount(place[t.learn & (place >= 0)], minlength=len(keys))
+        yield [(kind, i, number, _packed(keys[a:b]), _planes(n[a:b])) for i, a, b in _runs(_gram_buckets(keys, buckets))]
+
+
 def asked(parts: DataFrame, buckets: int, order: int) -> DataFrame:
     """What each portion asks each bucket: distinct words (kind 1) and n-grams (kind n), with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch["portion"].to_pylist(), batch["data"]):
-                t = Tokens(data.as_buffer())
-                to, bucket = _word_order(t.words, buckets)
-                n = np.bincount(t.code, t.learn, len(t.words)).astype(np.int64)[to]
-                rows = [(1, i, number, _squeezed(b"\n".join(t.words[k] for k in to[a:b].tolist())), _squeezed(n[a:b].tobytes())) for i, a, b in _runs(bucket)]
-                for kind, (keys, place) in enumerate(t.grams(order), 2):
-                    n = np.bincount(place[place >= 0], t.learn[place >= 0], len(keys)).astype(np.int64)
-                    rows += [(kind, i, number, _packed(keys[a:b]), _squeezed(n[a:b].tobytes())) for i, a, b in _runs(_gram_buckets(keys, buckets))]
-                for i in range(0, len(rows), 64):
-                    columns = zip(*rows[i : i + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], [c.split()[0] for c in ASKED.split(", ")])
+                for rows in _asks(Tokens(data.as_buffer()), number, buckets, order):
+                    for i in range(0, len(rows), 64):
+                        columns = zip(*rows[i : i + 64])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], [c.split()[0] for c in ASKED.split(", ")])
 
     return parts.select("portion", "data").mapInArrow(run, ASKED)
 
@@ -191,7 +200,7 @@ def answers(asks: DataFrame) -> DataFrame:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("portion")
-        kind, counts = int(pdf["kind"].iloc[0]), [_counts(c) for c in pdf["counts"]]
+        kind, counts = int(pdf["kind"].iloc[0]), [_numbers(c) for c in pdf["counts"]]
         if kind == 1:
             column = pa.array([w for k in pdf["keys"] for w in _opened(k).split(b"\n")], pa.large_binary()).dictionary_encode()
             back, size = column.indices.to_numpy(), len(column.dictionary)
@@ -203,7 +212,7 @@ def answers(asks: DataFrame) -> DataFrame:
         once = np.zeros((2, len(pdf)), np.int64)
         if kind == 1:
             once[:, 0] = n.sum(), (n > 0).sum()
-        told = [_squeezed(x.tobytes()) for x in np.split(n[back], np.cumsum([len(c) for c in counts])[:-1])]
+        told = [_planes(x) for x in np.split(n[back], np.cumsum([len(c) for c in counts])[:-1])]
         return pd.DataFrame({"portion": pdf["portion"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": told, "tokens": once[0], "types": once[1]})
 
     return asks.groupBy("kind", "bucket").applyInPandas(add, ANSWERS)
@@ -299,7 +308,7 @@ def scored(docs: DataFrame, mu: float = MU, order: int = ORDER) -> DataFrame:
     def run(texts: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
         t = Tokens(texts["data"].iloc[0])
         arcs = arcs.sort_values(["kind", "bucket"])
-        totals = [np.concatenate([np.zeros(0, np.int64), *map(_counts, arcs["counts"][arcs["kind"] == k])]) for k in range(1, order + 1)]
+        totals = [np.concatenate([np.zeros(0, np.int64), *map(_numbers, arcs["counts"][arcs["kind"] == k])]) for k in range(1, order + 1)]
         words = np.empty(len(t.words), np.int64)
         words[_word_order(t.words, buckets)[0]] = totals[0]
         grams = [(place, total) for (_, place), total in zip(t.grams(order), totals[1:])]
