@@ -152,13 +152,18 @@ def _met(docs: DataFrame, places: DataFrame, t1: str, t2: str) -> DataFrame:
     return dealt_join(keyed, places, [t1, t2], "left", F.monotonically_increasing_id())
 
 
+def _once(c: Column) -> Column:
+    """A column behind a one-row generator, so that functions of its elements read it and don't compute it anew."""
+    return F.explode(F.array(c))
+
+
 def _segments(docs: DataFrame) -> DataFrame:
     """t1, t2, doc_id, a, b, u1 and u2 of each segment: the words from a to before b, and 96 bits that stand for them."""
     plain = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", VARIABLE, "$1<*>")).otherwise(F.col("text"))
-    words = docs.filter("text IS NOT NULL").select("doc_id", *_key(F.col("text")), F.split(F.trim(plain, F.lit(BLANKS)), r"[\x20\x09-\x0D]+").alias("w"))
+    words = docs.filter("text IS NOT NULL").select("doc_id", *_key(F.col("text")), _once(F.split(F.trim(plain, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")).alias("w"))
     after = F.array_compact(F.transform("w", lambda x, i: F.when(F.pmod(F.hash(x), F.lit(CUT)) == 0, i + 1)))
     # The ends of the text are cuts, too.
-    cuts = words.select("*", F.array_union(F.concat(F.array(F.lit(0)), after), F.array(F.size("w"))).alias("c"))
+    cuts = words.select("*", _once(F.array_union(F.concat(F.array(F.lit(0)), after), F.array(F.size("w")))).alias("c"))
     # Cuts are a word apart at least, so the first one that is LONG words on is among the next LONG.
     end = lambda x, j: F.coalesce(*[F.when(F.get("c", j + k) - x >= LONG, F.get("c", j + k)) for k in range(1, LONG + 1)])
     spans = F.filter(F.transform("c", lambda x, j: F.struct(x.alias("a"), end(x, j).alias("b"))), lambda x: x["b"].isNotNull())
@@ -182,7 +187,7 @@ def unrepeated(docs: DataFrame) -> DataFrame:
     both = _met(docs.select(*own), gone, t1, t2)
     # Words with the blanks before them; the blanks after the last one are added at the end.
     cut = F.when(F.col(out).isNotNull(), F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)))
-    both = both.select("*", cut.alias(pieces)).select("*", F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), out).alias(inside))
+    both = both.select("*", _once(cut).alias(pieces)).select("*", _once(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), out)).alias(inside))
     before = lambda k: F.when(k == 0, -1).otherwise(F.get(inside, k - 1))
     line = lambda i, k: (before(k) + 1 < i) & F.get(pieces, before(k) + 1).contains("\n") & ~F.get(pieces, i).contains("\n")
     word = lambda i, k: F.when(line(i, k), F.concat(F.lit("\n"), F.ltrim(F.get(pieces, i), F.lit(BLANKS)))).otherwise(F.get(pieces, i))
