@@ -7,7 +7,9 @@ once by (id, concept) and once by id.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -47,12 +49,19 @@ def validate(concepts: list[Concept]) -> None:
         raise ValueError("weights must be finite")
 
 
-def scored(records: DataFrame, concepts: list[Concept], decay: float = 0.5, most: int = 8) -> DataFrame:
-    """id, score > 0. records: id and one column per field."""
+def normal_fields(records: DataFrame) -> DataFrame:
+    """records (id and one column per field) with all fields as scored() compares them; worth keeping as a table."""
+    return records.select("id", *[T.normal_text(c).alias(c) for c in records.columns if c != "id"])
+
+
+def scored(records: DataFrame, concepts: list[Concept], decay: float = 0.5, most: int = 8, normal: bool = False) -> DataFrame:
+    """id, score > 0. records: id and one column per field; normal: they come from normal_fields()."""
     validate(concepts)
     names = [c for c in records.columns if c != "id"]
-    low = records.select("id", *[T.normal_text(c).alias(c) for c in names])
+    low = records if normal else normal_fields(records)
     everything = F.concat_ws(" ", *names)
+    # What holds no form at all is left out by plain searches before anything is counted.
+    some = F.lit(False)
     total = F.lit(0.0)
     for c in concepts:
         own = F.lit(0.0)
@@ -65,6 +74,55 @@ def scored(records: DataFrame, concepts: list[Concept], decay: float = 0.5, most
                 count = (T.token_count if f.match == "token" else T.phrase_count)(F.col(name), needle)
                 part = c.weight * max(0.0, f.weight) * max(0.0, weight)
                 if part > 0:
-                    own = own + F.when(allowed, F.lit(part) * T.discounted(count, decay, most)).otherwise(0.0)
+                    some = some | F.col(name).contains(needle)
+                    own = own + F.when(allowed & F.col(name).contains(needle), F.lit(part) * T.discounted(count, decay, most)).otherwise(0.0)
         total = total + (F.least(own, F.lit(c.cap())) if c.cap() > 0 else own)
-    return low.select("id", total.alias("score")).filter("score > 0")
+    # One row generator, so that the filter doesn't compute the score a second time.
+    return low.filter(some).select("id", F.explode(F.array(total)).alias("score")).filter("score > 0")
+
+
+# The default fields and their weights, other names of a specification's keys, and the limits of the fallback.
+ALIASES = {"concepts": ("concepts", "keywords"), "forms": ("surface_forms", "forms", "terms"), "fields": ("target_fields", "fields"), "weight": ("query_weight", "weight"), "name": ("name", "concept")}
+TOKEN_CHARS, FALLBACK_TERMS, FALLBACK_MULTIPLIER = 6, 24, 1.5
+
+
+def _first(d: dict, key: str, default=None):
+    return next((d[k] for k in ALIASES[key] if k in d), default)
+
+
+def coerced(value, fields: dict[str, float]) -> list[Concept]:
+    """A specification from a mapping, a list of concepts, their JSON, or a plain text (one concept of that form). A weight of 0
+    or nothing counts as 1; fields that a concept leaves out are the given ones."""
+    if isinstance(value, str):
+        try:
+            value = json.loads(value)
+        except ValueError:
+            value = [value]
+    if isinstance(value, dict):
+        value = _first(value, "concepts", [value])
+    out = []
+    for c in value or []:
+        c = {"forms": [c], "name": c} if isinstance(c, str) else c
+        forms = []
+        for f in _first(c, "forms", []):
+            f = {"text": f} if isinstance(f, str) else f
+            if text := str(f.get("text") or "").strip():
+                forms.append(Form(text, float(f.get("weight") or 1.0), f.get("match") or "phrase", tuple(f.get("cohit") or ())))
+        target = _first(c, "fields") or fields
+        target = dict.fromkeys(target, 1.0) if not isinstance(target, dict) else {k: float(w) for k, w in target.items()}
+        if forms:
+            out.append(Concept(str(_first(c, "name") or forms[0].text), tuple(forms), target, float(_first(c, "weight") or 1.0), float(c.get("multiplier") or 2.0)))
+    validate(out)
+    return out
+
+
+def from_query(query: str, fields: dict[str, float]) -> list[Concept]:
+    """The specification of a plain query: quoted parts, Latin species names and words of three characters or more, of which
+    the first 24 count; short ones match as tokens."""
+    quoted = re.findall(r'["“]([^"”]+)["”]', query)
+    species = re.findall(r"\b[A-Z][a-z]+ [a-z]{3,}\b", query)
+    words = re.findall(r"[\w.-]{3,}", query)
+    seen: dict[str, str] = {}
+    for t in [*quoted, *species, *words][:FALLBACK_TERMS]:
+        seen.setdefault(t.strip().lower(), t.strip())
+    return [Concept(t, (Form(t, 1.0, "token" if len(t) <= TOKEN_CHARS else "phrase"),), dict(fields), 1.0, FALLBACK_MULTIPLIER) for low, t in seen.items() if low]

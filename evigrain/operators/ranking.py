@@ -6,6 +6,9 @@ sums, and the only sort is the final top-k.
 
 from __future__ import annotations
 
+from collections import Counter
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,19 +36,48 @@ def inverse_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, query: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+class Index(NamedTuple):
+    """What BM25 asks of a corpus: postings (key, term, tf, dl), terms (term, df, idf) and stats (n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def index_tables(docs: DataFrame, key: str = "doc_id", column: str = "text") -> dict[str, DataFrame]:
+    """The tables of an index, to be written: postings and terms are sorted by term within ranges of terms, so that a
+    search reads the row groups of its terms only."""
+    tokens = docs.select(key, T.tokens(column).alias("w")).select(key, F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
+    postings = tokens.filter("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
+    lengths = doc_lengths(docs, key, column)
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n = stats.select("n")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    by_term = lambda t: t.repartitionByRange("term").sortWithinPartitions("term")
+    return {"postings": by_term(postings), "terms": by_term(terms), "stats": stats}
+
+
+def bm25(docs: DataFrame | Index, query: str, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, score for documents that hold a query term. A repeated query term counts again, unless it repeats at once.
 
-    If no score is positive, the score is the plain count of the distinct query terms."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(query,)], "q string").select(F.explode(T.tokens("q")).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    tf = term_counts(docs, key, column)
-    stats = doc_lengths(docs, key, column).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    idf = inverse_frequencies(tf, stats["n"])
-    # The query's terms are bounded by the query itself.
-    hits = tf.join(F.broadcast(wanted), "term").join(idf.join(F.broadcast(wanted.select("term")), "term", "left_semi"), "term").join(doc_lengths(docs, key, column), key)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1))))
-    scored = hits.groupBy(key).agg(F.sum(weight * F.col("qtf")).alias("weighted"), F.sum("tf").cast("double").alias("plain"))
+    If no score is positive, the score is the plain count of the distinct query terms. docs: an index that was
+    built before, or a table, whose index is then computed on the way. The query's terms reach the scan."""
+    index = docs if isinstance(docs, Index) else Index(**index_tables(docs, key, column))
+    spark = index.postings.sparkSession
+    wanted = Counter(spark.range(1).select(T.tokens(F.lit(query)).alias("w")).first()["w"])
+    if not wanted:
+        return index.postings.limit(0).select(key, F.lit(0.0).alias("score"))
+    avgdl = index.stats.first()["avgdl"]
+    idf = {r["term"]: r["idf"] for r in index.terms.filter(F.col("term").isin(list(wanted))).collect()}
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("term")]
+    hits = index.postings.filter(F.col("term").isin(list(idf)))
+    if not idf:
+        return hits.select(key, F.lit(0.0).alias("score"))
+    weight = of(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
+    scored = hits.groupBy(key).agg(F.sum(weight * of(dict(wanted))).alias("weighted"), F.sum("tf").cast("double").alias("plain"))
     best = scored.agg((F.max("weighted") > 0).alias("some"))
     return scored.join(F.broadcast(best)).select(key, F.when(F.col("some"), F.col("weighted")).otherwise(F.col("plain")).alias("score"))
 

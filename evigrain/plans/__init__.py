@@ -1,6 +1,6 @@
 """Every query by name, with its equivalent in SQL."""
 
-from evigrain.plans import analytics, details, graph, retrieval, text  # noqa: F401
+from evigrain.plans import analytics, details, graph, papers, retrieval, text  # noqa: F401
 from evigrain.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

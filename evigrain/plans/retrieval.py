@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from evigrain.functions import text as T
 from evigrain.operators import fusion, keywords, ranking
 from evigrain.plans.registry import query, table
+from evigrain.sources import store
 from evigrain.plans.text import KEPT_SQL
 
 WORDS = "the licensed under free the"
@@ -44,20 +45,27 @@ def idf(spark, d):
     return out.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _index(spark, d) -> ranking.Index:
+    """The index of the documents, built once and kept until their files change."""
+    docs = table(spark, d, "documents")
+    return ranking.Index(**store.kept(spark, f"{d}/documents.parquet", "bm25", lambda: ranking.index_tables(docs)))
+
+
 @query("a04_bm25", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25(spark, d):
-    return ranking.bm25(table(spark, d, "documents"), WORDS).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.bm25(_index(spark, d), WORDS).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("a05_bm25_fallback", f"WITH {TF} SELECT doc_id, sum(tf)::DOUBLE AS score FROM tf WHERE term = 'one-of-a-kind' GROUP BY doc_id")
+@query("a05_bm25_fallback", "SELECT doc_id, 2.0::DOUBLE * (1 + doc_id % 5) AS score FROM documents WHERE doc_id IS NOT NULL")
 def bm25_fallback(spark, d):
-    """A term that no document holds: no row, as there is nothing to count."""
-    return ranking.bm25(table(spark, d, "documents"), "one-of-a-kind")
+    """A corpus in which every text holds every word: no weight is positive anywhere, so scores are plain counts."""
+    docs = table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.expr("repeat('of the ', 1 + int(doc_id % 5))").alias("text"))
+    return ranking.bm25(docs, "of the")
 
 
 @query("v02_bm25_top", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT {TOP}) WHERE score > 0")
 def bm25_top(spark, d):
-    return ranking.top(ranking.bm25(table(spark, d, "documents"), WORDS), TOP, F.desc("score"), F.desc("doc_id"), positive=True).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.top(ranking.bm25(_index(spark, d), WORDS), TOP, F.desc("score"), F.desc("doc_id"), positive=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("n01_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
@@ -82,31 +90,6 @@ def dense_filtered(spark, d):
     return ranking.top(ranking.dense(v, _vector(spark, d)), TOP, F.desc("score"), F.desc("vec_id")).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-LISTS = f"""WITH {BM25}, {COS},
-b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT 50) WHERE score > 0),
-v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id DESC) AS rank FROM (SELECT * FROM cos ORDER BY score DESC, vec_id DESC LIMIT 50)),
-l AS (SELECT id, rank, 0 AS list, 1.0::DOUBLE / (60 + rank) AS part FROM v UNION ALL SELECT id, rank, 1, 1.0::DOUBLE / (60 + rank) FROM b),
-f AS (SELECT id, sum(part) AS score, min({{'l': list, 'r': rank}}) AS first FROM l GROUP BY id)"""
-
-
-def _fused(spark, d):
-    docs = ranking.top(ranking.bm25(table(spark, d, "documents"), WORDS), 50, F.desc("score"), F.desc("doc_id"), positive=True).withColumnRenamed("doc_id", "id")
-    vectors = ranking.top(ranking.dense(table(spark, d, "embeddings"), _vector(spark, d)), 50, F.desc("score"), F.desc("vec_id")).withColumnRenamed("vec_id", "id")
-    order = (F.desc("score"), F.desc("id"))
-    return ranking.rrf([(ranking.ranked(vectors, *order), 1.0), (ranking.ranked(docs, *order), 1.0)])
-
-
-@query("a06_rrf", LISTS + " SELECT id, round(score, 8) AS score FROM f")
-def rrf(spark, d):
-    return _fused(spark, d).select("id", F.round("score", 8).alias("score"))
-
-
-@query("v04_hybrid", LISTS + f" SELECT id, round(score, 8) AS score FROM f ORDER BY f.score DESC, first LIMIT {TOP}")
-def hybrid(spark, d):
-    """Sparse and dense rankings, fused; ties go to the first list, then to the rank in it."""
-    return _fused(spark, d).orderBy(F.desc("score"), "first").limit(TOP).select("id", F.round("score", 8).alias("score"))
-
-
 SPEC = [keywords.Concept("licence", (keywords.Form("licensed under", 1.0), keywords.Form("license", 0.5, "token")), {"text": 1.0, "source": 0.5}), keywords.Concept("source", (keywords.Form("src1", 2.0, "phrase", ("the", "und")),), {"source": 1.5}, 0.8, 1.5)]
 _N = r"lower(trim(regexp_replace(translate({x}, '‐‑‒–—−', '------'), '\s+', ' ', 'g')))"
 _D = "(CASE WHEN {n} <= 0 THEN 0.0 ELSE (1 - pow(0.5, least({n}, 8))) / 0.5 END)"
@@ -118,7 +101,9 @@ k AS (SELECT id, least({_PARTS}, 2.0) + least(CASE WHEN contains(t || ' ' || s,
 
 
 def _keyword(spark, d):
-    return keywords.scored(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source"), SPEC)
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    fields = store.kept(spark, f"{d}/documents.parquet", "fields", lambda: {"fields": keywords.normal_fields(rows)})["fields"]
+    return keywords.scored(fields, SPEC, normal=True)
 
 
 @query("a07_keyword_scores", KEYWORD_SQL + " SELECT id, round(score, 6) AS score FROM k WHERE score > 0")
@@ -131,6 +116,56 @@ def keyword_top(spark, d):
     return ranking.top(_keyword(spark, d), TOP, F.desc("score"), F.asc("id")).select("id", F.round("score", 6).alias("score"))
 
 
+FIELD_WEIGHT = 1.15
+DEPTH = 50
+LISTS = f"""WITH {BM25}, {COS}, {KEYWORD_SQL.removeprefix("WITH ")},
+b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT {DEPTH}) WHERE score > 0),
+v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id DESC) AS rank FROM (SELECT * FROM cos ORDER BY score DESC, vec_id DESC LIMIT {DEPTH})),
+w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM k WHERE score > 0 ORDER BY k.score DESC, id LIMIT {DEPTH})),
+l AS (SELECT id, rank, 0 AS list, 1.0::DOUBLE / (60 + rank) AS part FROM v UNION ALL SELECT id, rank, 1, 1.0::DOUBLE / (60 + rank) FROM b UNION ALL SELECT id, rank, 2, {FIELD_WEIGHT}::DOUBLE / (60 + rank) FROM w)"""
+FUSED = ", f AS (SELECT id, sum(part) AS score, min({'l': list, 'r': rank}) AS first FROM l GROUP BY id)"
+
+
+def _legs(spark, d, vector) -> list:
+    """The dense, BM25 and field lists with their weights. Without a query vector, as when no model answers, the dense list is left
+    out; so is a list without hits, whose weight moves nothing."""
+    legs = []
+    if vector is not None:
+        dense = ranking.top(ranking.dense(table(spark, d, "embeddings"), vector), DEPTH, F.desc("score"), F.desc("vec_id"))
+        legs.append((ranking.ranked(dense.withColumnRenamed("vec_id", "id"), F.desc("score"), F.desc("id")), 1.0))
+    docs = ranking.top(ranking.bm25(_index(spark, d), WORDS), DEPTH, F.desc("score"), F.desc("doc_id"), positive=True)
+    legs.append((ranking.ranked(docs.withColumnRenamed("doc_id", "id"), F.desc("score"), F.desc("id")), 1.0))
+    fields = ranking.top(_keyword(spark, d), DEPTH, F.desc("score"), F.asc("id"))
+    return [*legs, (ranking.ranked(fields, F.desc("score"), F.asc("id")), FIELD_WEIGHT)]
+
+
+@query("a06_rrf", LISTS + FUSED + " SELECT id, round(score, 8) AS score FROM f")
+def rrf(spark, d):
+    return ranking.rrf(_legs(spark, d, _vector(spark, d))).select("id", F.round("score", 8).alias("score"))
+
+
+def _best(fused):
+    return fused.orderBy(F.desc("score"), "first").limit(TOP).select("id", F.round("score", 8).alias("score"))
+
+
+@query("v04_hybrid", LISTS + FUSED + f" SELECT id, round(score, 8) AS score FROM f ORDER BY f.score DESC, first LIMIT {TOP}")
+def hybrid(spark, d):
+    """Dense, sparse and field rankings, fused; ties go to the first list, then to the rank in it."""
+    return _best(ranking.rrf(_legs(spark, d, _vector(spark, d))))
+
+
+@query("v04_hybrid_without_vector", LISTS + FUSED.replace("FROM l", "FROM l WHERE list > 0") + f" SELECT id, round(score, 8) AS score FROM f ORDER BY f.score DESC, first LIMIT {TOP}")
+def hybrid_without_vector(spark, d):
+    return _best(ranking.rrf(_legs(spark, d, None)))
+
+
+@query("t05_candidate_depth", "SELECT doc_id, greatest(doc_id % 40, 25)::BIGINT AS depth, greatest(4 * (doc_id % 40), 50)::BIGINT AS asked FROM documents")
+def candidate_depth(spark, d):
+    """How many candidates a hybrid search takes: those to show, or those to rank anew; and how many its caller asks for."""
+    k = F.col("doc_id") % 40
+    return table(spark, d, "documents").select("doc_id", F.greatest(k, F.lit(25)).alias("depth"), F.greatest(4 * k, F.lit(50)).alias("asked"))
+
+
 @query("f05_phrase_count", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::INT AS n FROM documents")
 def phrase_count(spark, d):
     return table(spark, d, "documents").select("doc_id", T.phrase_count(F.col("text"), "the").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +10,19 @@ BUCKETS = ("Pathway_Genes", "Regulation_Genes", "Common_Genes", "Plant_Genes")
 PAPER = f"Title STRING, Journal STRING, DOI STRING, {', '.join(f'{b} {GENES}' for b in BUCKETS)}"
 
 
+def _paper_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.schema(PAPER + ", _broken STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", "*.json").json(folder)
+    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
 def papers(spark: SparkSession, folder: str) -> DataFrame:
     """One row per JSON file, with its name. The schema is given, not inferred; files that don't parse are left out."""
-    rows = spark.read.schema(PAPER).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
-    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return _paper_rows(spark, folder).filter("_broken IS NULL").drop("_broken")
+
+
+def broken_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """The names of the JSON files that don't parse, and their titles as far as they could be read."""
+    return _paper_rows(spark, folder).filter("_broken IS NOT NULL").select("file", "Title")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,29 +47,3 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 def accessions(spark: SparkSession, path: str) -> DataFrame:
     """species, gene, accession of rows with three fields and an accession."""
     return spark.read.option("sep", "\t").schema("species STRING, gene STRING, accession STRING").csv(path).filter("trim(accession) <> ''")
-
-
-def published(df: DataFrame, root: str, name: str) -> str:
-    """Write df as a generation of its own and point CURRENT at it once it is complete and its rows are counted."""
-    spark = df.sparkSession
-    path = f"{root}/{name}"
-    df.write.mode("errorifexists").parquet(path)
-    note = json.dumps({"generation": name, "rows": spark.read.parquet(path).count()})
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    pointer, fresh = hadoop(f"{root}/CURRENT"), hadoop(f"{root}/CURRENT.{name}")
-    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fresh, True)
-    out.write(bytearray(note.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
-    return path
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The generation that CURRENT names. A bad pointer or a wrong number of rows is an error, never a silent fallback."""
-    note = json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/CURRENT").limit(2).collect()))
-    df = spark.read.parquet(f"{root}/{note['generation']}")
-    if df.count() != note["rows"]:
-        raise ValueError(f"generation {note['generation']} does not hold {note['rows']} rows")
-    return df
