@@ -1,16 +1,17 @@
 """Operator 5, line dedup by a log-template tree.
 
 Lines are parsed down a tree of fixed depth: number of tokens, then the first DEPTH tokens, where a token with a
-digit is the variable `<*>`. In a leaf a line's leads are found by parts: a line of n tokens that agrees with
-another in `similar` of its positions shares one of floor(n * (1 - similar)) + 1 equal parts with it. In each part
-the most frequent line is the lead; a line joins the most frequent of its leads that it agrees with. So a leaf
-may hold any number of templates: each is a lead with the lines that joined it and those that joined these. A
+digit is the variable `<*>`. In a leaf a line's leads are found by parts: of two lines that agree in `similar` of
+their n positions, one of floor(n * (1 - similar)) + 1 parts of what follows the leading tokens is the same. Of the
+lines that share a part the most frequent is the lead (of equals, that with the greatest key); a line joins the
+foremost of its leads that it agrees with and that comes before it in this order. So a leaf may hold any number of
+templates: each is a lead with the lines that joined it and those that joined these. A
 template recurs if it is found in enough different texts: long_texts for lines of long_tokens tokens or more,
 short_texts for lines of short_tokens or more; shorter lines never count (see Rule, a parameter). The text of the
 least doc_id that holds a recurring template keeps its line, as do texts equal to it; all other texts lose theirs.
 
-All of it is DataFrame functions. Leaves found in one text only are left out before any line's text is
-shuffled; leaf and line keys are hashes that are partially aggregated, so a line that a third of all documents
+All of it is DataFrame functions. Leaves found in one text only are left out before anything but keys is
+shuffled, and only lines with a possible lead are compared, and so moved, as texts; leaf and line keys are hashes that are partially aggregated, so a line that a third of all documents
 hold is one row a task. A join of all lines or texts with a table of keys broadcasts the keys if they are few,
 which is counted, and else deals hot keys over parts. Texts meet the places of their dropped lines in one join by
 text hash.
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrain.llm.components import components
-from evigrain.llm.shared import dealt_join, near_join, private, table, written
+from evigrain.llm.shared import dealt_join, hot_keys, near_join, private, table, written
 
 DEPTH = 3
 
@@ -75,7 +76,17 @@ def _lines(docs: DataFrame, rule: Rule) -> DataFrame:
     counted = F.transform(masked, lambda x: F.struct(x.alias("masked"), (gaps(x) + 1).alias("n")))
     rows = docs.filter("text IS NOT NULL").select("doc_id", *_key(F.col("text")), F.posexplode(counted).alias("at", "x"))
     rows = rows.filter(F.col("x.n") >= rule.short_tokens).select("doc_id", "t1", "t2", "at", "x.n", "x.masked")
-    return rows.select("*", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("line"))
+    number = F.conv(F.substring(F.md5("masked"), 1, 15), 16, 10).cast("long")
+    return rows.select("*", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), number.alias("line"), _parts(rule).alias("parts"))
+
+
+def _parts(rule: Rule) -> Column:
+    """Keys of the parts of the tokens behind the leading ones; none where all positions must agree."""
+    many = F.floor(F.col("n") * (100 - rule.similar) / 100) + 1
+    cut = lambda i: (DEPTH + F.floor(i * (F.col("n") - DEPTH) / many)).cast("int")
+    # The tokens are bound to a variable, so that they are split once.
+    keys = lambda w: F.transform(F.sequence(F.lit(0), (many - 1).cast("int")), lambda i: F.xxhash64(i, F.slice(w, cut(i) + 1, cut(i + 1) - cut(i))))
+    return F.when(many > 1, F.transform(F.array(F.split("masked", " ")), keys)[0]).otherwise(F.array().cast("array<long>"))
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -88,23 +99,22 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("t1").alias("k1"), F.col("t2").alias("k2")))
 
 
-def templates(named: DataFrame, similar: int) -> DataFrame:
-    """leaf, line, template: of the lines (leaf, line, n, texts, masked) that share a template with another. The
-    template is one of its lines, as a struct."""
-    words = F.split("masked", " ")
-    many = F.floor(F.col("n") * (100 - similar) / 100) + 1
-    cut = lambda i: F.floor(i * F.col("n") / F.col("many")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), (F.col("many") - 1).cast("int")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(F.col("w"), cut(i) + 1, cut(i + 1) - cut(i))).alias("part")))
-    rows = named.select("leaf", "line", "n", "texts", "masked", words.alias("w"), many.alias("many"))
-    part = written(rows.select("leaf", "line", "n", "texts", "masked", F.explode(parts).alias("p")).select("leaf", "line", "n", "texts", "masked", "p.*"), "parts")
-    keys = ["leaf", "n", "i", "part"]
-    lead = part.groupBy(*keys).agg(F.count("*").alias("lines"), F.max_by(F.struct(F.col("line").alias("lead"), F.col("masked").alias("lead_masked"), F.col("texts").alias("lead_texts")), F.struct("texts", "masked")).alias("m"))
-    met = dealt_join(part, lead.filter("lines > 1").select(*keys, "m.*"), keys).filter("line <> lead")
-    alike = met.filter(100 * _agree(F.col("masked"), F.col("lead_masked")) >= similar * F.col("n"))
-    joins = alike.groupBy("leaf", "line").agg(F.max_by("lead", F.struct("lead_texts", "lead_masked")).alias("lead"), F.max(F.struct("lead_texts", "lead_masked")).alias("best"), F.any_value(F.struct("texts", "masked")).alias("own"))
-    # A line leads others of its parts, but joins only what is more frequent than itself.
-    links = joins.filter((F.col("best.lead_texts") > F.col("own.texts")) | ((F.col("best.lead_texts") == F.col("own.texts")) & (F.col("best.lead_masked") > F.col("own.masked"))))
-    comp = components(links.select(F.struct("leaf", "line").alias("a"), F.struct("leaf", F.col("lead").alias("line")).alias("b")))
+def templates(lines: DataFrame, keys: DataFrame, similar: int) -> DataFrame:
+    """leaf, line, template: of the lines (leaf, line, n, texts, parts) that share a template with another. The
+    template is one of its lines, as a struct. keys: where the lines' masked text is."""
+    part = lines.filter("size(parts) > 0").select("leaf", "line", "n", "texts", F.explode("parts").alias("part"))
+    lead = part.groupBy("leaf", "part").agg(F.count("*").alias("lines"), F.max(F.struct("texts", "line")).alias("lead")).filter("lines > 1")
+    part = written(part, "parts")
+    met = dealt_join(part, lead.select("leaf", "part", "lead"), ["leaf", "part"]).filter("struct(texts, line) < lead")
+    pairs = written(met.select("leaf", "line", "n", F.col("lead.line").alias("lead"), F.col("lead.texts").alias("lead_texts")).distinct(), "pairs")
+    wanted = written(pairs.select("leaf", "line").unionByName(pairs.select("leaf", F.col("lead").alias("line"))).distinct(), "wanted")
+    masked = near_join(keys.select("leaf", "line", "masked"), wanted, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"))
+    masked = written(masked, "masked")
+    both = dealt_join(pairs, masked, ["leaf", "line"])
+    both = dealt_join(both, masked.select("leaf", F.col("line").alias("lead"), F.col("masked").alias("lead_masked")), ["leaf", "lead"], hot=hot_keys(pairs.select("leaf", "lead")))
+    alike = both.filter(100 * _agree(F.col("masked"), F.col("lead_masked")) >= similar * F.col("n"))
+    joins = alike.groupBy("leaf", "line").agg(F.max(F.struct("lead_texts", "lead")).alias("best"))
+    comp = components(joins.select(F.struct("leaf", "line").alias("a"), F.struct("leaf", F.col("best.lead").alias("line")).alias("b")))
     return comp.select("node.leaf", "node.line", F.col("component").alias("template"))
 
 
@@ -117,11 +127,11 @@ def recurring(keys: DataFrame, rule: Rule = RULE) -> DataFrame:
     each = near_join(short, live.select("leaf"), ["leaf"], "left_semi").groupBy("leaf", "line", "t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     each = written(each, "lines")
     per = written(each.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.max("n").alias("n")), "per")
-    # Only leaves with different lines need their text: there, lines are compared with their leads.
+    # Only in leaves with different lines is there anything to compare.
     several = written(live.filter("several").select("leaf"), "several")
-    masked = near_join(keys.select("leaf", "line", "masked"), several, ["leaf"], "left_semi").groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"))
-    named = written(masked.join(per.hint("merge"), ["leaf", "line"]), "named")
-    of = per.join(templates(named, rule.similar).hint("merge"), ["leaf", "line"], "left")
+    parts = near_join(keys.select("leaf", "line", "parts"), several, ["leaf"], "left_semi").groupBy("leaf", "line").agg(F.any_value("parts").alias("parts"))
+    lines = written(parts.join(per.hint("merge"), ["leaf", "line"]), "several_lines")
+    of = per.join(templates(lines, keys, rule.similar).hint("merge"), ["leaf", "line"], "left")
     of = written(of.select("leaf", "line", "n", F.coalesce("template", F.struct("leaf", "line")).alias("template")), "templates")
     # A text counts once for a template, however many of its lines have it.
     member = dealt_join(each.select("leaf", "line", "t1", "t2", "doc_id"), of, ["leaf", "line"])
@@ -224,10 +234,11 @@ toks AS (SELECT r, doc_id, text, pos, list_transform(regexp_extract_all(raw, '{_
 lines AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS masked, array_to_string(w[1:{DEPTH}], ' ') AS lead FROM toks WHERE len(w) >= {RULE.short_tokens}),
 texts AS (SELECT n, lead, masked, text, min(doc_id) AS doc_id FROM lines GROUP BY ALL),
 per AS (SELECT n, lead, masked, count(*) AS c, n * (100 - {RULE.similar}) // 100 + 1 AS many FROM texts GROUP BY ALL),
-part AS (SELECT n, lead, masked, c, i, string_split(masked, ' ')[i * n // many + 1 : (i + 1) * n // many] AS part FROM per, unnest(range(many)) AS u(i)),
-top AS (SELECT n, lead, i, part, max({{'c': c, 'm': masked}}) AS top FROM part GROUP BY ALL),
+ids AS (SELECT *, ('0x' || substr(md5(masked), 1, 15))::BIGINT AS line FROM per),
+part AS (SELECT n, lead, masked, line, c, i, string_split(masked, ' ')[{DEPTH} + i * (n - {DEPTH}) // many + 1 : {DEPTH} + (i + 1) * (n - {DEPTH}) // many] AS part FROM ids, unnest(range(many)) AS u(i) WHERE many > 1),
+top AS (SELECT n, lead, i, part, max({{'c': c, 'l': line, 'm': masked}}) AS top FROM part GROUP BY ALL),
 best AS (SELECT n, lead, masked, max(top) AS best FROM part JOIN top USING (n, lead, i, part)
-  WHERE {{'c': c, 'm': masked}} < top AND 100 * len(list_filter(list_zip(string_split(masked, ' '), string_split(top.m, ' ')), lambda x: x[1] = x[2])) >= {RULE.similar} * n GROUP BY ALL),
+  WHERE {{'c': c, 'l': line, 'm': masked}} < top AND 100 * len(list_filter(list_zip(string_split(masked, ' '), string_split(top.m, ' ')), lambda x: x[1] = x[2])) >= {RULE.similar} * n GROUP BY ALL),
 walk AS (SELECT n, lead, masked, masked AS spot, 0 AS steps FROM per UNION ALL SELECT w.n, w.lead, w.masked, b.best.m, steps + 1 FROM walk w JOIN best b ON w.n = b.n AND w.lead = b.lead AND w.spot = b.masked),
 tem AS (SELECT n, lead, masked, arg_max(spot, steps) AS template FROM walk GROUP BY ALL),
 memb AS (SELECT n, lead, template, text, min(doc_id) AS doc_id FROM texts JOIN tem USING (n, lead, masked) GROUP BY ALL),
