@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from evigrain.sources import store
 
 MAX_HOPS = 4
 
@@ -31,29 +34,152 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
 
 
-def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "both") -> DataFrame:
-    """The distinct edges within `hops` of the seeds (id), each with the hop that reaches it first."""
+def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "both", limit: int | None = None) -> DataFrame:
+    """The distinct edges within `hops` of the seeds (id), each with the hop that reaches it first. limit: so many
+    edges in all; nearer hops come first, and within one the order is that of src, dst and relation."""
     ways = steps(edges, direction)
-    frontier, seen, found = seeds.select("id"), seeds.select("id"), None
+    frontier, seen, found, left = seeds.select("id").distinct(), seeds.select("id").distinct(), None, limit
+    key = ["src", "dst", "relation"]
     for hop in range(1, max(1, min(hops, MAX_HOPS)) + 1):
-        met = frontier.join(ways, F.col("id") == F.col("at")).select("src", "dst", "relation", F.lit(hop).alias("hop"), "to")
-        found = met.drop("to") if found is None else found.unionByName(met.drop("to"))
-        frontier = met.select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti")
+        met = frontier.join(ways, F.col("id") == F.col("at")).groupBy(*key).agg(F.collect_set("to").alias("to"))
+        if found is not None:
+            met = met.join(found.select(*key), key, "left_anti")
+        if left is not None:
+            met = met.orderBy(*key).limit(left)
+        # Each hop is written: the next one, and the result, read it instead of walking again.
+        met = store.cut(met)
+        here = met.select(*key, F.lit(hop).alias("hop"))
+        found = here if found is None else found.unionByName(here)
+        if hop == hops:
+            break
+        if left is not None and (left := left - met.count()) <= 0:
+            break
+        frontier = store.cut(met.select(F.explode("to").alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = seen.unionByName(frontier)
-    return found.groupBy("src", "dst", "relation").agg(F.min("hop").alias("hop"))
+    return found
 
 
-def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Simple paths from starts to targets (id) of at most `hops` edges, either way along them: nodes, length."""
+def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, hops: int, limit: int | None = None) -> DataFrame:
+    """Simple paths from starts to targets (id) of at most `hops` edges, either way along them: nodes, length. limit: the
+    shortest so many, of equals in the order of their nodes."""
     ways = steps(edges).select("at", "to").distinct()
     walk = starts.select(F.array("id").alias("nodes"), F.col("id").alias("end"))
-    goal, found = targets.select(F.col("id").alias("goal")), None
+    goal, found = targets.select(F.col("id").alias("goal")).distinct(), None
     for length in range(1, max(1, min(hops, MAX_HOPS)) + 1):
         walk = walk.join(ways, F.col("end") == F.col("at")).filter(~F.array_contains("nodes", F.col("to"))).select(F.concat("nodes", F.array("to")).alias("nodes"), F.col("to").alias("end"))
-        here = walk.join(goal, F.col("end") == F.col("goal")).select("nodes", F.lit(length).alias("length"))
+        walk = store.cut(walk.join(goal, F.col("end") == F.col("goal"), "left").select("nodes", "end", F.col("goal").isNotNull().alias("there")))
+        here = walk.filter("there").select("nodes", F.lit(length).alias("length"))
         found = here if found is None else found.unionByName(here)
-        walk = walk.join(goal, F.col("end") == F.col("goal"), "left_anti")
-    return found
+        walk = walk.filter("NOT there").select("nodes", "end")
+    return found if limit is None else found.orderBy("length", "nodes").limit(limit)
+
+
+def with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with src_name and dst_name; a node that isn't there is shown by its id."""
+    name = lambda end: nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    both = edges.join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    return both.select(*edges.columns, *[F.coalesce(f"{e}_name", e).alias(f"{e}_name") for e in ("src", "dst")])
+
+
+def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among the nodes."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids, edges.src == ids.id, "left_semi").join(ids, edges.dst == ids.id, "left_semi")
+
+
+def capped(edges: DataFrame, nodes: DataFrame, most_edges: int = 40, most_nodes: int = 80) -> tuple[DataFrame, DataFrame]:
+    """A graph to show: so many edges, then so many nodes, the ends of these edges first; in the order of their keys."""
+    e = edges.orderBy("src", "dst", "relation").limit(most_edges)
+    ends = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("end", F.lit(0))
+    ranked = nodes.join(ends, "id", "left").withColumn("end", F.coalesce("end", F.lit(1)))
+    return e, ranked.orderBy("end", "id").limit(most_nodes).drop("end")
+
+
+def checked_types(rows: DataFrame, column: str, known: tuple[str, ...]) -> DataFrame:
+    """rows, if all have a known type; else an error that names the first unknown one."""
+    fits = F.col(column).isin(*known)
+    return rows.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(column, F.lit("null")))).cast("boolean")))
+
+
+def resolved(queries: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
+    """query, id, tier, score for up to `limit` nodes of each query: those whose name it is (score 1), else those that
+    share words with it (at most 0.95), else those whose name holds it (0.5): the first tier that finds any. Genes come
+    first, then metabolites, then others, each by score and name.
+
+    queries: a bounded table (query); names meet it by equi-joins on names and words, and the last tier, which has to
+    look into every name, only for what the others left."""
+    q = F.broadcast(queries.select("query", F.lower(F.trim("query")).alias("norm")).distinct())
+    n = nodes.select("id", "name", "type", F.lower(F.trim("name")).alias("norm"))
+    exact = n.join(q, "norm").select("query", "id", "type", "name", F.lit(0).alias("tier"), F.lit(1.0).alias("score"))
+    rest = q.join(exact.select("query").distinct(), "query", "left_anti")
+    words = lambda t: t.select("*", F.explode(F.array_distinct(F.filter(F.split("norm", r"\W+"), lambda w: w != ""))).alias("word"))
+    shared = words(n).join(F.broadcast(words(rest).select("query", "word")), "word").groupBy("query", "id", "type", "name").agg(F.count("*").alias("n"))
+    text = shared.select("query", "id", "type", "name", F.lit(1).alias("tier"), F.least(F.lit(0.95), 0.65 + F.col("n") / 100).alias("score"))
+    last = rest.join(text.select("query").distinct(), "query", "left_anti")
+    fuzzy = n.withColumnRenamed("norm", "full").join(F.broadcast(last), F.col("full").contains(F.col("norm"))).select("query", "id", "type", "name", F.lit(2).alias("tier"), F.lit(0.5).alias("score"))
+    kind = F.when(F.col("type") == "Gene", 0).when(F.col("type") == "Metabolite", 1).otherwise(2)
+    # Of the last tier short names come first.
+    order = [kind, F.desc("score"), F.when(F.col("tier") == 2, F.length("name")).otherwise(0), "name", "id"]
+    place = F.row_number().over(W.partitionBy("query").orderBy(*order))
+    return exact.unionByName(text).unionByName(fuzzy).withColumn("place", place).filter(F.col("place") <= limit).select("query", "id", "tier", "score", "place")
+
+
+def species_kept(rows: DataFrame, column: str, wanted: str) -> DataFrame:
+    """Rows without a species, or whose species' name holds the wanted one."""
+    s = F.lower(F.trim(F.coalesce(column, F.lit(""))))
+    return rows.filter((s == "") | s.contains(wanted.lower()))
+
+
+def rendered_paths(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes, text: each path as `- a -[:RELATION]-> b` lines, one for each step, along the edge whichever way it goes."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(i.alias("i"), F.get("nodes", i).alias("a"), F.get("nodes", i + 1).alias("b")))
+    step = found.select("nodes", F.explode(pairs).alias("p")).select("nodes", "p.*")
+    ways = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "relation").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "src", "dst", "relation"))
+    line = F.concat(F.lit("- "), "src", F.lit(" -[:"), "relation", F.lit("]-> "), "dst")
+    each = step.join(ways, ["a", "b"]).groupBy("nodes", "i").agg(F.min(line).alias("line"))
+    return each.groupBy("nodes").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def path_evidence(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One evidence row for all paths (id, score) with what supports them (id, at, doi, journal): the best score, the
+    first DOI and the first journal that are there; no row without paths."""
+    told = found.join(evidence, "id", "left")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("id", "at"))).alias(c)
+    return told.agg(F.count_distinct("id").alias("paths"), F.max("score").alias("score"), first("doi"), first("journal")).filter("paths > 0")
+
+
+def summary(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFrame:
+    """One row: how many nodes and edges a graph has, and its first seeds by name."""
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    some = seeds.select("name").distinct().orderBy("name").limit(most).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("seeds"))
+    return ends.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges")))).join(F.broadcast(some))
+
+
+def static_graph(genes: DataFrame, blanks: tuple[str, ...] = ("", "NA")) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type) and edges (src, dst) of substrate -> gene -> product for genes (ord, name, substrate, product), whose
+    substrates and products are lists with semicolons. Of clashing names the type that came last counts."""
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: ~x.isin(*blanks))
+    rows = genes.filter(~F.trim("name").isin(*blanks)).select("ord", F.trim("name").alias("gene"), parts(F.col("substrate")).alias("s"), parts(F.col("product")).alias("p"))
+    into = rows.select("ord", F.explode("s").alias("src"), F.col("gene").alias("dst"))
+    out = rows.select("ord", F.col("gene").alias("src"), F.explode("p").alias("dst"))
+    node = lambda df, id_, type_, place: df.select(F.col(id_).alias("id"), F.lit(type_).alias("type"), F.struct("ord", F.lit(place).alias("place")).alias("when"))
+    all_ = node(rows, "gene", "Gene", 0).unionByName(node(into, "src", "Substrate", 1)).unionByName(node(out, "dst", "Product", 2))
+    return all_.groupBy("id").agg(F.max_by("type", "when").alias("type")), into.select("src", "dst").union(out.select("src", "dst")).distinct()
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """id, component: the least id that edges reach, whatever their direction. Each round takes the least label of
+    the neighbours and then the label of that label, so that chains shorten by half; every round is written."""
+    ways = store.cut(steps(edges.withColumn("relation", F.lit(""))).select("at", "to").distinct())
+    labels = store.cut(ways.groupBy("at").agg(F.min("to").alias("m")).select(F.col("at").alias("id"), F.least("at", "m").alias("component")))
+    while True:
+        near = ways.join(labels.select(F.col("id").alias("to"), "component"), "to").groupBy("at").agg(F.min("component").alias("m"))
+        least = labels.join(near, F.col("id") == F.col("at")).select("id", F.least("component", "m").alias("component"))
+        of = least.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        after = store.cut(least.join(of, "component").select("id", F.least("component", "above").alias("component")))
+        if after.join(labels, ["id", "component"], "left_anti").isEmpty():
+            return after
+        labels = after
 
 
 def path_score(length: Column, bits: Column) -> Column:
@@ -66,3 +192,9 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges and the mean degree."""
     n, m = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges"))
     return n.join(F.broadcast(m)).select("nodes", "edges", F.round(2 * F.col("edges") / F.greatest("nodes", F.lit(1)), 6).alias("mean_degree"))
+
+
+def by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (node, edge), type, n; nodes: (id, type)."""
+    n = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "type", "n")
+    return n.unionByName(edges.groupBy(F.col("relation").alias("type")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "type", "n"))

@@ -110,6 +110,13 @@ def root_of(spark: SparkSession) -> str:
     return folder.rstrip("/") + "/evigrain-store"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a written table, which ends its lineage: what follows reads it instead of computing it again."""
+    path = f"{root_of(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _opened: dict[tuple, dict[str, DataFrame]] = {}
 
 
