@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evigrain.operators import fusion
+
 BATCH = 12
 
 
@@ -45,6 +47,76 @@ def manifest_diff(manifest: DataFrame, files: DataFrame, version: str) -> DataFr
 
 
 def cursors(counts: DataFrame) -> DataFrame:
-    """start and end of each file's chunks in file order; one row per file, so the ordered window is over file names only."""
-    end = F.sum("n_chunks").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, 0))
-    return counts.withColumn("end", end).withColumn("start", F.col("end") - F.col("n_chunks"))
+    """start and end of each file's chunks in file order."""
+    return fusion.running(counts, "file", F.col("n_chunks")).select(*counts.columns, F.col("before").alias("start"), (F.col("before") + F.col("n_chunks")).alias("end"))
+
+
+def collected(extractions: DataFrame, buckets: tuple[str, ...]) -> DataFrame:
+    """file, bucket, place, gene: the genes of all buckets, each with its place in its own."""
+    out = None
+    for b in buckets:
+        rows = extractions.select("file", F.lit(b).alias("bucket"), F.posexplode(b).alias("place", "gene"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def categories(genes: DataFrame) -> DataFrame:
+    """file, name, bucket: the category of each gene name; of several the last one counts."""
+    return genes.groupBy("file", "name").agg(F.max_by("bucket", "ord").alias("bucket"))
+
+
+def outcomes(results: DataFrame) -> DataFrame:
+    """How many results of each kind: failed where there is an error, skipped where there was an output, else processed."""
+    kind = F.when(F.coalesce("error", F.lit("")) != "", "failed").when(F.coalesce("had_output", F.lit(False)), "skipped").otherwise("processed")
+    return results.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"), F.min("file").alias("first"))
+
+
+def gene_name(record: str) -> Column:
+    """A record's name, by the first of its fields that has one."""
+    fields = ("Gene_Name", "gene_name", "Gene", "name")
+    return F.coalesce(*[F.when(F.trim(F.col(record)[f]) != "", F.trim(F.col(record)[f])) for f in fields], F.lit("Unknown"))
+
+
+def repaired_json(c: str, schema: str) -> Column:
+    """JSON as a struct; of one that was cut off, what is there up to its last closing brace, with the brackets and braces that
+    are still open closed. Null if that doesn't help either."""
+    t = F.col(c)
+    head = F.regexp_extract(t, r"(?s)^(.*\})", 1)
+    count = lambda x, ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
+    more = lambda a, b: F.greatest(F.lit(0), count(head, a) - count(head, b))
+    whole = F.concat(head, F.repeat(F.lit("]"), more("[", "]")), F.repeat(F.lit("}"), more("{", "}")))
+    # A text is whole if it ends where its outermost value does.
+    valid = F.get_json_object(t, "$").isNotNull()
+    return F.when(valid, F.from_json(t, schema)).when(F.get_json_object(whole, "$").isNotNull(), F.from_json(whole, schema))
+
+
+def without_sections(docs: DataFrame, key: str, drop: DataFrame) -> DataFrame:
+    """Texts without the sections (numbered from 0; 0 is what stands before the first heading) that drop (key, section) names."""
+    parts = docs.select(key, F.posexplode(F.split("text", r"(?m)^(?=#)")).alias("section", "part"))
+    kept = parts.join(drop.select(key, "section"), [key, "section"], "left_anti")
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "part"))), lambda x: x["part"]), "").alias("text"))
+
+
+def new_stems(uploads: DataFrame, *known: DataFrame) -> DataFrame:
+    """Uploads (file) whose stem none of the known tables (stem) has."""
+    out = uploads.withColumn("stem", F.regexp_replace("file", r"\.[^.]*$", ""))
+    for k in known:
+        out = out.join(k.select("stem"), "stem", "left_anti")
+    return out
+
+
+def index_status(corpus: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row: files, how many are indexed and missing, and the share that is."""
+    both = corpus.select("file").distinct().join(indexed.select("file").distinct().withColumn("there", F.lit(1)), "file", "left")
+    n = both.agg(F.count("*").alias("files"), F.count("there").alias("indexed"))
+    percent = F.format_string("%.1f%%", F.when(F.col("files") > 0, F.col("indexed") / F.col("files") * 100).otherwise(0.0))
+    return n.select("files", "indexed", (F.col("files") - F.col("indexed")).alias("missing"), percent.alias("synced"))
+
+
+def picked(files: DataFrame, wanted: str) -> DataFrame:
+    """The file (file) that a text names: by its place from 1 in name order, by its name, or by a part of its name, the first of those."""
+    if wanted.isdigit():
+        return files.orderBy("file").limit(int(wanted)).orderBy(F.desc("file")).limit(1) if int(wanted) else files.limit(0)
+    exact = F.col("file") == wanted
+    part = F.col("file").contains(wanted)
+    return files.filter(exact | part).orderBy(F.desc(exact), "file").limit(1)

@@ -140,11 +140,14 @@ def training_rows(spark, d):
     return rows.select("interaction_id", "feedback", F.size("messages").alias("n_messages"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").alias("flat"))
 
 
-@query("x11_preferences", f"WITH {TALK}, a AS (SELECT *, substring(lower(trim(query)), 1, 1) AS k FROM i JOIN fb USING (interaction_id) WHERE status = 'completed' AND answer <> '') SELECT u.k AS query, u.interaction_id AS chosen_id, w.interaction_id AS rejected_id FROM a u JOIN a w ON u.k = w.k AND u.rating = 'up' AND w.rating = 'down' WHERE u.k <> ''")
+ASKED = """i AS (SELECT o_orderkey AS interaction_id, 'completed' AS status, ' Orders of ' || o_custkey || ' ' AS query, o_orderpriority AS answer, CASE o_orderstatus WHEN 'F' THEN 'up' WHEN 'O' THEN 'down' END AS rating FROM orders)"""
+
+
+@query("x11_preferences", f"WITH {ASKED} SELECT lower(trim(u.query)) AS query, u.interaction_id AS chosen_id, w.interaction_id AS rejected_id FROM i u JOIN i w ON u.query = w.query AND u.rating = 'up' AND w.rating = 'down'")
 def preferences(spark, d):
-    """Pairs by the first character of the query, as its SQL says: they are not answers to the same question.
-    x11_same_query has the real pairs."""
-    rows = _talk(spark, d).withColumn("query", F.substring(F.lower(F.trim("query")), 1, 1))
+    """Orders as answers to what their customer asks again and again: those that are done, rated up, and open ones, rated down."""
+    rating = F.when(F.col("o_orderstatus") == "F", "up").when(F.col("o_orderstatus") == "O", "down")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("interaction_id"), F.lit("completed").alias("status"), F.concat(F.lit(" Orders of "), F.col("o_custkey"), F.lit(" ")).alias("query"), F.col("o_orderpriority").alias("answer"), rating.alias("rating"))
     return interactions.preference_pairs(rows).select("query", "chosen_id", "rejected_id")
 
 

@@ -22,8 +22,8 @@ def discount(spark, d):
 
 @query("a22_clamped_total", "SELECT l_orderkey, round(sum(greatest(0, least(l_quantity, 30))), 4) AS points FROM lineitem GROUP BY l_orderkey")
 def clamped_total(spark, d):
-    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("points"), F.lit(30.0).alias("most"))).alias("items"))
-    return items.select("l_orderkey", evaluation.clamped_total("items").alias("points"))
+    points = F.greatest(F.lit(0.0), F.least("l_quantity", F.lit(30.0)))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(points), 4).alias("points"))
 
 
 @query("a26_disk_need", "SELECT source, (sum(n_chars) + 2 * max(n_chars) + 1024)::BIGINT AS need FROM documents GROUP BY source")
@@ -81,12 +81,13 @@ def same_sets(spark, d):
     return a.join(b, (F.col("a") + 1 == F.col("b")) & (F.col("ka") == F.col("kb"))).select("a", "b")
 
 
-@query("u06_except_or_all", "SELECT c_custkey, CASE WHEN c_mktsegment = c_name THEN c_name ELSE c_name || ',' || c_mktsegment END AS left_over FROM customer")
+@query("u06_except_or_all", "SELECT l_orderkey, l_linenumber, array_to_string(CASE WHEN len(rest) = 0 THEN list_sort(list_distinct(e)) ELSE list_sort(list_distinct(rest)) END, ',') AS left_over FROM (SELECT l_orderkey, l_linenumber, e, list_filter(e, lambda x: x NOT IN ('A', 'O')) AS rest FROM (SELECT l_orderkey, l_linenumber, [l_returnflag, l_linestatus] AS e FROM lineitem))")
 def except_or_all(spark, d):
     """The entities without the targets, or all of them if none is left."""
-    entities, targets = F.array("c_name", "c_mktsegment"), F.array("c_name", "c_mktsegment")
+    entities, targets = F.array("l_returnflag", "l_linestatus"), F.array(F.lit("A"), F.lit("O"))
     rest = F.array_except(entities, targets)
-    return table(spark, d, "customer").select("c_custkey", F.array_join(F.when(F.size(rest) == 0, F.array_distinct(entities)).otherwise(rest), ",").alias("left_over"))
+    left = F.when(F.size(rest) == 0, F.array_distinct(entities)).otherwise(rest)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(left), ",").alias("left_over"))
 
 
 @query("p22_species", "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name))")
@@ -118,6 +119,6 @@ def fuzzy_order(spark, d):
 @query("w10_adjacent", "SELECT user_id, count(*)::BIGINT AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type GROUP BY user_id")
 def adjacent(spark, d):
     """How many runs of equal events a user has."""
-    kinds = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
-    flat = kinds.select("user_id", F.transform("x", lambda x: x["event_type"]).alias("k"))
-    return flat.select("user_id", F.size(T.drop_adjacent(F.col("k"))).cast("long").alias("runs"))
+    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, d, "events").select("user_id", "event_type", before.alias("before"))
+    return rows.filter("before IS NULL OR before <> event_type").groupBy("user_id").agg(F.count("*").alias("runs"))

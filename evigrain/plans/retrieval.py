@@ -175,14 +175,15 @@ ROWS = r"rows_ AS (SELECT lang AS source, row_number() OVER (PARTITION BY lang O
 
 
 def _rows(spark, d):
-    """Documents as results of four sources, their languages; identity is the document's source."""
-    pos = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
+    """Documents as results of four sources, their languages; identity is the document's source. pos, the place in a source, is
+    what orders it, so nothing has to be ranked."""
+    pos = F.struct((-F.col("n_chars")).alias("n"), "doc_id")
     return table(spark, d, "documents").select(F.col("lang").alias("source"), pos.alias("pos"), F.lower("source").alias("key"), F.col("n_chars").cast("double").alias("score"), "doc_id")
 
 
 @query("w02_best_of_source", f"WITH {ROWS} SELECT source, doc_id, score FROM rows_ WHERE pos = 1")
 def best_of_source(spark, d):
-    return _rows(spark, d).filter("pos = 1").select("source", "doc_id", "score")
+    return _rows(spark, d).groupBy("source").agg(F.min_by(F.struct("doc_id", "score"), "pos").alias("r")).select("source", "r.*")
 
 
 @query("v08_fusion", f"WITH {ROWS}, o AS (SELECT *, CASE WHEN pos = 1 THEN 0 ELSE 1 END AS a, CASE WHEN pos = 1 THEN 0.0 ELSE -score END AS s FROM rows_), c AS (SELECT * FROM o ORDER BY a, s, source, pos LIMIT {TOP}), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY a, s, source, pos) AS again FROM c WHERE key <> '') SELECT row_number() OVER (ORDER BY a, s, source, pos)::INT AS place, doc_id, key FROM k WHERE again = 1")
@@ -192,11 +193,11 @@ def fusion_(spark, d):
 
 @query("w03_dedupe", f"WITH {ROWS} SELECT key, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id) AS n FROM rows_) WHERE n = 1")
 def dedupe(spark, d):
-    return fusion.deduplicated(_rows(spark, d), F.desc("score"), F.asc("doc_id")).select("key", "doc_id")
+    return fusion.deduplicated(_rows(spark, d), F.struct(-F.col("score"), "doc_id")).select("key", "doc_id")
 
 
-@query("w05_numbering", "SELECT doc_id, dense_rank() OVER (ORDER BY first)::BIGINT AS number FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(split_part(text, chr(10), 1))) AS first FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '')")
+@query("w05_numbering", "SELECT doc_id, dense_rank() OVER (ORDER BY first)::BIGINT AS number FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS first FROM documents WHERE trim(text) <> '')")
 def numbering(spark, d):
-    """Documents are packets of one row; identity is the first line."""
-    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("packet"), F.lit(0).alias("pos"), F.lower(F.split("text", "\n")[0]).alias("key")).filter("trim(key) <> ''")
+    """Documents are packets of one row; identity is the whole text."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("packet"), F.lit(0).alias("pos"), F.lower("text").alias("key")).filter("trim(key) <> ''")
     return fusion.numbered(rows).select("doc_id", "number")

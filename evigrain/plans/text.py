@@ -62,17 +62,17 @@ def name(spark, d):
     return table(spark, d, "part").select("p_partkey", T.name("p_name").alias("norm_name"))
 
 
-_ITEMS = "list_filter(list_transform(string_split_regex(split_part(text, chr(10), 1), '[;,\\n]'), lambda x: trim(x)), lambda x: lower(x) NOT IN ('', '-', 'na', 'n/a', 'none', 'null', 'nan', 'unknown', 'not established', 'not available', 'not applicable'))"
+_GRAPH_BLANKS = "('', '-', 'na', 'n/a', 'none', 'null', 'nan', 'unknown', 'not established', 'not available', 'not applicable')"
+ITEMS_SQL = rf"""WITH s AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[;,\n]') AS parts FROM documents),
+e AS (SELECT doc_id, trim(parts[i]) AS item, i FROM s, unnest(range(1, len(parts) + 1)) AS u(i)),
+k AS (SELECT doc_id, lower(regexp_replace(item, '\s+', ' ', 'g')) AS name, min(i) AS i, arg_min(item, i) AS item FROM e WHERE lower(item) NOT IN {_GRAPH_BLANKS} GROUP BY ALL)
+SELECT s.doc_id, coalesce(string_agg(item, '|' ORDER BY i), '') AS items FROM s LEFT JOIN k USING (doc_id) GROUP BY s.doc_id"""
 
 
-@query("f21_items", f"SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(regexp_replace(y, '\\s+', ' ', 'g'))), lower(regexp_replace(x, '\\s+', ' ', 'g'))) = i), '|') AS items FROM (SELECT doc_id, {_ITEMS} AS a FROM documents)")
+@query("f21_items_whole", ITEMS_SQL)
+@query("f21_items", ITEMS_SQL)
 def items(spark, d):
-    """Of the first lines only, as its SQL says; f21_items_whole reads the whole texts."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.items(F.split("text", "\n")[0]), "|").alias("items"))
-
-
-@query("f21_items_whole")
-def items_whole(spark, d):
+    """The distinct items of whole texts, in order."""
     lists = T.item_lists(table(spark, d, "documents"), "doc_id", "text")
     return lists.select("doc_id", F.array_join("items", "|").alias("items"))
 
@@ -111,14 +111,12 @@ def gene_names(spark, d):
     return table(spark, d, "documents").select("doc_id", T.gene_names("text").alias("names")).filter(F.size("names") > 0)
 
 
-@query("n06_reverse_complement", "SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS complement FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def reverse_complement(spark, d):
-    """Only ASCII texts, as its SQL says: DuckDB reverses by grapheme. n06_reverse_complement_all takes all texts."""
-    return table(spark, d, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", T.reverse_complement("text").alias("complement"))
+COMPLEMENT_SQL = "SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(translate(coalesce(text, ''), 'ACGTacgt', 'TGCAtgca'), '(?s).')), '') AS complement FROM documents"
 
 
-@query("n06_reverse_complement_all")
-def reverse_complement_all(spark, d):
+@query("n06_reverse_complement_all", COMPLEMENT_SQL)
+@query("n06_reverse_complement", COMPLEMENT_SQL)
+def reverse_complement(spark, d):
     """Texts are reversed by code points; a null text counts as empty."""
     return table(spark, d, "documents").select("doc_id", T.reverse_complement("text").alias("complement"))
 
