@@ -174,3 +174,21 @@ def truncated(c, limit: int) -> Column:
 def reverse_complement(c) -> Column:
     """Case is kept; N stays N."""
     return F.reverse(F.translate(text_of(c), "ACGTacgt", "TGCAtgca"))
+
+
+def folder_name(stem: Column) -> Column:
+    """A file's stem as the name of a folder: no converter's prefix, no mark of a second copy, hyphens for underscores."""
+    return F.replace(F.replace(F.regexp_replace(stem, "^MinerU_markdown_", ""), F.lit("_(1)"), F.lit("")), F.lit("_"), F.lit("-"))
+
+
+def blocks(rows: DataFrame, key: str, column: str, size: int = 1800, most: int = 100) -> DataFrame:
+    """key, place, block: a text in blocks of `size` characters, the first `most`."""
+    n = F.least(F.lit(most), F.ceil(F.length(column) / size)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(column), i * size + 1, F.lit(size)))
+    return rows.filter(F.length(column) > 0).select(key, F.posexplode(cut).alias("place", "block"))
+
+
+def value_text(c: Column, blanks=EVIDENCE_BLANKS) -> Column:
+    """A list of texts as one, without placeholders; null is empty."""
+    told = F.filter(F.transform(c, lambda x: clean(x, blanks)), lambda x: x != "")
+    return F.coalesce(F.array_join(told, "; "), F.lit(""))

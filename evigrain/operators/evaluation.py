@@ -72,3 +72,30 @@ def remaining(questions: DataFrame, done: DataFrame, retry_failed: bool = False)
 def clamped_total(items: str) -> Column:
     """The sum of rubric points of an array of struct(points, most), each held between 0 and most."""
     return F.round(F.aggregate(items, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), F.least(x["points"], x["most"]))), 4)
+
+
+def checkpoint_status(done: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row: results, completed and failed ones, and the questions without a result."""
+    failed = failure_type().isNotNull()
+    n = done.agg(F.count("*").alias("total"), F.count_if(~failed).alias("completed"), F.count_if(failed).alias("failed"))
+    left = questions.join(done.select("question").distinct(), "question", "left_anti").agg(F.count("*").alias("remaining"))
+    return n.join(F.broadcast(left))
+
+
+def result_rows(answers: DataFrame) -> DataFrame:
+    """question, status and score for (question, answer, judged); without an answer the agent failed, without a judgement the judge."""
+    status = F.when(F.coalesce("answer", F.lit("")) == "", "agent_error").when(F.col("judged").isNull(), "judge_error").otherwise("completed")
+    return answers.select("question", status.alias("status"), F.when(status == "completed", F.col("judged")).otherwise(0.0).alias("score"))
+
+
+def checkpoint_names(files: DataFrame) -> DataFrame:
+    """agent and version of checkpoint files agent_version.jsonl; the last underscore parts them."""
+    stem = F.regexp_replace("file", r"\.jsonl$", "")
+    return files.select(F.regexp_extract(stem, "^(.*)_[^_]*$", 1).alias("agent"), F.regexp_extract(stem, "^.*_([^_]*)$", 1).alias("version"))
+
+
+def rubric_points(rows: DataFrame, key: str, detail: str) -> DataFrame:
+    """key, item, points of each `Item N: P / M` in a judgement's detail."""
+    lines = F.explode(F.regexp_extract_all(detail, F.lit(r"Item \d+: [0-9.]+ /"), F.lit(0)))
+    each = rows.select(key, lines.alias("line"))
+    return each.select(key, F.regexp_extract("line", r"Item (\d+)", 1).cast("int").alias("item"), F.regexp_extract("line", r": ([0-9.]+) /", 1).cast("double").alias("points"))

@@ -10,7 +10,11 @@ from evigrain.operators import evaluation
 from evigrain.plans.registry import query, table
 
 
-@query("f06_token_count", r"SELECT doc_id, len(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^\p{L}\p{M}\p{Nd}\p{Pc}.-])', '\1\1', 'g'), '[^\p{L}\p{M}\p{Nd}\p{Pc}.-]of[^\p{L}\p{M}\p{Nd}\p{Pc}.-]'))::INT AS n FROM documents")
+@query(
+    "f06_token_count",
+    r"SELECT doc_id, len(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^\p{L}\p{M}\p{Nd}\p{Pc}.-])', '\1\1', 'g'), "
+    r"'[^\p{L}\p{M}\p{Nd}\p{Pc}.-]of[^\p{L}\p{M}\p{Nd}\p{Pc}.-]'))::INT AS n FROM documents",
+)
 def token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_count(F.col("text"), "of").alias("n"))
 
@@ -32,7 +36,11 @@ def disk_need(spark, d):
     return table(spark, d, "documents").groupBy("source").agg((F.sum("n_chars") + 2 * F.max("n_chars") + 1024).alias("need"))
 
 
-@query("a28_tools_used", "SELECT user_id, array_to_string(list(event_type ORDER BY first), ',') AS tools FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id")
+@query(
+    "a28_tools_used",
+    "SELECT user_id, array_to_string(list(event_type ORDER BY first), ',') AS tools FROM (SELECT user_id, event_type, "
+    "min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id",
+)
 def tools_used(spark, d):
     """Distinct kinds in the order of their first event."""
     first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
@@ -40,7 +48,11 @@ def tools_used(spark, d):
     return ordered.select("user_id", F.array_join(F.transform("x", lambda x: x["event_type"]), ",").alias("tools"))
 
 
-@query("a30_budget", "SELECT user_id, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM events) WHERE used * 10 <= 400")
+@query(
+    "a30_budget",
+    "SELECT user_id, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM events) WHERE "
+    "used * 10 <= 400",
+)
 def budget(spark, d):
     """Events while a user's running sum of ten an event stays within 400."""
     used = F.sum(F.lit(10)).over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0))
@@ -73,7 +85,12 @@ def digests(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("u05_same_sets", "SELECT a.user_id AS a, b.user_id AS b FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events GROUP BY 1) a JOIN (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events GROUP BY 1) b ON a.k = b.k AND b.user_id = a.user_id + 1")
+@query(
+    "u05_same_sets",
+    "SELECT a.user_id AS a, b.user_id AS b FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events GROUP BY "
+    "1) a JOIN (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events GROUP BY 1) b ON a.k = b.k AND b.user_id = "
+    "a.user_id + 1",
+)
 def same_sets(spark, d):
     """Neighbouring users with the same set of event kinds."""
     kinds = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("k"))
@@ -81,7 +98,12 @@ def same_sets(spark, d):
     return a.join(b, (F.col("a") + 1 == F.col("b")) & (F.col("ka") == F.col("kb"))).select("a", "b")
 
 
-@query("u06_except_or_all", "SELECT l_orderkey, l_linenumber, array_to_string(CASE WHEN len(rest) = 0 THEN list_sort(list_distinct(e)) ELSE list_sort(list_distinct(rest)) END, ',') AS left_over FROM (SELECT l_orderkey, l_linenumber, e, list_filter(e, lambda x: x NOT IN ('A', 'O')) AS rest FROM (SELECT l_orderkey, l_linenumber, [l_returnflag, l_linestatus] AS e FROM lineitem))")
+@query(
+    "u06_except_or_all",
+    "SELECT l_orderkey, l_linenumber, array_to_string(CASE WHEN len(rest) = 0 THEN list_sort(list_distinct(e)) ELSE "
+    "list_sort(list_distinct(rest)) END, ',') AS left_over FROM (SELECT l_orderkey, l_linenumber, e, list_filter(e, lambda x: x "
+    "NOT IN ('A', 'O')) AS rest FROM (SELECT l_orderkey, l_linenumber, [l_returnflag, l_linestatus] AS e FROM lineitem))",
+)
 def except_or_all(spark, d):
     """The entities without the targets, or all of them if none is left."""
     entities, targets = F.array("l_returnflag", "l_linestatus"), F.array(F.lit("A"), F.lit("O"))
@@ -90,7 +112,11 @@ def except_or_all(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(left), ",").alias("left_over"))
 
 
-@query("p22_species", "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name))")
+@query(
+    "p22_species",
+    "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1') OR "
+    "contains('nation_1', lower(n_name))",
+)
 def species(spark, d):
     """A filter either way: the wanted name contains the row's, or the other way round."""
     n = F.lower("n_name")
@@ -116,7 +142,11 @@ def fuzzy_order(spark, d):
     return rows.orderBy(F.length("p_name"), "p_name", "p_partkey").limit(20).select("p_partkey", "p_name")
 
 
-@query("w10_adjacent", "SELECT user_id, count(*)::BIGINT AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type GROUP BY user_id")
+@query(
+    "w10_adjacent",
+    "SELECT user_id, count(*)::BIGINT AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER "
+    "BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type GROUP BY user_id",
+)
 def adjacent(spark, d):
     """How many runs of equal events a user has."""
     before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))

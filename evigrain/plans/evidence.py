@@ -31,24 +31,42 @@ def doi_forms(spark, d):
     return _ids(spark, d).select("page_id", T.doi("doi").alias("doi"))
 
 
-@query("f16_evidence_kinds", f"WITH {_IDS}, k AS (SELECT page_id, {_DOI} AS d, {_PMID} AS m, {_URL} AS u FROM p) SELECT page_id, CASE WHEN d <> '' THEN 'doi' WHEN m <> '' THEN 'pmid' WHEN u <> '' THEN 'url' ELSE 'title' END AS kind, CASE WHEN d <> '' THEN d WHEN m <> '' THEN m WHEN u <> '' THEN lower(regexp_replace(u, '/+$', '')) ELSE 'on page ' || (page_id % 50) END AS value FROM k")
+@query(
+    "f16_evidence_kinds",
+    f"WITH {_IDS}, k AS (SELECT page_id, {_DOI} AS d, {_PMID} AS m, {_URL} AS u FROM p) SELECT page_id, CASE WHEN d <> '' THEN "
+    f"'doi' WHEN m <> '' THEN 'pmid' WHEN u <> '' THEN 'url' ELSE 'title' END AS kind, CASE WHEN d <> '' THEN d WHEN m <> '' THEN "
+    f"m WHEN u <> '' THEN lower(regexp_replace(u, '/+$', '')) ELSE 'on page ' || (page_id % 50) END AS value FROM k",
+)
 def evidence_kinds(spark, d):
     """Every branch of the identity of a row: DOI, PMID, url, title."""
     return _ids(spark, d).select("page_id", T.evidence_key("title", "doi", "pmid", "link").alias("k")).select("page_id", "k.kind", "k.value")
 
 
-@query("f17_derived_url", f"WITH {_IDS} SELECT page_id, CASE WHEN {_URL} <> '' THEN {_URL} WHEN {_DOI} <> '' THEN 'https://doi.org/' || {_DOI} WHEN {_PMID} <> '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || {_PMID} || '/' ELSE '' END AS link FROM p")
+@query(
+    "f17_derived_url",
+    f"WITH {_IDS} SELECT page_id, CASE WHEN {_URL} <> '' THEN {_URL} WHEN {_DOI} <> '' THEN 'https://doi.org/' || {_DOI} WHEN "
+    f"{_PMID} <> '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || {_PMID} || '/' ELSE '' END AS link FROM p",
+)
 def derived_url(spark, d):
     return _ids(spark, d).select("page_id", evidence.derived_url("doi", "pmid", "link").alias("link"))
 
 
-@query("f18_tool_index", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_id::VARCHAR END AS source_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END::BIGINT AS tool_index FROM events")
+@query(
+    "f18_tool_index",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_id::VARCHAR END AS source_id, CASE WHEN event_id % 3 "
+    "= 0 THEN 0 ELSE event_id END::BIGINT AS tool_index FROM events",
+)
 def tool_index(spark, d):
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string")).alias("source_id"))
     return rows.withColumn("tool_index", evidence.tool_index("source_id"))
 
 
-@query("f19_prompt_block", f"WITH {_IDS} SELECT page_id, '[' || page_id || '] ' || title || chr(10) || '来源: ' || 'web' || CASE WHEN {_DOI} <> '' THEN chr(10) || 'DOI: ' || {_DOI} ELSE '' END || CASE WHEN {_PMID} <> '' THEN chr(10) || 'PMID: ' || {_PMID} ELSE '' END || CASE WHEN link <> '' THEN chr(10) || '链接: ' || link ELSE '' END || chr(10) || '内容: ' || url AS block FROM p")
+@query(
+    "f19_prompt_block",
+    f"WITH {_IDS} SELECT page_id, '[' || page_id || '] ' || title || chr(10) || '来源: ' || 'web' || CASE WHEN {_DOI} <> '' THEN "
+    f"chr(10) || 'DOI: ' || {_DOI} ELSE '' END || CASE WHEN {_PMID} <> '' THEN chr(10) || 'PMID: ' || {_PMID} ELSE '' END || CASE "
+    f"WHEN link <> '' THEN chr(10) || '链接: ' || link ELSE '' END || chr(10) || '内容: ' || url AS block FROM p",
+)
 def prompt_block(spark, d):
     rows = _ids(spark, d).withColumn("doi", T.doi("doi")).withColumn("pmid", T.pmid("pmid")).withColumn("source", F.lit("web"))
     return rows.select("page_id", evidence.prompt_block(source_id="page_id", title="title", source="source", doi="doi", pmid="pmid", url="link", content="url").alias("block"))
@@ -69,22 +87,39 @@ def _ranked(rows, most: int):
     return rows.withColumn("pos", pos).filter(F.col("pos") <= most)
 
 
-@query("t07_budgets", f"WITH {_SOURCES} SELECT event_id, source, pos FROM r WHERE pos <= CASE source WHEN 'pubmed' THEN 6 WHEN 'gene' THEN 12 WHEN 'graph' THEN 4 WHEN 'personal' THEN 8 ELSE 0 END")
+@query(
+    "t07_budgets",
+    f"WITH {_SOURCES} SELECT event_id, source, pos FROM r WHERE pos <= CASE source WHEN 'pubmed' THEN 6 WHEN 'gene' THEN 12 WHEN "
+    f"'graph' THEN 4 WHEN 'personal' THEN 8 ELSE 0 END",
+)
 def budgets(spark, d):
     return evidence.within_budget(_ranked(_sources(spark, d), 20), "normal").select("event_id", "source", F.col("pos").cast("long").alias("pos"))
 
 
-@query("t07_deep_budgets", f"WITH {_SOURCES} SELECT event_id, source, pos FROM r WHERE pos <= CASE source WHEN 'pubmed' THEN 12 WHEN 'gene' THEN 20 WHEN 'graph' THEN 8 WHEN 'personal' THEN 12 ELSE 0 END")
+@query(
+    "t07_deep_budgets",
+    f"WITH {_SOURCES} SELECT event_id, source, pos FROM r WHERE pos <= CASE source WHEN 'pubmed' THEN 12 WHEN 'gene' THEN 20 WHEN "
+    f"'graph' THEN 8 WHEN 'personal' THEN 12 ELSE 0 END",
+)
 def deep_budgets(spark, d):
     return evidence.within_budget(_ranked(_sources(spark, d), 20), "deep").select("event_id", "source", F.col("pos").cast("long").alias("pos"))
 
 
-@query("a21_warnings", f"WITH {_SOURCES}, all_ AS (SELECT unnest(['pubmed', 'gene', 'nowhere']) AS source) SELECT source, count(event_id)::BIGINT AS n, CASE WHEN count(event_id) = 0 THEN source || ' returned nothing' END AS warning FROM all_ LEFT JOIN s USING (source) GROUP BY source")
+@query(
+    "a21_warnings",
+    f"WITH {_SOURCES}, all_ AS (SELECT unnest(['pubmed', 'gene', 'nowhere']) AS source) SELECT source, count(event_id)::BIGINT AS "
+    f"n, CASE WHEN count(event_id) = 0 THEN source || ' returned nothing' END AS warning FROM all_ LEFT JOIN s USING (source) "
+    f"GROUP BY source",
+)
 def warnings(spark, d):
     return evidence.source_counts(_sources(spark, d), ["pubmed", "gene", "nowhere"])
 
 
-@query("v05_gene_rows", "SELECT doc_id::VARCHAR AS source_id, 'gene' AS source, coalesce(nullif(source, ''), 'Unknown') AS title, substr(text, 1, 200) AS content, n_chars::DOUBLE AS score FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 12")
+@query(
+    "v05_gene_rows",
+    "SELECT doc_id::VARCHAR AS source_id, 'gene' AS source, coalesce(nullif(source, ''), 'Unknown') AS title, substr(text, 1, "
+    "200) AS content, n_chars::DOUBLE AS score FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 12",
+)
 def gene_rows(spark, d):
     """Ranked chunks as evidence."""
     rows = table(spark, d, "documents").filter("text IS NOT NULL").orderBy(F.desc("n_chars"), "doc_id").limit(12)
@@ -109,7 +144,11 @@ def personal_cosine(spark, d):
     return ranking.dense(rows, vector, 1e-9).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("v06_personal_search", f"WITH {_PERSONAL} SELECT filename || ' (p.' || page || ')' AS title, round(score, 6) AS score FROM c WHERE user_id = 3 ORDER BY c.score DESC, vec_id DESC LIMIT 8")
+@query(
+    "v06_personal_search",
+    f"WITH {_PERSONAL} SELECT filename || ' (p.' || page || ')' AS title, round(score, 6) AS score FROM c WHERE user_id = 3 ORDER "
+    f"BY c.score DESC, vec_id DESC LIMIT 8",
+)
 def personal_search(spark, d):
     """One user's own pages only; the filter comes before the ranking and reaches the scan."""
     rows, vector = _personal(spark, d)
@@ -124,13 +163,21 @@ def personal_ties(spark, d):
     return ranking.top(rows, 8, F.desc("score"), F.desc("vec_id")).select("vec_id")
 
 
-@query("v11_personal_files", f"WITH {_PERSONAL} SELECT user_id, filename, count(*)::BIGINT AS chunks, max(page)::BIGINT AS pages FROM c WHERE user_id IS NOT NULL GROUP BY ALL")
+@query(
+    "v11_personal_files",
+    f"WITH {_PERSONAL} SELECT user_id, filename, count(*)::BIGINT AS chunks, max(page)::BIGINT AS pages FROM c WHERE user_id IS "
+    f"NOT NULL GROUP BY ALL",
+)
 def personal_files(spark, d):
     rows, _ = _personal(spark, d)
     return rows.filter("user_id IS NOT NULL").groupBy("user_id", "filename").agg(F.count("*").alias("chunks"), F.max("page").alias("pages"))
 
 
-@query("v07_all_sources", f"WITH {_SOURCES} SELECT source, event_id AS key, pos FROM r WHERE (source = 'gene' AND pos <= 12) OR (source = 'graph' AND pos <= 4)")
+@query(
+    "v07_all_sources",
+    f"WITH {_SOURCES} SELECT source, event_id AS key, pos FROM r WHERE (source = 'gene' AND pos <= 12) OR (source = 'graph' AND "
+    f"pos <= 4)",
+)
 def all_sources(spark, d):
     """Two sources answer, one fails; its failure costs its own rows only."""
     rows = _sources(spark, d)
@@ -164,7 +211,12 @@ def cited(spark, d):
     return evidence.cited(citations, answers)
 
 
-@query("w06_renumbered", f"WITH {_ANSWERS} SELECT a.id, 'see [' || coalesce(x.place, a.id % 7 + 1) || '] and [9] and [' || coalesce(y.place, a.id % 3 + 1) || '] or [' || coalesce(x.place, a.id % 7 + 1) || ']' AS answer FROM a LEFT JOIN o x ON x.id = a.id AND x.number = a.id % 7 + 1 LEFT JOIN o y ON y.id = a.id AND y.number = a.id % 3 + 1")
+@query(
+    "w06_renumbered",
+    f"WITH {_ANSWERS} SELECT a.id, 'see [' || coalesce(x.place, a.id % 7 + 1) || '] and [9] and [' || coalesce(y.place, a.id % 3 + "
+    f"1) || '] or [' || coalesce(x.place, a.id % 7 + 1) || ']' AS answer FROM a LEFT JOIN o x ON x.id = a.id AND x.number = a.id % "
+    f"7 + 1 LEFT JOIN o y ON y.id = a.id AND y.number = a.id % 3 + 1",
+)
 def renumbered_answers(spark, d):
     answers, citations = _answers(spark, d)
     return evidence.renumbered(citations, answers)[0]
@@ -176,14 +228,22 @@ def renumbered_citations(spark, d):
     return evidence.renumbered(citations, answers)[1]
 
 
-@query("w04_consecutive", f"WITH {_SOURCES} SELECT event_id, row_number() OVER (ORDER BY source, pos) AS number FROM r WHERE source IN ('gene', 'graph') AND pos <= 8")
+@query(
+    "w04_consecutive",
+    f"WITH {_SOURCES} SELECT event_id, row_number() OVER (ORDER BY source, pos) AS number FROM r WHERE source IN ('gene', 'graph') "
+    f"AND pos <= 8",
+)
 def consecutive(spark, d):
     """Numbers from 1 in the order of a bounded result."""
     rows = _ranked(_sources(spark, d).filter(F.col("source").isin("gene", "graph")), 8)
     return fusion.numbered(rows.select("event_id", F.col("source").alias("packet"), "pos", F.col("event_id").cast("string").alias("key"))).select("event_id", "number")
 
 
-@query("u04_ordered_bag", f"WITH {_SOURCES} SELECT source, event_id FROM r WHERE (source = 'gene' OR source = 'graph') AND pos <= 3 UNION ALL SELECT source, event_id FROM r WHERE source = 'gene' AND pos <= 2")
+@query(
+    "u04_ordered_bag",
+    f"WITH {_SOURCES} SELECT source, event_id FROM r WHERE (source = 'gene' OR source = 'graph') AND pos <= 3 UNION ALL SELECT "
+    f"source, event_id FROM r WHERE source = 'gene' AND pos <= 2",
+)
 def ordered_bag(spark, d):
     """Rows of several sources side by side, repeated ones too."""
     best = _ranked(_sources(spark, d).filter(F.col("source").isin("gene", "graph")), 3)

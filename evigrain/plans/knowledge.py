@@ -20,7 +20,11 @@ def nodes(spark, d):
     return row(s, "S", "s_suppkey", "s_name", "Gene").unionByName(row(c.filter("c_custkey % 2 = 0"), "C", "c_custkey", "c_name", "Metabolite")).unionByName(row(n, "N", "n_nationkey", "n_name", "Process"))
 
 
-@query("j17_named_edges", f"WITH {EDGES}, {NODES} SELECT e.*, coalesce(a.name, src) AS src_name, coalesce(b.name, dst) AS dst_name FROM e LEFT JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst")
+@query(
+    "j17_named_edges",
+    f"WITH {EDGES}, {NODES} SELECT e.*, coalesce(a.name, src) AS src_name, coalesce(b.name, dst) AS dst_name FROM e LEFT JOIN n a "
+    f"ON a.id = src LEFT JOIN n b ON b.id = dst",
+)
 def named_edges(spark, d):
     return graph.with_names(edges(spark, d), nodes(spark, d))
 
@@ -30,7 +34,11 @@ def edges_inside(spark, d):
     return graph.inside(edges(spark, d), nodes(spark, d))
 
 
-@query("j13_seen_nodes", f"WITH {EDGES}, {NODES} SELECT * FROM n WHERE id IN (SELECT src FROM e WHERE dst = 'N3' UNION SELECT dst FROM e WHERE dst = 'N3')")
+@query(
+    "j13_seen_nodes",
+    f"WITH {EDGES}, {NODES} SELECT * FROM n WHERE id IN (SELECT src FROM e WHERE dst = 'N3' UNION SELECT dst FROM e WHERE dst = "
+    f"'N3')",
+)
 def seen_nodes(spark, d):
     """The nodes of all ids that a walk has met."""
     found = edges(spark, d).filter("dst = 'N3'")
@@ -38,13 +46,24 @@ def seen_nodes(spark, d):
     return nodes(spark, d).join(ids, "id", "left_semi")
 
 
-@query("t11_edge_budget", f"WITH {EDGES}, {WAYS}, h1 AS (SELECT DISTINCT src, dst, relation FROM w WHERE here = 'R1'), f AS (SELECT DISTINCT node FROM w WHERE here = 'R1'), h2 AS (SELECT DISTINCT w.src, w.dst, w.relation FROM w JOIN f ON w.here = f.node EXCEPT SELECT * FROM h1), a AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) SELECT src, dst, relation, hop FROM a ORDER BY hop, src, dst, relation LIMIT 30")
+@query(
+    "t11_edge_budget",
+    f"WITH {EDGES}, {WAYS}, h1 AS (SELECT DISTINCT src, dst, relation FROM w WHERE here = 'R1'), f AS (SELECT DISTINCT node FROM w "
+    f"WHERE here = 'R1'), h2 AS (SELECT DISTINCT w.src, w.dst, w.relation FROM w JOIN f ON w.here = f.node EXCEPT SELECT * FROM "
+    f"h1), a AS (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) SELECT src, dst, relation, hop FROM a ORDER BY hop, "
+    f"src, dst, relation LIMIT 30",
+)
 def edge_budget(spark, d):
     """Thirty edges in all, the near ones first."""
     return graph.neighbourhood(spark.createDataFrame([("R1",)], "id string"), edges(spark, d), 2, limit=30)
 
 
-@query("t12_shortest_paths", f"WITH {EDGES}, {WAYS}, p AS (SELECT [a.here, a.node, b.node] AS nodes, 2 AS length FROM w a JOIN w b ON a.node = b.here AND b.node <> a.here WHERE a.here = 'S1' AND b.node LIKE 'C%') SELECT array_to_string(nodes, '>') AS path, length FROM p ORDER BY length, nodes LIMIT 10")
+@query(
+    "t12_shortest_paths",
+    f"WITH {EDGES}, {WAYS}, p AS (SELECT [a.here, a.node, b.node] AS nodes, 2 AS length FROM w a JOIN w b ON a.node = b.here AND "
+    f"b.node <> a.here WHERE a.here = 'S1' AND b.node LIKE 'C%') SELECT array_to_string(nodes, '>') AS path, length FROM p ORDER "
+    f"BY length, nodes LIMIT 10",
+)
 def shortest_paths(spark, d):
     targets = table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
     found = graph.paths(spark.createDataFrame([("S1",)], "id string"), targets, edges(spark, d), 2, limit=10)
@@ -56,7 +75,11 @@ def capped_edges(spark, d):
     return graph.capped(edges(spark, d), nodes(spark, d))[0]
 
 
-@query("t13_capped_nodes", f"WITH {EDGES}, {NODES}, c AS (SELECT * FROM e ORDER BY src, dst, relation LIMIT 40) SELECT id FROM n ORDER BY CASE WHEN id IN (SELECT src FROM c UNION SELECT dst FROM c) THEN 0 ELSE 1 END, id LIMIT 80")
+@query(
+    "t13_capped_nodes",
+    f"WITH {EDGES}, {NODES}, c AS (SELECT * FROM e ORDER BY src, dst, relation LIMIT 40) SELECT id FROM n ORDER BY CASE WHEN id IN "
+    f"(SELECT src FROM c UNION SELECT dst FROM c) THEN 0 ELSE 1 END, id LIMIT 80",
+)
 def capped_nodes(spark, d):
     return graph.capped(edges(spark, d), nodes(spark, d))[1].select("id")
 
@@ -95,7 +118,11 @@ def resolved_nodes(spark, d):
     return graph.resolved(asked, nodes(spark, d).unionByName(parts)).withColumn("score", F.round("score", 6))
 
 
-@query("g14_rendered_paths", f"WITH {EDGES} SELECT 'S1>' || a.dst || '>' || b.src AS path, '- S1 -[:BASED_IN]-> ' || a.dst || chr(10) || '- ' || b.src || ' -[:' || b.relation || ']-> ' || b.dst AS text FROM e a JOIN e b ON a.dst = b.dst WHERE a.src = 'S1' AND b.src LIKE 'C%'")
+@query(
+    "g14_rendered_paths",
+    f"WITH {EDGES} SELECT 'S1>' || a.dst || '>' || b.src AS path, '- S1 -[:BASED_IN]-> ' || a.dst || chr(10) || '- ' || b.src || ' "
+    f"-[:' || b.relation || ']-> ' || b.dst AS text FROM e a JOIN e b ON a.dst = b.dst WHERE a.src = 'S1' AND b.src LIKE 'C%'",
+)
 def rendered_paths(spark, d):
     e = edges(spark, d)
     targets = table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
@@ -103,7 +130,11 @@ def rendered_paths(spark, d):
     return graph.rendered_paths(found, e).select(F.array_join("nodes", ">").alias("path"), "text")
 
 
-@query("g13_path_evidence", "SELECT count(DISTINCT o_orderkey)::BIGINT AS paths, max(o_totalprice) AS score, (SELECT 'D' || l_partkey FROM lineitem WHERE l_linenumber > 3 ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 1) AS doi FROM orders")
+@query(
+    "g13_path_evidence",
+    "SELECT count(DISTINCT o_orderkey)::BIGINT AS paths, max(o_totalprice) AS score, (SELECT 'D' || l_partkey FROM lineitem WHERE "
+    "l_linenumber > 3 ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 1) AS doi FROM orders",
+)
 def path_evidence(spark, d):
     """Orders as paths, their lines as what supports them."""
     found = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
@@ -111,7 +142,12 @@ def path_evidence(spark, d):
     return graph.path_evidence(found, told).select("paths", "score", "doi")
 
 
-@query("g16_summary", f"WITH {EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e))::BIGINT AS nodes, (SELECT count(*) FROM e)::BIGINT AS edges, (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM (SELECT DISTINCT n_name FROM nation ORDER BY n_name LIMIT 4)) AS seeds")
+@query(
+    "g16_summary",
+    f"WITH {EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e))::BIGINT AS nodes, (SELECT count(*) "
+    f"FROM e)::BIGINT AS edges, (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM (SELECT DISTINCT n_name FROM nation ORDER BY "
+    f"n_name LIMIT 4)) AS seeds",
+)
 def graph_summary(spark, d):
     return graph.summary(edges(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("name")))
 
@@ -123,22 +159,39 @@ def _genes(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey AS ord", "p_brand AS name", "CASE WHEN p_size % 4 = 0 THEN 'NA' ELSE p_type || '; ' || p_name END AS substrate", "CASE WHEN p_size % 5 = 0 THEN p_brand ELSE p_name || ';NA; ' END AS product")
 
 
-@query("g17_static_nodes", f"WITH {_GENES}, a AS (SELECT name AS id, 'Gene' AS type, ord, 0 AS place FROM t UNION ALL SELECT unnest(s), 'Substrate', ord, 1 FROM t UNION ALL SELECT unnest(p), 'Product', ord, 2 FROM t) SELECT id, arg_max(type, {{'o': ord, 'p': place}}) AS type FROM a GROUP BY id")
+@query(
+    "g17_static_nodes",
+    f"WITH {_GENES}, a AS (SELECT name AS id, 'Gene' AS type, ord, 0 AS place FROM t UNION ALL SELECT unnest(s), 'Substrate', ord, "
+    f"1 FROM t UNION ALL SELECT unnest(p), 'Product', ord, 2 FROM t) SELECT id, arg_max(type, {{'o': ord, 'p': place}}) AS type "
+    f"FROM a GROUP BY id",
+)
 def static_nodes(spark, d):
     return graph.static_graph(_genes(spark, d))[0]
 
 
-@query("g17_static_edges", f"WITH {_GENES} SELECT DISTINCT * FROM (SELECT unnest(s) AS src, name AS dst FROM t UNION ALL SELECT name, unnest(p) FROM t)")
+@query(
+    "g17_static_edges",
+    f"WITH {_GENES} SELECT DISTINCT * FROM (SELECT unnest(s) AS src, name AS dst FROM t UNION ALL SELECT name, unnest(p) FROM t)",
+)
 def static_edges(spark, d):
     return graph.static_graph(_genes(spark, d))[1]
 
 
-@query("a13_by_type", f"WITH {EDGES}, {NODES} SELECT 'node' AS kind, type, count(*)::BIGINT AS n FROM n GROUP BY type UNION ALL SELECT 'edge', relation, count(*) FROM e GROUP BY relation")
+@query(
+    "a13_by_type",
+    f"WITH {EDGES}, {NODES} SELECT 'node' AS kind, type, count(*)::BIGINT AS n FROM n GROUP BY type UNION ALL SELECT 'edge', "
+    f"relation, count(*) FROM e GROUP BY relation",
+)
 def by_type(spark, d):
     return graph.by_type(nodes(spark, d), edges(spark, d))
 
 
-@query("a13_weak_components", f"WITH {EDGES}, r AS (SELECT 'N' || n_nationkey AS x, 'R' || n_regionkey AS region FROM nation), m AS (SELECT x AS id, region FROM r UNION SELECT region, region FROM r UNION SELECT src, region FROM e JOIN r ON dst = x) SELECT id, min(id) OVER (PARTITION BY region) AS component FROM m")
+@query(
+    "a13_weak_components",
+    f"WITH {EDGES}, r AS (SELECT 'N' || n_nationkey AS x, 'R' || n_regionkey AS region FROM nation), m AS (SELECT x AS id, region "
+    f"FROM r UNION SELECT region, region FROM r UNION SELECT src, region FROM e JOIN r ON dst = x) SELECT id, min(id) OVER "
+    f"(PARTITION BY region) AS component FROM m",
+)
 def weak_components(spark, d):
     """Without edges between regions, each region with all below it is a component."""
     return graph.weak_components(edges(spark, d))
@@ -151,14 +204,21 @@ def to_prune(spark, d):
     return store.to_prune(listing, ["1-URGENT", "2-HIGH"], "5-LOW")
 
 
-@query("a10_merged_node_rows", "SELECT lower(p_brand) AS id, arg_min(p_type, p_partkey) AS type, arg_min(p_name, p_partkey) AS name, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ' ') AS aliases FROM part GROUP BY 1")
+@query(
+    "a10_merged_node_rows",
+    "SELECT lower(p_brand) AS id, arg_min(p_type, p_partkey) AS type, arg_min(p_name, p_partkey) AS name, "
+    "array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ' ') AS aliases FROM part GROUP BY 1",
+)
 def merged_node_rows(spark, d):
     """Type, name and aliases: the words of all spellings."""
     rows = table(spark, d, "part").select(F.lower("p_brand").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
     return graph.merged_nodes(rows).withColumn("aliases", F.array_join("aliases", " "))
 
 
-@query("j22_edges_with_both_ends", f"WITH {EDGES}, {NODES} SELECT e.src, e.dst FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.type = 'Gene'")
+@query(
+    "j22_edges_with_both_ends",
+    f"WITH {EDGES}, {NODES} SELECT e.src, e.dst FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.type = 'Gene'",
+)
 def edges_with_both_ends(spark, d):
     n = nodes(spark, d)
     e = edges(spark, d).join(n.filter("type = 'Gene'").select(F.col("id").alias("src")), "src", "left_semi")

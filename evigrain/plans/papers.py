@@ -118,7 +118,12 @@ def routes(spark, d):
     return papers(spark, d).select("file", chunking.route().alias("route"))
 
 
-@query("p02_dispatch", f"WITH {GENES_SQL}, r AS ({ROUTE_SQL}), t AS ({TYPED_SQL}) SELECT r.file, route, CASE WHEN route = 'generic' THEN (SELECT count(*) FROM g WHERE CAST(g.file AS STRING) = r.file) ELSE (SELECT count(*) FROM t WHERE t.file = r.file) END::BIGINT AS n_chunks FROM r")
+@query(
+    "p02_dispatch",
+    f"WITH {GENES_SQL}, r AS ({ROUTE_SQL}), t AS ({TYPED_SQL}) SELECT r.file, route, CASE WHEN route = 'generic' THEN (SELECT "
+    f"count(*) FROM g WHERE CAST(g.file AS STRING) = r.file) ELSE (SELECT count(*) FROM t WHERE t.file = r.file) END::BIGINT AS "
+    f"n_chunks FROM r",
+)
 def dispatch(spark, d):
     """How many chunks each paper gives by its route."""
     p = papers(spark, d)
@@ -129,17 +134,33 @@ def dispatch(spark, d):
 _GENERIC = [f"CASE WHEN {_FILLED(f)} THEN '{f}: ' || trim({f}) END" for f in FIELDS if f != "Gene_Name"]
 
 
-@query("p03_generic_chunks", f"WITH {GENES_SQL} SELECT CAST(file AS STRING) AS file, Gene_Name AS gene_name, {_LINES(['$基因名称: $ || Gene_Name'.replace('$', chr(39)), chr(39) + '文章: ' + chr(39) + ' || Title', chr(39) + '期刊: ' + chr(39) + ' || Journal', chr(39) + 'DOI: ' + chr(39) + ' || DOI', chr(39) + '基因类型: ' + chr(39) + ' || bucket', chr(39) * 2, *_GENERIC])} AS content FROM g WHERE file % 4 = 3")
+@query(
+    "p03_generic_chunks",
+    f"WITH {GENES_SQL} SELECT CAST(file AS STRING) AS file, Gene_Name AS gene_name, "
+    f"{_LINES(['$基因名称: $ || Gene_Name'.replace('$', chr(39)), chr(39) + '文章: ' + chr(39) + ' || Title', chr(39) + '期刊: ' + chr(39) + ' || Journal', chr(39) + 'DOI: ' + chr(39) + ' || DOI', chr(39) + '基因类型: ' + chr(39) + ' || bucket', chr(39) * 2, *_GENERIC])} "
+    f"AS content FROM g WHERE file % 4 = 3",
+)
 def generic(spark, d):
     return _typed(spark, d, "gene").filter("int(file) % 4 = 3").select("file", "gene_name", "content")
 
 
-@query("p09_regulates", f"WITH {GENES_SQL}, r AS (SELECT *, {_TARGETS} AS targets FROM g WHERE bucket = 'Regulation_Genes' AND Primary_Regulatory_Targets <> 'NA') SELECT CAST(file AS STRING) AS file, Gene_Name AS name, array_to_string(arg_max(targets, p_partkey), '|') AS targets FROM r GROUP BY file, Gene_Name")
+@query(
+    "p09_regulates",
+    f"WITH {GENES_SQL}, r AS (SELECT *, {_TARGETS} AS targets FROM g WHERE bucket = 'Regulation_Genes' AND "
+    f"Primary_Regulatory_Targets <> 'NA') SELECT CAST(file AS STRING) AS file, Gene_Name AS name, array_to_string(arg_max(targets, "
+    f"p_partkey), '|') AS targets FROM r GROUP BY file, Gene_Name",
+)
 def regulates(spark, d):
     return chunking.regulations(papers(spark, d))[0].select("file", "name", F.array_join("targets", "|").alias("targets"))
 
 
-@query("p09_regulated_by", f"WITH {GENES_SQL}, r AS (SELECT *, {_TARGETS} AS targets FROM g WHERE bucket = 'Regulation_Genes' AND Primary_Regulatory_Targets <> 'NA'), e AS (SELECT file, p_partkey, Gene_Name, targets[i] AS target, i FROM r, unnest(range(1, len(targets) + 1)) AS u(i)) SELECT CAST(file AS STRING) AS file, target, string_agg(Gene_Name, '|' ORDER BY p_partkey, i) AS regulators FROM e GROUP BY file, target")
+@query(
+    "p09_regulated_by",
+    f"WITH {GENES_SQL}, r AS (SELECT *, {_TARGETS} AS targets FROM g WHERE bucket = 'Regulation_Genes' AND "
+    f"Primary_Regulatory_Targets <> 'NA'), e AS (SELECT file, p_partkey, Gene_Name, targets[i] AS target, i FROM r, "
+    f"unnest(range(1, len(targets) + 1)) AS u(i)) SELECT CAST(file AS STRING) AS file, target, string_agg(Gene_Name, '|' ORDER BY "
+    f"p_partkey, i) AS regulators FROM e GROUP BY file, target",
+)
 def regulated_by(spark, d):
     return chunking.regulations(papers(spark, d))[1].select("file", "target", F.array_join("regulators", "|").alias("regulators"))
 
@@ -158,18 +179,32 @@ def fields(spark, d):
     return chunking.fields_of(_records(spark, d))
 
 
-@query("p16_keyword_text", f"WITH {GENES_SQL} SELECT {_PLACE} AS id, {_LINES(['Title', 'DOI', *[f'CASE WHEN {_FILLED(f)} THEN {f} END' for f in sorted(FIELDS)]])} AS words FROM g")
+@query(
+    "p16_keyword_text",
+    f"WITH {GENES_SQL} SELECT {_PLACE} AS id, "
+    f"{_LINES(['Title', 'DOI', *[f'CASE WHEN {_FILLED(f)} THEN {f} END' for f in sorted(FIELDS)]])} AS words FROM g",
+)
 def keyword_text(spark, d):
     return _records(spark, d).select("id", chunking.keyword_text("paper_title", "doi").alias("words"))
 
 
-@query("p17_requested", f"WITH {GENES_SQL}, r AS (SELECT *, {_PLACE} AS id FROM g), v AS (SELECT id, 'gene' AS asked, 2.0 AS weight, 'Gene_Name' AS field, Gene_Name AS value FROM r UNION ALL SELECT id, 'gene', 2.0, 'Enzyme_Name', Enzyme_Name FROM r UNION ALL SELECT id, 'Enzyme_Name', 0.5, 'Enzyme_Name', Enzyme_Name FROM r) SELECT id, asked, weight::DOUBLE AS weight, field, value FROM v WHERE {_FILLED('value')}")
+@query(
+    "p17_requested",
+    f"WITH {GENES_SQL}, r AS (SELECT *, {_PLACE} AS id FROM g), v AS (SELECT id, 'gene' AS asked, 2.0 AS weight, 'Gene_Name' AS "
+    f"field, Gene_Name AS value FROM r UNION ALL SELECT id, 'gene', 2.0, 'Enzyme_Name', Enzyme_Name FROM r UNION ALL SELECT id, "
+    f"'Enzyme_Name', 0.5, 'Enzyme_Name', Enzyme_Name FROM r) SELECT id, asked, weight::DOUBLE AS weight, field, value FROM v WHERE "
+    f"{_FILLED('value')}",
+)
 def requested(spark, d):
     """A requested field may name several stored ones, and a stored one may count for several."""
     return chunking.requested(chunking.fields_of(_records(spark, d)), {"gene": 2.0, "Enzyme_Name": 0.5}, {"gene": ("Gene_Name", "Enzyme_Name")})
 
 
-@query("p11_bodies", "SELECT doc_id, list_sum(list_transform(string_split(trim(text, ' '), chr(10)), lambda x: CASE WHEN starts_with(x, '[') OR starts_with(x, '── ') THEN 0 ELSE length(x) END))::INT AS body FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query(
+    "p11_bodies",
+    "SELECT doc_id, list_sum(list_transform(string_split(trim(text, ' '), chr(10)), lambda x: CASE WHEN starts_with(x, '[') OR "
+    "starts_with(x, '── ') THEN 0 ELSE length(x) END))::INT AS body FROM documents WHERE text IS NOT NULL AND text <> ''",
+)
 def bodies(spark, d):
     return table(spark, d, "documents").filter("text <> ''").select("doc_id", chunking.body_length(F.col("text")).alias("body"))
 

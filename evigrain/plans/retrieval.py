@@ -63,7 +63,11 @@ def bm25_fallback(spark, d):
     return ranking.bm25(docs, "of the")
 
 
-@query("v02_bm25_top", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT {TOP}) WHERE score > 0")
+@query(
+    "v02_bm25_top",
+    f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, doc_id DESC LIMIT {TOP}) "
+    f"WHERE score > 0",
+)
 def bm25_top(spark, d):
     return ranking.top(ranking.bm25(_index(spark, d), WORDS), TOP, F.desc("score"), F.desc("doc_id"), positive=True).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -83,7 +87,11 @@ def dense_top(spark, d):
     return ranking.top(ranking.dense(table(spark, d, "embeddings"), _vector(spark, d)), TOP, F.desc("score"), F.desc("vec_id")).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("p21_dense_filtered", f"WITH {COS} SELECT vec_id, label, round(score, 6) AS score FROM cos WHERE label IN (1, 3) ORDER BY cos.score DESC, vec_id DESC LIMIT {TOP}")
+@query(
+    "p21_dense_filtered",
+    f"WITH {COS} SELECT vec_id, label, round(score, 6) AS score FROM cos WHERE label IN (1, 3) ORDER BY cos.score DESC, vec_id "
+    f"DESC LIMIT {TOP}",
+)
 def dense_filtered(spark, d):
     """The filter comes before the cut and reaches the scan."""
     v = table(spark, d, "embeddings").filter(F.col("label").isin(1, 3))
@@ -159,7 +167,10 @@ def hybrid_without_vector(spark, d):
     return _best(ranking.rrf(_legs(spark, d, None)))
 
 
-@query("t05_candidate_depth", "SELECT doc_id, greatest(doc_id % 40, 25)::BIGINT AS depth, greatest(4 * (doc_id % 40), 50)::BIGINT AS asked FROM documents")
+@query(
+    "t05_candidate_depth",
+    "SELECT doc_id, greatest(doc_id % 40, 25)::BIGINT AS depth, greatest(4 * (doc_id % 40), 50)::BIGINT AS asked FROM documents",
+)
 def candidate_depth(spark, d):
     """How many candidates a hybrid search takes: those to show, or those to rank anew; and how many its caller asks for."""
     k = F.col("doc_id") % 40
@@ -186,17 +197,31 @@ def best_of_source(spark, d):
     return _rows(spark, d).groupBy("source").agg(F.min_by(F.struct("doc_id", "score"), "pos").alias("r")).select("source", "r.*")
 
 
-@query("v08_fusion", f"WITH {ROWS}, o AS (SELECT *, CASE WHEN pos = 1 THEN 0 ELSE 1 END AS a, CASE WHEN pos = 1 THEN 0.0 ELSE -score END AS s FROM rows_), c AS (SELECT * FROM o ORDER BY a, s, source, pos LIMIT {TOP}), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY a, s, source, pos) AS again FROM c WHERE key <> '') SELECT row_number() OVER (ORDER BY a, s, source, pos)::INT AS place, doc_id, key FROM k WHERE again = 1")
+@query(
+    "v08_fusion",
+    f"WITH {ROWS}, o AS (SELECT *, CASE WHEN pos = 1 THEN 0 ELSE 1 END AS a, CASE WHEN pos = 1 THEN 0.0 ELSE -score END AS s FROM "
+    f"rows_), c AS (SELECT * FROM o ORDER BY a, s, source, pos LIMIT {TOP}), k AS (SELECT *, row_number() OVER (PARTITION BY key "
+    f"ORDER BY a, s, source, pos) AS again FROM c WHERE key <> '') SELECT row_number() OVER (ORDER BY a, s, source, pos)::INT AS "
+    f"place, doc_id, key FROM k WHERE again = 1",
+)
 def fusion_(spark, d):
     return fusion.fused(_rows(spark, d), TOP).select("place", "doc_id", "key")
 
 
-@query("w03_dedupe", f"WITH {ROWS} SELECT key, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id) AS n FROM rows_) WHERE n = 1")
+@query(
+    "w03_dedupe",
+    f"WITH {ROWS} SELECT key, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id) AS n FROM "
+    f"rows_) WHERE n = 1",
+)
 def dedupe(spark, d):
     return fusion.deduplicated(_rows(spark, d), F.struct(-F.col("score"), "doc_id")).select("key", "doc_id")
 
 
-@query("w05_numbering", "SELECT doc_id, dense_rank() OVER (ORDER BY first)::BIGINT AS number FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS first FROM documents WHERE trim(text) <> '')")
+@query(
+    "w05_numbering",
+    "SELECT doc_id, dense_rank() OVER (ORDER BY first)::BIGINT AS number FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY "
+    "lower(text)) AS first FROM documents WHERE trim(text) <> '')",
+)
 def numbering(spark, d):
     """Documents are packets of one row; identity is the whole text."""
     rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("packet"), F.lit(0).alias("pos"), F.lower("text").alias("key")).filter("trim(key) <> ''")

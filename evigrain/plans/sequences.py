@@ -10,24 +10,41 @@ from evigrain.plans.registry import query, table
 _P = "CASE p_partkey % 6 WHEN 0 THEN 'G. max' WHEN 1 THEN 'Oryza sativa' WHEN 2 THEN 'Z.  luxurians' WHEN 3 THEN 'X. odd' WHEN 4 THEN ' T. aestivum ' ELSE '' END"
 
 
-@query("n12_species_names", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Glycine max' WHEN 1 THEN 'Oryza sativa' WHEN 2 THEN 'Zea luxurians' WHEN 3 THEN 'X. odd' WHEN 4 THEN 'Triticum aestivum' ELSE '' END AS species FROM part")
+@query(
+    "n12_species_names",
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Glycine max' WHEN 1 THEN 'Oryza sativa' WHEN 2 THEN 'Zea luxurians' WHEN 3 "
+    "THEN 'X. odd' WHEN 4 THEN 'Triticum aestivum' ELSE '' END AS species FROM part",
+)
 def species_names(spark, d):
     return table(spark, d, "part").select("p_partkey", sequences.species_name(F.expr(_P)).alias("species"))
 
 
-@query("n13_prefixes", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'FAD' || p_size WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'MYB' END AS bare FROM part")
+@query(
+    "n13_prefixes",
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'FAD' || p_size WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'MYB' END AS bare "
+    "FROM part",
+)
 def prefixes(spark, d):
     name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'GmFAD' || CAST(p_size AS STRING) WHEN 1 THEN 'XyZ' WHEN 2 THEN 'Os' ELSE 'ZmMYB' END")
     return table(spark, d, "part").select("p_partkey", sequences.without_prefix(name).alias("bare"))
 
 
-@query("n15_headers", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'short_one' ELSE 'Glycine max' END AS species, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Gm' || p_size END AS gene, CASE WHEN p_partkey % 3 = 1 THEN 'NM_' || p_partkey ELSE '' END AS accession FROM part")
+@query(
+    "n15_headers",
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'short_one' ELSE 'Glycine max' END AS species, CASE WHEN p_partkey % 3 = "
+    "0 THEN '' ELSE 'Gm' || p_size END AS gene, CASE WHEN p_partkey % 3 = 1 THEN 'NM_' || p_partkey ELSE '' END AS accession FROM "
+    "part",
+)
 def headers(spark, d):
     h = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'short_one' WHEN 1 THEN 'Glycine_max_Gm' || CAST(p_size AS STRING) || '_NM_' || CAST(p_partkey AS STRING) ELSE 'Glycine_max_Gm' || CAST(p_size AS STRING) END")
     return table(spark, d, "part").select("p_partkey", sequences.header_parts(h).alias("x")).select("p_partkey", "x.*")
 
 
-@query("n08_intervals", "SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) + 1 AS start, greatest(l_partkey, l_suppkey) + 1 AS stop, CASE WHEN l_partkey > l_suppkey THEN 2 ELSE 1 END AS strand FROM lineitem")
+@query(
+    "n08_intervals",
+    "SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) + 1 AS start, greatest(l_partkey, l_suppkey) + 1 AS stop, CASE "
+    "WHEN l_partkey > l_suppkey THEN 2 ELSE 1 END AS strand FROM lineitem",
+)
 def intervals(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sequences.interval(F.col("l_partkey"), F.col("l_suppkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
@@ -44,7 +61,11 @@ _DNA = "translate(substr(md5(p_name || p_partkey), 1, 32), '0123456789abcdef', '
 _DNA2 = "translate(md5(p_brand || p_partkey), '0123456789abcdef', 'ACGTACGTACGTacgN')"
 
 
-@query("n11_oligos", f"SELECT p_partkey, right({_DNA}, 25) AS forward, reverse(translate(left({_DNA2}, 25), 'ACGTacgt', 'TGCAtgca')) AS reverse FROM part")
+@query(
+    "n11_oligos",
+    f"SELECT p_partkey, right({_DNA}, 25) AS forward, reverse(translate(left({_DNA2}, 25), 'ACGTacgt', 'TGCAtgca')) AS reverse "
+    f"FROM part",
+)
 def oligos(spark, d):
     up = F.translate(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), "0123456789abcdef", "ACGTACGTACGTacgt")
     down = F.translate(F.md5(F.concat("p_brand", F.col("p_partkey").cast("string"))), "0123456789abcdef", "ACGTACGTACGTacgN")
@@ -57,13 +78,21 @@ def first_recommended(spark, d):
     return sequences.first_recommended(rows, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
 
 
-@query("a29_species_groups", "SELECT s_nationkey AS species, count(*)::BIGINT AS n, count(DISTINCT floor(s_acctbal / 1000))::BIGINT AS genes FROM supplier GROUP BY 1")
+@query(
+    "a29_species_groups",
+    "SELECT s_nationkey AS species, count(*)::BIGINT AS n, count(DISTINCT floor(s_acctbal / 1000))::BIGINT AS genes FROM supplier "
+    "GROUP BY 1",
+)
 def species_groups(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("species"), F.floor(F.col("s_acctbal") / 1000).alias("gene"))
     return sequences.by_species(rows)
 
 
-@query("j16_designs", "SELECT c_nationkey AS species, c_custkey AS accession, c_name AS sequence, s_name AS target, s_name IS NOT NULL AS found FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey = c_custkey")
+@query(
+    "j16_designs",
+    "SELECT c_nationkey AS species, c_custkey AS accession, c_name AS sequence, s_name AS target, s_name IS NOT NULL AS found "
+    "FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey = c_custkey",
+)
 def designs(spark, d):
     seqs = table(spark, d, "customer").selectExpr("c_nationkey AS species", "c_custkey AS accession", "c_name AS sequence")
     targets = table(spark, d, "supplier").selectExpr("s_nationkey AS species", "s_suppkey AS accession", "s_name AS target")
@@ -76,7 +105,11 @@ def checked_total(spark, d):
     return sequences.within_total(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 1_000_000, 8_000_000)
 
 
-@query("n05_valid_vectors", "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
+@query(
+    "n05_valid_vectors",
+    "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid "
+    "FROM embeddings",
+)
 def valid_vectors(spark, d):
     """Whether a vector has the width asked for and only finite components."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -19,12 +19,19 @@ def tokenize(spark, d):
     return w.select("doc_id", F.array_join("w", " ").alias("tokens"), F.size("w").cast("long").alias("n_tokens"))
 
 
-@query("f03_normal_text", r"SELECT doc_id, lower(trim(regexp_replace(translate(text, '‐‑‒–—−', '------'), '\s+', ' ', 'g'))) AS normal FROM documents")
+@query(
+    "f03_normal_text",
+    r"SELECT doc_id, lower(trim(regexp_replace(translate(text, '‐‑‒–—−', '------'), '\s+', ' ', 'g'))) AS normal FROM documents",
+)
 def normal_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normal_text("text").alias("normal"))
 
 
-@query("f11_clean_text", f"SELECT event_id, CASE WHEN lower(trim(coalesce(event_type, ''))) IN {_BLANKS} THEN '' ELSE trim(event_type) END AS cleaned FROM events")
+@query(
+    "f11_clean_text",
+    f"SELECT event_id, CASE WHEN lower(trim(coalesce(event_type, ''))) IN {_BLANKS} THEN '' ELSE trim(event_type) END AS cleaned "
+    f"FROM events",
+)
 def clean_text(spark, d):
     return table(spark, d, "events").select("event_id", T.clean("event_type").alias("cleaned"))
 
@@ -47,12 +54,20 @@ def url(spark, d):
 _TITLE = r"trim(regexp_replace(regexp_replace(lower(trim({x})), '<[^>]+>', ' ', 'g'), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+|_+', ' ', 'g'))"
 
 
-@query("f15_title_key", rf"SELECT doc_id, trim(regexp_replace({_TITLE.format(x=chr(115) + 'plit_part(text, chr(10), 1)')}, ' +', ' ', 'g')) AS title FROM documents")
+@query(
+    "f15_title_key",
+    rf"SELECT doc_id, trim(regexp_replace({_TITLE.format(x=chr(115) + 'plit_part(text, chr(10), 1)')}, ' +', ' ', 'g')) AS title "
+    rf"FROM documents",
+)
 def title_key(spark, d):
     return table(spark, d, "documents").select("doc_id", T.title_key(F.split("text", "\n")[0]).alias("title"))
 
 
-@query("f16_evidence_key", "SELECT page_id, 'url' AS kind, lower(regexp_replace(trim(url), '/+$', '')) AS value FROM pages WHERE regexp_matches(lower(trim(url)), '^https?://')")
+@query(
+    "f16_evidence_key",
+    "SELECT page_id, 'url' AS kind, lower(regexp_replace(trim(url), '/+$', '')) AS value FROM pages WHERE "
+    "regexp_matches(lower(trim(url)), '^https?://')",
+)
 def evidence_key(spark, d):
     return table(spark, d, "pages").select("page_id", T.evidence_key(F.lit("untitled"), url_="url").alias("k")).select("page_id", "k.*").filter("kind = 'url'")
 
@@ -77,7 +92,11 @@ def items(spark, d):
     return lists.select("doc_id", F.array_join("items", "|").alias("items"))
 
 
-@query("f23_node_id", "SELECT n_nationkey, sha1('Gene|' || lower(trim(n_name)) || '|' || lower(trim(r_name))) AS id FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "f23_node_id",
+    "SELECT n_nationkey, sha1('Gene|' || lower(trim(n_name)) || '|' || lower(trim(r_name))) AS id FROM nation JOIN region ON "
+    "n_regionkey = r_regionkey",
+)
 def node_id(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select("n_nationkey", T.node_id(F.lit("Gene"), "n_name", "r_name").alias("id"))
@@ -88,12 +107,20 @@ def edge_id(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.edge_id(F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"), F.lit("based_in")).alias("id"))
 
 
-@query("f34_clean_markdown", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\(https?://[^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS cleaned FROM pages")
+@query(
+    "f34_clean_markdown",
+    r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\(https?://[^)]*\)', "
+    r"'', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS cleaned FROM pages",
+)
 def clean_markdown(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean_markdown("html").alias("cleaned"))
 
 
-@query("f35_sections", "SELECT doc_id, i - 1 AS at, l[i] AS section FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)")
+@query(
+    "f35_sections",
+    "SELECT doc_id, i - 1 AS at, l[i] AS section FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), "
+    "unnest(range(1, len(l) + 1)) AS u(i)",
+)
 def sections(spark, d):
     """Each line becomes a heading, so that each is a section of its own."""
     marked = F.regexp_replace(F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n# ")), "\r", "")
@@ -121,7 +148,12 @@ def reverse_complement(spark, d):
     return table(spark, d, "documents").select("doc_id", T.reverse_complement("text").alias("complement"))
 
 
-@query("n09_flanks", "SELECT l_orderkey, l_linenumber, greatest(1, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey + 1 - 2000 ELSE l_partkey + l_suppkey + 2 END) AS up_from, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey ELSE l_partkey + l_suppkey + 1 + 2000 END AS up_to FROM lineitem")
+@query(
+    "n09_flanks",
+    "SELECT l_orderkey, l_linenumber, greatest(1, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey + 1 - 2000 ELSE l_partkey + "
+    "l_suppkey + 2 END) AS up_from, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey ELSE l_partkey + l_suppkey + 1 + 2000 END AS "
+    "up_to FROM lineitem",
+)
 def flanks(spark, d):
     """The upstream region of 1-based genes [partkey + 1, partkey + suppkey + 1]; odd lines lie on the plus strand."""
     start, stop = F.col("l_partkey") + 1, F.col("l_partkey") + F.col("l_suppkey") + 1
@@ -129,11 +161,19 @@ def flanks(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.lit(1), F.when(plus, start - 2000).otherwise(stop + 1)).alias("up_from"), F.when(plus, start - 1).otherwise(stop + 2000).alias("up_to"))
 
 
-@query("w13_windows", "SELECT doc_id, i::BIGINT AS start, substring(text, i + 1, 1500) AS piece FROM documents, unnest(range(0, length(text), 1300)) AS u(i)")
+@query(
+    "w13_windows",
+    "SELECT doc_id, i::BIGINT AS start, substring(text, i + 1, 1500) AS piece FROM documents, unnest(range(0, length(text), "
+    "1300)) AS u(i)",
+)
 def windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(T.windows("text")).alias("w")).select("doc_id", F.col("w.start").cast("long").alias("start"), "w.piece")
 
 
-@query("p28_truncate", "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 800 THEN substring(text, 1, 800) || '...' ELSE text END AS shown FROM conversations")
+@query(
+    "p28_truncate",
+    "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 800 THEN substring(text, 1, 800) || '...' ELSE text "
+    "END AS shown FROM conversations",
+)
 def truncate(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", T.truncated("text", 800)).otherwise(F.col("text")).alias("shown"))
