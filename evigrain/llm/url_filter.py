@@ -7,8 +7,8 @@
    words that has WEB_SHARE of the mass. Runs and words may be of any length.
 3. Naive Bayes is learned from the pages that rules decide: their verdicts are the labels. Words that stand in a
    rule are no features, so that the labels can't be read off the tokens. Token counts of both classes, add-one
-   smoothed, give a log-odds weight for each token; a page is blocked if its weights exceed `threshold`. The prior is
-   even: how many pages the rules decide tells how they were written, not how common bad pages are.
+   smoothed, give a log-odds weight for each token that a labelled page has; a page is blocked if its weights exceed
+   `threshold`. The prior is even: how many pages the rules decide tells how they were written, not how common bad pages are.
 
 Nothing is capped: word counts, token counts and weights are tables that grow with the data and meet the hosts in
 shuffled joins, which deal hot keys over parts; hosts and paths are reduced to their distinct forms before
@@ -156,7 +156,8 @@ def scored(forms: DataFrame, learns: Column | None = None) -> DataFrame:
     seen = token.groupBy("token").agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
     seen = written(seen, "token_counts")
     v, nb, ng = (float(x or 0) for x in seen.agg(F.sum(F.when(F.col("b") + F.col("g") > 0, 1)), F.sum("b"), F.sum("g")).first())
-    weight = F.log((F.col("b") + 1) / (nb + v + 1)) - F.log((F.col("g") + 1) / (ng + v + 1))
+    # A token that no labelled page has says nothing.
+    weight = F.when(F.col("b") + F.col("g") > 0, F.log((F.col("b") + 1) / (nb + v + 1)) - F.log((F.col("g") + 1) / (ng + v + 1))).otherwise(0.0)
     odds = dealt_join(token.select("host", "path_words", "token"), seen.select("token", weight.alias("w")), ["token"]).groupBy("host", "path_words").agg(F.sum("w").alias("w"))
     return forms.join(odds, ["host", "path_words"], "left").select("host", "path_words", "host_words", F.coalesce("w", F.lit(0.0)).alias("odds"))
 

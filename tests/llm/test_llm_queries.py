@@ -84,7 +84,7 @@ def url_brute(pages: list, texts: list) -> dict:
     ng, nb = (sum(c.values()) for c in seen)
     out = {}
     for i, (host, path, fit, words, tokens) in rows.items():
-        odds = sum(math.log((seen[1][t] + 1) / (nb + v + 1)) - math.log((seen[0][t] + 1) / (ng + v + 1)) for t in tokens)
+        odds = sum(math.log((seen[1][t] + 1) / (nb + v + 1)) - math.log((seen[0][t] + 1) / (ng + v + 1)) for t in tokens if seen[0][t] + seen[1][t])
         out[i] = (host, path, fit[0] + fit[1] if fit else None, fit[2] if fit else None, words, odds)
     return out
 
