@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrain.llm.shared import forget, near_join, written
+from evigrain.llm.shared import near_join, settled, written
 
 
 def _pull(pairs: DataFrame) -> DataFrame:
@@ -21,15 +21,19 @@ def _pull(pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: the least node that links reach, for each node of links (a, b) between comparable ids."""
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    spark = links.sparkSession
+    edges = settled(spark, lambda: links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _pull(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        pulled = _pull(large)
-        small = pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pulled.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = written(small, "links")
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
-        forget(edges)
+        after = settled(spark, lambda e=edges: _round(e), "links")
+        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
+            root = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(root)
         edges = after
-        if same:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star step and a small-star step."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _pull(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    pulled = _pull(large)
+    return pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pulled.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.llm.components import components
-from evigrain.llm.shared import dealt_join, near_join, table, written
+from evigrain.llm.shared import dealt_join, near_join, settled, table, written
 
 COSINE = 0.93
 SAMPLE = 4096
@@ -228,7 +228,8 @@ def deduplicated(vectors: DataFrame, t: float = COSINE) -> DataFrame:
     b = written(blocks(order, axes, width_of(eps)), "blocks")
     found = written(joined(written(block_pairs(b, eps), "block_pairs"), b, axes, t), "joined")
     # A vec_id is one node, whatever its rows hold.
-    comps = components(found.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).unionByName(_ties(good, classes)))
+    linked_reps = found.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    comps = settled(v.sparkSession, lambda: components(linked_reps.unionByName(_ties(good, classes))), "components")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     of = classes.join(links, "cid", "left").join(comps, F.col("rep") == F.col("node"), "left")
     of = of.select("label", "h", F.col("embedding").alias("own"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

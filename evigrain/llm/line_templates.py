@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrain.llm.components import components
-from evigrain.llm.shared import dealt_join, hot_keys, near_join, private, table, written
+from evigrain.llm.shared import dealt_join, hot_keys, near_join, private, settled, table, written
 
 DEPTH = 3
 
@@ -77,7 +77,7 @@ def _lines(docs: DataFrame, rule: Rule) -> DataFrame:
     rows = docs.filter("text IS NOT NULL").select("doc_id", *_key(F.col("text")), F.posexplode(counted).alias("at", "x"))
     rows = rows.filter(F.col("x.n") >= rule.short_tokens).select("doc_id", "t1", "t2", "at", "x.n", "x.masked")
     number = F.conv(F.substring(F.md5("masked"), 1, 15), 16, 10).cast("long")
-    return rows.select("*", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), number.alias("line"), _parts(rule).alias("parts"))
+    return rows.select("*", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), number.alias("line"))
 
 
 def _parts(rule: Rule) -> Column:
@@ -129,7 +129,8 @@ def recurring(keys: DataFrame, rule: Rule = RULE) -> DataFrame:
     per = written(each.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.max("n").alias("n")), "per")
     # Only in leaves with different lines is there anything to compare.
     several = written(live.filter("several").select("leaf"), "several")
-    parts = near_join(keys.select("leaf", "line", "parts"), several, ["leaf"], "left_semi").groupBy("leaf", "line").agg(F.any_value("parts").alias("parts"))
+    cut = keys.select("leaf", "line", _parts(rule).alias("parts"))
+    parts = near_join(cut, several, ["leaf"], "left_semi").groupBy("leaf", "line").agg(F.any_value("parts").alias("parts"))
     lines = written(parts.join(per.hint("merge"), ["leaf", "line"]), "several_lines")
     of = per.join(templates(lines, keys, rule.similar).hint("merge"), ["leaf", "line"], "left")
     of = written(of.select("leaf", "line", "n", F.coalesce("template", F.struct("leaf", "line")).alias("template")), "templates")
@@ -144,7 +145,7 @@ def recurring(keys: DataFrame, rule: Rule = RULE) -> DataFrame:
 def cleaned(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines and n_dropped."""
     keys = written(_lines(docs, rule), "keys")
-    drop = near_join(keys.select("t1", "t2", "at", "leaf", "line"), written(recurring(keys, rule), "recurring"), ["leaf", "line"])
+    drop = near_join(keys.select("t1", "t2", "at", "leaf", "line"), settled(docs.sparkSession, lambda: recurring(keys, rule), "recurring"), ["leaf", "line"])
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     t1, t2, gone = private(["_t1", "_t2", "_gone"], docs.columns)
     drop = drop.filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2"))).groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set("at").alias(gone))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.llm.components import components
-from evigrain.llm.shared import WORD, dealt_join, forget, hot_keys, private, table, written
+from evigrain.llm.shared import WORD, dealt_join, hot_keys, private, settled, table, written
 from evigrain.llm.shingles import chunks, mix, shingle_sets, similarity
 
 COORDINATES = 256
@@ -217,7 +217,7 @@ def groups(classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFra
     hubs = members.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("centre"), "n"), F.struct("close", "id")).alias("c")).select("key", "c.*")
     second = written(_star(left.join(close, "id", "left_semi"), hubs, similar).join(star, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(written(confirmed(second, docs, classes, k, similar), "confirmed"))
-    comp = written(components(links), "components")
+    comp = settled(docs.sparkSession, lambda: components(links), "components")
 
     # A link that is still missing has an end x outside its bucket's hub's component.
     of = comp.withColumnRenamed("node", "id")
@@ -226,8 +226,6 @@ def groups(classes: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFra
     outside = at.filter(F.col("comp") != F.coalesce("hub_comp", "hub"))
     rest = written(_missing(outside, members, shared, docs, classes, k, similar).join(star.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     more = written(confirmed(rest, docs, classes, k, similar), "confirmed")
-    for t in (entries, star, left, shared, second, rest, members, comp):
-        forget(t)
     return links.unionByName(more)
 
 
@@ -237,14 +235,15 @@ def grouped(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
     fine = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = fine.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     classes = written(sets.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
-    links = groups(classes.withColumnRenamed("n_shingles", "n"), docs, k, similar)
+    spark = docs.sparkSession
+    links = settled(spark, lambda: groups(classes.withColumnRenamed("n_shingles", "n"), docs, k, similar), "links")
     keys = ["k1", "k2", "n_shingles"]
     rows = written(dealt_join(feats.drop("bands"), classes.select("id", *keys), keys, "left"), "rows")
     rows = rows.withColumn("id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")))
     # Different texts under one id are one node.
     several = rows.filter("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b < most").select("doc_id", "b")
     ties = rows.select("doc_id", F.col("id").alias("a")).join(several, "doc_id").filter("a > b").select("a", "b").distinct()
-    comp = components(links.unionByName(ties))
+    comp = settled(spark, lambda: components(links.unionByName(ties)), "components")
     named = classes.select("id", "doc_id").join(comp, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "component").select("id", "component_id")

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,21 +57,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that written() made, for each settled() that is under way.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. It cuts the lineage, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evigrain/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/evigrain/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What build() gives, written; the tables that were written on the way to it are deleted."""
+    _made.append([])
+    try:
+        out = written(build(), name)
+    finally:
+        paths = _made.pop()
+    if _made:
+        _made[-1].append(paths[-1])
+    for path in paths[:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return out
 
 
 #: A key is hot if it has more than one in so many of all rows. There are no more hot keys than that.
