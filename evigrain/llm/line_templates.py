@@ -139,7 +139,7 @@ def recurring(keys: DataFrame, rule: Rule = RULE) -> DataFrame:
     texts = member.groupBy("template", "t1", "t2").agg(F.any_value("n").alias("n"), F.min("doc_id").alias("doc_id"))
     owner = texts.groupBy("template").agg(F.count("*").alias("texts"), F.any_value("n").alias("n"), _first().alias("k"))
     again = owner.filter(((F.col("n") >= rule.long_tokens) & (F.col("texts") >= rule.long_texts)) | (F.col("texts") >= rule.short_texts)).select("template", "k.k1", "k.k2")
-    return of.join(again.hint("merge"), ["template"]).select("leaf", "line", "k1", "k2")
+    return near_join(of, written(again, "again"), ["template"]).select("leaf", "line", "k1", "k2")
 
 
 def cleaned(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
