@@ -184,11 +184,16 @@ def pathway_overview_chunk() -> Column:
     return _chunk("pathway_overview", PAPER_NAME, F.concat(header(), _blank(), body))
 
 
-def reaction_chain_chunk() -> Column:
+def reaction_steps() -> Column:
     """A line for each gene of a chain: [step] substrate --(gene)--> product."""
     or_ = lambda c, other: F.coalesce(_told(c), F.lit(other))
     step = lambda g: F.concat(F.lit("["), or_(g["Metabolic_Step_Position"], ""), F.lit("] "), or_(g["Primary_Substrate"], "?"), F.lit(" --("), or_(g["Gene_Name"], "?"), F.lit(")--> "), or_(g["Primary_Product"], "?"))
-    return _chunk("pathway_graph", PAPER_NAME, F.concat(header(), _blank(), F.array(F.lit("── Reaction Chain ──")), F.transform("Pathway_Genes", step)))
+    return F.transform("Pathway_Genes", step)
+
+
+def reaction_chain_chunk() -> Column:
+    """The steps of a chain. Its lines begin like heads, so that the least length leaves a chain of nothing else out."""
+    return _chunk("pathway_graph", PAPER_NAME, F.concat(header(), _blank(), F.array(F.lit("── Reaction Chain ──")), reaction_steps()))
 
 
 def directory_chunk() -> Column:

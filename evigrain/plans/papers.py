@@ -104,7 +104,6 @@ def _kinds_query(name: str, *kinds: str):
 
 plant = _kinds_query("p04_plant_chunks", "plant_gene_overview", "plant_gene_mechanism", "plant_gene_phenotype", "plant_gene_variant_breeding", "plant_gene_methods")
 overview = _kinds_query("p05_pathway_overview", "pathway_overview")
-reactions = _kinds_query("p06_reaction_chain", "pathway_graph")
 pathway_genes = _kinds_query("p07_pathway_genes", "pathway_gene", "common_gene")
 directory = _kinds_query("p08_directory", "paper_overview")
 network = _kinds_query("p09_network", "regulatory_network")
@@ -217,3 +216,14 @@ def gene_edges(spark, d):
     """How many edges each rule gives in each paper, and to how many different things."""
     e = chunking.gene_edges(papers(spark, d))
     return e.groupBy("evidence.file", "relation", "evidence.field").agg(F.count("*").alias("n"), F.count_distinct(F.lower("evidence.item")).alias("items"))
+
+
+@query(
+    "p06_reaction_chain",
+    f"WITH {GENES_SQL} SELECT CAST(file AS STRING) AS file, string_agg('[' || Metabolic_Step_Position || '] ' || Primary_Substrate || ' --(' || "
+    f"Gene_Name || ')--> ' || Primary_Product, chr(10) ORDER BY p_partkey) AS steps FROM g WHERE file % 4 = 0 GROUP BY file",
+)
+def reactions(spark, d):
+    """The steps of each chain."""
+    chains = papers(spark, d).filter(chunking.route() == "pathway_chain")
+    return chains.select("file", F.array_join(chunking.reaction_steps(), "\n").alias("steps"))
