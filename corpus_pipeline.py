@@ -2,7 +2,8 @@
 
 Each stage takes the documents that its predecessor kept and works on all of them. run() applies the stages to
 the table `documents` one after another; between stages the documents are a Parquet table in the folder that
-the cluster shares (spark.checkpoint.dir), so a lost executor never costs more than the running stage.
+the cluster shares (spark.checkpoint.dir), so a lost executor never costs more than the running stage. The tables
+that a stage writes on its way are deleted once its result is written.
 
 SQL can't express the near-dedup of texts that line dedup has changed, nor packing; ORACLE_SQL is None, and
 tests hold the stages against brute force.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evigrain.llm import line_templates, minhash_dedup, packing, quality_rules
 from evigrain.llm.bpe import public_path
-from evigrain.llm.shared import ship, table, written
+from evigrain.llm.shared import settled, ship, table, written
 
 #: Near-duplicates: shingles of so many words, and this Jaccard similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
@@ -30,14 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, and documents of which nothing is left; n_chars follows the text."""
     ship(spark)
-    out = line_templates.deduplicated(docs)
+    out = settled(spark, lambda: line_templates.deduplicated(docs), "line_dedup")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
     ship(spark)
-    return minhash_dedup.deduplicated(docs, SHINGLE, SIMILAR)
+    return settled(spark, lambda: minhash_dedup.deduplicated(docs, SHINGLE, SIMILAR), "near_dedup")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
