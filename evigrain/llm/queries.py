@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigrain.llm import backoff_lm, best_fit, bpe, chat_format, grid_join, hilbert_shards, line_templates, minhash_dedup, packing, quality_rules, url_filter
+from evigrain.llm import backoff_lm, best_fit, bpe, chat_format, grid_join, hilbert_shards, line_templates, minhash_dedup, packing, prefix_trie, quality_rules, turn_repair, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_grid_order_join": grid_join.op9_grid_order_join,
     "op10_hilbert_sharding": hilbert_shards.op10_hilbert_sharding,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_best_fit": best_fit.op13_best_fit,
 }
 ORACLE_SQL = {

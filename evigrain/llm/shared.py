@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,32 +58,59 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths that written() made, for each settled() that is under way.
-_made: list[list[str]] = []
+#: Paths that written() made inside the innermost settled() of this thread, or None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def _path(spark: SparkSession, name: str):
+    """A path as Hadoop knows it, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; Hadoop deletes it when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/evigrain/{context.applicationId}"
+    made = context.__dict__.setdefault("_evigrain_folders", set())
+    if folder not in made:
+        path, system = _path(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        made.add(folder)
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder. It cuts the lineage, and a lost executor takes nothing with it."""
+    """df as a Parquet table in the shared folder. It cuts the lineage, and a lost executor takes nothing with it.
+
+    It goes when the settled() around it, if any, has its result, and with the application at the latest."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/evigrain/{name}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What build() gives, written; the tables that were written on the way to it are deleted."""
-    _made.append([])
+    """What build() gives, written; the tables that were written on the way to it, by this thread, are deleted, also
+    if it fails."""
+    mine: list[str] = []
+    token, kept = _made.set(mine), []
     try:
         out = written(build(), name)
+        kept = mine[-1:]
     finally:
-        paths = _made.pop()
-    if _made:
-        _made[-1].append(paths[-1])
-    for path in paths[:-1]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _made.reset(token)
+        for name in mine:
+            if name not in kept:
+                path, system = _path(spark, name)
+                system.delete(path, True)
+    outer = _made.get()
+    if outer is not None:
+        outer += kept
     return out
 
 
