@@ -144,11 +144,16 @@ def recurring(keys: DataFrame, rule: Rule = RULE) -> DataFrame:
 
 def cleaned(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines and n_dropped."""
-    keys = written(_lines(docs, rule), "keys")
-    drop = near_join(keys.select("t1", "t2", "at", "leaf", "line"), settled(docs.sparkSession, lambda: recurring(keys, rule), "recurring"), ["leaf", "line"])
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     t1, t2, gone = private(["_t1", "_t2", "_gone"], docs.columns)
-    drop = drop.filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2"))).groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set("at").alias(gone))
+
+    def places() -> DataFrame:
+        keys = written(_lines(docs, rule), "keys")
+        hit = near_join(keys.select("t1", "t2", "at", "leaf", "line"), settled(docs.sparkSession, lambda: recurring(keys, rule), "recurring"), ["leaf", "line"])
+        hit = hit.filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2")))
+        return hit.groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set("at").alias(gone))
+
+    drop = settled(docs.sparkSession, places, "gone")
     both = _met(docs.select(*own), drop, t1, t2)
     lines = F.split("text", "\n")
     left = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n"))[0]
@@ -185,16 +190,19 @@ def _segments(docs: DataFrame) -> DataFrame:
 
 def unrepeated(docs: DataFrame) -> DataFrame:
     """docs without the segments that recur in other texts, and n_words_dropped."""
-    each = written(_segments(docs), "segments")
-    # Two numbers a segment, so that most of this is aggregated in place; owners are looked for among what recurs only.
-    live = each.groupBy("u1", "u2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo <> hi").select("u1", "u2")
-    hits = written(near_join(each, written(live, "live"), ["u1", "u2"], "left_semi"), "recurring")
-    owner = hits.groupBy("u1", "u2").agg(_first().alias("k")).select("u1", "u2", "k.k1", "k.k2")
-    lost = near_join(hits, written(owner, "owners"), ["u1", "u2"]).filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2")))
     own = [c for c in docs.columns if c != "n_words_dropped"]
     t1, t2, out, pieces, inside = private(["_t1", "_t2", "_out", "_pieces", "_inside"], docs.columns)
-    spans = lost.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    gone = spans.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["a"], x["b"] - 1)))).alias(out))
+
+    def lost() -> DataFrame:
+        each = written(_segments(docs), "segments")
+        # Two numbers a segment, so that most of this is aggregated in place; owners are looked for among what recurs only.
+        live = each.groupBy("u1", "u2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo <> hi").select("u1", "u2")
+        hits = written(near_join(each, written(live, "live"), ["u1", "u2"], "left_semi"), "recurring")
+        owner = hits.groupBy("u1", "u2").agg(_first().alias("k")).select("u1", "u2", "k.k1", "k.k2")
+        other = near_join(hits, written(owner, "owners"), ["u1", "u2"]).filter((F.col("t1") != F.col("k1")) | (F.col("t2") != F.col("k2")))
+        return other.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("s"))
+
+    gone = settled(docs.sparkSession, lost, "lost").select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["a"], x["b"] - 1)))).alias(out))
     both = _met(docs.select(*own), gone, t1, t2)
     # Words with the blanks before them; the blanks after the last one are added at the end.
     cut = F.when(F.col(out).isNotNull(), F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)))

@@ -254,7 +254,7 @@ def grouped(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
 
 def deduplicated(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
     """One row of each group, with all columns of docs: of the rows with the least id the one with the least text."""
-    rows = written(grouped(docs, k, similar).filter("doc_id IS NOT NULL AND n_shingles > 0"), "grouped")
+    rows = settled(docs.sparkSession, lambda: grouped(docs, k, similar).filter("doc_id IS NOT NULL AND n_shingles > 0"), "grouped")
     dropped = rows.filter("NOT kept").select("doc_id").distinct()
     several = rows.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
@@ -266,4 +266,4 @@ def deduplicated(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFra
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(table(spark, sf_dir, "documents"), 4)
+    return settled(spark, lambda: grouped(table(spark, sf_dir, "documents"), 4), "grouped")
