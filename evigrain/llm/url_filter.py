@@ -8,7 +8,8 @@
 3. Naive Bayes is learned from the pages that rules decide: their verdicts are the labels. Words that stand in a
    rule are no features, so that the labels can't be read off the tokens. Token counts of both classes, add-one
    smoothed, give a log-odds weight for each token that a labelled page has; a page is blocked if its weights exceed
-   `threshold`. The prior is even: how many pages the rules decide tells how they were written, not how common bad pages are.
+   `threshold`. The prior is the share of blocked pages among the labelled ones; a page without any token has no weights
+   and no prior.
 
 Nothing is capped: word counts, token counts and weights are tables that grow with the data and meet the hosts in
 shuffled joins, which deal hot keys over parts; hosts and paths are reduced to their distinct forms before
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm.shared import ascii_lower, dealt_join, table, written
+from evigrain.llm.shared import ascii_lower, dealt_join, settled, table, written
 
 RULES = (
     ("com", "/", "allow"),
@@ -43,6 +44,8 @@ WEB_WORDS = ("app", "blog", "cloud", "com", "daily", "data", "docs", "example",
 WEB_SHARE = 0.1
 #: Letters of a word that its arcs are looked up by.
 KEY = 20
+#: Letters of a run whose substrings are made in one row.
+STRETCH = 256
 MAX_RULES = 500
 
 
@@ -111,9 +114,14 @@ def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """run, words for the distinct letter runs of column run. All substrings of up to KEY letters meet the words that
     they are, or, at KEY letters, that start with them; of the latter those stay that the run holds."""
     shares, once = word_shares(counts)
-    pieces = F.expr(f"explode(array_distinct(flatten(transform(sequence(1, length(run)), i -> transform(sequence(1, least({KEY}, length(run) - i + 1)), l -> substring(run, i, l))))))")
+    # A row makes the substrings that start in a stretch of the run.
+    stretch = F.expr(f"explode(sequence(0, (length(run) - 1) div {STRETCH}))").alias("s")
+    starts = f"sequence(s * {STRETCH} + 1, least(length(run), (s + 1) * {STRETCH}))"
+    pieces = F.expr(f"explode(array_distinct(flatten(transform({starts}, i -> transform(sequence(1, least({KEY}, length(run) - i + 1)), l -> substring(run, i, l))))))")
     runs = runs.filter("run <> ''")
-    met = runs.select("run", pieces.alias("key")).join(shares.select(F.substring("word", 1, KEY).alias("key"), "word", "p"), "key")
+    keys = written(runs.select("run", stretch).select("run", pieces.alias("key")), "substrings")
+    # Most runs have the same few letters.
+    met = dealt_join(keys, shares.select(F.substring("word", 1, KEY).alias("key"), "word", "p"), ["key"])
     arcs = met.filter((F.length("word") <= KEY) | F.col("run").contains(F.col("word"))).groupBy("run").agg(F.collect_list(F.struct("word", "p")).alias("arcs"))
 
     @F.pandas_udf("array<string>")
@@ -158,7 +166,9 @@ def scored(forms: DataFrame, learns: Column | None = None) -> DataFrame:
     v, nb, ng = (float(x or 0) for x in seen.agg(F.sum(F.when(F.col("b") + F.col("g") > 0, 1)), F.sum("b"), F.sum("g")).first())
     # A token that no labelled page has says nothing.
     weight = F.when(F.col("b") + F.col("g") > 0, F.log((F.col("b") + 1) / (nb + v + 1)) - F.log((F.col("g") + 1) / (ng + v + 1))).otherwise(0.0)
-    odds = dealt_join(token.select("host", "path_words", "token"), seen.select("token", weight.alias("w")), ["token"]).groupBy("host", "path_words").agg(F.sum("w").alias("w"))
+    pb, pg = (float(x or 0) for x in forms.agg(F.sum(b), F.sum(g)).first())
+    prior = math.log((pb + 1) / (pg + 1))
+    odds = dealt_join(token.select("host", "path_words", "token"), seen.select("token", weight.alias("w")), ["token"]).groupBy("host", "path_words").agg((F.sum("w") + prior).alias("w"))
     return forms.join(odds, ["host", "path_words"], "left").select("host", "path_words", "host_words", F.coalesce("w", F.lit(0.0)).alias("odds"))
 
 
@@ -187,4 +197,4 @@ def accuracy(pages: DataFrame, docs: DataFrame, rules=RULES, threshold: float =
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return settled(spark, lambda: judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")), "judged")

@@ -67,6 +67,7 @@ def url_brute(pages: list, texts: list) -> dict:
 
     given = {w for h, p, _ in rules for w in re.findall("[a-z]+", h + " " + p)}
     seen, rows, memo = [Counter(), Counter()], {}, {}
+    labels = Counter()
     order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     for i, url in pages:
         rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
@@ -79,12 +80,14 @@ def url_brute(pages: list, texts: list) -> dict:
         if fit:
             k = fit[2] == "block"
             seen[k].update(tokens)
+            labels[k] += 1
         rows[i] = (host, path, fit, words, tokens)
     v = len(set(seen[0]) | set(seen[1]))
     ng, nb = (sum(c.values()) for c in seen)
     out = {}
     for i, (host, path, fit, words, tokens) in rows.items():
-        odds = sum(math.log((seen[1][t] + 1) / (nb + v + 1)) - math.log((seen[0][t] + 1) / (ng + v + 1)) for t in tokens if seen[0][t] + seen[1][t])
+        prior = math.log((labels[1] + 1) / (labels[0] + 1)) if tokens else 0
+        odds = prior + sum(math.log((seen[1][t] + 1) / (nb + v + 1)) - math.log((seen[0][t] + 1) / (ng + v + 1)) for t in tokens if seen[0][t] + seen[1][t])
         out[i] = (host, path, fit[0] + fit[1] if fit else None, fit[2] if fit else None, words, odds)
     return out
 
