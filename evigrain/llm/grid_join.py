@@ -64,7 +64,7 @@ def _projected(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
     return out
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows: list | np.ndarray) -> np.ndarray:
     x = np.array(rows, float)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -89,14 +89,14 @@ def placed(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b["embedding"].to_pylist()
-            out: list = [None] * len(v)
-            width = np.array([len(x) for x in v])
-            for d in set(width.tolist()):
+            ends = b["embedding"].offsets.to_numpy()
+            v, width = b["embedding"].values.to_numpy(), np.diff(ends)
+            out = np.zeros((b.num_rows, AXES), np.int32)
+            for d in np.unique(width).tolist():
                 at = np.flatnonzero(width == d)
-                for i, row in zip(at.tolist(), np.floor(_projected(_unit([v[i] for i in at]), axes) / eps).astype(np.int32).tolist()):
-                    out[i] = row
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+                out[at] = np.floor(_projected(_unit(v[ends[at][:, None] + np.arange(d)]), axes) / eps)
+            cells = pa.ListArray.from_arrays(np.arange(0, out.size + 1, AXES, dtype=np.int32), out.ravel())
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], [*b.schema.names, "cells"])
 
     return classes.mapInArrow(cells, "cid long, label string, width int, embedding array<double>, rep long, n long, cells array<int>")
 
@@ -180,7 +180,8 @@ def joined(pairs: DataFrame, b: DataFrame, axes: dict[int, np.ndarray], t: float
     eps2 = 2 - 2 * t + 1e-9
     numbered = pairs.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("a").orderBy("b")) - 1) / PARTNERS))
     sides = numbered.select("a", "chunk", F.col("b").alias("block")).unionByName(numbered.filter("a <> b").select("a", "chunk", F.col("a").alias("block"))).distinct()
-    rows = sides.join(b.select("block", "width", "cids", "reps", "ns", "data"), "block")
+    # A block that is near very many others is dealt, and its vectors are copied to each part.
+    rows = dealt_join(written(sides, "sides"), b.select("block", "width", "cids", "reps", "ns", "data"), ["block"])
     wants = numbered.groupBy("a", "chunk").agg(F.max(F.col("a") == F.col("b")).alias("self"))
     rows = rows.join(wants, ["a", "chunk"])
 
@@ -250,4 +251,4 @@ def _ties(good: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op9_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "embeddings"))
+    return settled(spark, lambda: deduplicated(table(spark, sf_dir, "embeddings")), "linked")
