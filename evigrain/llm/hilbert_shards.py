@@ -24,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm.shared import private, table, written
+from evigrain.llm.shared import private, settled, table, written
 
 DIMS = 3
-BITS = 5
+BITS = 6
 N_SHARDS = 8
 
 
@@ -74,8 +74,8 @@ def bucket(column, bits: int = BITS) -> Column:
 
 
 def log_scale(column: Column, bits: int = BITS) -> Column:
-    """A positive size on a log scale, two steps for each doubling."""
-    return F.least(F.floor(F.log2(column) * 2), F.lit((1 << bits) - 1)).cast("int")
+    """A positive size on a log scale; with BITS bits two steps for each doubling, up to the 2 GB that a string can have."""
+    return F.floor(F.log2(column) * ((1 << bits) // 32)).cast("int")
 
 
 def sharded(df: DataFrame, order: list[Column], n_shards: int = N_SHARDS) -> DataFrame:
@@ -122,5 +122,5 @@ def shards_with(told: DataFrame, dimension: str, at: Column) -> DataFrame:
 
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under the law `rows`, along the curve."""
-    out = sharded_documents(table(spark, sf_dir, "documents"))
+    out = settled(spark, lambda: sharded_documents(table(spark, sf_dir, "documents")), "shards")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
