@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.functions import text as T
-from evigrain.operators import fusion, keywords, ranking
+from evigrain.operators import field_index, fusion, keywords, ranking
 from evigrain.plans.registry import query, table
 from evigrain.sources import store
 from evigrain.plans.text import KEPT_SQL
@@ -119,9 +119,39 @@ def keyword_scores(spark, d):
     return _keyword(spark, d).select("id", F.round("score", 6).alias("score"))
 
 
+def _fields(spark, d) -> field_index.FieldIndex:
+    """The index of the documents' fields, built once and kept until their files change."""
+    rows = table(spark, d, "documents").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "source")
+    return field_index.FieldIndex(**store.kept(spark, f"{d}/documents.parquet", "field-index", lambda: field_index.tables(keywords.long_fields(rows))))
+
+
+def _explained(spark, d):
+    return field_index.explained(_fields(spark, d), keywords.Spec(SPEC))
+
+
 @query("v03_keyword_top", KEYWORD_SQL + f" SELECT id, round(score, 6) AS score FROM k WHERE score > 0 ORDER BY k.score DESC, id LIMIT {TOP}")
 def keyword_top(spark, d):
-    return ranking.top(_keyword(spark, d), TOP, F.desc("score"), F.asc("id")).select("id", F.round("score", 6).alias("score"))
+    """Candidates come from postings; only their fields are read."""
+    return ranking.top(keywords.totals(_explained(spark, d)), TOP, F.desc("score"), F.asc("id")).select("id", F.round("score", 6).alias("score"))
+
+
+_FORMS = (("licence", "text", "licensed under", 1.0, _PH.format(t="t", w="licensed under", k=14), 2.0), ("licence", "source", "licensed under", 0.5, _PH.format(t="s", w="licensed under", k=14), 2.0), ("licence", "text", "license", 0.5, _TK.format(t="t", w="license"), 2.0))
+_FORMS += (("licence", "source", "license", 0.25, _TK.format(t="s", w="license"), 2.0), ("source", "source", "src1", 2.4, f"CASE WHEN contains(t || ' ' || s, 'the') OR contains(t || ' ' || s, 'und') THEN {_PH.format(t='s', w='src1', k=4)} ELSE 0 END", 3.6))
+EXPLAIN_SQL = KEYWORD_SQL + ", m AS (" + " UNION ALL ".join(f"SELECT id, '{c}' AS concept, '{f}' AS field, '{x}' AS surface_form, ({n})::BIGINT AS n, {w} * {_D.format(n=n)} AS score, {cap} AS cap FROM r" for c, f, x, w, n, cap in _FORMS)
+EXPLAIN_SQL += "), p AS (SELECT *, score * least(1.0, cap / sum(score) OVER (PARTITION BY id, concept)) AS part FROM m WHERE n > 0)"
+
+
+@query("v03_explain", EXPLAIN_SQL + " SELECT id, concept, field, surface_form, n, round(score, 6) AS score, round(part, 6) AS part FROM p")
+def explain(spark, d):
+    """One row for each form that a field holds; a record's parts add up to its score."""
+    return _explained(spark, d).select("id", "concept", "field", "surface_form", "n", F.round("score", 6).alias("score"), F.round("part", 6).alias("part"))
+
+
+@query("j03_candidates", KEYWORD_SQL + ", c AS (SELECT id FROM r WHERE contains(t, 'licensed under') OR contains(s, 'licensed under') OR contains(t, 'license') OR contains(s, 'license') OR (contains(s, 'src1') AND (contains(t, 'the') OR contains(s, 'the') OR contains(t, 'und') OR contains(s, 'und')))) SELECT id FROM c")
+def candidates(spark, d):
+    """What the postings propose, after the values have been looked at."""
+    index = _fields(spark, d)
+    return field_index.held(index, keywords.Spec(SPEC))
 
 
 FIELD_WEIGHT = 1.15
@@ -143,7 +173,7 @@ def _legs(spark, d, vector) -> list:
         legs.append((ranking.ranked(dense.withColumnRenamed("vec_id", "id"), F.desc("score"), F.desc("id")), 1.0))
     docs = ranking.top(ranking.bm25(_index(spark, d), WORDS), DEPTH, F.desc("score"), F.desc("doc_id"), positive=True)
     legs.append((ranking.ranked(docs.withColumnRenamed("doc_id", "id"), F.desc("score"), F.desc("id")), 1.0))
-    fields = ranking.top(_keyword(spark, d), DEPTH, F.desc("score"), F.asc("id"))
+    fields = ranking.top(keywords.totals(_explained(spark, d)), DEPTH, F.desc("score"), F.asc("id"))
     return [*legs, (ranking.ranked(fields, F.desc("score"), F.asc("id")), FIELD_WEIGHT)]
 
 
