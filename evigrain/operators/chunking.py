@@ -1,4 +1,4 @@
-"""From papers to chunks, and from gene records to graph edges. A gene record is an open map of strings."""
+"""From papers to chunks. A gene record is an open map of strings."""
 
 from __future__ import annotations
 
@@ -12,26 +12,6 @@ from evigrain.sources.corpus import BUCKETS
 # What counts as no value in a record; spelling matters.
 EMPTY = ("", "NA", "na", "N/A", "null", "None", "Not established", "not established", "Unknown", "unknown")
 LEAST_BODY = 80
-ITEMS, _NEVER = r"[;,\n]", "\\x00"
-# Which field of which kind of gene gives which edge. (bucket, field, relation, gene first, other node's type)
-RULES = (
-    ("Pathway_Genes", "Primary_Substrate", "INPUT_OF", False, "Metabolite"),
-    ("Pathway_Genes", "Primary_Product", "PRODUCES", True, "Metabolite"),
-    ("Pathway_Genes", "Terminal_Metabolite", "CONTRIBUTES_TO", True, "Metabolite"),
-    ("Pathway_Genes", "Biosynthetic_Pathway", "PARTICIPATES_IN", True, "Pathway"),
-    ("Pathway_Genes", "Pathway_Branch_or_Subpathway", "PARTICIPATES_IN", True, "Pathway"),
-    ("Regulation_Genes", "Primary_Regulatory_Targets", "REGULATES", True, "Gene"),
-    ("Regulation_Genes", "Upstream_Signals_or_Inputs", "UPSTREAM_SIGNAL_OF", False, "Signal"),
-    ("Regulation_Genes", "Metabolic_Process_Controlled", "CONTROLS", True, "Process"),
-    ("Regulation_Genes", "Terminal_Metabolite", "AFFECTS", True, "Metabolite"),
-    ("Common_Genes", "Terminal_Metabolite", "AFFECTS", True, "Metabolite"),
-    ("Common_Genes", "Core_Phenotypic_Effect", "HAS_EFFECT", True, "Phenotype"),
-    ("Common_Genes", "Terminal_Metabolite", "ASSOCIATED_WITH", True, "Metabolite"),
-    ("Pathway_Genes", "Applied_Species", "TESTED_IN", True, "Species"),
-    ("Common_Genes", "Applied_Species", "TESTED_IN", True, "Species"),
-)
-#: Fields that name one thing, however they are punctuated.
-WHOLE = ("Core_Phenotypic_Effect", "Applied_Species")
 
 
 def filled(c: Column) -> Column:
@@ -283,26 +263,3 @@ def requested(fields: DataFrame, wanted: dict[str, float], aliases: dict[str, tu
     if "*" in wanted:
         out = out.unionByName(fields.select("id", F.lit("*").alias("asked"), F.lit(float(wanted["*"])).alias("weight"), "field", "value"))
     return out
-
-
-def species(gene: Column) -> Column:
-    """The first filled one of a record's fields for its species."""
-    return F.coalesce(*[F.when(filled(gene[f]), F.trim(gene[f])) for f in SPECIES], F.lit(""))
-
-
-def gene_edges(papers: DataFrame) -> DataFrame:
-    """src, dst, relation, evidence: the rule table applied to every gene. Items of a list give an edge each; an
-    edge without a name at either end is left out."""
-    g = F.col("gene")
-    own = T.node_id(F.lit("Gene"), g["Gene_Name"], species(g))
-
-    def of(bucket: str, field: str, relation: str, first: bool, kind: str) -> Column:
-        edge = lambda x: F.struct(F.lit(field).alias("field"), F.lit(relation).alias("relation"), F.lit(first).alias("first"), T.node_id(F.lit(kind), x, species(g)).alias("other"), x.alias("item"))
-        return F.when(F.col("bucket") == bucket, F.transform(T.items(g[field], _NEVER if field in WHOLE else ITEMS), edge))
-
-    rules = [of(*rule) for rule in RULES]
-    none = F.array().cast("array<struct<field:string,relation:string,first:boolean,other:string,item:string>>")
-    found = F.explode(F.flatten(F.array(*[F.coalesce(r, none) for r in rules])))
-    rows = genes(papers).filter(T.name(g["Gene_Name"]) != "").select("file", "bucket", own.alias("own"), found.alias("x"))
-    first = F.col("x.first")
-    return rows.select(F.when(first, F.col("own")).otherwise(F.col("x.other")).alias("src"), F.when(first, F.col("x.other")).otherwise(F.col("own")).alias("dst"), "x.relation", F.struct("file", "bucket", "x.field", "x.item").alias("evidence"))

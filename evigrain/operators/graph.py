@@ -6,13 +6,18 @@ goes both ways is a union of two equi-joins, never a join with OR.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evigrain.functions import text as T
 from evigrain.sources import store
 
 MAX_HOPS = 4
+# Fixed value: what may be a name in a question.
+SEED = r"[A-Za-z][A-Za-z0-9_.-]{1,32}"
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:
@@ -34,6 +39,68 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
 
 
+def seeds(query: str, nodes: DataFrame, species: str = "", limit: int = 12) -> DataFrame:
+    """The nodes that a question is about: those named by the whole question or one of its words; if there are none,
+    those whose name is like the whole question. Genes come first, then names in their order; species is looked at last."""
+    norm = lambda t: re.sub(r"\s+", " ", t.strip()).lower()
+    values = list(dict.fromkeys(v for v in map(norm, [query, *re.findall(SEED, query)]) if v and v not in T.GRAPH_BLANKS))
+    named = nodes.withColumn("_norm", T.name("name"))
+    first = lambda rows: rows.orderBy((F.col("type") == "Gene").desc(), "_norm", "id").limit(limit)
+    if not values:
+        return nodes.limit(0)
+    found = first(named.filter(F.col("_norm").isin(values)))
+    if found.isEmpty():
+        like = values[0].replace("\\", "\\\\")
+        found = first(named.filter(F.col("_norm").like(f"%{like}%")))
+    if norm(species) and "species" in nodes.columns:
+        found = found.filter((T.name("species") == "") | T.name("species").contains(norm(species)))
+    return found.drop("_norm")
+
+
+def question_walk(start: DataFrame, edges: DataFrame, hops: int, direction: str = "both", limit: int = 50) -> DataFrame:
+    """The edges that a question's answer is read from: hop by hop those that touch the nodes which the hop before met
+    first, with the hop. An edge comes again where a later hop touches its other end, and uses up the limit again; within
+    a hop edges come in the order of src, dst and relation."""
+    key = ["src", "dst", "relation"]
+    ways = steps(edges, direction)
+    frontier = seen = store.cut(start.select("id").distinct())
+    found, left = None, limit
+    for hop in range(1, max(1, hops) + 1):
+        met = store.cut(frontier.join(ways, F.col("id") == F.col("at")).select(*key).distinct().orderBy(*key).limit(left))
+        here = met.select(*key, F.lit(hop).alias("hop"))
+        found = here if found is None else found.unionByName(here)
+        left -= met.count()
+        if hop == hops or left <= 0:
+            break
+        ends = met.select(F.col("src").alias("id")).union(met.select("dst")).distinct()
+        frontier = store.cut(ends.join(seen, "id", "left_anti"))
+        seen = seen.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    return found
+
+
+def flattened(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (packet, at, id and what else they have) and edges (packet, at, src, dst, ...) of paths (packet, path, nodes,
+    edges); a node keeps its first place, and edges without both ends are left out."""
+    at = F.struct("path", F.col("pos").alias("pos")).alias("at")
+    n = paths.select("packet", "path", F.posexplode("nodes").alias("pos", "x")).filter("x.id <> ''")
+    n = n.select("packet", at, "x").groupBy("packet", F.col("x.id").alias("_id")).agg(F.min_by(F.struct("at", "x"), "at").alias("y"))
+    e = paths.select("packet", "path", F.posexplode("edges").alias("pos", "x")).filter("x.src <> '' AND x.dst <> ''")
+    return n.select("packet", "y.at", "y.x.*"), e.select("packet", at, "x.*")
+
+
+def evidence_graphs(nodes: DataFrame, edges: DataFrame, most_edges: int = 40, most_nodes: int = 80) -> tuple[DataFrame, DataFrame]:
+    """What is shown of each packet's graph: its first edges by `at`, then the nodes at their ends, then others, by `at`.
+    A packet without nodes or without edges shows nothing."""
+    rank = lambda *by: F.row_number().over(W.partitionBy("packet").orderBy(*by))
+    e = edges.join(nodes.select("packet").distinct(), "packet", "left_semi").withColumn("rank", rank("at")).filter(F.col("rank") <= most_edges)
+    ends = e.select("packet", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_end", F.lit(0))
+    n = nodes.join(edges.select("packet").distinct(), "packet", "left_semi").join(ends, ["packet", "id"], "left").withColumn("_end", F.coalesce("_end", F.lit(1)))
+    n = n.withColumn("rank", rank("_end", "at")).filter(F.col("rank") <= most_nodes)
+    return n.drop("_end", "at"), e.drop("at")
+
+
 def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "both", limit: int | None = None) -> DataFrame:
     """The distinct edges within `hops` of the seeds (id), each with the hop that reaches it first. limit: so many
     edges in all; nearer hops come first, and within one the order is that of src, dst and relation."""

@@ -223,3 +223,48 @@ def edges_with_both_ends(spark, d):
     n = nodes(spark, d)
     e = edges(spark, d).join(n.filter("type = 'Gene'").select(F.col("id").alias("src")), "src", "left_semi")
     return e.join(n.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+QUESTION = "What does nation_3 share with Supplier#000000002 and  NATION_7"
+_SEEDS = f"{NODES}, s AS (SELECT id FROM n WHERE lower(name) IN ('what', 'does', 'nation_3', 'share', 'with', 'supplier', 'and', 'nation_7'))"
+
+
+@query(
+    "g06_seeds",
+    f"WITH {NODES} (SELECT 'words' AS how, id FROM n WHERE lower(name) IN ('nation_3', 'nation_7') ORDER BY type = 'Gene' DESC, lower(name), id LIMIT 12) "
+    "UNION ALL (SELECT 'like', id FROM n WHERE lower(name) LIKE '%er#00000000_%' ORDER BY type = 'Gene' DESC, lower(name), id LIMIT 12)",
+)
+def seeds(spark, d):
+    """Nodes that the words of a question name; and, where none does, those whose name is like the question."""
+    n = nodes(spark, d)
+    return graph.seeds(QUESTION, n).select(F.lit("words").alias("how"), "id").unionByName(graph.seeds("er#00000000_", n).select(F.lit("like").alias("how"), "id"))
+
+
+@query(
+    "g07_question_walk",
+    f"WITH {EDGES}, {_SEEDS}, h1 AS (SELECT * FROM e WHERE src IN (SELECT id FROM s) OR dst IN (SELECT id FROM s) ORDER BY src, dst, relation LIMIT 150), f AS (SELECT src AS id FROM h1 UNION SELECT dst FROM h1 "
+    "EXCEPT SELECT id FROM s), h2 AS (SELECT *, row_number() OVER (ORDER BY src, dst, relation) AS k FROM e WHERE src IN (SELECT id FROM f) OR dst IN (SELECT id FROM f)) "
+    "SELECT src, dst, relation, 1 AS hop FROM h1 UNION ALL SELECT src, dst, relation, 2 FROM h2 WHERE k <= 150 - (SELECT count(*) FROM h1)",
+)
+def question_walk(spark, d):
+    """Two hops from a question's seeds. The first hop's edges are met again from their other ends, and count again."""
+    return graph.question_walk(graph.seeds(QUESTION, nodes(spark, d)), edges(spark, d), 2, limit=150)
+
+
+@query(
+    "g15_evidence_graphs",
+    f"WITH {EDGES}, {NODES}, p AS (SELECT CASE WHEN relation = 'PART_OF' THEN src ELSE dst END AS packet, * FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY packet ORDER BY relation DESC, src) AS rank FROM p), "
+    "ke AS (SELECT * FROM k WHERE rank <= 40), ends AS (SELECT packet, src AS id FROM ke UNION SELECT packet, dst FROM ke), all_ AS (SELECT packet, src AS id FROM p UNION SELECT packet, dst FROM p), "
+    "m AS (SELECT a.packet, a.id, row_number() OVER (PARTITION BY a.packet ORDER BY (x.id IS NULL), a.id) AS rank FROM all_ a JOIN n USING (id) LEFT JOIN ends x ON x.packet = a.packet AND x.id = a.id) "
+    "SELECT packet, 'edge' AS what, src || '>' || dst AS id, rank::INT AS rank FROM ke WHERE packet IN (SELECT packet FROM m) UNION ALL SELECT packet, 'node', id, rank::INT FROM m WHERE rank <= 80",
+)
+def evidence_graphs(spark, d):
+    """A nation's edges as one packet of evidence: forty of them are shown, and of the nodes those at their ends first."""
+    e = edges(spark, d).select(F.when(F.col("relation") == "PART_OF", F.col("src")).otherwise(F.col("dst")).alias("packet"), "src", "dst", "relation")
+    ids = e.select("packet", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    n = ids.join(nodes(spark, d), "id").withColumn("at", F.col("id"))
+    # The order of edges in a packet: relations from z to a, then src.
+    order = F.struct(-F.array_position(F.array(*map(F.lit, ("BASED_IN", "LIVES_IN", "PART_OF"))), F.col("relation")), "src")
+    shown, kept = graph.evidence_graphs(n, e.withColumn("at", order))
+    one = kept.select("packet", F.lit("edge").alias("what"), F.concat("src", F.lit(">"), "dst").alias("id"), "rank")
+    return one.unionByName(shown.select("packet", F.lit("node").alias("what"), "id", "rank"))

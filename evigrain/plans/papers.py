@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigrain.operators import chunking
+from evigrain.operators import chunking, gene_graph
 from evigrain.plans.registry import query, table
 from evigrain.sources.corpus import BUCKETS
 
@@ -34,10 +34,10 @@ GENES_SQL = f"""p AS (SELECT *, CAST(floor(p_partkey / 5) AS BIGINT) AS file FRO
 g AS (SELECT file, p_partkey, {BUCKET} AS bucket, {', '.join(f'{e} AS {n}' for n, e in {**PAPER, **FIELDS}.items())} FROM p)"""
 
 
-def papers(spark, d):
-    """file (as text), Title, Journal, DOI and the four buckets of genes."""
+def papers(spark, d, more: dict[str, str] | None = None):
+    """file (as text), Title, Journal, DOI and the four buckets of genes. more: further fields of a gene."""
     parts = table(spark, d, "part").withColumn("file", F.floor(F.col("p_partkey") / 5).cast("long"))
-    gene = F.create_map(*[x for n, e in FIELDS.items() for x in (F.lit(n), F.expr(e))])
+    gene = F.create_map(*[x for n, e in {**FIELDS, **(more or {})}.items() for x in (F.lit(n), F.expr(e))])
     rows = parts.select("file", "p_partkey", F.expr(BUCKET).alias("bucket"), *[F.expr(e).alias(n) for n, e in PAPER.items()], F.struct("p_partkey", gene.alias("gene")).alias("g"))
     of = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.col("g"))), lambda x, y: (x["p_partkey"] - y["p_partkey"]).cast("int")), lambda x: x["gene"]).alias(b)
     return rows.groupBy("file", *PAPER).agg(*[of(b) for b in BUCKETS]).withColumn("file", F.col("file").cast("string"))
@@ -208,14 +208,86 @@ def bodies(spark, d):
     return table(spark, d, "documents").filter("text <> ''").select("doc_id", chunking.body_length(F.col("text")).alias("body"))
 
 
-_EDGE = lambda bucket, field, relation, first: f"SELECT CAST(file AS STRING) AS file, '{relation}' AS relation, '{field}' AS field, lower(trim(x)) AS item, {str(first).lower()} AS gene_first FROM g, unnest(string_split({field}, ';')) AS u(x) WHERE bucket = '{bucket}' AND {_FILLED(field)}"
+MORE = {
+    "Gene_Accession_Number": "'AC' || CAST(p_partkey AS STRING)",
+    "Source_Species_Latin_Name": "CASE WHEN p_size % 8 = 0 THEN 'Zea mays' ELSE 'Unknown' END",
+    "Applied_Species_Latin_Name": "CASE WHEN p_size % 3 = 0 THEN 'Hordeum vulgare' END",
+    "Applied_Species": "CASE WHEN p_size % 2 = 0 THEN 'barley, winter type' ELSE 'n/a' END",
+    "Pathway_Branch_or_Subpathway": "'branch a; branch b\nbranch ' || CAST(p_size AS STRING)",
+    "Upstream_Signals_or_Inputs": "'light; cold, Light'",
+    "Metabolic_Process_Controlled": "'growth; yield'",
+    "Regulation_Mode": "CASE WHEN p_size % 2 = 0 THEN 'activates' ELSE 'none' END",
+    "Summary_Key_Findings_of_Core_Gene": "p_name || ' matters'",
+}
+# The SQL states each rule by hand. Items of a list are distinct by their lower-case form, the first spelling counts.
+_CLEAN = lambda x: f"CASE WHEN lower(trim({x})) IN ('', '-', 'na', 'n/a', 'none', 'null', 'nan', 'unknown', 'not established', 'not available', 'not applicable') THEN NULL ELSE trim({x}) END"
+_SPECIES = ", ".join(_CLEAN(f) for f in ("Species_Latin_Name", "Source_Species_Latin_Name", "Applied_Species_Latin_Name", "Applied_Species", "Species"))
+_ITEMS = lambda f: f"list_filter(list_transform(string_split_regex({f}, '[;,\n]'), lambda x: {_CLEAN('x')}), lambda x: x IS NOT NULL)"
+_MORE_SQL = "p AS (SELECT *, CAST(floor(p_partkey / 5) AS BIGINT) AS file FROM part), " + f"g AS (SELECT file, p_partkey, {BUCKET} AS bucket, row_number() OVER (PARTITION BY floor(p_partkey / 5), {BUCKET} ORDER BY p_partkey) - 1 AS place, " + ", ".join(f"{e} AS {n}" for n, e in {**PAPER, **FIELDS, **MORE}.items()) + " FROM p)"
+_WHOLE = lambda b, r, f, e=None: f"SELECT *, '{r}' AS relation, '{f}' AS field, [{e or _CLEAN(f)}] AS items FROM g WHERE bucket = '{b}_Genes' AND {e or _CLEAN(f)} IS NOT NULL"
+_EACH = lambda b, r, f: f"SELECT *, '{r}' AS relation, '{f}' AS field, {_ITEMS(f)} AS items FROM g WHERE bucket = '{b}_Genes' AND {_CLEAN(f)} IS NOT NULL"
+_LATIN = f"coalesce({_CLEAN('Applied_Species_Latin_Name')}, {_CLEAN('Applied_Species')})"
+LOCAL_SQL = [
+    *(_EACH("Pathway", "INPUT_OF", "Primary_Substrate"), _EACH("Pathway", "PRODUCES", "Primary_Product"), _WHOLE("Pathway", "CONTRIBUTES_TO", "Terminal_Metabolite")),
+    *(_WHOLE("Pathway", "PARTICIPATES_IN", "Biosynthetic_Pathway"), _WHOLE("Pathway", "TESTED_IN", "Applied_Species"), _EACH("Regulation", "REGULATES", "Primary_Regulatory_Targets")),
+    *(_EACH("Regulation", "UPSTREAM_SIGNAL_OF", "Upstream_Signals_or_Inputs"), _WHOLE("Regulation", "CONTROLS", "Metabolic_Process_Controlled"), _EACH("Regulation", "AFFECTS", "Terminal_Metabolite")),
+    *(_WHOLE("Common", "ASSOCIATED_WITH", "Terminal_Metabolite"), _WHOLE("Common", "HAS_EFFECT", "Core_Phenotypic_Effect"), _WHOLE("Common", "TESTED_IN", "Applied_Species")),
+]
+STORED_SQL = [
+    *(_EACH("Pathway", "INPUT_OF", "Primary_Substrate"), _EACH("Pathway", "PRODUCES", "Primary_Product"), _EACH("Pathway", "CONTRIBUTES_TO", "Terminal_Metabolite")),
+    *(_EACH("Pathway", "PARTICIPATES_IN", "Biosynthetic_Pathway"), _EACH("Pathway", "PARTICIPATES_IN", "Pathway_Branch_or_Subpathway"), _EACH("Regulation", "REGULATES", "Primary_Regulatory_Targets")),
+    *(_EACH("Regulation", "UPSTREAM_SIGNAL_OF", "Upstream_Signals_or_Inputs"), _EACH("Regulation", "CONTROLS", "Metabolic_Process_Controlled"), _EACH("Regulation", "AFFECTS", "Terminal_Metabolite")),
+    *(_EACH("Common", "AFFECTS", "Terminal_Metabolite"), _WHOLE("Common", "HAS_EFFECT", "Core_Phenotypic_Effect"), *[_WHOLE(b, "TESTED_IN", "Applied_Species", _LATIN) for b in ("Pathway", "Regulation", "Common")]),
+]
+_DISTINCT = "list_filter(items, lambda x, i: list_position(list_transform(items, lambda y: lower(y)), lower(x)) = i)"
+
+
+def _edges_sql(rules: list[str]) -> str:
+    return f"""WITH {_MORE_SQL}, r AS ({' UNION ALL '.join(rules)}), d AS (SELECT *, {_DISTINCT} AS own, coalesce(nullif(DOI, 'NA'), CAST(file AS STRING)) AS paper FROM r),
+e AS (SELECT * EXCLUDE (own, items), own[i] AS item, i - 1 AS nth FROM d, unnest(range(1, len(own) + 1)) AS u(i)),
+k AS (SELECT *, paper || '::' || bucket || '[' || place || ']' AS record_key, sha1('{{"field": "' || field || '", "item": "' || lower(item) || '", "item_index": ' || nth || ', "paper": "' || paper || '", "record_index": ' || place || ', "relation": "' || relation || '", "section": "' || bucket || '"}}') AS relationship_key FROM e)"""
+
+
+def _graph_edges(spark, d, form: str):
+    return gene_graph.gene_edges(papers(spark, d, MORE), form).select("src", "dst", "relation", "evidence.*")
+
+
+_COUNTS = " SELECT CAST(file AS STRING) AS file, relation, field, count(*)::BIGINT AS n, count(DISTINCT lower(item))::BIGINT AS items FROM k GROUP BY ALL"
+
 
+def _counted(edges):
+    return edges.groupBy("file", "relation", "field").agg(F.count("*").alias("n"), F.count_distinct(F.lower("item")).alias("items"))
 
-@query("g01_gene_edges", f"WITH {GENES_SQL}, e AS (" + " UNION ALL ".join(_EDGE(b, f, r, first) for b, f, r, first, _ in chunking.RULES if f in FIELDS) + ") SELECT file, relation, field, count(*)::BIGINT AS n, count(DISTINCT item)::BIGINT AS items FROM e GROUP BY ALL")
+
+@query("g01_gene_edges", _edges_sql(LOCAL_SQL) + _COUNTS)
 def gene_edges(spark, d):
-    """How many edges each rule gives in each paper, and to how many different things."""
-    e = chunking.gene_edges(papers(spark, d))
-    return e.groupBy("evidence.file", "relation", "evidence.field").agg(F.count("*").alias("n"), F.count_distinct(F.lower("evidence.item")).alias("items"))
+    """The local form: how many edges each rule gives in each paper, and to how many different things."""
+    return _counted(_graph_edges(spark, d, "local"))
+
+
+@query("g04_stored_edges", _edges_sql(STORED_SQL) + _COUNTS)
+def stored_edges(spark, d):
+    """The stored form, which splits every list and knows branches."""
+    return _counted(_graph_edges(spark, d, "stored"))
+
+
+@query("f22_gene_species", f"WITH {_MORE_SQL} SELECT CAST(file AS STRING) AS file, bucket, place::INT AS place, coalesce({_SPECIES}, '') AS species FROM g")
+def gene_species(spark, d):
+    genes = chunking.genes(papers(spark, d, MORE))
+    return genes.select("file", "bucket", F.col("place").cast("int").alias("place"), gene_graph.species(F.col("gene")).alias("species"))
+
+
+@query("f25_provenance", _edges_sql(STORED_SQL) + " SELECT record_key, record_key || '::' || field || '[' || nth || ']::' || relation AS relationship_index, relationship_key, item, mode FROM (SELECT *, CASE WHEN bucket = 'Regulation_Genes' THEN coalesce(" + _CLEAN("Regulation_Mode") + ", '') END AS mode FROM k)")
+def provenance(spark, d):
+    """Where each edge comes from: its record, the path to the item, and a key that no order of files changes."""
+    return _graph_edges(spark, d, "stored").select("record_key", "relationship_index", "relationship_key", "item", "mode")
+
+
+@query("f25_merged_provenance", _edges_sql(LOCAL_SQL) + ", n AS (SELECT *, sha1('Gene|' || lower(Gene_Name) || '|' || lower(coalesce(" + _SPECIES + ", ''))) AS own FROM k WHERE relation = 'CONTRIBUTES_TO') SELECT own AS src, count(*)::BIGINT AS evidence_count, min(relationship_key) AS relationship_key FROM n GROUP BY own, lower(item)")
+def merged_provenance(spark, d):
+    """Edges to end products, merged: how much evidence each has, and the first by key."""
+    e = gene_graph.gene_edges(papers(spark, d, MORE), "local").filter("relation = 'CONTRIBUTES_TO'")
+    return gene_graph.merged(e).select("src", "evidence_count", "evidence.relationship_key")
 
 
 @query(

@@ -5,7 +5,7 @@ import shutil
 
 import pytest
 
-from evigrain.operators import chunking
+from evigrain.operators import chunking, gene_graph
 from evigrain.sources import corpus, store
 
 
@@ -35,7 +35,7 @@ def test_chunks(papers):
 
 
 def test_edges(papers):
-    rows = chunking.gene_edges(papers).collect()
+    rows = gene_graph.gene_edges(papers).collect()
     assert sorted(r.relation for r in rows if r.evidence.file == "b.json") == ["HAS_EFFECT", "REGULATES", "REGULATES"]
     made = {(r.relation, r.evidence.item) for r in rows if r.evidence.file == "a.json"}
     assert ("INPUT_OF", "CoA") in made and ("PRODUCES", "chalcone") in made
