@@ -20,7 +20,7 @@ CJK_RUN = r"[\x{4e00}-\x{9fff}]+"
 # Names of tools that look like gene names, and words that make a name vague.
 GENE_NAME = r"\b[A-Z][a-z]{1,2}[A-Z][A-Za-z]{0,10}\d{0,3}[A-Za-z]?\b"
 NOT_GENES = ("SpCas9", "SaCas9", "FnCas12a", "LbCpf1", "AsCpf1", "CasRx", "dCas9", "nCas9", "Cas12a", "Cas13a", "PubMed")
-VAGUE = ("之类", "等", "类似")
+VAGUE = ("之类", "之类的", "等", "等等", "类似")
 
 
 def _nfkc():
@@ -146,7 +146,7 @@ def edge_id(src: Column, dst: Column, relation: Column) -> Column:
 
 
 def gene_names(c) -> Column:
-    found = F.regexp_extract_all(text_of(c), F.lit(f"({GENE_NAME})(?!{'|'.join(VAGUE)})"), F.lit(1))
+    found = F.regexp_extract_all(text_of(c), F.lit(f"(?U)({GENE_NAME})(?!{'|'.join(VAGUE)})"), F.lit(1))
     return F.filter(F.array_distinct(found), lambda x: ~x.isin(*NOT_GENES))
 
 

@@ -72,9 +72,9 @@ def outcomes(results: DataFrame) -> DataFrame:
 
 
 def gene_name(record: str) -> Column:
-    """A record's name, by the first of its fields that has one."""
-    fields = ("Gene_Name", "gene_name", "Gene", "name")
-    return F.coalesce(*[F.when(F.trim(F.col(record)[f]) != "", F.trim(F.col(record)[f])) for f in fields], F.lit("Unknown"))
+    """A record's name, by the first of its fields that isn't empty; else empty."""
+    fields = ("Gene_Name", "gene", "gene_name", "name")
+    return F.coalesce(*[F.when(F.col(record)[f] != "", F.col(record)[f]) for f in fields], F.lit(""))
 
 
 def repaired_json(c: str, schema: str) -> Column:

@@ -94,8 +94,13 @@ def checkpoint_names(files: DataFrame) -> DataFrame:
     return files.select(F.regexp_extract(stem, "^(.*)_[^_]*$", 1).alias("agent"), F.regexp_extract(stem, "^.*_([^_]*)$", 1).alias("version"))
 
 
+# Fixed value: how a judgement marks an item and its points.
+MARK = r"(?U)采分点\s*(\d+)\s*[:：]\s*(-?\d+(?:\.\d+)?)\s*分"
+
+
 def rubric_points(rows: DataFrame, key: str, detail: str) -> DataFrame:
-    """key, item, points of each `Item N: P / M` in a judgement's detail."""
-    lines = F.explode(F.regexp_extract_all(detail, F.lit(r"Item \d+: [0-9.]+ /"), F.lit(0)))
-    each = rows.select(key, lines.alias("line"))
-    return each.select(key, F.regexp_extract("line", r"Item (\d+)", 1).cast("int").alias("item"), F.regexp_extract("line", r": ([0-9.]+) /", 1).cast("double").alias("points"))
+    """key, item, points of each item that a judgement's detail marks; of a repeated item the last points."""
+    marks = F.regexp_extract_all(detail, F.lit(MARK), F.lit(0))
+    each = rows.select(key, F.posexplode(marks).alias("at", "mark"))
+    each = each.select(key, "at", F.regexp_extract("mark", MARK, 1).cast("int").alias("item"), F.regexp_extract("mark", MARK, 2).cast("double").alias("points"))
+    return each.groupBy(key, "item").agg(F.max_by("points", "at").alias("points"))

@@ -148,6 +148,13 @@ def with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(*edges.columns, *[F.coalesce(f"{e}_name", e).alias(f"{e}_name") for e in ("src", "dst")])
 
 
+def sample(genes: DataFrame, edges: DataFrame, size: int, seed: int) -> DataFrame:
+    """The edges among `size` of the genes (id), drawn by a hash, and all that is one step away from them."""
+    drawn = genes.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "id").cast("binary")), "id").limit(size)
+    near = drawn.join(steps(edges), F.col("id") == F.col("at")).select(F.col("to").alias("id"))
+    return inside(edges, store.cut(drawn.unionByName(near).distinct()))
+
+
 def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges both of whose ends are among the nodes."""
     ids = nodes.select("id").distinct()

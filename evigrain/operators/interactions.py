@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,20 @@ def training_rows(interactions: DataFrame) -> DataFrame:
     return done.select("interaction_id", F.array_append("messages", answer).alias("messages"), F.coalesce("rating", F.lit("")).alias("feedback"))
 
 
+# What tells that a text quotes a user's own files.
+PERSONAL = ("source_type': 'personal'", '"source_type": "personal"', "来源: personal")
+
+
+def personal(*values: Column) -> Column:
+    """Whether any of the texts, or of the texts in the arrays, quotes a user's own files."""
+    some = F.lit(False)
+    for v in values:
+        low = F.lower(v)
+        for mark in PERSONAL:
+            some = some | F.coalesce(low.contains(mark), F.lit(False))
+    return some
+
+
 def preference_pairs(interactions: DataFrame) -> DataFrame:
     """Each answer rated up with each rated down for the same query. The pairs are the result asked for."""
     asked = interactions.filter("status = 'completed' AND coalesce(answer, '') <> ''").withColumn("query", F.lower(F.trim("query"))).filter("query <> ''")

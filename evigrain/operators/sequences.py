@@ -10,7 +10,7 @@ from evigrain.functions import text as T
 # Short species names, genus initials, and the species that a gene name's prefix stands for.
 SHORT_SPECIES = {"G. max": "Glycine max", "A. thaliana": "Arabidopsis thaliana", "O. sativa": "Oryza sativa", "Z. mays": "Zea mays", "N. tabacum": "Nicotiana tabacum", "T. aestivum": "Triticum aestivum"}
 GENERA = {"G.": "Glycine", "A.": "Arabidopsis", "O.": "Oryza", "Z.": "Zea", "N.": "Nicotiana", "T.": "Triticum"}
-PREFIXES = ("Gm", "At", "Os", "Zm", "Nt", "Nb", "Ta", "Sl", "St", "Md", "Vv", "Br", "Bn", "Cs")
+PREFIXES = ("Gm", "At", "Os", "Zm", "Nt", "Nb", "Ta", "Sl", "St", "Md", "Vv", "Br", "Bn", "Cs", "Gh", "Pv", "Lj", "Mt")
 OLIGO = 25
 
 
@@ -44,13 +44,13 @@ def interval(start: Column, stop: Column) -> Column:
     return F.struct((F.least(start, stop) + 1).alias("start"), (F.greatest(start, stop) + 1).alias("stop"), F.when(start > stop, 2).otherwise(1).alias("strand"))
 
 
-def best_accession(records: DataFrame) -> DataFrame:
+def best_accession(records: DataFrame, *more: str) -> DataFrame:
     """Of each gene's records (gene, at, accession, title): one whose title has the gene and says transcript, else one with the gene,
-    else one that says transcript, else the first; of equals the one that came first."""
+    else one that says transcript, else the first; of equals the one that came first. more: what else tells genes apart."""
     title, gene = F.lower("title"), F.lower("gene")
-    word = title.contains("mrna") | title.contains("transcript") | title.contains("cds")
+    word = title.contains("mrna") | title.contains("cdna") | title.contains("transcript")
     tier = F.when(title.contains(gene) & word, 0).when(title.contains(gene), 1).when(word, 2).otherwise(3)
-    return records.groupBy("gene").agg(F.min_by("accession", F.struct(tier.alias("tier"), F.col("at"))).alias("accession"))
+    return records.groupBy(*more, "gene").agg(F.min_by("accession", F.struct(tier.alias("tier"), F.col("at"))).alias("accession"))
 
 
 def oligos(upstream: Column, downstream: Column, n: int = OLIGO) -> Column:

@@ -167,6 +167,10 @@ list_filter(m, lambda x: x.role = 'assistant')[len(list_filter(m, lambda x: x.ro
 fb AS (SELECT doc_id AS interaction_id, CASE WHEN quality = 1 THEN 'up' ELSE 'down' END AS rating FROM labels)"""
 
 
+AGAIN_SQL = """again AS (SELECT * FROM i UNION ALL SELECT -1 - interaction_id, status, ' ' || query, answer, msgs FROM i),
+fb2 AS (SELECT * FROM fb UNION ALL SELECT -1 - interaction_id, CASE rating WHEN 'up' THEN 'down' ELSE 'up' END FROM fb)"""
+
+
 def _talk(spark, d):
     """Conversations with the documents' labels of the same number as feedback."""
     feedback = table(spark, d, "labels").select(F.col("doc_id").alias("interaction_id"), F.when(F.col("quality") == 1, "up").otherwise("down").alias("rating"), F.lit(0).alias("at"))
@@ -206,13 +210,16 @@ def preferences(spark, d):
 
 @query(
     "x11_same_query",
-    f"WITH {TALK}, a AS (SELECT *, lower(trim(query)) AS k FROM i JOIN fb USING (interaction_id) WHERE status = 'completed' AND "
+    f"WITH {TALK}, {AGAIN_SQL}, a AS (SELECT *, lower(trim(query)) AS k FROM again JOIN fb2 USING (interaction_id) WHERE status = 'completed' AND "
     f"answer <> '') SELECT u.k AS query, u.interaction_id AS chosen_id, w.interaction_id AS rejected_id FROM a u JOIN a w ON u.k = "
     f"w.k AND u.rating = 'up' AND w.rating = 'down' WHERE u.k <> ''",
 )
 def same_query(spark, d):
-    """Answers rated up and down for the same whole query; none where no query repeats."""
-    return interactions.preference_pairs(_talk(spark, d)).select("query", "chosen_id", "rejected_id")
+    """Answers rated up and down for the same whole query: each conversation is held again, with the other rating."""
+    talk = _talk(spark, d)
+    other = F.when(F.col("rating") == "up", "down").when(F.col("rating") == "down", "up")
+    again = talk.withColumns({"interaction_id": -1 - F.col("interaction_id"), "query": F.concat(F.lit(" "), "query"), "rating": other})
+    return interactions.preference_pairs(talk.unionByName(again)).select("query", "chosen_id", "rejected_id")
 
 
 @query("u01_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.functions import text as T
-from evigrain.operators import evidence, fusion, ranking
+from evigrain.operators import evidence, fusion, interactions, ranking
 from evigrain.plans.registry import query, table
 
 _IDS = """p AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'https://doi.org/10.1000/' || page_id WHEN 1 THEN 'doi:10.7/' || page_id WHEN 2 THEN 'n/a' ELSE '' END AS doi,
@@ -117,13 +117,12 @@ def warnings(spark, d):
 
 @query(
     "v05_gene_rows",
-    "SELECT doc_id::VARCHAR AS source_id, 'gene' AS source, coalesce(nullif(source, ''), 'Unknown') AS title, substr(text, 1, "
-    "200) AS content, n_chars::DOUBLE AS score FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 12",
+    "SELECT doc_id::VARCHAR AS source_id, 'gene' AS source, coalesce(nullif(source, ''), 'Unknown') AS title, text AS content, n_chars::DOUBLE AS score FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 12",
 )
 def gene_rows(spark, d):
     """Ranked chunks as evidence."""
     rows = table(spark, d, "documents").filter("text IS NOT NULL").orderBy(F.desc("n_chars"), "doc_id").limit(12)
-    return rows.select(F.col("doc_id").cast("string").alias("source_id"), F.lit("gene").alias("source"), F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")).alias("title"), F.substring("text", 1, 200).alias("content"), F.col("n_chars").cast("double").alias("score"))
+    return rows.select(F.col("doc_id").cast("string").alias("source_id"), F.lit("gene").alias("source"), F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")).alias("title"), F.col("text").alias("content"), F.col("n_chars").cast("double").alias("score"))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -205,7 +204,7 @@ def _answers(spark, d):
     return orders.select(n.alias("id"), text.alias("answer")), cites.filter((F.col("id") + F.col("number")) % 4 != 0)
 
 
-@query("j11_cited", f"WITH {_ANSWERS} SELECT id, number FROM k UNION ALL SELECT id, number FROM c WHERE id NOT IN (SELECT id FROM k)")
+@query("j11_cited", f"WITH {_ANSWERS} SELECT id, number FROM k UNION ALL SELECT id, number FROM c ANTI JOIN k USING (id)")
 def cited(spark, d):
     answers, citations = _answers(spark, d)
     return evidence.cited(citations, answers)
@@ -222,7 +221,7 @@ def renumbered_answers(spark, d):
     return evidence.renumbered(citations, answers)[0]
 
 
-@query("w06_citations", f"WITH {_ANSWERS} SELECT id, place AS number FROM o UNION ALL SELECT id, number FROM c WHERE id NOT IN (SELECT id FROM o)")
+@query("w06_citations", f"WITH {_ANSWERS} SELECT id, place AS number FROM o UNION ALL SELECT id, number FROM c ANTI JOIN o USING (id)")
 def renumbered_citations(spark, d):
     answers, citations = _answers(spark, d)
     return evidence.renumbered(citations, answers)[1]
@@ -251,7 +250,10 @@ def ordered_bag(spark, d):
     return best.select("source", "event_id").unionByName(again.select("source", "event_id"))
 
 
-@query("f44_personal_marks", "SELECT event_id, contains(lower(props), '\"k\": 1') AS personal FROM events")
+_NOTE = "CASE event_id % 5 WHEN 0 THEN 'x {''source_type'': ''personal''}' WHEN 1 THEN '[{\"source_type\": \"Personal\"}]' WHEN 2 THEN '来源: PERSONAL notes' WHEN 3 THEN 'source_type personal' END"
+
+
+@query("f44_personal_marks", "SELECT event_id, event_id % 5 < 3 AS personal FROM events")
 def personal_marks(spark, d):
-    """Whether anything in a nested value says that it came from a user's own files."""
-    return table(spark, d, "events").select("event_id", F.lower("props").contains('"k": 1').alias("personal"))
+    """Whether a tool's result, or what it was asked with, says that it came from a user's own files."""
+    return table(spark, d, "events").select("event_id", interactions.personal(F.col("props"), F.expr(_NOTE)).alias("personal"))

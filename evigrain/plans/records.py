@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
-from evigrain.operators import chunking, curation, evaluation
+from evigrain.operators import chunking, curation, evaluation, graph
 from evigrain.plans.analytics import FAILED, RESULTS, results
+from evigrain.plans.graph import EDGES, edges
 from evigrain.plans.registry import query, table
 from evigrain.sources import tables
 
@@ -57,11 +58,11 @@ def dashboard(spark, d):
 @query(
     "t16_details",
     f"WITH {RESULTS} SELECT question, agent, score FROM (SELECT CASE WHEN question % 9 = 0 THEN NULL ELSE question END AS "
-    f"question, agent, score FROM r WHERE question < 200) ORDER BY coalesce(question, 0), agent, score",
+    f"question, agent, score FROM r) ORDER BY coalesce(question, 0), agent, score",
 )
 def details(spark, d):
     """By question, with rows without one first."""
-    rows = results(spark, d).filter("question < 200").select(F.when(F.col("question") % 9 != 0, F.col("question")).alias("question"), "agent", "score")
+    rows = results(spark, d).select(F.when(F.col("question") % 9 != 0, F.col("question")).alias("question"), "agent", "score")
     return rows.orderBy(F.coalesce("question", F.lit(0)), "agent", "score")
 
 
@@ -86,14 +87,15 @@ def time_forms(spark, d):
 
 @query(
     "f41_rubric",
-    "SELECT event_id, 1 AS item, (event_id % 7)::DOUBLE AS points FROM events UNION ALL SELECT event_id, 2, (event_id % 5) + 0.5 "
-    "FROM events WHERE event_id % 2 = 0",
+    "SELECT event_id, 1 AS item, (CASE WHEN event_id % 3 = 0 THEN event_id % 11 ELSE event_id % 7 END)::DOUBLE AS points FROM events "
+    "UNION ALL SELECT event_id, 2, -(event_id % 5 + 0.5) FROM events WHERE event_id % 2 = 0",
 )
 def rubric(spark, d):
     """Item and points of every line of a judgement's detail."""
     n = F.col("event_id")
-    two = F.when(n % 2 == 0, F.concat(F.lit("\nItem 2: "), (n % 5).cast("string"), F.lit(".5 / 6"))).otherwise("\nno item here")
-    return evaluation.rubric_points(table(spark, d, "events").select("event_id", F.concat(F.lit("Item 1: "), (n % 7).cast("string"), F.lit(" / 7"), two).alias("detail")), "event_id", "detail")
+    two = F.when(n % 2 == 0, F.concat(F.lit("\n采分点2 ： -"), (n % 5).cast("string"), F.lit(".5  分"))).otherwise("\n采分点3: 分")
+    again = F.when(n % 3 == 0, F.concat(F.lit("; 采分点 1:"), (n % 11).cast("string"), F.lit("分"))).otherwise("")
+    return evaluation.rubric_points(table(spark, d, "events").select("event_id", F.concat(F.lit("采分点 1: "), (n % 7).cast("string"), F.lit("分 (of 7)"), two, again).alias("detail")), "event_id", "detail")
 
 
 @query(
@@ -307,13 +309,14 @@ def repaired_json(spark, d):
 
 @query(
     "f37_gene_names",
-    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE 'Unknown' END AS name "
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN 'last' ELSE '' END AS name "
     "FROM part",
 )
 def gene_names(spark, d):
     """A record's name by the first of four fields that has one."""
-    n = F.col("p_partkey") % 4
-    record = F.create_map(F.lit("Gene_Name"), F.when(n == 0, F.col("p_name")).otherwise(" "), F.lit("gene_name"), F.when(n == 1, F.col("p_brand")), F.lit("name"), F.when(n == 2, F.col("p_type")))
+    n = F.col("p_partkey") % 5
+    fields = {"Gene_Name": F.when(n == 0, F.col("p_name")).otherwise(""), "gene": F.when(n == 1, F.col("p_brand")), "gene_name": F.when(n <= 2, F.col("p_type")), "name": F.when(n < 4, "last"), "Gene": F.lit("no name")}
+    record = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])
     return table(spark, d, "part").select("p_partkey", record.alias("r")).select("p_partkey", curation.gene_name("r").alias("name"))
 
 
@@ -349,10 +352,15 @@ def values(spark, d):
     return table(spark, d, "part").select("p_partkey", T.value_text(value).alias("told"))
 
 
-@query("t18_sample", "SELECT count(*)::BIGINT AS n FROM (SELECT p_partkey FROM part LIMIT 50)")
+@query(
+    "t18_sample",
+    f"WITH {EDGES}, g AS (SELECT 'S' || s_suppkey AS id FROM supplier ORDER BY md5('7:S' || s_suppkey), id LIMIT 50), s AS (SELECT id FROM g UNION SELECT dst FROM e JOIN g ON src = id "
+    "UNION SELECT src FROM e JOIN g ON dst = id) SELECT src, dst, relation FROM e WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)",
+)
 def sample(spark, d):
-    """Fifty parts by the hash of their number: the same ones at every run."""
-    return table(spark, d, "part").orderBy(F.xxhash64("p_partkey", F.lit(7)), "p_partkey").limit(50).agg(F.count("*").alias("n"))
+    """Fifty suppliers by the hash of their id, the same ones at every run, with all that is one step away, and the edges among these."""
+    genes = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
+    return graph.sample(genes, edges(spark, d), 50, 7)
 
 
 @query(

@@ -197,14 +197,16 @@ def hybrid_without_vector(spark, d):
     return _best(ranking.rrf(_legs(spark, d, None)))
 
 
-@query(
-    "t05_candidate_depth",
-    "SELECT doc_id, greatest(doc_id % 40, 25)::BIGINT AS depth, greatest(4 * (doc_id % 40), 50)::BIGINT AS asked FROM documents",
-)
+#: Results to show, and candidates to rank anew.
+SHOWN, RERANKED = 10, 25
+
+
+@query("t05_candidate_depth", LISTS + FUSED + f" SELECT id, round(score, 8) AS score, place, place <= {SHOWN} AS shown FROM (SELECT id, score, row_number() OVER (ORDER BY f.score DESC, first)::INT AS place FROM f) WHERE place <= greatest({SHOWN}, {RERANKED})")
 def candidate_depth(spark, d):
-    """How many candidates a hybrid search takes: those to show, or those to rank anew; and how many its caller asks for."""
-    k = F.col("doc_id") % 40
-    return table(spark, d, "documents").select("doc_id", F.greatest(k, F.lit(25)).alias("depth"), F.greatest(4 * k, F.lit(50)).alias("asked"))
+    """A hybrid search takes as many candidates as are shown, or are ranked anew if these are more; each list is asked for four
+    times what is shown, DEPTH at least."""
+    best = ranking.rrf(_legs(spark, d, _vector(spark, d))).orderBy(F.desc("score"), "first").limit(max(SHOWN, RERANKED))
+    return ranking.ranked(best, F.desc("score"), F.col("first")).select("id", F.round("score", 8).alias("score"), F.col("rank").alias("place"), (F.col("rank") <= SHOWN).alias("shown"))
 
 
 @query("f05_phrase_count", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::INT AS n FROM documents")

@@ -21,11 +21,11 @@ def species_names(spark, d):
 
 @query(
     "n13_prefixes",
-    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'FAD' || p_size WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'MYB' END AS bare "
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'FAD' || p_size WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'NF' WHEN 4 THEN 'a' ELSE 'MYB' END AS bare "
     "FROM part",
 )
 def prefixes(spark, d):
-    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'GmFAD' || CAST(p_size AS STRING) WHEN 1 THEN 'XyZ' WHEN 2 THEN 'Os' ELSE 'ZmMYB' END")
+    name = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'GmFAD' || CAST(p_size AS STRING) WHEN 1 THEN 'XyZ' WHEN 2 THEN 'Os' WHEN 3 THEN 'LjNF' WHEN 4 THEN 'Mta' ELSE 'ZmMYB' END")
     return table(spark, d, "part").select("p_partkey", sequences.without_prefix(name).alias("bare"))
 
 
@@ -49,12 +49,17 @@ def intervals(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sequences.interval(F.col("l_partkey"), F.col("l_suppkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
-@query("n14_best_accession", """WITH r AS (SELECT p_brand AS gene, p_partkey AS "at", 'A' || p_partkey AS accession, CASE p_size % 4 WHEN 0 THEN p_brand || ' mRNA' WHEN 1 THEN 'about ' || lower(p_brand) WHEN 2 THEN 'a transcript' ELSE 'other' END AS title FROM part WHERE p_partkey % 3 = 0),
-t AS (SELECT *, CASE p_size WHEN 0 THEN 0 ELSE 0 END AS z FROM (SELECT r.*, p_size FROM r JOIN part ON p_partkey = r."at"))
-SELECT gene, arg_min(accession, {'t': p_size % 4, 'p': "at"}) AS accession FROM t GROUP BY gene""")
+_TITLE = "CASE p_size % 5 WHEN 0 THEN p_brand || ' mRNA' WHEN 1 THEN 'about ' || lower(p_brand) WHEN 2 THEN 'a cDNA' WHEN 3 THEN upper(p_brand) || ' Transcript' ELSE 'some cds' END"
+
+
+@query(
+    "n14_best_accession",
+    "SELECT p_type || p_brand AS gene, arg_min('A' || p_partkey, {'t': CASE p_size % 5 WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, 'p': p_partkey}) AS accession FROM part GROUP BY 1",
+)
 def best_accession(spark, d):
-    rows = table(spark, d, "part").filter("p_partkey % 3 = 0").selectExpr("p_brand AS gene", "p_partkey AS at", "'A' || CAST(p_partkey AS STRING) AS accession", "CASE p_size % 4 WHEN 0 THEN p_brand || ' mRNA' WHEN 1 THEN 'about ' || lower(p_brand) WHEN 2 THEN 'a transcript' ELSE 'other' END AS title")
-    return sequences.best_accession(rows)
+    """Records of genes that are a brand of a type; titles name the brand, say that they are transcripts, both or neither."""
+    rows = table(spark, d, "part").selectExpr("p_type", "p_brand AS gene", "p_partkey AS at", "'A' || CAST(p_partkey AS STRING) AS accession", f"{_TITLE} AS title")
+    return sequences.best_accession(rows, "p_type").select(F.concat("p_type", "gene").alias("gene"), "accession")
 
 
 _DNA = "translate(substr(md5(p_name || p_partkey), 1, 32), '0123456789abcdef', 'ACGTACGTACGTacgt')"

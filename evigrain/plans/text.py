@@ -141,6 +141,13 @@ def gene_names(spark, d):
 COMPLEMENT_SQL = "SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(translate(coalesce(text, ''), 'ACGTacgt', 'TGCAtgca'), '(?s).')), '') AS complement FROM documents"
 
 
+@query("f45_gene_names_of_parts", "SELECT p_partkey, 'GmFAD' || p_size || ',OsMYB' || p_partkey % 7 || 'a' AS names FROM part")
+def gene_names_of_parts(spark, d):
+    """Texts with names, a tool, a repeated name, one that goes on in another script, and one inside a word."""
+    text = F.expr("'in GmFAD' || CAST(p_size AS STRING) || ' and OsMYB' || CAST(p_partkey % 7 AS STRING) || 'a, SpCas9; OsMYB' || CAST(p_partkey % 7 AS STRING) || 'a or AtPAL1等 and xZmA1 '")
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.gene_names(text), ",").alias("names"))
+
+
 @query("n06_reverse_complement_all", COMPLEMENT_SQL)
 @query("n06_reverse_complement", COMPLEMENT_SQL)
 def reverse_complement(spark, d):
