@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
+from evigrain.sources import store
 
 # How many rows each source may give, by mode.
 BUDGETS = {"normal": {"pubmed": 6, "gene": 12, "graph": 4, "personal": 8}, "deep": {"pubmed": 12, "gene": 20, "graph": 8, "personal": 12}}
@@ -50,17 +54,33 @@ def source_counts(rows: DataFrame, sources: list[str]) -> DataFrame:
     return counted.withColumn("warning", F.when(F.col("n") == 0, F.concat("source", F.lit(" returned nothing"))))
 
 
-def together(sources: dict) -> DataFrame:
-    """The rows of all sources, each a function that gives its rows (pos, key, score, title); a source that fails gives none. Failures
-    of a source are those of setting it up; what a running task does is Spark's to repeat."""
-    out = None
-    for name, rows in sources.items():
+ROWS = "source string, pos long, key string, score double, title string"
+
+
+def together(sources: dict) -> tuple[DataFrame, DataFrame]:
+    """The rows of all sources, each a function that gives its rows (pos, key, score, title), and a row for each source: its state,
+    how many rows it gave, and its error.
+
+    Each source is a job of its own, all at once, and its result is a written table. Whatever fails, in setting a source
+    up or in one of its tasks after Spark's own retries, costs that source only. Memory running out is no answer of a
+    source: it ends the search."""
+    spark = SparkSession.active()
+
+    def one(name: str, rows) -> tuple[str, DataFrame | None, str | None]:
         try:
-            found = rows().select(F.lit(name).alias("source"), "pos", "key", "score", "title")
-        except Exception:
-            continue
-        out = found if out is None else out.unionByName(found)
-    return out
+            return name, store.cut(rows().select(F.lit(name).alias("source"), F.col("pos").cast("long"), F.col("key").cast("string"), F.col("score").cast("double"), "title")), None
+        except MemoryError:
+            raise
+        except Exception as e:
+            return name, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+    with ThreadPoolExecutor(max(1, len(sources))) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(lambda x: one(*x)), sources.items()))
+    out = spark.createDataFrame([], ROWS)
+    for _, found, _ in done:
+        out = out if found is None else out.unionByName(found)
+    states = spark.createDataFrame([(n, "failed" if f is None else "answered", 0 if f is None else f.count(), e) for n, f, e in done], "source string, state string, n long, error string")
+    return out, states
 
 
 def mentioned(answers: DataFrame, key: str = "id", column: str = "answer") -> DataFrame:

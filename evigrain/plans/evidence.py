@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.functions import text as T
 from evigrain.operators import evidence, fusion, interactions, ranking
 from evigrain.plans.registry import query, table
+from evigrain.sources import library, store
 
 _IDS = """p AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'https://doi.org/10.1000/' || page_id WHEN 1 THEN 'doi:10.7/' || page_id WHEN 2 THEN 'n/a' ELSE '' END AS doi,
 CASE WHEN page_id % 3 = 0 THEN 'PMID: ' || (1000 + page_id) WHEN page_id % 3 = 1 THEN 'none' END AS pmid, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN 'ftp://x' ELSE '' END AS link, 'On <b>Page</b> ' || (page_id % 50) AS title FROM pages)"""
@@ -172,22 +175,54 @@ def personal_files(spark, d):
     return rows.filter("user_id IS NOT NULL").groupBy("user_id", "filename").agg(F.count("*").alias("chunks"), F.max("page").alias("pages"))
 
 
+def _asked(spark, d):
+    """Two sources answer; one can't be set up, and one fails in its tasks."""
+    rows = _sources(spark, d)
+
+    def of(name, most):
+        return lambda: _ranked(rows.filter(F.col("source") == name), most).select("pos", F.col("event_id").alias("key"), F.col("value").alias("score"), F.lit("").alias("title"))
+
+    def absent():
+        raise OSError("no connection")
+
+    def breaking():
+        return of("pubmed", 12)().withColumn("title", F.when(F.col("pos") > 1, F.raise_error(F.lit("half an answer")).cast("string")).otherwise("one"))
+
+    return evidence.together({"gene": of("gene", 12), "personal": absent, "pubmed": breaking, "graph": of("graph", 4)})
+
+
 @query(
     "v07_all_sources",
-    f"WITH {_SOURCES} SELECT source, event_id AS key, pos FROM r WHERE (source = 'gene' AND pos <= 12) OR (source = 'graph' AND "
+    f"WITH {_SOURCES} SELECT source, event_id::VARCHAR AS key, pos::BIGINT AS pos FROM r WHERE (source = 'gene' AND pos <= 12) OR (source = 'graph' AND "
     f"pos <= 4)",
 )
 def all_sources(spark, d):
-    """Two sources answer, one fails; its failure costs its own rows only."""
-    rows = _sources(spark, d)
+    """A source's failure, at any time, costs its own rows only."""
+    return _asked(spark, d)[0].select("source", "key", "pos")
 
-    def of(name, most):
-        return lambda: _ranked(rows.filter(F.col("source") == name), most).select("pos", F.col("event_id").alias("key"), F.col("value").alias("score"), F.lit("").alias("title"))
 
-    def broken():
-        raise OSError("no connection")
+@query(
+    "v07_source_states",
+    f"WITH {_SOURCES} SELECT s AS source, CASE WHEN s IN ('gene', 'graph') THEN 'answered' ELSE 'failed' END AS state, CASE WHEN s IN ('gene', 'graph') THEN (SELECT count(*) FROM r WHERE source = s AND pos <= CASE s "
+    "WHEN 'gene' THEN 12 ELSE 4 END) ELSE 0 END::BIGINT AS n FROM (SELECT unnest(['gene', 'personal', 'pubmed', 'graph']) AS s)",
+)
+def source_states(spark, d):
+    return _asked(spark, d)[1].select("source", "state", "n")
+
 
-    return evidence.together({"gene": of("gene", 12), "pubmed": broken, "graph": of("graph", 4)}).select("source", "key", F.col("pos").cast("long").alias("pos"))
+@query(
+    "m10_library",
+    f"WITH {_PERSONAL}, f AS (SELECT vec_id, page, score, CASE filename WHEN 'file1.pdf' THEN 'renamed.pdf' ELSE filename END AS file FROM c WHERE user_id = 3 AND filename <> 'file2.pdf') "
+    "SELECT file, page::BIGINT AS page, vec_id::BIGINT AS at, round(score, 6) AS score FROM f",
+)
+def library_(spark, d):
+    """A user's files are added, one is renamed, one deleted, and the rest is searched under their names."""
+    rows, vector = _personal(spark, d)
+    own = library.Library(spark, f"{store.root_of(spark)}/libraries-{uuid.uuid4().hex}", "user 3", library.Limits(chunks=10**9, chars=10**12))
+    own.put(rows.filter("user_id = 3").select(F.col("filename").alias("file"), F.col("page").cast("long"), F.col("vec_id").cast("long").alias("at"), F.lit("").alias("text"), F.col("embedding").cast("array<double>").alias("embedding")))
+    own.rename("file1.pdf", "renamed.pdf")
+    own.delete("file2.pdf")
+    return ranking.dense(own.chunks(), vector, 1e-9).select("file", "page", "at", F.round("score", 6).alias("score"))
 
 
 _ANSWERS = """a AS (SELECT o_orderkey AS id, 'see [' || (o_orderkey % 7 + 1) || '] and [9] and [' || (o_orderkey % 3 + 1) || '] or [' || (o_orderkey % 7 + 1) || ']' AS answer FROM orders),
