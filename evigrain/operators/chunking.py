@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.functions import text as T
+from evigrain.sources import store
 from evigrain.sources.corpus import BUCKETS
 
 # What counts as no value in a record; spelling matters.
@@ -123,9 +124,10 @@ def _chunk(kind: str, gene_type: str, lines: Column, gene: Column | None = None,
     """A chunk as a struct; null where `when` doesn't hold or its body is short."""
     content = F.trim(F.array_join(lines, "\n"), F.lit(" \t\n\r"))
     name = F.lit(PAPER_NAME) if gene is None else F.coalesce(_told(gene["Gene_Name"]), F.lit(PAPER_NAME))
-    made = F.struct(F.lit(kind).alias("chunk_type"), F.lit(gene_type).alias("gene_type"), name.alias("gene_name"), content.alias("content"))
-    fits = body_length(content) >= LEAST_BODY
-    return F.when(fits if when is None else fits & F.coalesce(when, F.lit(False)), made)
+    made = lambda c: F.struct(F.lit(kind).alias("chunk_type"), F.lit(gene_type).alias("gene_type"), name.alias("gene_name"), c.alias("content"))
+    # The content is bound to a variable, so that it is put together once.
+    fits = F.get(F.transform(F.array(content), lambda c: F.when(body_length(c) >= LEAST_BODY, made(c))), F.lit(0))
+    return fits if when is None else F.when(F.coalesce(when, F.lit(False)), fits)
 
 
 def _blank() -> Column:
@@ -211,9 +213,20 @@ def regulations(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forward, inverse
 
 
+def broken() -> Column:
+    """Whether one of a paper's buckets holds something that is no record."""
+    some = F.lit(False)
+    for b in BUCKETS:
+        some = some | F.coalesce(F.exists(b, lambda g: g.isNull()), F.lit(False))
+    return some
+
+
 def chunks(papers: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """file, route, place, chunk_type, gene_type, gene_name and content of each paper's chunks by its route. A generic paper has one for each
-    gene, of any length; others leave out chunks with a short body."""
+    gene, of any length; others leave out chunks with a short body. A paper that a route can't work on falls back to generic
+    chunks of the records that it has.
+
+    Each route is a projection of its own papers; papers are read once and kept as a table for that."""
     def each(bucket: str, make) -> Column:
         return F.transform(F.coalesce(bucket, F.array().cast("array<map<string,string>>")), make)
 
@@ -226,12 +239,18 @@ def chunks(papers: DataFrame, labels: dict[str, str] | None = None) -> DataFrame
         each("Regulation_Genes", lambda g: regulation_gene_chunk(g, labels)),
     )
     plant = F.flatten(each("Plant_Genes", lambda g: plant_chunks(g, labels)))
-    routed = papers.withColumn("route", route())
-    by_route = F.when(F.col("route") == "plant_genes", plant).when(F.col("route") == "mixed_bucket", mixed).otherwise(chain).cast(f"array<{kind}>")
-    typed = routed.filter("route <> 'generic'").select("file", "route", F.posexplode(F.array_compact(by_route)).alias("place", "c")).select("file", "route", "place", "c.*")
-    plain = generic_chunks(papers.filter(route() == "generic"), labels)
+    whole = papers.select("*", F.when(broken(), "generic").otherwise(route()).alias("route"))
+    records = [F.filter(b, lambda g: g.isNotNull()).alias(b) for b in BUCKETS]
+    routed = store.cut(whole.select(*[c for c in whole.columns if c not in BUCKETS], *records))
+
+    def typed(name: str, made: Column) -> DataFrame:
+        own = routed.filter(F.col("route") == name).select("file", "route", F.posexplode(F.array_compact(made.cast(f"array<{kind}>"))).alias("place", "c"))
+        return own.select("file", "route", "place", "c.*")
+
+    plain = generic_chunks(routed.filter("route = 'generic'"), labels)
+    typed_all = typed("plant_genes", plant).unionByName(typed("mixed_bucket", mixed)).unionByName(typed("pathway_chain", chain))
     generic = plain.select("file", F.lit("generic").alias("route"), "place", "chunk_type", "gene_type", "gene_name", "content")
-    return typed.unionByName(generic)
+    return typed_all.unionByName(generic)
 
 
 # What a chunk's own columns are called as fields.

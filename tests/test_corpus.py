@@ -87,3 +87,21 @@ def test_broken_papers(spark, tmp_path):
     (tmp_path / "other.txt").write_text("no paper")
     assert [r.file for r in corpus.papers(spark, str(tmp_path)).collect()] == ["good.json"]
     assert [r.file for r in corpus.broken_papers(spark, str(tmp_path)).collect()] == ["bad.json"]
+
+
+def test_generations_are_named_by_their_content_and_pruned(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    rows = lambda n: {"ids": spark.range(n).coalesce(1).toDF("id")}
+    first = store.published(rows(3), root, "s")
+    assert store.published(rows(3), root, "s") == first and store.current(spark, root)["ids"].count() == 3
+    assert len({first, store.published(rows(4), root, "s"), store.published(rows(3), root, "t")}) == 3
+    store.published(rows(9), root, "s")
+    # The current one and the one before it.
+    assert len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 2 and store.current(spark, root)["ids"].count() == 9
+
+
+def test_a_paper_with_something_that_is_no_record_is_generic(spark):
+    rows = [(f, "t", "j", "d", None, None, None, genes) for f, genes in (("a", [{"Gene_Name": "g"}, None]), ("b", [{"Gene_Name": "g"}]))]
+    maps = "array<map<string,string>>"
+    df = spark.createDataFrame(rows, f"file string, Title string, Journal string, DOI string, Common_Genes {maps}, Pathway_Genes {maps}, Regulation_Genes {maps}, Plant_Genes {maps}")
+    assert [(r.file, r.route, r.gene_name) for r in chunking.chunks(df).collect()] == [("a", "generic", "g")]
