@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 from pyspark.sql.types import StringType
 
 # What counts as no value, for evidence and for graph entries.
@@ -192,3 +193,43 @@ def value_text(c: Column, blanks=EVIDENCE_BLANKS) -> Column:
     """A list of texts as one, without placeholders; null is empty."""
     told = F.filter(F.transform(c, lambda x: clean(x, blanks)), lambda x: x != "")
     return F.coalesce(F.array_join(told, "; "), F.lit(""))
+
+
+def truncated_deep(c: Column, kind: DataType, most: int) -> Column:
+    """A value of any type in which each text that is longer is cut, and says so."""
+    if isinstance(kind, StringType):
+        return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("\n...[truncated]"))).otherwise(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: truncated_deep(x, kind.elementType, most))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda k, v: truncated_deep(v, kind.valueType, most))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[truncated_deep(c[f.name], f.dataType, most).alias(f.name) for f in kind.fields]))
+    return c
+
+
+FRONT = r"(?s)\A[^\S\n]*---[^\S\n]*\n(.*?)(?:(?<=\n)[^\S\n]*---[^\S\n]*(?:\n|\z))"
+ENTRY = r"(?m)^([^:\n]*):(?:[ \t]*>[ \t]*(?=\n|\z)((?:\n  [^\n]*)*)|([^\n]*))"
+
+
+def front_matter(c: Column) -> Column:
+    """The entries (key, value, items) that a text's head between two lines of dashes holds: a value that is `>` is the
+    indented lines below, joined; one in brackets is a list. Of a repeated key the last entry counts."""
+    meta = F.regexp_extract(c, FRONT, 1)
+    part = lambda n: F.regexp_extract_all(meta, F.lit(ENTRY), F.lit(n))
+    zipped = F.arrays_zip(part(1).alias("k"), part(2).alias("folded"), part(3).alias("plain"))
+
+    def entry(x: Column) -> Column:
+        folded = F.trim(F.array_join(F.transform(F.split(x["folded"], "\n"), lambda y: F.trim(y)), " "))
+        plain = F.trim(x["plain"])
+        value = F.when(plain != "", plain).otherwise(folded)
+        listed = F.filter(F.transform(F.split(F.regexp_extract(plain, r"(?s)^\[(.*)\]$", 1), ","), lambda y: F.trim(y)), lambda y: y != "")
+        return F.struct(F.trim(x["k"]).alias("key"), value.alias("value"), F.when(plain.rlike(r"(?s)^\[.*\]$"), listed).alias("items"))
+
+    entries = F.transform(zipped, entry)
+    return F.transform(F.array(entries), lambda a: F.filter(a, lambda x, i: F.size(F.filter(F.slice(a, i + 2, F.size(a)), lambda y: y["key"] == x["key"])) == 0))[0]
+
+
+def without_front_matter(c: Column) -> Column:
+    """A text without such a head, trimmed; one without it stays as it is."""
+    return F.when(c.rlike(FRONT), F.regexp_replace(F.regexp_replace(c, FRONT, ""), r"^\s+|\s+$", "")).otherwise(c)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.functions import text as T
+from evigrain.operators.skew import spread_join
 from evigrain.sources import store
 
 MAX_HOPS = 4
@@ -21,8 +22,10 @@ SEED = r"[A-Za-z][A-Za-z0-9_.-]{1,32}"
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:
-    """One node per id: of its spellings the one with the least ord; aliases are the distinct words of all of them."""
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("name", r"\s+")))))
+    """One node per id: of its spellings the one with the least ord. A node that comes once has its name as it is for an
+    alias; of one that comes again the aliases are the distinct words of all spellings, in order."""
+    all_ = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("name", r"\s+")))))
+    words = F.when(F.count("*") > 1, all_).otherwise(F.array(F.any_value("name")))
     return rows.groupBy("id").agg(F.min_by("type", "ord").alias("type"), F.min_by("name", "ord").alias("name"), words.alias("aliases"))
 
 
@@ -175,22 +178,47 @@ def checked_types(rows: DataFrame, column: str, known: tuple[str, ...]) -> DataF
     return rows.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce(column, F.lit("null")))).cast("boolean")))
 
 
+#: Queries that are broadcast, after they were counted; more meet the nodes by shuffles.
+ASKED = 10_000
+RUN = 3
+
+
+def _runs(rows: DataFrame, column: str) -> DataFrame:
+    """rows with each distinct run of RUN characters of a column."""
+    return rows.select("*", F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{RUN}}}))"), F.lit(1)))).alias("_run"))
+
+
+def _holding(names: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """Names (norm) that hold a query (norm2), found by runs that they share: a name with all runs of a query is looked at."""
+    small = F.broadcast if few else (lambda t: t)
+    told = _runs(asked.filter(F.length("norm2") >= RUN), "norm2")
+    n = told.groupBy("query").agg(F.count("*").alias("_all"))
+    met = _runs(names.select("id", "norm"), "norm").join(small(told.select("query", "_run")), "_run").groupBy("id", "query").agg(F.count("*").alias("_n"))
+    full = met.join(small(n), "query").filter("_n = _all").select("id", "query")
+    long = names.join(full, "id").join(small(asked), "query").filter(F.col("norm").contains(F.col("norm2")))
+    # A query shorter than a run is looked for in the names themselves.
+    short = names.join(small(asked.filter(F.length("norm2") < RUN)), F.col("norm").contains(F.col("norm2")))
+    columns = ["query", "id", "type", "name"]
+    return long.select(*columns).unionByName(short.select(*columns))
+
+
 def resolved(queries: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
     """query, id, tier, score for up to `limit` nodes of each query: those whose name it is (score 1), else those that
     share words with it (at most 0.95), else those whose name holds it (0.5): the first tier that finds any. Genes come
     first, then metabolites, then others, each by score and name.
 
-    queries: a bounded table (query); names meet it by equi-joins on names and words, and the last tier, which has to
-    look into every name, only for what the others left."""
-    q = F.broadcast(queries.select("query", F.lower(F.trim("query")).alias("norm")).distinct())
+    Names meet queries by equi-joins: on names, on words, and on runs of three characters for what the others left."""
+    q = store.cut(queries.select("query", F.lower(F.trim("query")).alias("norm")).distinct())
+    few = q.count() <= ASKED
+    small = F.broadcast if few else (lambda t: t)
     n = nodes.select("id", "name", "type", F.lower(F.trim("name")).alias("norm"))
-    exact = n.join(q, "norm").select("query", "id", "type", "name", F.lit(0).alias("tier"), F.lit(1.0).alias("score"))
+    exact = store.cut(n.join(small(q), "norm").select("query", "id", "type", "name", F.lit(0).alias("tier"), F.lit(1.0).alias("score")))
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
     words = lambda t: t.select("*", F.explode(F.array_distinct(F.filter(F.split("norm", r"\W+"), lambda w: w != ""))).alias("word"))
-    shared = words(n).join(F.broadcast(words(rest).select("query", "word")), "word").groupBy("query", "id", "type", "name").agg(F.count("*").alias("n"))
-    text = shared.select("query", "id", "type", "name", F.lit(1).alias("tier"), F.least(F.lit(0.95), 0.65 + F.col("n") / 100).alias("score"))
-    last = rest.join(text.select("query").distinct(), "query", "left_anti")
-    fuzzy = n.withColumnRenamed("norm", "full").join(F.broadcast(last), F.col("full").contains(F.col("norm"))).select("query", "id", "type", "name", F.lit(2).alias("tier"), F.lit(0.5).alias("score"))
+    shared = words(n).join(small(words(rest).select("query", "word")), "word").groupBy("query", "id", "type", "name").agg(F.count("*").alias("n"))
+    text = store.cut(shared.select("query", "id", "type", "name", F.lit(1).alias("tier"), F.least(F.lit(0.95), 0.65 + F.col("n") / 100).alias("score")))
+    last = rest.join(text.select("query").distinct(), "query", "left_anti").withColumnRenamed("norm", "norm2")
+    fuzzy = _holding(n, last, few).select("*", F.lit(2).alias("tier"), F.lit(0.5).alias("score"))
     kind = F.when(F.col("type") == "Gene", 0).when(F.col("type") == "Metabolite", 1).otherwise(2)
     # Of the last tier short names come first.
     order = [kind, F.desc("score"), F.when(F.col("tier") == 2, F.length("name")).otherwise(0), "name", "id"]
@@ -242,18 +270,73 @@ def static_graph(genes: DataFrame, blanks: tuple[str, ...] = ("", "NA")) -> tupl
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """id, component: the least id that edges reach, whatever their direction. Each round takes the least label of
-    the neighbours and then the label of that label, so that chains shorten by half; every round is written."""
-    ways = store.cut(steps(edges.withColumn("relation", F.lit(""))).select("at", "to").distinct())
-    labels = store.cut(ways.groupBy("at").agg(F.min("to").alias("m")).select(F.col("at").alias("id"), F.least("at", "m").alias("component")))
+    """id, component: the least id that edges reach, whatever their direction.
+
+    A round hangs all greater neighbours of a node on the least node among it and its neighbours, then every node with its
+    lesser neighbours on the least of these. Links only ever move to lesser ends, and the rounds are few whatever a
+    component's shape is; what a hub is linked with is spread over tasks. Every round is written."""
+    ends = edges.select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low"))
+    links, alone = store.cut(ends.filter("high <> low").distinct()), ends.select(F.col("low").alias("id")).distinct()
     while True:
-        near = ways.join(labels.select(F.col("id").alias("to"), "component"), "to").groupBy("at").agg(F.min("component").alias("m"))
-        least = labels.join(near, F.col("id") == F.col("at")).select("id", F.least("component", "m").alias("component"))
-        of = least.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        after = store.cut(least.join(of, "component").select("id", F.least("component", "above").alias("component")))
-        if after.join(labels, ["id", "component"], "left_anti").isEmpty():
-            return after
-        labels = after
+        after = store.cut(_lesser(_greater(links)))
+        if after.count() == links.count() and after.join(links, ["high", "low"], "left_anti").isEmpty():
+            break
+        links = after
+    told = links.select(F.col("high").alias("id"), F.col("low").alias("component"))
+    roots = alone.join(told.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    return told.unionByName(roots.unionByName(links.select(F.col("low").alias("id"), F.col("low").alias("component"))).distinct())
+
+
+def _least(links: DataFrame, node: str, other: str) -> DataFrame:
+    """links with `least`: the least of a node and the other ends of its links."""
+    lows = links.groupBy(node).agg(F.min(other).alias("_low")).select(node, F.least(node, "_low").alias("least"))
+    return spread_join(links, store.cut(lows), node)
+
+
+def _greater(links: DataFrame) -> DataFrame:
+    both = links.select(F.col("high").alias("node"), F.col("low").alias("near")).unionByName(links.select(F.col("low").alias("node"), F.col("high").alias("near")))
+    return store.cut(_least(both, "node", "near").filter("near > node AND near <> least").select(F.col("near").alias("high"), F.col("least").alias("low")).distinct())
+
+
+def _lesser(links: DataFrame) -> DataFrame:
+    hung = _least(links, "high", "low")
+    down = hung.select(F.col("low").alias("high"), F.col("least").alias("low"))
+    return down.unionByName(hung.select("high", F.col("least").alias("low"))).filter("high <> low").distinct()
+
+
+def summaries(graphs: DataFrame, key: str, most: int = 2, seeds: int = 4) -> DataFrame:
+    """key and a text about its first graphs (at, seeds, direction, hops, backend, n_nodes, n_edges): what each started from, and its size."""
+    first = graphs.withColumn("_place", F.row_number().over(W.partitionBy(key).orderBy("at"))).filter(F.col("_place") <= most)
+    some = F.slice(F.filter("seeds", lambda x: F.coalesce(x, F.lit("")) != ""), 1, seeds)
+    # The words of a summary.
+    parts = ("图 RAG 检索主体: ", F.when(F.size(some) > 0, F.array_join(some, "、")).otherwise("未明确匹配主体"), "; 方向: ", _or("direction", "both"), "; hops: ", _or("hops", "?"), "; backend: ", _or("backend", "graph_db"))
+    size = ("; 返回 ", F.col("n_nodes").cast("string"), " 个节点、", F.col("n_edges").cast("string"), " 条边")
+    text = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in (*parts, *size)])
+    return first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", text.alias("text")))), lambda x: x["text"]), " | ").alias("text"))
+
+
+def _or(column: str, other: str) -> Column:
+    told = F.col(column).cast("string")
+    return F.when(F.coalesce(told, F.lit("")) == "", other).otherwise(told)
+
+
+def directed_paths(start: DataFrame, edges: DataFrame, hops: int, direction: str, limit: int | None = None) -> DataFrame:
+    """nodes, length: simple paths from start (id) of at most `hops` edges along a direction (downstream, upstream, both); the
+    shortest so many, of equals in the order of their nodes."""
+    ways = steps(edges, direction).select("at", "to").distinct()
+    walk, found = start.select(F.array("id").alias("nodes"), F.col("id").alias("end")), None
+    for length in range(1, max(1, min(hops, MAX_HOPS)) + 1):
+        walk = walk.join(ways, F.col("end") == F.col("at")).filter(~F.array_contains("nodes", F.col("to")))
+        walk = walk.select(F.concat("nodes", F.array("to")).alias("nodes"), F.col("to").alias("end"))
+        if limit is not None:
+            # Longer paths come after all shorter ones, so a hop never needs more than are asked for; each goes on from here.
+            walk = store.cut(walk.distinct())
+            here = walk.orderBy("nodes").limit(limit)
+        else:
+            here = walk = store.cut(walk.distinct())
+        here = here.select("nodes", F.lit(length).alias("length"))
+        found = here if found is None else found.unionByName(here)
+    return found if limit is None else found.orderBy("length", "nodes").limit(limit)
 
 
 def path_score(length: Column, bits: Column) -> Column:

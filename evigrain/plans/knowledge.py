@@ -207,11 +207,13 @@ def to_prune(spark, d):
 @query(
     "a10_merged_node_rows",
     "SELECT lower(p_brand) AS id, arg_min(p_type, p_partkey) AS type, arg_min(p_name, p_partkey) AS name, "
-    "array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ' ') AS aliases FROM part GROUP BY 1",
+    "CASE WHEN count(*) = 1 THEN any_value(p_name) ELSE array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ' ') END AS aliases "
+    "FROM (SELECT p_partkey, p_type, p_name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name || p_partkey END AS p_brand FROM part) GROUP BY 1",
 )
 def merged_node_rows(spark, d):
-    """Type, name and aliases: the words of all spellings."""
-    rows = table(spark, d, "part").select(F.lower("p_brand").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    """Type, name and aliases: the words of all spellings, or the name as it is where there is one. Half of the parts are nodes of their own."""
+    own = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.concat("p_name", F.col("p_partkey").cast("string")))
+    rows = table(spark, d, "part").select(F.lower(own).alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
     return graph.merged_nodes(rows).withColumn("aliases", F.array_join("aliases", " "))
 
 
@@ -268,3 +270,31 @@ def evidence_graphs(spark, d):
     shown, kept = graph.evidence_graphs(n, e.withColumn("at", order))
     one = kept.select("packet", F.lit("edge").alias("what"), F.concat("src", F.lit(">"), "dst").alias("id"), "rank")
     return one.unionByName(shown.select("packet", F.lit("node").alias("what"), "id", "rank"))
+
+
+@query(
+    "g10_directed_paths",
+    f"WITH {EDGES}, {WAYS}, u1 AS (SELECT dst AS a, src AS b FROM e WHERE dst = 'R1'), u AS (SELECT array_to_string([a, b], '>') AS path, 1 AS length FROM u1 UNION ALL SELECT array_to_string([a, b, src], '>'), 2 FROM u1 JOIN e ON dst = b), "
+    "b1 AS (SELECT DISTINCT here AS a, node AS b FROM w WHERE here = 'S1'), b AS (SELECT array_to_string([a, b], '>') AS path, 1 AS length FROM b1 UNION ALL SELECT DISTINCT array_to_string([a, b, node], '>'), 2 FROM b1 JOIN w ON here = b WHERE node <> a) "
+    "SELECT 'upstream' AS direction, path, length FROM u UNION ALL (SELECT 'both', path, length FROM b ORDER BY length, path LIMIT 20)",
+)
+def directed_paths(spark, d):
+    """Against the edges from a region, all of them; and either way from a supplier, the first twenty."""
+    e, of = edges(spark, d), lambda i: spark.createDataFrame([(i,)], "id string")
+    shown = lambda name, found: found.select(F.lit(name).alias("direction"), F.array_join("nodes", ">").alias("path"), "length")
+    return shown("upstream", graph.directed_paths(of("R1"), e, 2, "upstream")).unionByName(shown("both", graph.directed_paths(of("S1"), e, 2, "both", 20)))
+
+
+@query(
+    "g16_summaries",
+    "WITH s AS (SELECT n_regionkey, n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS e FROM nation), k AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM s) "
+    "SELECT n_regionkey, string_agg('图 RAG 检索主体: ' || CASE WHEN n_nationkey % 2 = 0 THEN n_name || '、a、b、c' ELSE '未明确匹配主体' END || '; 方向: ' || CASE WHEN n_nationkey % 3 = 0 THEN 'upstream' ELSE 'both' END || '; hops: ' || CASE WHEN n_nationkey % 3 = 0 THEN '2' ELSE '?' END || "
+    "'; backend: graph_db; 返回 ' || (e + 1) || ' 个节点、' || e || ' 条边', ' | ' ORDER BY place) AS text FROM k WHERE place <= 2 GROUP BY n_regionkey",
+)
+def graph_summaries(spark, d):
+    """Each region's first two nations as graphs of their suppliers, some without seeds, direction or hops."""
+    n = table(spark, d, "nation").join(table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("e")), "n_nationkey", "left").withColumn("n_edges", F.coalesce("e", F.lit(0)))
+    some, even = F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") % 2 == 0
+    seeds = F.when(even, F.array("n_name", F.lit(""), F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))).otherwise(F.array().cast("array<string>"))
+    graphs = n.select("n_regionkey", F.col("n_nationkey").alias("at"), seeds.alias("seeds"), F.when(some, "upstream").alias("direction"), F.when(some, 2).alias("hops"), F.lit("").alias("backend"), (F.col("n_edges") + 1).alias("n_nodes"), "n_edges")
+    return graph.summaries(graphs, "n_regionkey")

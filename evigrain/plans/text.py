@@ -184,3 +184,32 @@ def windows(spark, d):
 )
 def truncate(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", T.truncated("text", 800)).otherwise(F.col("text")).alias("shown"))
+
+
+@query(
+    "p28_truncated_deep",
+    "SELECT conv_id, turn, role, CASE WHEN length(text) > 40 THEN substring(text, 1, 40) || chr(10) || '...[truncated]' ELSE text END AS shown, CASE WHEN text IS NULL THEN 0 ELSE 2 END::INT AS n FROM conversations",
+)
+def truncated_deep(spark, d):
+    """Texts inside lists and maps inside a record are cut; all else stays."""
+    value = F.struct(F.col("turn").alias("turn"), F.array(F.create_map(F.lit("role"), F.col("role"), F.lit("text"), F.col("text"))).alias("said"))
+    rows = table(spark, d, "conversations").select("conv_id", "text", value.alias("value"))
+    cut = rows.select("conv_id", "text", T.truncated_deep(F.col("value"), rows.schema["value"].dataType, 40).alias("v"))
+    said = F.col("v.said")[0]
+    return cut.select("conv_id", "v.turn", said["role"].alias("role"), said["text"].alias("shown"), F.when(F.col("text").isNull(), 0).otherwise(F.size(said)).alias("n"))
+
+
+@query(
+    "f46_front_matter",
+    "SELECT p_partkey, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'first second' ELSE '>' || p_size END AS told, CASE WHEN p_size % 2 = 0 THEN 'a,b ' || p_size END AS tags, CASE WHEN p_size % 5 = 0 THEN '--- ' || p_name ELSE 'Body' || chr(10) || '---' || chr(10) || 'more' END AS body "
+    "FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, '--- ' || p_name || chr(10) || 'name: x' FROM part WHERE p_size % 5 = 0",
+)
+def front_matter(spark, d):
+    """Heads of texts: plain values, folded ones, lists, repeated keys; and texts whose head doesn't end."""
+    told = "CASE WHEN p_size % 3 = 0 THEN ' >\n  first\n   second' ELSE ' >' || CAST(p_size AS STRING) END"
+    tags = "CASE WHEN p_size % 2 = 0 THEN 'tags: [a, , b ' || CAST(p_size AS STRING) || ']\n' ELSE 'no tags\n' END"
+    head = F.expr(f"'--- \nname: old\ntold:' || {told} || '\n\n' || {tags} || 'name: ' || p_name || '\n---\n\n Body\n---\nmore\n'")
+    text = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("--- "), "p_name", F.lit("\nname: x"))).otherwise(head)
+    rows = table(spark, d, "part").select("p_partkey", text.alias("t")).select("p_partkey", T.front_matter(F.col("t")).alias("m"), T.without_front_matter(F.col("t")).alias("body"))
+    of = lambda k: F.get(F.filter("m", lambda x: x["key"] == k), F.lit(0))
+    return rows.select("p_partkey", of("name")["value"].alias("name"), of("told")["value"].alias("told"), F.array_join(of("tags")["items"], ",").alias("tags"), "body")

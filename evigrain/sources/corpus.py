@@ -45,5 +45,15 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accessions(spark: SparkSession, path: str) -> DataFrame:
-    """species, gene, accession of rows with three fields and an accession."""
-    return spark.read.option("sep", "\t").schema("species STRING, gene STRING, accession STRING").csv(path).filter("trim(accession) <> ''")
+    """species, gene, accession of rows with three fields or more and an accession."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).filter(F.size(parts) >= 3).select(*[F.trim(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(("species", "gene", "accession"))])
+    return rows.filter("accession <> ''")
+
+
+def pathway_genes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Genes of pathways (ord, name, substrate, product) of all papers, in the order of files and places, for a static graph;
+    and the files that don't parse, each with its error."""
+    rows = papers(spark, folder).select("file", F.posexplode("Pathway_Genes").alias("at", "g")).filter("g IS NOT NULL")
+    genes = rows.select(F.struct("file", "at").alias("ord"), F.col("g")["Gene_Name"].alias("name"), F.col("g")["Primary_Substrate"].alias("substrate"), F.col("g")["Primary_Product"].alias("product"))
+    return genes, broken_papers(spark, folder).select("file", F.concat(F.lit("no JSON"), F.coalesce(F.concat(F.lit(" after the title "), "Title"), F.lit(""))).alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,12 @@ def questions(spark: SparkSession, path: str, schema: str, body: str = "body", l
     return rows if limit is None else rows.limit(limit)
 
 
+def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Results from lines of JSON; blank lines and lines that don't parse are left out."""
+    read = spark.read.schema(f"{schema}, _broken STRING").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return read.filter("_broken IS NULL").drop("_broken")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
@@ -43,6 +49,45 @@ def export_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "relation").write.mode("overwrite").json(f"{folder}/links")
 
 
+def _told(c) -> Column:
+    """A name without control characters, as XML holds it."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return plain
+
+
+def _in_order(parts: list[DataFrame], path: str) -> None:
+    """Lines of parts one after another, each sorted, as text files whose names are in that order."""
+    rows = None
+    for i, part in enumerate(parts):
+        one = part.select(F.lit(i).alias("part"), "key", "value")
+        rows = one if rows is None else rows.unionByName(one)
+    rows.orderBy("part", "key").select("value").write.mode("overwrite").text(path)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A directed graph as GraphML, in files that are one document when they are put together in the order of their names."""
+    line = lambda *texts: nodes.sparkSession.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "key string, value string")
+    key = lambda i, end, name: f'<key id="{i}" for="{end}" attr.name="{name}" attr.type="string"/>'
+    head = line('<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', key("d0", "node", "node_type"), key("d1", "edge", "edge_type"), '<graph edgedefault="directed">')
+    data = lambda k, c: F.concat(F.lit(f'<data key="{k}">'), _told(F.col(c)), F.lit("</data>"))
+    n = nodes.select(F.col("id").alias("key"), F.concat(F.lit('<node id="'), _told(F.col("id")), F.lit('">'), data("d0", "type"), F.lit("</node>")).alias("value"))
+    e = edges.select(F.concat_ws("\u0001", "src", "dst", "relation").alias("key"), F.concat(F.lit('<edge source="'), _told(F.col("src")), F.lit('" target="'), _told(F.col("dst")), F.lit('">'), data("d1", "relation"), F.lit("</edge>")).alias("value"))
+    _in_order([head, n, e, line("</graph>", "</graphml>")], path)
+
+
+def write_gml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A directed graph as GML, in files as above. A node's number is a hash of its id."""
+    line = lambda *texts: nodes.sparkSession.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "key string, value string")
+    number = F.conv(F.substring(F.sha1(F.col("id")), 1, 13), 16, 10)
+    quoted = lambda c: F.concat(F.lit('"'), _told(c), F.lit('"'))
+    n = nodes.select(F.col("id").alias("key"), F.concat(F.lit("  node [ id "), number, F.lit(" label "), quoted(F.col("id")), F.lit(" node_type "), quoted(F.col("type")), F.lit(" ]")).alias("value"))
+    of = lambda c: F.conv(F.substring(F.sha1(F.col(c)), 1, 13), 16, 10)
+    e = edges.select(F.concat_ws("\u0001", "src", "dst", "relation").alias("key"), F.concat(F.lit("  edge [ source "), of("src"), F.lit(" target "), of("dst"), F.lit(" edge_type "), quoted(F.col("relation")), F.lit(" ]")).alias("value"))
+    _in_order([line("graph [", "  directed 1"), n, e, line("]")], path)
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """file, bytes and modified of a folder's files, the newest first; nothing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)

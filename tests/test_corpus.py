@@ -5,7 +5,7 @@ import shutil
 
 import pytest
 
-from evigrain.operators import chunking, gene_graph
+from evigrain.operators import chunking, gene_graph, graph
 from evigrain.sources import corpus, store
 
 
@@ -105,3 +105,25 @@ def test_a_paper_with_something_that_is_no_record_is_generic(spark):
     maps = "array<map<string,string>>"
     df = spark.createDataFrame(rows, f"file string, Title string, Journal string, DOI string, Common_Genes {maps}, Pathway_Genes {maps}, Regulation_Genes {maps}, Plant_Genes {maps}")
     assert [(r.file, r.route, r.gene_name) for r in chunking.chunks(df).collect()] == [("a", "generic", "g")]
+
+
+def test_pathway_genes_and_markdown_and_accessions(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"Title": "t", "Pathway_Genes": [{"Gene_Name": "g", "Primary_Substrate": "s", "Primary_Product": "p"}, {"Gene_Name": "h"}]}')
+    (tmp_path / "a.json").write_text('{"Title": "t", "Pathway_Genes": [{"Gene_Name": "f"}]}')
+    (tmp_path / "c.json").write_text("{")
+    genes, failed = corpus.pathway_genes(spark, str(tmp_path))
+    assert [(r.name, r.substrate, r["product"]) for r in genes.orderBy("ord").collect()] == [("f", None, None), ("g", "s", "p"), ("h", None, None)]
+    assert [tuple(r) for r in failed.collect()] == [("c.json", "no JSON")]
+    (tmp_path / "small.md").write_text("# é")
+    (tmp_path / "large.md").write_text("x" * 100)
+    assert [tuple(r) for r in corpus.markdown(spark, str(tmp_path), 50).collect()] == [("small.md", "# é")]
+    (tmp_path / "acc.tsv").write_text("rice\tg1\tNM_1\tmore\nrice\tg2\nrice\tg3\t \n\nmaize\tg4\tNM_4\n")
+    assert sorted(tuple(r) for r in corpus.accessions(spark, f"{tmp_path}/acc.tsv").collect()) == [("maize", "g4", "NM_4"), ("rice", "g1", "NM_1")]
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    pairs = [("hub", f"n{i:04}") for i in range(1500)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("z", "z"), ("y", "x")]
+    edges = spark.createDataFrame([(a, b, "r") for a, b in pairs], "src string, dst string, relation string")
+    got = {r.id: r.component for r in graph.weak_components(edges).collect()}
+    assert len(got) == 1501 + 61 + 1 + 2 and {v for k, v in got.items() if k[0] in "hn"} == {"hub"} and {v for k, v in got.items() if k[0] == "c"} == {"c000"}
+    assert (got["z"], got["x"], got["y"]) == ("z", "x", "x")

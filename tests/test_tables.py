@@ -1,6 +1,8 @@
 """Small formats, read and written."""
 
 import json
+import re
+from xml.etree import ElementTree
 
 from evigrain.sources import tables
 
@@ -32,3 +34,24 @@ def test_listing(spark, tmp_path):
     got = tables.listing(spark, str(tmp_path)).collect()
     assert {(r.file, r.bytes) for r in got} == {("a.json", 4), ("b.json", 2)}
     assert [r.modified for r in got] == sorted((r.modified for r in got), reverse=True)
+
+
+def test_graph_documents(spark, tmp_path):
+    nodes = spark.createDataFrame([("a<b", "Gene"), ("c\x01&", "Metabolite")], "id string, type string")
+    edges = spark.createDataFrame([("a<b", "c\x01&", 'x"y')], "src string, dst string, relation string")
+    whole = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    tables.write_graphml(nodes, edges, f"{tmp_path}/graphml")
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    graph = ElementTree.fromstring(whole("graphml").encode()).find(f"{space}graph")
+    assert [(n.get("id"), n[0].text) for n in graph.findall(f"{space}node")] == [("a<b", "Gene"), ("c&", "Metabolite")]
+    assert [(e.get("source"), e.get("target"), e[0].text) for e in graph.findall(f"{space}edge")] == [("a<b", "c&", 'x"y')]
+    tables.write_gml(nodes, edges, f"{tmp_path}/gml")
+    text = whole("gml")
+    ids = re.findall(r"node \[ id (\d+) label", text)
+    assert text.startswith("graph [\n  directed 1\n") and text.endswith("]\n") and len(set(ids)) == 2
+    assert re.findall(r"edge \[ source (\d+) target (\d+) edge_type \"(.*?)\" \]", text) == [(*ids, "x&quot;y")]
+
+
+def test_results(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"question": 1, "answer": "a"}\n\n{"question": \n{"question": 2, "answer": null}\n')
+    assert [(r.question, r.answer) for r in tables.results(spark, f"{tmp_path}/r.jsonl", "question LONG, answer STRING").orderBy("question").collect()] == [(1, "a"), (2, None)]
