@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrain.operators.keywords import Ask, Spec, asks, matches, validate
+from evigrain.operators.keywords import Ask, Spec, asks, matches, totals, validate
 
 N = 3
 #: Runs by which a form is looked up.
@@ -139,3 +139,8 @@ def held(index: FieldIndex, spec: Spec) -> DataFrame:
 def explained(index: FieldIndex, spec: Spec) -> DataFrame:
     """matches() of the candidates: id, concept, field, surface_form, n, score and part."""
     return matches(index.fields.join(candidates(index, spec), "id", "left_semi"), spec)
+
+
+def scored(index: FieldIndex, spec: Spec) -> DataFrame:
+    """totals() of the candidates: id and score."""
+    return totals(index.fields.join(candidates(index, spec), "id", "left_semi"), spec)

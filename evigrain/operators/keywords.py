@@ -161,11 +161,8 @@ def asks(concepts: list[Concept]) -> list[Ask]:
     ]
 
 
-def matches(fields: DataFrame, spec: Spec) -> DataFrame:
-    """id, concept, field, surface_form, n and score: one row for each form that a field of a record holds.
-
-    fields: long_fields(). The field * stands for all fields together. A form with cohit words counts in records that
-    hold one of them anywhere. `part` is the score's share of the record's score, after its concept's cap."""
+def _matched(fields: DataFrame, spec: Spec) -> DataFrame:
+    """What matches() says, with the concept's number (at) and cap."""
     concepts, decay, most = spec
     validate(concepts, decay, most)
     wanted = asks(concepts)
@@ -176,7 +173,7 @@ def matches(fields: DataFrame, spec: Spec) -> DataFrame:
             here = F.lit(True) if name == "*" else F.col("field") == name
             hit.append(F.when(here & F.col("value").contains(a.needle), F.struct(F.lit(k).alias("ask"), F.lit(name).alias("target"), n.cast("long").alias("n"))))
     if not hit:
-        return fields.limit(0).select("id", F.lit("").alias("concept"), "field", F.lit("").alias("surface_form"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"), F.lit(0.0).alias("part"))
+        return fields.limit(0).select("id", F.lit("").alias("concept"), "field", F.lit("").alias("surface_form"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"), F.lit(0).alias("at"), F.lit(0.0).alias("cap"))
     found = fields.select("id", F.explode(F.array_compact(F.array(*hit))).alias("x")).select("id", "x.*").filter("n > 0")
     found = found.groupBy("id", "ask", "target").agg(F.sum("n").alias("n"))
     strict = {k: a.cohit for k, a in enumerate(wanted) if a.cohit}
@@ -191,14 +188,24 @@ def matches(fields: DataFrame, spec: Spec) -> DataFrame:
     rows = [(k, a.concept, concepts[a.concept].name, concepts[a.concept].forms[a.form].text, t, a.weight * max(0.0, w), cap(concepts[a.concept])) for k, a in enumerate(wanted) for t, w in a.fields.items()]
     of = fields.sparkSession.createDataFrame(rows, "ask int, at int, concept string, surface_form string, target string, weight double, cap double")
     told = found.join(F.broadcast(of), ["ask", "target"]).withColumn("score", F.col("weight") * T.discounted(F.col("n"), decay, most)).filter("score > 0")
+    return told.select("id", "concept", F.col("target").alias("field"), "surface_form", "n", "score", "at", "cap")
+
+
+def matches(fields: DataFrame, spec: Spec) -> DataFrame:
+    """id, concept, field, surface_form, n, score and part: one row for each form that a field of a record holds.
+
+    fields: long_fields(). The field * stands for all fields together. A form with cohit words counts in records that
+    hold one of them anywhere. `part` is the score's share of the record's score, after its concept's cap."""
+    told = _matched(fields, spec)
     whole = F.sum("score").over(W.partitionBy("id", "at"))
     part = F.when((F.col("cap") > 0) & (whole > F.col("cap")), F.col("score") * F.col("cap") / whole).otherwise(F.col("score"))
-    return told.withColumn("part", part).select("id", "concept", F.col("target").alias("field"), "surface_form", "n", "score", "part")
+    return told.withColumn("part", part).drop("at", "cap")
 
 
-def totals(found: DataFrame) -> DataFrame:
-    """id and score > 0 of the records that matches() found."""
-    return found.groupBy("id").agg(F.sum("part").alias("score")).filter("score > 0")
+def totals(fields: DataFrame, spec: Spec) -> DataFrame:
+    """id and score > 0 of the records of long_fields() that match: the sum over concepts, each up to its cap."""
+    own = _matched(fields, spec).groupBy("id", "at").agg(F.sum("score").alias("score"), F.any_value("cap").alias("cap"))
+    return own.groupBy("id").agg(F.sum(F.when(F.col("cap") > 0, F.least("score", "cap")).otherwise(F.col("score"))).alias("score")).filter("score > 0")
 
 
 def cap(concept: Concept) -> float:

@@ -132,7 +132,7 @@ def _explained(spark, d):
 @query("v03_keyword_top", KEYWORD_SQL + f" SELECT id, round(score, 6) AS score FROM k WHERE score > 0 ORDER BY k.score DESC, id LIMIT {TOP}")
 def keyword_top(spark, d):
     """Candidates come from postings; only their fields are read."""
-    return ranking.top(keywords.totals(_explained(spark, d)), TOP, F.desc("score"), F.asc("id")).select("id", F.round("score", 6).alias("score"))
+    return ranking.top(field_index.scored(_fields(spark, d), keywords.Spec(SPEC)), TOP, F.desc("score"), F.asc("id")).select("id", F.round("score", 6).alias("score"))
 
 
 _FORMS = (("licence", "text", "licensed under", 1.0, _PH.format(t="t", w="licensed under", k=14), 2.0), ("licence", "source", "licensed under", 0.5, _PH.format(t="s", w="licensed under", k=14), 2.0), ("licence", "text", "license", 0.5, _TK.format(t="t", w="license"), 2.0))
@@ -173,7 +173,7 @@ def _legs(spark, d, vector) -> list:
         legs.append((ranking.ranked(dense.withColumnRenamed("vec_id", "id"), F.desc("score"), F.desc("id")), 1.0))
     docs = ranking.top(ranking.bm25(_index(spark, d), WORDS), DEPTH, F.desc("score"), F.desc("doc_id"), positive=True)
     legs.append((ranking.ranked(docs.withColumnRenamed("doc_id", "id"), F.desc("score"), F.desc("id")), 1.0))
-    fields = ranking.top(keywords.totals(_explained(spark, d)), DEPTH, F.desc("score"), F.asc("id"))
+    fields = ranking.top(field_index.scored(_fields(spark, d), keywords.Spec(SPEC)), DEPTH, F.desc("score"), F.asc("id"))
     return [*legs, (ranking.ranked(fields, F.desc("score"), F.asc("id")), FIELD_WEIGHT)]
 
 
