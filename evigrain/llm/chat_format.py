@@ -8,7 +8,8 @@ assembles its Arrow batches column by column: escaped lengths, cumulative offset
 numpy, and one preallocated buffer into which headers, texts and ends are copied; the column of formatted
 conversations is that buffer and offsets into it. The loss mask is a list of byte ranges of a conversation: the
 texts of assistant turns. The last conversation of a batch waits, as its rows, for what the next batch adds to
-it, so a task holds one batch and one conversation. As a value of a row, a conversation has 2 GB at most.
+it, so a task holds one batch and one conversation. As a value of a row, a conversation has 2 GB at most; a longer one is an
+error.
 
 Defined results: null text and null role count as empty; turns order by turn (null first), then role, then
 text, so repeated rows and ties have one result; rows with a null conv_id form one conversation; role names
@@ -82,6 +83,8 @@ def assembled(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 #: Bytes of role and text that are assembled at once, whole conversations at least.
 PORTION = 64 << 20
+#: What 32-bit offsets reach. More than PORTION is only ever one conversation.
+MOST_BYTES = (1 << 31) - 1
 _FIELDS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.binary()), ("loss_from", pa.list_(pa.int64())), ("loss_to", pa.list_(pa.int64()))])
 
 
@@ -104,6 +107,8 @@ def _assembled(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cuts = np.append(first[at:to], stop) - first[at]
         out, turn_at, text_from, text_to = assembled(part["role"], part["text"])
         base = turn_at[cuts]
+        if base[-1] > MOST_BYTES:
+            raise ValueError("a formatted conversation has more than the 2 GB that a row's value can have")
         told = np.asarray(pc.equal(part["role"], "assistant"))
         lists = np.concatenate([[0], np.cumsum(told)])[cuts].astype(np.int32)
         shift = np.repeat(base[:-1], np.diff(cuts))[told]

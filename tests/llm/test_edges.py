@@ -118,3 +118,13 @@ def test_urls(spark, docs, none):
     assert (4, "www.example.com", "/en/x", "www.example.com/en/", "allow") in got and (4, "a.example.com", "/en/", "example.com/en/", "block") in got
     assert (None, "b.net", "/es/", "net/es/", "block") in got and (1, "", "", None, "allow") in got and len(got) == len(rows)
     assert url_filter.judged(df.limit(0), none).count() == 0
+
+
+def test_chat_of_more_bytes_than_a_value_has(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chat_format, "MOST_BYTES", 60)
+    rows = lambda n: pa.RecordBatch.from_pydict({"conv_id": pa.array([1]), "role": pa.array(["user"]), "text": pa.array(["x" * n])})
+    assert next(chat_format._assembled(rows(10))).num_rows == 1
+    with pytest.raises(ValueError, match="2 GB"):
+        next(chat_format._assembled(rows(60)))
