@@ -1,6 +1,8 @@
 """Repeated passages inside and across lines."""
 
 import random
+import re
+from collections import Counter
 
 from evigrain.llm import line_templates
 
@@ -76,3 +78,26 @@ def test_rules_null_ids_and_column_names(spark):
     assert line_templates.deduplicated(df).columns == df.columns and line_templates.deduplicated(df).count() == 3
     strict = line_templates.Rule(long_texts=4)
     assert all(r.n_dropped == 0 for r in line_templates.cleaned(df, strict).collect())
+
+
+def _shared(texts, n=51):
+    """The runs of n words that two different texts hold."""
+    seen, twice = {}, set()
+    for i, text in enumerate({t for t in texts if t}):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for run in {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}:
+            if seen.setdefault(hash(run), i) != i:
+                twice.add(hash(run))
+    return twice
+
+
+def test_shared_runs_of_more_than_fifty_words_go(spark, small):
+    """All runs are looked for; each text keeps words that no other text has."""
+    docs = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    after = [r.text for r in line_templates.op5_passages(spark, small).collect()]
+    before = _shared(docs)
+    assert len(before) > 100 and len(_shared(after)) <= 0.02 * len(before)
+    count = Counter(w for t in {t for t in docs if t} for w in set(t.split()))
+    kept = Counter(w for t in {t for t in after if t} for w in set(t.split()))
+    alone = {w for w, n in count.items() if n == 1 and not any(c.isdigit() for c in w)}
+    assert sum(w in kept for w in alone) >= 0.999 * len(alone)
