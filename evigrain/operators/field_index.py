@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.operators.keywords import Ask, Spec, asks, matches, totals, validate
+from evigrain.sources import store
 
 N = 3
 #: Runs by which a form is looked up.
@@ -35,11 +36,15 @@ def tables(fields: DataFrame) -> dict[str, DataFrame]:
     """The tables of an index over long_fields(), to be written."""
 
     def postings(pattern: str, group: int, name: str) -> DataFrame:
+        # Written as they come: they are read for the sort's sample, for the sort, and to be counted.
         each = F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(pattern), F.lit(group)))).alias(name)
-        return fields.select(each, "field", "id").repartitionByRange(name, "id").sortWithinPartitions(name, "field", "id")
+        return store.cut(fields.select(each, "field", "id"))
 
-    grams = postings(GRAM, 1, "gram")
-    return {"fields": fields.repartitionByRange("id").sortWithinPartitions("id"), "grams": grams, "short": postings(SHORT, 0, "token"), "counts": grams.groupBy("gram", "field").agg(F.count("*").alias("n"))}
+    fields = store.cut(fields)
+    by = lambda rows, name: rows.repartitionByRange(name, "id").sortWithinPartitions(name, "field", "id")
+    grams, short = postings(GRAM, 1, "gram"), postings(SHORT, 0, "token")
+    counts = grams.groupBy("gram", "field").agg(F.count("*").alias("n"))
+    return {"fields": fields.repartitionByRange("id").sortWithinPartitions("id"), "grams": by(grams, "gram"), "short": by(short, "token"), "counts": counts}
 
 
 class _Look(NamedTuple):
@@ -110,20 +115,25 @@ def candidates(index: FieldIndex, spec: Spec) -> DataFrame:
     held, at = _held(index, looks), {x: k for k, x in enumerate(looks)}
     if not wanted:
         return held.select("id")
-    out = None
+    has = lambda look: F.array_contains("looks", at[look])
+    some = F.lit(False)
     for a in wanted:
-        own = held.filter(F.col("look") == at[_looks(a)]).select("id")
-        if a.cohit:
-            beside = held.filter(F.col("look").isin([at[_Look(w, False, None)] for w in a.cohit])).select("id").distinct()
-            own = own.join(beside, "id", "left_semi")
-        out = own if out is None else out.unionByName(own)
-    return out.distinct()
+        beside = F.lit(not a.cohit)
+        for w in a.cohit:
+            beside = beside | has(_Look(w, False, None))
+        some = some | (has(_looks(a)) & beside)
+    # At most as many numbers a record as there are looks.
+    return held.groupBy("id").agg(F.collect_set("look").alias("looks")).filter(some).select("id")
+
+
+def _found(index: FieldIndex, spec: Spec) -> DataFrame:
+    """The fields of the candidates, as a table: they are few, and read more than once."""
+    return store.cut(index.fields.join(candidates(index, spec), "id", "left_semi"))
 
 
 def held(index: FieldIndex, spec: Spec) -> DataFrame:
     """id of the candidates that hold a form as a string in one of its fields, and one of its cohit words anywhere."""
-    fields = index.fields.join(candidates(index, spec), "id", "left_semi")
-    out = None
+    fields, out = _found(index, spec), None
     for a in asks(spec.concepts):
         look = _looks(a)
         own = fields.filter(F.col("value").contains(a.needle) & _inside(look)).select("id")
@@ -138,9 +148,9 @@ def held(index: FieldIndex, spec: Spec) -> DataFrame:
 
 def explained(index: FieldIndex, spec: Spec) -> DataFrame:
     """matches() of the candidates: id, concept, field, surface_form, n, score and part."""
-    return matches(index.fields.join(candidates(index, spec), "id", "left_semi"), spec)
+    return matches(_found(index, spec), spec)
 
 
 def scored(index: FieldIndex, spec: Spec) -> DataFrame:
     """totals() of the candidates: id and score."""
-    return totals(index.fields.join(candidates(index, spec), "id", "left_semi"), spec)
+    return totals(_found(index, spec), spec)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigrain.functions import text as T
+from evigrain.sources import store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -47,10 +48,11 @@ class Index(NamedTuple):
 def index_tables(docs: DataFrame, key: str = "doc_id", column: str = "text") -> dict[str, DataFrame]:
     """The tables of an index, to be written: postings and terms are sorted by term within ranges of terms, so that a
     search reads the row groups of its terms only."""
-    tokens = docs.select(key, T.tokens(column).alias("w")).select(key, F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
-    postings = tokens.filter("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
-    lengths = doc_lengths(docs, key, column)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # Texts are cut into tokens once, and postings put together once: both are read several times.
+    split = store.cut(docs.select(key, T.tokens(column).alias("w")).withColumn("dl", F.size("w").cast("long")))
+    tokens = split.select(key, "dl", F.explode("w").alias("term"))
+    postings = store.cut(tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl")))
+    stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     n = stats.select("n")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

@@ -172,6 +172,17 @@ def cut(df: DataFrame) -> DataFrame:
 _opened: dict[tuple, dict[str, DataFrame]] = {}
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop the kept tables of this session's folder, so that they are built anew."""
+    _opened.clear()
+    path, fs = _fs(spark, root_of(spark))
+    if fs.exists(path):
+        for s in fs.listStatus(path):
+            pointer = _fs(spark, f"{s.getPath()}/CURRENT")[0]
+            if fs.exists(pointer):
+                fs.delete(pointer, False)
+
+
 def kept(spark: SparkSession, path: str, name: str, build: Callable[[], dict[str, DataFrame]], version: str = "1") -> dict[str, DataFrame]:
     """The tables that build() derives from the files under path: the current generation if its manifest fits, else a new one."""
     sources = digest(files(spark, path), name, version)
