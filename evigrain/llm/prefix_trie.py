@@ -200,3 +200,22 @@ def trie(convs: DataFrame, steps: DataFrame) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return settled(spark, lambda: trie(*rebuilt(turns(conversations))), "trie")
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+#: Prefixes are strings of digests of 32 characters a step.
+ORACLE = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % {HEADS} AS h, conv_id - conv_id % {BASE} AS base FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY 1) b USING (base)),
+s AS (SELECT n.conv_id, place AS depth, role, text FROM n JOIN t ON t.conv_id = base AND place <= h UNION ALL SELECT n.conv_id, place - h + taken, role, text FROM n JOIN t USING (conv_id) WHERE place > h),
+p AS (SELECT conv_id, depth, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM s
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+k AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY 1, 2),
+kids AS (SELECT substr(prefix, 1, 32 * (depth - 1)) AS prefix, count(*) AS n FROM k WHERE depth > 0 GROUP BY 1),
+up AS (SELECT substr(k.prefix, 1, 32 * i) AS prefix, sum((n_convs - 1) * words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM k LEFT JOIN kids USING (prefix), unnest(range(0, k.depth + 1)) AS u(i) GROUP BY 1),
+ends AS (SELECT p.prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM p JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1) USING (conv_id, depth) GROUP BY 1)
+SELECT k.conv_id, k.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, up.leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM k JOIN up USING (prefix) LEFT JOIN kids USING (prefix) LEFT JOIN ends USING (prefix) LEFT JOIN k o ON k.depth > 0 AND o.depth = k.depth - 1 AND o.prefix = substr(k.prefix, 1, 32 * (k.depth - 1))
+"""
