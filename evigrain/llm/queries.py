@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op5_line_templates": line_templates.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_turn_repair": turn_repair.ORACLE,
 }

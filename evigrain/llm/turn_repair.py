@@ -321,3 +321,44 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return settled(spark, build, "repair")
+
+
+_NAME = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({_NAME}, ''), lambda z: ascii(z)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _way_sql(state: int) -> str:
+    """The best way on from a state before a turn, without insertions, given the ways b0 to b3 behind it."""
+    on = NEXT[state]
+    step = lambda when, cost, letter, to: f"CASE WHEN {when} THEN {{'c': b{to}.c + {cost}, 'a': '{letter}' || b{to}.a}} END"
+    more, free = f"CASE fault WHEN 3 THEN {CUT} ELSE 0 END", "fault IN (0, 3)"
+    ways = [step("TRUE", DELETE, "D", state), step(free, f"{REROLE} + {more}", "R", on), step(f"{free} AND kind = '{'u' if on == USER else 'a'}'", more, "K", on)]
+    if state == NOTHING:
+        ways.append(step(f"{free} AND kind = 's'", more, "K", SYSTEM))
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _with_insertions_sql(state: int) -> str:
+    one, two = NEXT[state], NEXT[NEXT[state]]
+    return f"list_min([d{state}, {{'c': d{one}.c + {INSERT}, 'a': 'I' || d{one}.a}}, {{'c': d{two}.c + {2 * INSERT}, 'a': 'II' || d{two}.a}}])"
+
+
+ORACLE = rf"""
+WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS fate FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM f, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS u(i) WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM x),
+q AS (SELECT *, left(role, 1) AS kind, CASE WHEN shown = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair FROM o),
+w AS (SELECT conv_id, max(place) AS place, {', '.join(f"{{'c': {c}, 'a': '{a}'}} AS b{i}" for i, (c, a) in enumerate(ENDING))} FROM q GROUP BY conv_id
+  UNION ALL SELECT conv_id, place - 1, {', '.join(_with_insertions_sql(i) for i in range(4))} FROM (SELECT w.conv_id, w.place, {', '.join(f'{_way_sql(i)} AS d{i}' for i in range(4))} FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.place = w.place)),
+a AS (SELECT conv_id, b0.c AS cost, b0.a AS audit FROM w WHERE place = 0),
+e AS (SELECT conv_id, i, audit[i] AS edit FROM a, unnest(range(1, length(audit) + 1)) AS u(i)),
+g AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS place, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY i) - 1 AS nth FROM e),
+r AS (SELECT g.*, q.role, q.text, first_value(edit = 'K' AND q.kind = 's') OVER (PARTITION BY g.conv_id ORDER BY edit = 'D', i)::INT AS system FROM g LEFT JOIN q ON edit <> 'I' AND q.conv_id IS NOT DISTINCT FROM g.conv_id AND q.place = g.place),
+t AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS told FROM r WHERE edit <> 'D' GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(told, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
