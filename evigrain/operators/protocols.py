@@ -142,15 +142,16 @@ def without_section(text: Column, heading: Column) -> Column:
     second level, or the end."""
     lines = F.split(text, r"(?<=\n)")
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    # Each step is bound once: a lambda that held the step's expression would compute it again for every line.
+    with_ = lambda value, body: F.transform(F.array(value), body)[0]
 
-    def cut(a: Column) -> Column:
-        names = F.transform(a, _strip)
-        start = F.array_position(names, _strip(heading))
-        other = F.transform(a, lambda x, i: F.when((i + 1 > start) & x.startswith("## ") & (_strip(x) != _strip(heading)), i))
-        end = F.coalesce(F.array_min(other), F.size(a))
-        return F.when(start == 0, text).otherwise(F.array_join(F.filter(a, lambda x, i: (i + 1 < start) | (i >= end)), ""))
+    def cut(a: Column, name: Column, start: Column) -> Column:
+        other = F.transform(a, lambda x, i: F.when((i + 1 > start) & x.startswith("## ") & (_strip(x) != name), i))
+        rest = lambda end: F.array_join(F.concat(F.slice(a, F.lit(1), start - 1), F.slice(a, end + 1, F.size(a))), "")
+        return F.when(start == 0, text).otherwise(with_(F.coalesce(F.array_min(other), F.size(a)), rest))
 
-    return F.transform(F.array(lines), cut)[0]
+    found = lambda a, name: with_(F.array_position(F.transform(a, _strip), name).cast("int"), lambda start: cut(a, name, start))
+    return with_(lines, lambda a: with_(_strip(heading), lambda name: found(a, name)))
 
 
 def combined(protocols: DataFrame, key: str, order: str, name: str, column: str) -> DataFrame:

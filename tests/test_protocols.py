@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,3 +75,12 @@ def test_blocks(spark):
     df = spark.createDataFrame(rows, "t string, genes array<struct<g:string>>")
     got = [r.t for r in protocols.with_blocks(df, "t", "genes", [("start", "END.")], {"_g_": "g"}).collect()]
     assert got == ["x START  A\nEnd.\nSTART  B\\1$\nEnd. y start _g_ end.", "no block _g_", ""]
+
+
+def test_a_section_of_a_long_text_is_found_in_one_pass(spark):
+    """The steps over 800 lines are taken once each, not once a line."""
+    text = "top\n" * 400 + "## X\n" + "b\n" * 200 + " ## X\n## Y\n" + "c\n" * 198 + "## X\nend"
+    start = time.time()
+    [row] = spark.createDataFrame([(text,)], "t string").select(protocols.without_section(F.col("t"), F.lit("## X")).alias("u")).collect()
+    assert row.u == "top\n" * 400 + "## Y\n" + "c\n" * 198 + "## X\nend"
+    assert time.time() - start < 30
