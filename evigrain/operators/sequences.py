@@ -75,9 +75,11 @@ def designs(sequences: DataFrame, targets: DataFrame) -> DataFrame:
     return both.withColumn("found", F.col("target").isNotNull())
 
 
-def within_total(rows: DataFrame, size: str, each: int, total: int) -> DataFrame:
-    """rows, if none is larger than `each` and all together are within `total`; else an error that fails the query."""
-    sums = rows.agg(F.coalesce(F.max(size), F.lit(0)).alias("_most"), F.coalesce(F.sum(size), F.lit(0)).alias("_all"))
+def within_total(rows: DataFrame, size: str, each: int, total: int, by: Column | None = None) -> DataFrame:
+    """rows, if none is larger than `each` and those of each job together are within `total`; else an error that fails the
+    query. by: the job that a row belongs to; without it all rows are one."""
+    jobs = rows.groupBy(*([] if by is None else [by.alias("_job")])).agg(F.max(size).alias("most"), F.sum(size).alias("all"))
+    worst = jobs.agg(F.coalesce(F.max("most"), F.lit(0)).alias("_most"), F.coalesce(F.max("all"), F.lit(0)).alias("_all"))
     fits = (F.col("_most") <= each) & (F.col("_all") <= total)
-    checked = rows.join(F.broadcast(sums))
+    checked = rows.join(F.broadcast(worst))
     return checked.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("the sequences are over their budget")).cast("boolean"))).drop("_most", "_all")

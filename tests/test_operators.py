@@ -1,9 +1,11 @@
 """Operators on small cases with known results."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from evigrain import plans
 from evigrain.functions import text as T
-from evigrain.operators import curation, evaluation, fusion, graph, interactions, keywords, ranking
+from evigrain.operators import curation, evaluation, fusion, graph, interactions, keywords, ranking, sequences
 
 
 def one(spark, column, **values):
@@ -78,3 +80,14 @@ def test_manifest(spark):
     old = spark.createDataFrame([("a", "1", "2"), ("b", "1", "2"), ("c", "1", "2")], "file string, sha string, chunker_version string")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "1")], "file string, sha string")
     assert {tuple(r) for r in curation.manifest_diff(old, new, "2").collect()} == {("a", "keep"), ("b", "rebuild"), ("c", "drop"), ("d", "rebuild")}
+
+
+def test_a_budget_is_a_jobs(spark, tmp_path):
+    rows = spark.range(400_000).select(F.col("id").alias("p_partkey"), F.lit(50).alias("p_size"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    assert plans.QUERIES["a30_checked_total"](spark, str(tmp_path)).count() == 400_000
+    held = lambda total: sequences.within_total(rows, "p_size", 50, total, F.floor(F.col("p_partkey") / 100))
+    assert held(5_000).count() == 400_000
+    for over in (held(4_999), sequences.within_total(rows, "p_size", 50, 8_000_000), sequences.within_total(rows, "p_size", 49, 1 << 40)):
+        with pytest.raises(Exception, match="over their budget"):
+            over.collect()
