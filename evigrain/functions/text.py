@@ -24,6 +24,15 @@ NOT_GENES = ("SpCas9", "SaCas9", "FnCas12a", "LbCpf1", "AsCpf1", "CasRx", "dCas9
 VAGUE = ("之类", "之类的", "等", "等等", "类似")
 
 
+# Characters that stand for themselves in NFKC beside any others of these: none is composed, reordered or replaced. Text
+# of these alone never leaves the JVM.
+PLAIN = r"\x{0000}-\x{009f}\x{00a1}-\x{00a7}\x{00a9}\x{00ab}-\x{00ae}\x{00b0}\x{00b1}\x{00b6}\x{00b7}\x{00bb}\x{00bf}-\x{0131}\x{0134}-\x{013e}\x{0141}-\x{0148}\x{014a}-\x{017e}"
+PLAIN += r"\x{0391}-\x{03a1}\x{03a3}-\x{03c9}\x{0400}-\x{0482}\x{2010}\x{2012}-\x{2015}\x{2018}-\x{201e}\x{2022}\x{2212}\x{3001}\x{3002}\x{4e00}-\x{9fff}"
+
+# Any other character. ASCII, most of all text, is passed by one comparison.
+CHANGING = rf"[^\x{{0000}}-\x{{007f}}](?<![{PLAIN}])"
+
+
 def _nfkc():
     # Nested, so that it is sent by value and executors don't need this package.
     @F.pandas_udf(StringType())
@@ -34,7 +43,12 @@ def _nfkc():
     return nfkc
 
 
-nfkc = _nfkc()
+_normalised = _nfkc()
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC. Only text that may change is sent to Python; of the rest its batches hold nulls, which cost nothing."""
+    return F.coalesce(_normalised(F.when(c.rlike(CHANGING), c)), c)
 
 
 def text_of(c) -> Column:

@@ -1,5 +1,6 @@
 """Compatibility forms give the tokens, scores and matches of the plain forms."""
 
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -29,3 +30,20 @@ def test_rankings_match_compatibility_forms(spark):
     assert ranking.top(ranking.bm25(docs, "ＰＳＹ１"), 1, F.desc("score")).first()["doc_id"] == 1
     spec = [keywords.Concept("x", (keywords.Form("ｇａｍｅ８", 1.0, "token", ("ｃｏｎｔｒｏｌｓ",)),), {"text": 1.0})]
     assert [r["id"] for r in keywords.scored(docs.withColumnRenamed("doc_id", "id"), spec).collect()] == [0]
+
+
+def test_plain_characters_stand_for_themselves(spark):
+    """Alone, and beside each other: none is a mark, and none joins the one before."""
+    inside = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", f"[{T.PLAIN}]"))
+    plain = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and inside.match(chr(i))]
+    assert len(plain) > 20_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in plain)
+    seconds = {chr(int(x, 16)) for c in map(chr, range(0x110000)) for x in unicodedata.decomposition(c).split()[1:] if x[0] != "<"}
+    assert not [c for c in plain if c in seconds and any(unicodedata.normalize("NFKC", a + c) != a + c for a in plain[:900])]
+
+
+def test_only_text_that_may_change_goes_to_python(spark):
+    rows = [("caf\u00e9 \u2013 \u03b1-\u756a\u8304\u78b1",), ("plain",), (None,), ("cafe\u0301",), ("\uff27",), ("\U0001d400",)]
+    df = spark.createDataFrame(rows, "t string").select("t", T.nfkc(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [r.t and unicodedata.normalize("NFKC", r.t) for r in df.collect()]
+    sent = F.col("t").rlike(T.CHANGING)
+    assert [r.s for r in df.select(sent.alias("s")).collect()] == [False, False, None, True, True, True]
