@@ -45,17 +45,38 @@ class Index(NamedTuple):
     stats: DataFrame
 
 
+def counted(w: Column) -> Column:
+    """An array of tokens as array of struct(term, tf, dl, first), sorted by term; one without tokens has one entry without a
+    term. first marks one entry of each row."""
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def runs(a: Column) -> Column:
+        at = F.transform(a, lambda x, i: F.struct(x.alias("term"), i.alias("at")))
+        return F.filter(at, lambda x: (x["at"] == 0) | (x["term"] != F.get(a, x["at"] - 1)))
+
+    def told(a: Column, starts: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(starts, i + 1)["at"], F.size(a))
+        one = lambda x, i: F.struct(x["term"].alias("term"), (end(i) - x["at"]).cast("long").alias("tf"), F.size(a).cast("long").alias("dl"), (i == 0).alias("first"))
+        return F.transform(starts, one)
+
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("dl"), F.lit(True).alias("first")))
+    return bound(F.sort_array(w), lambda a: F.when(F.size(a) == 0, none).otherwise(bound(runs(a), lambda starts: told(a, starts))))
+
+
 def index_tables(docs: DataFrame, key: str = "doc_id", column: str = "text") -> dict[str, DataFrame]:
     """The tables of an index, to be written: postings and terms are sorted by term within ranges of terms, so that a
-    search reads the row groups of its terms only."""
-    # Texts are cut into tokens once, and postings put together once: both are read several times.
-    split = store.cut(docs.select(key, T.tokens(column).alias("w")).withColumn("dl", F.size("w").cast("long")))
-    tokens = split.select(key, "dl", F.explode("w").alias("term"))
-    postings = store.cut(tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl")))
-    stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n = stats.select("n")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    search reads the row groups of its terms only.
+
+    A text's terms are counted inside its row, so only the sort by term moves them; keys that several rows have are then
+    put together, if there are any."""
+    each = store.cut(docs.select(key, F.inline(counted(T.tokens(column)))))
+    postings = each.filter("term IS NOT NULL").select(key, "term", "tf", "dl")
+    if not each.filter("first").groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        postings = store.cut(postings.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.any_value("dl").alias("dl")))
+    stats = each.filter("first").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # Counted once: the mean, the terms and their sort's sample read it.
+    df = store.cut(postings.groupBy("term").agg(F.count("*").alias("df")))
+    raw = df.join(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     by_term = lambda t: t.repartitionByRange("term").sortWithinPartitions("term")
