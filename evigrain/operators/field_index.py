@@ -1,149 +1,112 @@
-"""An inverted index over fields: which records a keyword specification can match, without reading any value.
+"""An inverted index over fields: which records a keyword specification can match, by the words of blocks of records.
 
-`grams` has a row for each run of three characters that a field of a record holds, `short` for each token of one or two,
-both sorted by it; `counts` says how many rows a run has. A form of three characters or more is looked up by its
-rarest runs: records that hold all of them in one requested field are candidates. A token of one or two is
-looked up as such. A phrase that short is looked for in the values themselves. Candidates are a superset; scoring
-reads their fields and decides.
+`fields` has a row for each record with all its fields, sorted by id; a block is a run of SPAN ids. `words` has a row for each
+word that a field holds somewhere in a block. A form of one word lies inside a word; of a form of several the first ends a word,
+the last begins one and those between are words. Blocks in which one requested field has all of these are read; their
+records are held against the forms as they are, and what is left is scored.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.operators.keywords import Ask, Spec, asks, matches, totals, validate
 from evigrain.sources import store
 
-N = 3
-#: Runs by which a form is looked up.
-RAREST = 4
-GRAM = rf"(?s)(?=(.{{{N}}}))"
-SHORT = r"(?U)(?<![\w.-])[\w.-]{1,2}(?![\w.-])"
+SPAN = 512
+#: Blocks that are broadcast to the records, which then stay where they are; more are joined.
+NEAR = 250_000
 
 
 class FieldIndex(NamedTuple):
     fields: DataFrame
-    grams: DataFrame
-    short: DataFrame
-    counts: DataFrame
+    words: DataFrame
 
 
 def tables(fields: DataFrame) -> dict[str, DataFrame]:
     """The tables of an index over long_fields(), to be written."""
-
-    def postings(pattern: str, group: int, name: str) -> DataFrame:
-        # Written as they come: they are read for the sort's sample, for the sort, and to be counted.
-        each = F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(pattern), F.lit(group)))).alias(name)
-        return store.cut(fields.select(each, "field", "id"))
-
-    fields = store.cut(fields)
-    by = lambda rows, name: rows.repartitionByRange(name, "id").sortWithinPartitions(name, "field", "id")
-    grams, short = postings(GRAM, 1, "gram"), postings(SHORT, 0, "token")
-    counts = grams.groupBy("gram", "field").agg(F.count("*").alias("n"))
-    return {"fields": fields.repartitionByRange("id").sortWithinPartitions("id"), "grams": by(grams, "gram"), "short": by(short, "token"), "counts": counts}
+    # Range-sorted first: a range then has whole records, and whole blocks but for its ends, so words are counted out where they are.
+    ranges = fields.repartitionByRange("id")
+    records = ranges.groupBy("id").agg(F.collect_list(F.struct("field", "value")).alias("fields"))
+    records = store.cut(records.select("id", F.floor(F.col("id") / SPAN).alias("block"), "fields").sortWithinPartitions("id"))
+    each = records.select("block", F.explode("fields").alias("x")).select("block", "x.field", F.explode(F.array_distinct(F.split("x.value", " "))).alias("word"))
+    return {"fields": records, "words": each.distinct()}
 
 
 class _Look(NamedTuple):
-    """A string to find in some fields (None: in any), as a token or not."""
+    """A string to find in some fields (None: in any)."""
 
     needle: str
-    token: bool
     fields: frozenset[str] | None
 
 
 def _looks(a: Ask) -> _Look:
-    return _Look(a.needle, a.token, None if "*" in a.fields else frozenset(a.fields))
-
-
-def _inside(look: _Look):
-    return F.lit(True) if look.fields is None else F.col("field").isin(sorted(look.fields))
-
-
-def _runs(needle: str) -> list[str]:
-    return sorted({needle[i : i + N] for i in range(len(needle) - N + 1)})
-
-
-def _held(index: FieldIndex, looks: list[_Look]) -> DataFrame:
-    """look (its number) and id of the records that may hold it. What is looked for is bounded by the limits of a
-    specification, so it is a literal table; the index is read by its sort column."""
-    spark = index.grams.sparkSession
-    long = [(k, r, x) for k, x in enumerate(looks) if len(x.needle) >= N for r in _runs(x.needle)]
-    out = spark.createDataFrame([], "look int, id long") if not looks else None
-    if long:
-        told = index.counts.filter(F.col("gram").isin(sorted({r for _, r, _ in long}))).collect()
-        n = {}
-        for r in told:
-            n.setdefault(r["gram"], {})[r["field"]] = r["n"]
-        rows = []
-        for k, x in enumerate(looks):
-            if len(x.needle) < N:
-                continue
-            often = {r: sum(c for f, c in n.get(r, {}).items() if x.fields is None or f in x.fields) for r in _runs(x.needle)}
-            # A run that no field holds: nothing can match.
-            if min(often.values()) > 0:
-                rows += [(k, r, len(often)) for r in sorted(often, key=lambda r: (often[r], r))[:RAREST]]
-        wanted = spark.createDataFrame(rows, "look int, gram string, runs int")
-        scope = spark.createDataFrame([(k, f) for k, x in enumerate(looks) if x.fields is not None for f in x.fields], "look int, field string")
-        some = [k for k, x in enumerate(looks) if x.fields is not None]
-        hits = index.grams.filter(F.col("gram").isin(sorted({r[1] for r in rows}))).join(F.broadcast(wanted), "gram")
-        # Rows of looks into some fields only are held against those.
-        bound = hits.filter(F.col("look").isin(some)).join(F.broadcast(scope), ["look", "field"], "left_semi")
-        hits = bound.unionByName(hits.filter(~F.col("look").isin(some)))
-        full = hits.groupBy("look", "id", "field").agg(F.count("*").alias("n"), F.any_value("runs").alias("runs")).filter(F.col("n") >= F.least("runs", F.lit(RAREST)))
-        out = full.select("look", "id").distinct()
-    for k, x in enumerate(looks):
-        if len(x.needle) >= N:
-            continue
-        if x.token and re.fullmatch(r"[\w.-]{1,2}", x.needle):
-            one = index.short.filter((F.col("token") == x.needle) & _inside(x))
-        else:
-            one = index.fields.filter(F.col("value").contains(x.needle) & _inside(x))
-        one = one.select(F.lit(k).alias("look"), "id").distinct()
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _Look(a.needle, None if "*" in a.fields else frozenset(a.fields))
 
 
-def candidates(index: FieldIndex, spec: Spec) -> DataFrame:
-    """id of each record that the specification may match."""
+def _inside(look: _Look, field: Column) -> Column:
+    return F.lit(True) if look.fields is None else field.isin(sorted(look.fields))
+
+
+def _wanted(spec: Spec) -> list[tuple[_Look, list[_Look]]]:
+    """What each form looks for, and what it looks for beside it."""
+    return [(_looks(a), [_Look(w, None) for w in a.cohit]) for a in asks(spec.concepts)]
+
+
+def _some(wanted: list[tuple[_Look, list[_Look]]], has) -> Column:
+    """Whether one of the forms is there, and one of its cohit words."""
+    return reduce(or_, [has(look) & reduce(or_, map(has, beside)) if beside else has(look) for look, beside in wanted])
+
+
+def _parts(needle: str) -> list[Column]:
+    """What the words must be that a needle runs through."""
+    first, *rest = needle.split(" ")
+    word = F.col("word")
+    return [word.contains(first)] if not rest else [word.endswith(first), *(word == x for x in rest[:-1]), word.startswith(rest[-1])]
+
+
+def _blocks(index: FieldIndex, wanted: list[tuple[_Look, list[_Look]]]) -> DataFrame:
+    """The blocks that may hold a record that matches."""
+    looks = list(dict.fromkeys(x for look, beside in wanted for x in (look, *beside)))
+    at, parts = {x: k for k, x in enumerate(looks)}, [_parts(x.needle) for x in looks]
+    hit = [F.when(c & _inside(x, F.col("field")), F.struct(F.lit(k).alias("look"), F.lit(i).alias("part"), F.lit(len(p)).alias("of"))) for k, (x, p) in enumerate(zip(looks, parts)) for i, c in enumerate(p)]
+    hits = index.words.select("block", "field", F.explode(F.array_compact(F.array(*hit))).alias("x")).select("block", "field", "x.*").distinct()
+    full = hits.groupBy("block", "field", "look").agg(F.count("*").alias("n"), F.any_value("of").alias("of")).filter("n = of")
+    # At most as many numbers a block as there are looks.
+    held = full.groupBy("block").agg(F.collect_set("look").alias("looks"))
+    return held.filter(_some(wanted, lambda x: F.array_contains("looks", at[x]))).select("block")
+
+
+def _matching(index: FieldIndex, spec: Spec) -> DataFrame:
+    """The records that hold a form as a string in one of its fields, and one of its cohit words anywhere."""
     validate(*spec)
-    wanted = asks(spec.concepts)
-    looks = list(dict.fromkeys([*map(_looks, wanted), *(_Look(w, False, None) for a in wanted for w in a.cohit)]))
-    held, at = _held(index, looks), {x: k for k, x in enumerate(looks)}
+    wanted = _wanted(spec)
     if not wanted:
-        return held.select("id")
-    has = lambda look: F.array_contains("looks", at[look])
-    some = F.lit(False)
-    for a in wanted:
-        beside = F.lit(not a.cohit)
-        for w in a.cohit:
-            beside = beside | has(_Look(w, False, None))
-        some = some | (has(_looks(a)) & beside)
-    # At most as many numbers a record as there are looks.
-    return held.groupBy("id").agg(F.collect_set("look").alias("looks")).filter(some).select("id")
+        return index.fields.limit(0)
+    has = lambda look: F.exists("fields", lambda x: _inside(look, x["field"]) & x["value"].contains(look.needle))
+    blocks = store.cut(_blocks(index, wanted))
+    if blocks.count() <= NEAR:
+        blocks = F.broadcast(blocks)
+    return index.fields.join(blocks, "block", "left_semi").filter(_some(wanted, has))
+
+
+def candidates(index: FieldIndex, spec: Spec) -> DataFrame:
+    """id of each record that the specification may match."""
+    return _matching(index, spec).select("id")
+
+
+#: What is proposed after the values have been looked at; they always are.
+held = candidates
 
 
 def _found(index: FieldIndex, spec: Spec) -> DataFrame:
-    """The fields of the candidates, as a table: they are few, and read more than once."""
-    return store.cut(index.fields.join(candidates(index, spec), "id", "left_semi"))
-
-
-def held(index: FieldIndex, spec: Spec) -> DataFrame:
-    """id of the candidates that hold a form as a string in one of its fields, and one of its cohit words anywhere."""
-    fields, out = _found(index, spec), None
-    for a in asks(spec.concepts):
-        look = _looks(a)
-        own = fields.filter(F.col("value").contains(a.needle) & _inside(look)).select("id")
-        if a.cohit:
-            some = F.lit(False)
-            for w in a.cohit:
-                some = some | F.col("value").contains(w)
-            own = own.join(fields.filter(some).select("id"), "id", "left_semi")
-        out = own if out is None else out.unionByName(own)
-    return fields.select("id").limit(0) if out is None else out.distinct()
+    """The fields of the candidates, as a table: they are read more than once."""
+    return store.cut(_matching(index, spec).select("id", F.explode("fields").alias("x")).select("id", "x.*"))
 
 
 def explained(index: FieldIndex, spec: Spec) -> DataFrame:

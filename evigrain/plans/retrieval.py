@@ -48,7 +48,7 @@ def idf(spark, d):
 def _index(spark, d) -> ranking.Index:
     """The index of the documents, built once and kept until their files change."""
     docs = table(spark, d, "documents")
-    return ranking.Index(**store.kept(spark, f"{d}/documents.parquet", "bm25", lambda: ranking.index_tables(docs)))
+    return ranking.Index(**store.kept(spark, f"{d}/documents.parquet", "bm25", lambda: ranking.index_tables(docs), "2"))
 
 
 @query("a04_bm25", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
@@ -122,7 +122,7 @@ def keyword_scores(spark, d):
 def _fields(spark, d) -> field_index.FieldIndex:
     """The index of the documents' fields, built once and kept until their files change."""
     rows = table(spark, d, "documents").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "source")
-    return field_index.FieldIndex(**store.kept(spark, f"{d}/documents.parquet", "field-index", lambda: field_index.tables(keywords.long_fields(rows))))
+    return field_index.FieldIndex(**store.kept(spark, f"{d}/documents.parquet", "field-index", lambda: field_index.tables(keywords.long_fields(rows)), "2"))
 
 
 def _explained(spark, d):

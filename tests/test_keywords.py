@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evigrain.operators import field_index, keywords
 from evigrain.operators.keywords import Concept, Form, Spec
@@ -90,3 +91,16 @@ def test_all_fields_together_and_caps(spark):
     fields = keywords.long_fields(spark.createDataFrame([(1, "gene gene", "a gene")], "id long, text string, name string"))
     [row] = keywords.matches(fields, Spec([Concept("g", (Form("gene"),), {"*": 2.0}, 1.0, 0.5)])).collect()
     assert (row.field, row.n, row.score, row.part) == ("*", 3, 2.0 * 1.75, 1.0)
+
+
+def test_the_index_grows_with_blocks_and_not_with_records(spark):
+    """Records of a block share its words, so a block of copies takes no more rows than one of them."""
+    rows = lambda n: spark.range(n).select("id", F.lit("licensed under terms of use").alias("text"), F.lit("src1").alias("name"))
+    sizes = []
+    for n in (1, field_index.SPAN, 4 * field_index.SPAN):
+        index = field_index.FieldIndex(**field_index.tables(keywords.long_fields(rows(n))))
+        sizes.append(sum(t.count() for t in index if t is not index.fields))
+        spec = Spec([Concept("x", (Form("ensed und"), Form("src", cohit=("f us",))), {"*": 1.0})])
+        assert index.fields.count() == n == field_index.candidates(index, spec).count()
+        assert field_index.candidates(index, Spec([Concept("x", (Form("terms under"),), {"text": 1.0})])).count() == 0
+    assert sizes == [6, 6, 24]
