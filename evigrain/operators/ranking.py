@@ -7,6 +7,8 @@ sums, and the only sort is the final top-k.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -100,7 +102,9 @@ def bm25(docs: DataFrame | Index, query: str, key: str = "doc_id", column: str =
     if not idf:
         return hits.select(key, F.lit(0.0).alias("score"))
     weight = of(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    scored = hits.groupBy(key).agg(F.sum(weight * of(dict(wanted))).alias("weighted"), F.sum("tf").cast("double").alias("plain"))
+    # Term by term in the query's order: a sum of doubles in the order of arrival would part copies of a text in their last digit.
+    each = [F.coalesce(F.sum(F.when(F.col("term") == t, weight * of(dict(wanted)))), F.lit(0.0)) for t in wanted if t in idf]
+    scored = hits.groupBy(key).agg(reduce(add, each).alias("weighted"), F.sum("tf").cast("double").alias("plain"))
     best = scored.agg((F.max("weighted") > 0).alias("some"))
     return scored.join(F.broadcast(best)).select(key, F.when(F.col("some"), F.col("weighted")).otherwise(F.col("plain")).alias("score"))
 
@@ -133,7 +137,9 @@ def rrf(lists: list[tuple[DataFrame, float]], key: str = "id", k: int = RRF_K) -
     for i, (df, weight) in enumerate(lists):
         one = df.select(key, F.col("rank"), F.lit(i).alias("list"), (F.lit(float(weight)) / (k + F.col("rank"))).alias("part"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy(key).agg(F.sum("part").alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    # List by list, as above.
+    each = [F.coalesce(F.sum(F.when(F.col("list") == i, F.col("part"))), F.lit(0.0)) for i in range(len(lists))]
+    return rows.groupBy(key).agg(reduce(add, each).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:

@@ -91,3 +91,15 @@ def test_a_budget_is_a_jobs(spark, tmp_path):
     for over in (held(4_999), sequences.within_total(rows, "p_size", 50, 8_000_000), sequences.within_total(rows, "p_size", 49, 1 << 40)):
         with pytest.raises(Exception, match="over their budget"):
             over.collect()
+
+
+def test_copies_of_a_text_have_equal_scores(spark):
+    """Whatever the order in which their postings come."""
+    terms = {"w1": 0.1, "w2": 0.2, "w3": 0.3, "w4": 1e16, "w5": 0.7}
+    rows = [(k, t, 1, 5) for k in range(40) for t in (sorted(terms) if k % 2 else sorted(terms, reverse=True))]
+    postings = spark.createDataFrame(rows, "doc_id long, term string, tf long, dl long").coalesce(1)
+    index = ranking.Index(postings, spark.createDataFrame([(t, 1, x) for t, x in terms.items()], "term string, df long, idf double"), spark.createDataFrame([(40, 5.0)], "n long, avgdl double"))
+    assert ranking.bm25(index, " ".join(terms)).select("score").distinct().count() == 1
+    parts = [(i, w) for i, w in enumerate((0.1, 0.2, 1e16, 0.3))]
+    lists = [(spark.createDataFrame([(k, 1) for k in range(40)], "id long, rank int"), w) for _, w in parts]
+    assert ranking.rrf(lists).select("score").distinct().count() == 1
