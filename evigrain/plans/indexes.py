@@ -12,17 +12,22 @@ from evigrain.plans.retrieval import BM25, WORDS
 from evigrain.sources import segments, store
 
 FILES, EARLIER = 16, 5
+#: Documents in a file of a bucket, at most: a file's content is digested in one piece.
+ROWS = 2_000
 
 
 @query("m01_incremental_bm25", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
 def incremental_bm25(spark, d):
-    """The documents as files of buckets; the index is built when some buckets hold other texts, one is missing and one more is
+    """The documents as files of buckets, each of bounded size; the index is built when some buckets hold other texts, one is missing and one more is
     there, and then follows. Only postings of those buckets are written anew, and the scores are those of a full build."""
     home = f"{store.root_of(spark)}/incremental-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce(F.pmod("doc_id", F.lit(FILES)), F.lit(0)).alias("bucket"))
 
+    parts = max(1, docs.count() // (FILES * ROWS))
+
     def put(rows):
-        rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{home}/in")
+        # Spread by the texts too, so that no task has a bucket to itself.
+        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).write.option("maxRecordsPerFile", ROWS).partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{home}/in")
 
     def update():
         read = lambda files: spark.read.schema("doc_id long, text string").parquet(*(files if files is not None else [f"{home}/in"])).select(F.col("_metadata.file_path").alias("file"), F.col("doc_id").alias("key"), "text")
