@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
@@ -33,12 +33,23 @@ PLAIN += r"\x{0391}-\x{03a1}\x{03a3}-\x{03c9}\x{0400}-\x{0482}\x{2010}\x{2012}-\
 CHANGING = rf"[^\x{{0000}}-\x{{007f}}](?<![{PLAIN}])"
 
 
+# Fixed value: of so many texts at a time a batch has Python strings.
+SLICE = 64
+
+
 def _nfkc():
     # Nested, so that it is sent by value and executors don't need this package.
-    @F.pandas_udf(StringType())
-    def nfkc(text: pd.Series) -> pd.Series:
-        """Compatibility composition, which Spark lacks. ASCII and already composed text passes through unchanged."""
-        return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    size = SLICE
+
+    @F.arrow_udf(StringType())
+    def nfkc(text: pa.Array) -> pa.Array:
+        """Compatibility composition, which Spark lacks. ASCII and already composed text passes through unchanged.
+
+        Slice by slice: as Python strings a whole batch would take several times its bytes."""
+        if text.null_count == len(text):
+            return text
+        slices = (text.slice(i, size).to_pylist() for i in range(0, len(text), size))
+        return pa.chunked_array([pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in x], text.type) for x in slices]).combine_chunks()
 
     return nfkc
 
@@ -117,7 +128,7 @@ def drop_adjacent(a: Column) -> Column:
 
 def tokens(c, normalise: bool = True) -> Column:
     """Tokens of mixed text, family by family: ASCII words, Greek compounds, pairs of CJK characters; lower case,
-    without repeats side by side. normalise: apply NFKC first (a pandas function)."""
+    without repeats side by side. normalise: apply NFKC first (in Python, where it may change the text)."""
     t = nfkc(text_of(c)) if normalise else text_of(c)
     pairs = lambda run: F.when(F.length(run) > 1, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     families = [F.regexp_extract_all(t, F.lit(ASCII_TOKEN), F.lit(0)), F.regexp_extract_all(t, F.lit(GREEK_TOKEN), F.lit(0)), F.flatten(F.transform(F.regexp_extract_all(t, F.lit(CJK_RUN), F.lit(0)), pairs))]

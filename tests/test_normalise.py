@@ -1,8 +1,10 @@
 """Compatibility forms give the tokens, scores and matches of the plain forms."""
 
 import re
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evigrain import plans
@@ -47,3 +49,22 @@ def test_only_text_that_may_change_goes_to_python(spark):
     assert [r.n for r in df.collect()] == [r.t and unicodedata.normalize("NFKC", r.t) for r in df.collect()]
     sent = F.col("t").rlike(T.CHANGING)
     assert [r.s for r in df.select(sent.alias("s")).collect()] == [False, False, None, True, True, True]
+
+
+def test_a_batch_is_never_whole_as_python_strings():
+    text = pa.array(["x\u00b2 plain " * 1_000, None] * 1_000)
+    tracemalloc.start()
+    got = T._normalised.func(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.equals(pa.array(["x2 plain " * 1_000, None] * 1_000)) and most < 0.2 * text.nbytes
+    assert [T._normalised.func(pa.array(x, pa.string())).to_pylist() for x in ([], [None], ["\uff27"] * (T.SLICE + 1))] == [[], [None], ["G"] * (T.SLICE + 1)]
+
+
+def test_keyword_scores_of_all_slices(spark, tmp_path):
+    """Of a batch of several slices each text has its own score."""
+    texts = [None if i % 5 == 0 else "\uff4c\uff49\uff43\uff45\uff4e\uff53\uff45 \u00b2" * (i % 4) for i in range(5 * T.SLICE + 3)]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.score for r in plans.QUERIES["a07_keyword_scores"](spark, str(tmp_path)).collect()}
+    count = {i: len(re.findall(r"(?<![\w.-])license(?![\w.-])", unicodedata.normalize("NFKC", t or ""))) for i, t in enumerate(texts)}
+    assert got == {i: round(1 - 0.5**n, 6) for i, n in count.items() if n}
