@@ -3,6 +3,7 @@
 import re
 import tracemalloc
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -68,3 +69,13 @@ def test_keyword_scores_of_all_slices(spark, tmp_path):
     got = {r.id: r.score for r in plans.QUERIES["a07_keyword_scores"](spark, str(tmp_path)).collect()}
     count = {i: len(re.findall(r"(?<![\w.-])license(?![\w.-])", unicodedata.normalize("NFKC", t or ""))) for i, t in enumerate(texts)}
     assert got == {i: round(1 - 0.5**n, 6) for i, n in count.items() if n}
+
+
+def test_idf_of_all_slices(spark, tmp_path):
+    """Document frequencies count compatibility forms and plain ones of all slices together."""
+    texts = [None if i % 5 == 0 else f"{'ＧＡＭＥ' if i % 2 else 'game'} {'①' * (1 + i % 3)}" for i in range(3 * T.SLICE + 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter(w for t in texts for w in set(unicodedata.normalize("NFKC", t or "").lower().split()))
+    got = plans.QUERIES["a03_idf"](spark, str(tmp_path))
+    assert {r.term: r.df for r in got.collect()} == want and set(want) == {"game", "1", "11", "111"}
+    assert "ArrowEvalPython" in (plan := got._jdf.queryExecution().toString()) and "RLIKE" in plan
