@@ -117,3 +117,60 @@ def test_a_damaged_pointer_is_an_error(corpus, tmp_path):
     (tmp_path / "index" / ".CURRENT.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="damaged"):
         segments.index(corpus.spark, corpus.root)
+
+
+def moved(spark) -> int:
+    """Rows that shuffles have written so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_an_update_moves_no_postings(spark, tmp_path):
+    """Disk holds a segment once: neither counting nor sorting sends its postings through a shuffle."""
+    c, words = Corpus(spark, tmp_path), [f"word{i}" for i in range(50)]
+    for i in range(8):
+        put(c.folder, f"{i}.json", {100 * i + j: " ".join(words[j % 3 :] + words) for j in range(100)})
+    before = moved(spark)
+    c.update()
+    held = spark.read.parquet(f"{segments.pointer(spark, c.root)['segments'][0]}/postings").count()
+    assert held == 800 * 50 and moved(spark) - before < held / 4
+    before = moved(spark)
+    put(c.folder, "3.json", {300: "word1 alone"})
+    c.update()
+    assert moved(spark) - before < held / 4
+    c.check("word1 alone", "word2 word49")
+
+
+def test_several_rows_of_one_key_in_a_file(spark, tmp_path):
+    c = Corpus(spark, tmp_path)
+    lines = [(1, "gene alpha root"), (1, "gene beta root"), (2, "gene gamma stem"), (1, "gene alpha root")]
+    (c.folder / "0.json").write_text("\n".join(json.dumps({"doc_id": k, "text": t}) for k, t in lines))
+    put(c.folder, "1.json", {3: "stem beta", 4: "", 5: None})
+    assert c.update()["n"] == 7
+    c.check("gene alpha", "beta root", "stem")
+    put(c.folder, "0.json", {2: "gene gamma stem", 6: "alpha"})
+    assert c.update()["n"] == 5
+    c.check("gene alpha", "beta", "stem")
+
+
+def test_an_index_of_another_format_is_built_anew(corpus):
+    corpus.update()
+    note = segments.pointer(corpus.spark, corpus.root)
+    segments._point(corpus.spark, corpus.root, {k: v for k, v in note.items() if k not in ("format", "next")})
+    with pytest.raises(ValueError, match="another format"):
+        segments.index(corpus.spark, corpus.root)
+    assert corpus.update()["changed"] == 30
+    corpus.check("gene alpha3")
+
+
+def test_names_that_a_path_encodes(spark, tmp_path):
+    c, odd = Corpus(spark, tmp_path), ("a b+c.json", "d%20é#.json")
+    for i, name in enumerate(("plain.json", *odd)):
+        put(c.folder, name, {10 * i + j: f"gene alpha{j} of {i} " * (1 + j) for j in range(3)})
+    assert c.update()["n"] == 9
+    c.check("alpha1 gene", "alpha2 of")
+    put(c.folder, odd[0], {10: "alpha1 alone"})
+    (c.folder / odd[1]).unlink()
+    said = c.update()
+    assert (said["changed"], said["buried"], said["n"]) == (1, 2, 4)
+    c.check("alpha1 gene", "alone alpha2")
