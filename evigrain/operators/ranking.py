@@ -52,17 +52,16 @@ def counted(w: Column) -> Column:
     term. first marks one entry of each row."""
     bound = lambda value, body: F.transform(F.array(value), body)[0]
 
-    def runs(a: Column) -> Column:
-        at = F.transform(a, lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-        return F.filter(at, lambda x: (x["at"] == 0) | (x["term"] != F.get(a, x["at"] - 1)))
+    def starts(a: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
 
-    def told(a: Column, starts: Column) -> Column:
-        end = lambda i: F.coalesce(F.get(starts, i + 1)["at"], F.size(a))
-        one = lambda x, i: F.struct(x["term"].alias("term"), (end(i) - x["at"]).cast("long").alias("tf"), F.size(a).cast("long").alias("dl"), (i == 0).alias("first"))
-        return F.transform(starts, one)
+    def told(a: Column, at: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(at, i + 1), F.size(a))
+        one = lambda x, i: F.struct(F.get(a, x).alias("term"), (end(i) - x).cast("long").alias("tf"), F.size(a).cast("long").alias("dl"), (i == 0).alias("first"))
+        return F.transform(at, one)
 
     none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("dl"), F.lit(True).alias("first")))
-    return bound(F.sort_array(w), lambda a: F.when(F.size(a) == 0, none).otherwise(bound(runs(a), lambda starts: told(a, starts))))
+    return bound(F.sort_array(w), lambda a: F.when(F.size(a) == 0, none).otherwise(bound(starts(a), lambda at: told(a, at))))
 
 
 def index_tables(docs: DataFrame, key: str = "doc_id", column: str = "text") -> dict[str, DataFrame]:
